@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .bottom_k_dedup import op10_bottom_k_dedup
+from .pu_toxicity import op8_pu_toxicity
 from .suffix_array_dedup import op5_suffix_array_dedup
 from .suffix_automaton_dedup import op7_suffix_automaton_dedup
 
 QUERIES = {
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op7_suffix_automaton_dedup": op7_suffix_automaton_dedup,
+    "op8_pu_toxicity": op8_pu_toxicity,
     "op10_bottom_k_dedup": op10_bottom_k_dedup,
 }
 
