@@ -6,12 +6,17 @@ from .bottom_k_dedup import op10_bottom_k_dedup
 from .pu_toxicity import op8_pu_toxicity
 from .suffix_array_dedup import op5_suffix_array_dedup
 from .suffix_automaton_dedup import op7_suffix_automaton_dedup
+from .template_dedup import op2_template_dedup
+from .template_dedup import oracle as op2_oracle
 
 QUERIES = {
+    "op2_template_dedup": op2_template_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op7_suffix_automaton_dedup": op7_suffix_automaton_dedup,
     "op8_pu_toxicity": op8_pu_toxicity,
     "op10_bottom_k_dedup": op10_bottom_k_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_template_dedup": op2_oracle(),
+}
