@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .best_two_fit import op6_best_two_fit
 from .bottom_k_dedup import op10_bottom_k_dedup
 from .pu_toxicity import op8_pu_toxicity
 from .suffix_array_dedup import op5_suffix_array_dedup
@@ -12,6 +13,7 @@ from .template_dedup import oracle as op2_oracle
 QUERIES = {
     "op2_template_dedup": op2_template_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_best_two_fit": op6_best_two_fit,
     "op7_suffix_automaton_dedup": op7_suffix_automaton_dedup,
     "op8_pu_toxicity": op8_pu_toxicity,
     "op10_bottom_k_dedup": op10_bottom_k_dedup,
