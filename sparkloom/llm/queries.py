@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .best_two_fit import op6_best_two_fit
 from .bottom_k_dedup import op10_bottom_k_dedup
+from .cap_filter_dedup import op9_cap_filter_dedup
 from .pu_toxicity import op8_pu_toxicity
 from .suffix_array_dedup import op5_suffix_array_dedup
 from .suffix_automaton_dedup import op7_suffix_automaton_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_best_two_fit": op6_best_two_fit,
     "op7_suffix_automaton_dedup": op7_suffix_automaton_dedup,
     "op8_pu_toxicity": op8_pu_toxicity,
+    "op9_cap_filter_dedup": op9_cap_filter_dedup,
     "op10_bottom_k_dedup": op10_bottom_k_dedup,
 }
 
