@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from .backtracking_bpe import op3_backtracking_bpe
 from .best_two_fit import op6_best_two_fit
 from .bottom_k_dedup import op10_bottom_k_dedup
 from .cap_filter_dedup import op9_cap_filter_dedup
+from .license_scan import op1_license_scan
+from .mpeg_audio import op4_mpeg_audio
 from .pu_toxicity import op8_pu_toxicity
 from .suffix_array_dedup import op5_suffix_array_dedup
 from .suffix_automaton_dedup import op7_suffix_automaton_dedup
@@ -12,7 +15,10 @@ from .template_dedup import op2_template_dedup
 from .template_dedup import oracle as op2_oracle
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_template_dedup": op2_template_dedup,
+    "op3_backtracking_bpe": op3_backtracking_bpe,
+    "op4_mpeg_audio": op4_mpeg_audio,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_best_two_fit": op6_best_two_fit,
     "op7_suffix_automaton_dedup": op7_suffix_automaton_dedup,
