@@ -1,15 +1,23 @@
-"""Collects the queries of all operator modules with their SQL."""
+"""Collects the queries of all modules of this package with their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries() -> dict:
-    return {}
+from . import datasets, grids, series, texts, vectors
+from .registry import QUERIES, SQL, Query
 
+MODULES = (datasets, grids, series, texts, vectors)
 
-def oracle_sql() -> dict:
-    return {}
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """Matched pairs of a factor grid, tested by signed ranks and adjusted within families."""
+    return grids.signed_rank_tests(spark, folder)
