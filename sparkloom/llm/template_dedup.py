@@ -63,12 +63,14 @@ def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     places = lines.select("leaf", "body", F.posexplode("tokens").alias("place", "token")).filter(F.col("place") >= DEPTH)
     fixed = places.select("leaf", "place", "body", masked(F.col("token")).alias("token")).filter(F.col("token") != WILDCARD).distinct()
     fixed = fixed.groupBy("leaf", "place", "token").count().filter(F.col("count") >= min_texts)
-    fixed = fixed.groupBy("leaf").agg(F.collect_set(F.concat_ws(" ", "place", "token")).alias("fixed"))
-    known = lines.join(fixed, "leaf", "left").withColumn("fixed", F.coalesce("fixed", F.array().cast("array<string>")))
-    template = F.transform("tokens", lambda x, i: F.when(i < DEPTH, masked(x)).when(F.array_contains("fixed", F.concat_ws(" ", i.cast("string"), x)), x).otherwise(F.lit(WILDCARD)))
+    fixed = fixed.groupBy("leaf", "place").agg(F.collect_set("token").alias("tokens"))
+    fixed = fixed.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("place", "tokens"))).alias("fixed"))
+    known = lines.join(fixed, "leaf", "left")
+    stays = lambda x, i: F.coalesce(F.array_contains(F.try_element_at("fixed", i), x), F.lit(False))
+    template = F.transform("tokens", lambda x, i: F.when(i < DEPTH, masked(x)).when(stays(x, i), x).otherwise(F.lit(WILDCARD)))
     shaped = known.select("rid", "body", "at", F.size("tokens").alias("size"), template.alias("shape"))
     steady = shaped.filter(F.size(F.filter("shape", lambda x: x != WILDCARD)) >= MIN_FIXED * F.col("size"))
-    steady = steady.select("rid", "body", "at", "size", F.array_join("shape", " ").alias("template"))
+    steady = stored(steady.select("rid", "body", "at", "size", F.array_join("shape", " ").alias("template")))
     often = steady.select("body", "template").distinct().groupBy("template").count().filter(F.col("count") >= min_texts).select("template")
     return steady.join(often, "template").select("rid", "at", "template", "size")
 
