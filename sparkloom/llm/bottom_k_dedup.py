@@ -2,15 +2,16 @@
 
 A document's set holds the 64-bit hashes of its distinct word shingles; documents with equal sets form one class. A
 class keeps the `k` smallest hashes of its set. Inverted lists are keyed by runs of three consecutive retained values:
-similar sets share long stretches of the hash order, while sets that only share a common passage rarely do. Candidates
-come from the lists in two rounds. First every member of a list meets the list's smallest member only, so a group of n
-near copies costs n rows, not n * n. Then only lists whose members still lie in different components are compared in
-full, a block of members against a block at a time, with nothing emitted but pairs that pass the union-sketch estimate.
-Every candidate is verified by the exact Jaccard similarity of the full sets.
-
-Misses: two sets at the threshold s have no run of three in common with a probability of about exp(-62 / w), where w is
-the mean waiting time for three successes of chance s: under 1e-6 for s of 0.8 and 1e-8 for 0.85. Sets of up to `k`
-shingles are never missed.
+similar sets share long stretches of the hash order, while sets that only share a common passage rarely do. Of the
+runs of larger sets only those are used whose own hash is divisible by 3 or 6. Candidates come from the lists in
+two rounds. First every member of a list meets the list's smallest member, its hub, only, so a group of n near copies
+costs n rows, not n * n. Then only hubs whose members still lie in different components have their members compared in
+full, a block against a block at a time, by the union-sketch estimate; what goes on from there is members with a likely
+partner, not pairs. Every link is verified by the exact Jaccard similarity of the full sets.
+
+Misses: a pair at the threshold 0.85 shares about 77 of 126 runs, 13 of them kept; that none is kept has a probability
+of about (5/6)^77 or 1e-6 (1e-5 at 0.8), and the estimate rejects such a pair with less, at five standard deviations.
+All runs of sets with up to SMALL shingles are kept, and their similarity is exact from the start, so those are not missed.
 """
 
 from __future__ import annotations
@@ -24,17 +25,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import Ranges, mix, powers
-from .common import components, row_key, stored, table, text_bytes
+from .common import components, discard, row_key, stored, table, text_bytes
 from .suffix_automaton_dedup import word_symbols
 
 SHINGLE = 5
-K = 64
+K = 128
 #: Retained values in a list's key.
 RUN = 3
-#: Members of a block that one comparison holds.
-BLOCK = 256
-#: Lists up to this size are compared without sketches.
-SHORT_LIST = 12
+#: Shingles up to which all runs of a set key lists, and up to which one in three does; one in six beyond.
+SMALL, MIDDLE = 75, 256
+#: Members of a block that one task compares, and of a part of it that one matrix holds.
+BLOCK, PART = 1024, 256
 SKETCH_SCHEMA = "rid binary, doc_id long, n long, cls binary, sketch array<long>"
 #: Symbols hashed at once.
 PIECE = 1 << 20
@@ -66,7 +67,7 @@ def hashed_sets(docs: DataFrame, shingle: int, k: int | None) -> DataFrame:
 
             def flush(stop):
                 offsets = pa.array(np.r_[0, np.cumsum([len(v) for v in values])].astype(np.int32))
-                flat = pa.array(np.concatenate(values).view(np.int64) if values else np.empty(0, np.int64))
+                flat = pa.array(np.concatenate(values) if values else np.empty(0, np.int64))
                 return pa.RecordBatch.from_arrays(
                     [rid.slice(begin, stop - begin), doc.slice(begin, stop - begin), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.ListArray.from_arrays(offsets, flat)],
                     ["rid", "doc_id", "n", "cls", "sketch"],
@@ -74,7 +75,7 @@ def hashed_sets(docs: DataFrame, shingle: int, k: int | None) -> DataFrame:
 
             held = 0
             for i in range(batch.num_rows):
-                full = shingle_hashes(to_symbols(text_bytes(text, i).lower()), shingle, power)
+                full = np.sort(shingle_hashes(to_symbols(text_bytes(text, i).lower()), shingle, power).view(np.int64))
                 sizes.append(len(full))
                 classes.append(hashlib.blake2b(full.tobytes(), digest_size=16).digest())
                 values.append(full if k is None else full[:k])
@@ -89,9 +90,15 @@ def hashed_sets(docs: DataFrame, shingle: int, k: int | None) -> DataFrame:
 
 
 def inverted(classes: DataFrame) -> DataFrame:
-    """key, cls, n of every run of retained values."""
+    """key, cls, n of the runs of retained values that key a list.
+
+    Small sets keep all their runs, larger ones those whose hash is divisible by 3 or by 6: nested choices, so that
+    sets of different sizes meet in the runs that the larger one keeps.
+    """
     run = F.transform(F.sequence(F.lit(0), F.size("sketch") - RUN), lambda i: F.xxhash64(*[F.col("sketch")[i + j] for j in range(RUN)]))
-    return classes.filter(F.size("sketch") >= RUN).select(F.explode(run).alias("key"), "cls", "n")
+    part = F.when(F.col("n") <= SMALL, 1).when(F.col("n") <= MIDDLE, 3).otherwise(6)
+    kept = F.filter(run, lambda x: F.pmod(x, part) == 0)
+    return classes.filter(F.size("sketch") >= RUN).select(F.explode(kept).alias("key"), "cls", "n")
 
 
 def ratio(threshold: float) -> tuple[int, int]:
@@ -100,77 +107,160 @@ def ratio(threshold: float) -> tuple[int, int]:
     return f.numerator, f.denominator
 
 
+def full_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """cls, n, full (all hashes) of the classes wanted, made anew from one of their texts."""
+    texts = docs.join(wanted.join(classes.select("cls", "rid"), "cls").select("rid").distinct(), "rid", "left_semi").dropDuplicates(["rid"])
+    return stored(hashed_sets(texts, shingle, None).select("cls", "n", F.col("sketch").alias("full")).dropDuplicates(["cls"]))
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """The (a, b) of pairs whose union sketch doesn't rule them out and whose full sets are similar enough."""
     side = lambda name: classes.select(F.col("cls").alias(name), F.col("n").alias(f"n{name}"), F.col("sketch").alias(f"s{name}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
     num, den = ratio(threshold)
-    # A similar pair shares num/den of its union sketch; half of that leaves over eight standard deviations.
-    likely = stored(both.filter((2 * den * shared >= num * F.least(F.size("sa"), F.size("sb"))) & (den * F.least("na", "nb") >= num * F.greatest("na", "nb"))).select("a", "b"))
+    sized = pairs.join(classes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(side("b"), "b")
+    both = sized.filter(den * F.least("na", "nb") >= num * F.greatest("na", "nb")).drop("na").join(side("a"), "a")
+    last = F.least(F.element_at("sa", -1), F.element_at("sb", -1))
+    # Below the smaller of the last retained values both sketches are whole: a fair sample of the union.
+    cut = F.when(F.col("na") > F.size("sa"), F.when(F.col("nb") > F.size("sb"), last).otherwise(F.element_at("sa", -1))).when(F.col("nb") > F.size("sb"), F.element_at("sb", -1))
+    sampled = lambda s: F.when(F.col("last").isNull(), F.size(s)).otherwise(F.size(F.filter(s, lambda x: x <= F.col("last"))))
+    est = both.withColumn("last", cut).withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+    est = est.withColumn("union", sampled("sa") + sampled("sb") - F.col("shared"))
+    slack = F.when(F.col("last").isNull(), F.lit(0.0)).otherwise(5 * F.sqrt(F.col("union") * (threshold * (1 - threshold))))
+    likely = stored(est.filter(F.col("shared") * den + slack * den >= num * F.col("union")).select("a", "b"))
     rows = likely.select(F.col("a").alias("cls")).unionAll(likely.select(F.col("b").alias("cls"))).distinct()
-    texts = docs.join(rows.join(classes.select("cls", "rid"), "cls").select("rid").distinct(), "rid", "left_semi").dropDuplicates(["rid"])
-    sets = stored(hashed_sets(texts, shingle, None).select("cls", "n", F.col("sketch").alias("full")).dropDuplicates(["cls"]))
+    sets = full_sets(rows, classes, docs, shingle)
     side = lambda name: sets.select(F.col("cls").alias(name), F.col("n").alias(f"n{name}"), F.col("full").alias(f"s{name}"))
     inter = F.size(F.array_intersect("sa", "sb"))
-    return stored(likely.join(side("a"), "a").join(side("b"), "b").withColumn("i", inter).filter(den * F.col("i") >= num * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b"))
+    out = stored(likely.join(side("a"), "a").join(side("b"), "b").withColumn("i", inter).filter(den * F.col("i") >= num * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b"))
+    discard(sets)
+    return out
 
 
-def cross_pairs(lists: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Distinct (a, b) that share a list, lie in different components and may be similar.
+def similar_in(rows: list[tuple], threshold: float):
+    """Pairs, as two arrays of places, of rows (cls, n, comp, side, sketch) of different components that may be similar.
 
-    lists: key, cls, n, comp, of the lists with more than one component.
+    With two sides, a pair has one row of each. Rows are compared a part of the block at a time. Where both sketches are
+    whole sets, the similarity is exact and a pair is certain.
     """
-    sized = lists.join(lists.groupBy("key").agg(F.count("*").alias("members")), "key")
     num, den = ratio(threshold)
-
-    def meet(rows):
-        """Pairs of one group by size, component and, where there are sketches, shared values."""
-        n = np.array([r[1] for r in rows])
-        comp = np.unique(np.array([r[2] for r in rows], object), return_inverse=True)[1]
-        ok = (den * np.minimum(n[:, None], n[None, :]) >= num * np.maximum(n[:, None], n[None, :])) & (comp[:, None] != comp[None, :])
-        if rows[0][4] is not None:
-            side = np.array([r[3] for r in rows])
-            ok &= side[:, None] <= side[None, :]
-            values = np.unique(np.concatenate([r[4] for r in rows]), return_inverse=True)[1]
-            marks = np.zeros((len(rows), values.max() + 1), np.float32)
-            sizes = np.array([len(r[4]) for r in rows])
-            marks[np.repeat(np.arange(len(rows)), sizes), values] = 1
-            ok &= 2 * den * (marks @ marks.T) >= num * np.minimum(sizes[:, None], sizes[None, :])
-        for i, j in zip(*np.nonzero(np.triu(ok | ok.T, 1)), strict=True):
-            x, y = rows[i][0], rows[j][0]
-            yield (x, y) if x < y else (y, x)
+    n = np.array([r[1] for r in rows])
+    comp = np.unique([r[2] for r in rows], return_inverse=True)[1]
+    side = np.array([r[3] for r in rows])
+    sizes = np.array([len(r[4]) for r in rows])
+    last = np.array([r[4][-1] if len(r[4]) < r[1] else np.iinfo(np.int64).max for r in rows])
+    flat = np.concatenate([r[4] for r in rows])
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    value, count = np.unique(flat, return_inverse=True, return_counts=True)[1:]
+    often = count[value] > 1
+    flat_at, flat_owner = value[often], owner[often]
+    two = side.min() != side.max()
+    order = [np.flatnonzero(side == 0), np.flatnonzero(side == 1)] if two else [np.arange(len(rows))] * 2
+    parts = [[o[i : i + PART] for i in range(0, len(o), PART)] for o in order]
+    for pi, p in enumerate(parts[0]):
+        for qi, q in enumerate(parts[1]):
+            if not two and qi < pi:
+                continue
+            ok = (comp[p][:, None] != comp[q][None, :]) & (den * np.minimum(n[p][:, None], n[q][None, :]) >= num * np.maximum(n[p][:, None], n[q][None, :]))
+            if not two and pi == qi:
+                ok = np.triu(ok, 1)
+            if not ok.any():
+                continue
+            marks = []
+            have = np.intersect1d(flat_at[np.isin(flat_owner, p)], flat_at[np.isin(flat_owner, q)])
+            for rows_of in (p, q):
+                m = np.zeros((len(rows_of), len(have)), np.float32)
+                for i, r in enumerate(rows_of):
+                    m[i, np.searchsorted(have, np.intersect1d(have, flat_at[flat_owner == r]))] = 1
+                marks.append(m)
+            shared = marks[0] @ marks[1].T
+            cut = np.minimum(last[p][:, None], last[q][None, :])
+            union = -shared
+            for at, (rows_of, cuts) in enumerate(((p, cut), (q, cut.T))):
+                upto = np.array([np.searchsorted(rows[r][4], c, "right") for r, c in zip(rows_of, cuts, strict=True)], np.float32)
+                union = union + (upto if at == 0 else upto.T)
+            exact = cut == np.iinfo(np.int64).max
+            slack = np.where(exact, 0, 5 * np.sqrt(np.maximum(union, 0) * (threshold * (1 - threshold))))
+            i, j = np.nonzero(ok & ((shared + slack) * den >= num * union))
+            if len(i):
+                yield p[i], q[j]
+
+
+def forest(pairs: list, size: int) -> np.ndarray:
+    """For each of `size` places the least one reached from it by pairs of arrays of places."""
+    root = np.arange(size)
+    if pairs:
+        a, b = (np.concatenate([x[k] for x in pairs]) for k in (0, 1))
+        while True:
+            old = root.copy()
+            least = np.minimum(root[a], root[b])
+            np.minimum.at(root, a, least)
+            np.minimum.at(root, b, least)
+            root = root[root]
+            if (root == old).all():
+                break
+    return root
+
+
+def compared(rows: DataFrame, threshold: float, links: bool) -> DataFrame:
+    """rows(a, x, y, cls, n, comp, side, sketch) compared within each (a, x, y).
+
+    links: (src, dst) of a spanning forest of the similar pairs; else the rows, without sketch, that have a pair.
+    """
+    names = ["a", "x", "y", "cls", "n", "comp", "side"]
 
     def run(batches):
-        rows, last, out = [], None, set()
+        group, last, out = [], None, []
+
+        def settle():
+            pairs = list(similar_in([(*r[3:], v) for r, v in group], threshold))
+            if links:
+                root = forest(pairs, len(group))
+                out.extend((group[i][0][3], group[r][0][3]) for i, r in enumerate(root) if i != r)
+            elif pairs:
+                out.extend(group[i][0] for i in np.unique(np.concatenate([np.concatenate(p) for p in pairs])))
 
         def batch_of():
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.binary()) for i in (0, 1)], ["a", "b"])
+            if links:
+                return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.binary()) for i in (0, 1)], ["src", "dst"])
+            kinds = [pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
 
         for batch in batches:
             sketches = batch.column("sketch")
-            for i, (key, *row) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "x", "y", "cls", "n", "comp", "side")), strict=True)):
-                x, y, *row = row
-                if (key, x, y) != last:
-                    if len(rows) > 1:
-                        out.update(meet(rows))
-                    rows, last = [], (key, x, y)
+            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in names), strict=True)):
+                if row[:3] != last:
+                    if len(group) > 1:
+                        settle()
+                    group, last = [], row[:3]
                     if len(out) > 50_000:
                         yield batch_of()
-                        out.clear()
-                rows.append((*row, sketches[i].values.to_numpy() if sketches[i].is_valid else None))
-        if len(rows) > 1:
-            out.update(meet(rows))
+                        out = []
+                group.append((row, sketches[i].values.to_numpy()))
+        if len(group) > 1:
+            settle()
         if out:
             yield batch_of()
 
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    long = sized.filter(F.col("members") > SHORT_LIST).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(7)), "blocks").cast("int"))
-    long = long.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    long = long.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "cls", "n", "comp", (F.col("own") > F.col("other")).cast("int").alias("side")).join(classes.select("cls", "sketch"), "cls")
-    short = sized.filter(F.col("members") <= SHORT_LIST).select("key", F.lit(0).alias("x"), F.lit(0).alias("y"), "cls", "n", "comp", F.lit(0).alias("side"), F.lit(None).cast("array<long>").alias("sketch"))
-    rows = long.unionByName(short).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return rows.mapInArrow(run, "a binary, b binary").distinct()
+    spread = rows.select(*names, "sketch").repartition("a", "x", "y").sortWithinPartitions("a", "x", "y")
+    return spread.mapInArrow(run, "src binary, dst binary" if links else "a binary, x int, y int, cls binary, n long, comp binary, side int")
+
+
+def cross_links(groups: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Links (src, dst) between classes that share a hub and lie in different components, as spanning forests.
+
+    groups: a (the hub), cls, n, comp, of the hubs with members in more than one component. Blocks of members are
+    compared by sketches first; the members that may have a partner are compared again by their full sets. What moves
+    is members, each once for every other block, never pairs.
+    """
+    sized = groups.join(groups.groupBy("a").agg(F.count("*").alias("members")), "a")
+    blocks = sized.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(7)), "blocks").cast("int"))
+    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    met = blocks.withColumn("other", F.explode(other)).select(
+        "a", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "cls", "n", "comp", (F.col("own") > F.col("other")).cast("int").alias("side")
+    )
+    likely = stored(compared(met.join(classes.select("cls", "sketch"), "cls"), threshold, links=False))
+    sets = full_sets(likely.select("cls").distinct(), classes, docs, shingle)
+    return stored(compared(likely.join(sets.select("cls", F.col("full").alias("sketch")), "cls"), threshold, links=True))
 
 
 def bottom_k_dedup(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGLE, k: int = K) -> DataFrame:
@@ -184,18 +274,20 @@ def bottom_k_dedup(docs: DataFrame, threshold: float = 0.8, shingle: int = SHING
     the rows are kept. kept: doc_id equals component_id. Other columns of docs are ignored.
     """
     rows = docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("rid", row_key())
-    sketched = stored(hashed_sets(rows, shingle, k))
-    classes = stored(sketched.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(F.struct("rid", "n", "sketch")).alias("one")).select("cls", "least", "one.*"))
+    full = stored(hashed_sets(rows, shingle, k))
+    classes = stored(full.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(F.struct("rid", "n", "sketch")).alias("one")).select("cls", "least", "one.*"))
+    sketched = stored(full.drop("sketch"))
+    discard(full)
     lists = inverted(classes)
     hubs = lists.groupBy("key").agg(F.min("cls").alias("a"), F.count("*").alias("c")).filter("c > 1").select("key", "a")
-    shared = stored(lists.join(hubs, "key"))
-    near = shared.filter("a <> cls").select("a", F.col("cls").alias("b")).distinct()
+    shared = stored(lists.join(hubs, "key").select("a", "cls", "n").distinct())
+    near = shared.filter("a <> cls").select("a", F.col("cls").alias("b"))
     links = confirmed(near, classes, rows, shingle, threshold)
     groups = stored(components(links.toDF("src", "dst")))
-    known = shared.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("component", "cls").alias("comp"))
-    apart = known.groupBy("key").agg((F.min("comp") != F.max("comp")).alias("apart")).filter("apart").select("key")
-    more = confirmed(cross_pairs(stored(known.join(apart, "key")), classes, threshold), classes, rows, shingle, threshold)
-    groups = components(groups.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionAll(more.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    known = shared.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("a", "cls", "n", F.coalesce("component", "cls").alias("comp"))
+    apart = known.groupBy("a").agg((F.min("comp") != F.max("comp")).alias("apart"), F.count("*").alias("members")).filter("apart and members > 2").select("a")
+    more = cross_links(stored(known.join(apart, "a").filter("a <> cls")), classes, rows, shingle, threshold)
+    groups = components(groups.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionAll(more))
     named = classes.select("cls", "least").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     found = named.join(least, "component").select("cls", "component_id")
