@@ -93,7 +93,7 @@ def parse(data: bytes) -> dict:
     table (variable-bitrate header: frames, bytes, seek bytes; or None) and agrees (whether its counts are true).
     """
     out = {"texts": {}, "frames": [], "sizes": [], "samples": 0, "rate": 0, "checked": 0, "broken": 0, "junk": 0, "table": None, "agrees": None}
-    at, end, kind, audio = 0, len(data), None, 0
+    at, end, kind, audio, synced = 0, len(data), None, 0, False
     if end >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
     while at < end:
@@ -106,8 +106,8 @@ def parse(data: bytes) -> dict:
         if found and at + found[0] <= end and (kind is None or kind == found[6]):
             after = at + found[0]
             ahead = header(int.from_bytes(data[after : after + 4], "big")) if after + 4 <= end else None
-            # A header counts if another frame, a tag or the end follows where it says.
-            if after == end or ahead and ahead[6] == found[6] or data[after : after + 3] == b"ID3":
+            # A header counts right behind a frame, or if another frame, a tag or the end follows where it says.
+            if synced or after == end or ahead and ahead[6] == found[6] or data[after : after + 3] == b"ID3":
                 size, samples, rate, layer, protected, side, kind = found
                 tag = at + HEADER + 2 * protected + side
                 name = data[tag : tag + 4]
@@ -123,14 +123,14 @@ def parse(data: bytes) -> dict:
                     out["sizes"].append(size)
                     out["samples"] += samples
                     out["rate"] = rate
-                at = after
+                at, synced = after, True
                 continue
         step = data.find(b"\xff", at + 1, end)
         step = end if step < 0 else step
         tag = data.find(b"ID3", at + 1, step)
         step = step if tag < 0 else tag
         out["junk"] += step - at
-        at = step
+        at, synced = step, False
     if out["table"]:
         stop = out["frames"][-1] + out["sizes"][-1] if out["frames"] else 0
         out["agrees"] = out["table"]["frames"] == len(out["frames"]) and out["table"]["bytes"] == stop - audio
