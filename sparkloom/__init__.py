@@ -1 +1,10 @@
-"""Spark-first analytics over training runs and the datasets behind them."""
+"""Spark-first analytics over training runs and the datasets behind them.
+
+Task functions travel to the executors by value, so a cluster needs no copy of the repository on its workers.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1 +1 @@
-"""Spark-first analytics over training runs and the datasets behind them."""
+"""Column functions."""

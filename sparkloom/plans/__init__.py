@@ -1 +1 @@
-"""Spark-first analytics over training runs and the datasets behind them."""
+"""Registered queries and the SQL that gives the same rows."""

@@ -87,7 +87,8 @@ def tar_questions(spark: SparkSession, path: str) -> DataFrame:
 
 def csv_columns(spark: SparkSession, paths: str | list[str], columns: Sequence[str], schema: str | None = None, torn: bool = False) -> DataFrame:
     """Named columns of CSV files with headers; a missing one is an error at once. torn: unreadable lines are left out."""
-    reader = spark.read.option("header", True).option("mode", "DROPMALFORMED" if torn else "FAILFAST")
+    # Without pruning, all columns of a line are parsed, whichever are asked for, so a torn one always shows.
+    reader = spark.read.option("header", True).option("mode", "DROPMALFORMED" if torn else "FAILFAST").option("columnPruning", not torn)
     rows = (reader.schema(schema) if schema else reader).csv(paths)
     missing = [c for c in columns if c not in rows.columns]
     if missing:
