@@ -20,7 +20,7 @@ from .anchors import CHUNK, Ranges, anchor_table, collapse, contexts, flagged_sp
 from .common import row_key, stored, table
 
 WINDOW = 200
-GRAM = 16
+GRAM = 32
 #: Contexts of one key that one task takes; keys with more are counted window by window.
 HOT_CONTEXTS = 4000
 #: Bytes of contexts in one suffix array, if the keys allow.
