@@ -8,11 +8,11 @@ from .bottom_k_dedup import op10_bottom_k_dedup
 from .cap_filter_dedup import op9_cap_filter_dedup
 from .license_scan import op1_license_scan
 from .mpeg_audio import op4_mpeg_audio
+from .oracles import ORACLES
 from .pu_toxicity import op8_pu_toxicity
 from .suffix_array_dedup import op5_suffix_array_dedup
 from .suffix_automaton_dedup import op7_suffix_automaton_dedup
 from .template_dedup import op2_template_dedup
-from .template_dedup import oracle as op2_oracle
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
@@ -27,6 +27,4 @@ QUERIES = {
     "op10_bottom_k_dedup": op10_bottom_k_dedup,
 }
 
-ORACLES: dict[str, str] = {
-    "op2_template_dedup": op2_oracle(),
-}
+__all__ = ["ORACLES", "QUERIES"]
