@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import datasets, grids, series, texts, vectors
+from . import checks, datasets, grids, series, texts, vectors
 from .registry import QUERIES, SQL, Query
 
-MODULES = (datasets, grids, series, texts, vectors)
+MODULES = (checks, datasets, grids, series, texts, vectors)
 
 
 def queries() -> dict[str, Query]:

@@ -155,3 +155,21 @@ def test_occupancy_and_edges(spark):
     assert {r.state: r.mass for r in runs.occupancy(tree, 2).collect()} == {0: 1.0, 1: 0.25, 2: 0.75, 3: 0.25, 4: 0.375, 5: 0.375}
     edges = spark.createDataFrame([([("a", "b", 0, 1, 2), ("b", "c", 1, 1, 3)],)], "e array<struct<parent:string,child:string,dx:int,dy:int,distance:int>>")
     assert tuple(edges.select(runs.folded_edges(F.col("e"))).first()[0]) == (3, 5, True)
+
+
+def test_audit_helpers(spark):
+    from sparkloom.operators import audits
+
+    rows = spark.createDataFrame([(1, 2, [1, 2], "a")], "x int, original_x int, y array<int>, z string")
+    kept, reasons = audits.column_profile(rows, ["x", "z"])
+    assert kept.columns == ["x", "z"] and reasons == {"original_x": "not listed", "y": "nested"}
+    assert audits.other_world(rows).first().x == 2
+    with pytest.raises(ValueError):
+        audits.column_profile(rows, ["x"], ["nope"])
+    config = rows.select(F.struct("x", "y").alias("c"))
+    assert audits.flattened_config(config, "c").select("cfg_x", "cfg_y").first() == (1, "1->2")
+    cells = spark.createDataFrame([("a", 1.0, 5), ("a", 2.0, 5), ("b", None, 6)], "k string, m double, n int")
+    assert audits.metric_columns(cells, ["k"]) == ["m"]
+    tree = spark.createDataFrame([(0, 0, 1, 0.6, True), (0, 0, 2, 0.4, True), (1, 1, 3, 0.3, True), (1, 1, 4, 0.7, False), (2, 1, 5, 1.0, True)], "state long, depth int, child long, p double, supported boolean")
+    out = audits.path_success(tree, 2).first()
+    assert math.isclose(out.supported, 0.58) and out.greedy == 0.0
