@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import arrow_map, discard, stored
 
 ANCHOR_SCHEMA = "rid binary, doc long, key long, ctx long, lo long, hi long"
 #: Symbols handled at once: bounds the memory of a task whatever the length of a text.
@@ -115,7 +115,7 @@ def anchor_table(docs: DataFrame, window: int, gram: int, symbols_of) -> DataFra
             if parts:
                 yield flush()
 
-    return docs.select("rid", "doc", "text").mapInArrow(run, ANCHOR_SCHEMA)
+    return arrow_map(docs.select("rid", "doc", "text"), run, ANCHOR_SCHEMA)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -186,7 +186,7 @@ def contexts(reps: DataFrame, docs: DataFrame, window: int, cut) -> DataFrame:
         kinds = {"body": pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], list(out))
 
-    return joined.mapInArrow(run, "key long, ctx long, n long, dmin long, size long, body binary")
+    return arrow_map(joined, run, "key long, ctx long, n long, dmin long, size long, body binary")
 
 
 def flagged_spans(anchors: DataFrame, whole: DataFrame, found: DataFrame, window: int) -> DataFrame:

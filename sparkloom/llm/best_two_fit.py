@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, stored, table
+from .common import arrow_map, row_key, stored, table
 
 CAPACITY = 2048
 #: The id after every document.
@@ -81,7 +81,7 @@ def tokenised(docs: DataFrame, capacity: int, vocabulary: str | None, with_ids:
             if out:
                 yield flush()
 
-    return docs.select("rid", "doc_id", "text").mapInArrow(run, schema)
+    return arrow_map(docs.select("rid", "doc_id", "text"), run, schema)
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -168,7 +168,7 @@ def placed(ranked: DataFrame, where: dict[str, np.ndarray]) -> DataFrame:
             sequence, offset = t["sequence"][at] + over // t["each"][at], t["offset"][at] + over % t["each"][at] * length
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequence), pa.array(offset)], [*batch.schema.names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return arrow_map(ranked, run, f"{schema}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import Ranges, mix, powers
-from .common import components, discard, row_key, stored, table, text_bytes
+from .common import arrow_map, components, discard, row_key, stored, table, text_bytes
 from .suffix_automaton_dedup import word_symbols
 
 SHINGLE = 5
@@ -86,7 +86,7 @@ def hashed_sets(docs: DataFrame, shingle: int, k: int | None) -> DataFrame:
             if sizes:
                 yield flush(batch.num_rows)
 
-    return docs.select("rid", "doc_id", "text").mapInArrow(run, SKETCH_SCHEMA)
+    return arrow_map(docs.select("rid", "doc_id", "text"), run, SKETCH_SCHEMA)
 
 
 def inverted(classes: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def compared(rows: DataFrame, threshold: float, links: bool) -> DataFrame:
             yield batch_of()
 
     spread = rows.select(*names, "sketch").repartition("a", "x", "y").sortWithinPartitions("a", "x", "y")
-    return spread.mapInArrow(run, "src binary, dst binary" if links else "a binary, x int, y int, cls binary, n long, comp binary, side int")
+    return arrow_map(spread, run, "src binary, dst binary" if links else "a binary, x int, y int, cls binary, n long, comp binary, side int")
 
 
 def cross_links(groups: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 import pyarrow as pa
@@ -10,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows in a batch that goes to a Python worker.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,6 +43,20 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration() if hasattr(df.sparkSession, "_jsc") else df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
+    """df.mapInArrow with batches small enough that a few long texts, or many, don't fill a worker's memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
+def kept_in_worker(name: str, make):
+    """What make() gives, made once in a Python worker and kept there from task to task."""
+    holder = sys.modules.setdefault("sparkloom_kept_in_worker", types.ModuleType("sparkloom_kept_in_worker"))
+    if name not in vars(holder):
+        setattr(holder, name, make())
+    return getattr(holder, name)
+
+
 def row_key(doc_id="doc_id", text="text"):
     """16 bytes that name a row by its id and text. Rows equal in both share it, and so do their results."""
     return F.unhex(F.md5(F.concat_ws("\u0001", F.coalesce(F.col(doc_id).cast("string"), F.lit("\\N")), F.coalesce(F.col(text), F.lit("")))))

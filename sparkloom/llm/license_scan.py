@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes
+from .common import arrow_map, table, text_bytes
 
 # Base phrases, whose words must also stand in a row.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -133,7 +133,7 @@ def token_counts(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
                     counts[w] = counts.get(w, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    rows = arrow_map(docs.select("text"), run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
     return {bytes(r.token): r.n for r in rows.collect()}
 
 
@@ -180,7 +180,7 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: di
             rows = [one(text_bytes(text, i)) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], ["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FOUND}")
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FOUND}")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes
+from .common import arrow_map, table, text_bytes
 
 # Fixed values of the format: kbit/s by (version is 1, layer), Hz by version, samples a frame.
 BITRATES = {
@@ -208,7 +208,7 @@ def store_as_audio(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([doc.slice(begin, len(media)), pa.array(media, pa.binary())], ["doc_id", "media"])
                     begin, media, held = i + 1, [], 0
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, media binary")
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, media binary")
 
 
 AUDIO = "n_bytes long, payload binary, media_bytes long, media_sha256 string, n_frames long, samples long, sample_rate long, kbit long, checked long, broken long, junk long, table_agrees boolean, seek_offsets array<long>"
@@ -238,7 +238,7 @@ def read_audio(stored: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([doc.slice(begin, len(rows)), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["doc_id", *names])
                     begin, rows, held = i + 1, [], 0
 
-    return stored.select("doc_id", "media").mapInArrow(run, f"doc_id {stored.schema['doc_id'].dataType.simpleString()}, {AUDIO}")
+    return arrow_map(stored.select("doc_id", "media"), run, f"doc_id {stored.schema['doc_id'].dataType.simpleString()}, {AUDIO}")
 
 
 def op4_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

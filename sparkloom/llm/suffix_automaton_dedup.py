@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import anchor_table, collapse, contexts, flagged_spans, live, merged
-from .common import row_key, stored, table
+from .common import arrow_map, row_key, stored, table
 from .suffix_array_dedup import count_windows
 
 WINDOW = 50
@@ -27,7 +27,7 @@ GRAM = 8
 #: Contexts of one key that one automaton takes; keys with more are counted window by window.
 HOT_CONTEXTS = 400
 #: Different words a task remembers the hashes of.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 200_000
 
 
 class WordHashes(dict):
@@ -153,7 +153,7 @@ def search_shards(bodies: DataFrame, window: int) -> DataFrame:
         if out:
             yield batch_of()
 
-    return bodies.repartition("key").sortWithinPartitions("key").select("key", "ctx", "dmin", "body").mapInArrow(run, "key long, ctx long, a long, b long")
+    return arrow_map(bodies.repartition("key").sortWithinPartitions("key").select("key", "ctx", "dmin", "body"), run, "key long, ctx long, a long, b long")
 
 
 def earlier_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
@@ -216,7 +216,7 @@ def suffix_automaton_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GR
                     ["rid", "doc_id", "n_words", "n_removed", "spans", "kept"],
                 )
 
-    return joined.mapInArrow(run, "rid binary, doc_id long, n_words long, n_removed long, spans array<struct<a:long,b:long>>, kept string")
+    return arrow_map(joined, run, "rid binary, doc_id long, n_words long, n_removed long, spans array<struct<a:long,b:long>>, kept string")
 
 
 def op7_suffix_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
