@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, table
+from .common import arrow_map, row_key, table
 
 #: Hashed features.
 SPACE = 1 << 18
 #: Bounds of the training sample, in rows: confirmed positives, unlabelled texts.
-POSITIVES = 3000
-UNLABELLED = 9000
+POSITIVES = 2000
+UNLABELLED = 6000
 #: Features that get a weight.
 TELLING = 4096
 #: Score from which a text counts as toxic.
@@ -65,7 +65,7 @@ def with_features(docs: DataFrame) -> DataFrame:
             flat = np.concatenate(values) if values else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))], ["positive", "features"])
 
-    return docs.select("positive", "text").mapInArrow(run, "positive boolean, features array<int>")
+    return arrow_map(docs.select("positive", "text"), run, "positive boolean, features array<int>")
 
 
 def bounded(rows: DataFrame, bound: int, seed: int) -> DataFrame:
@@ -79,15 +79,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], most: int = TELLING, space: int = SPACE) -> np.ndarray:
-    """Features clearly more frequent among the positives than among the unlabelled, the clearest `most` of them."""
-    p, u = (np.bincount(np.concatenate(rows), minlength=space) for rows in (positive, unlabelled))
-    np_, nu = len(positive), len(unlabelled)
-    share = (u + p + 0.5) / (np_ + nu + 1)
-    z = (p / np_ - u / nu) / np.sqrt(share * (1 - share) * (1 / np_ + 1 / nu))
-    z[p < 2] = 0
+def telling(positive: np.ndarray, unlabelled: np.ndarray, n: tuple[int, int], most: int = TELLING) -> np.ndarray:
+    """Features clearly more frequent among n[0] positives than among n[1] unlabelled texts, the clearest `most`.
+
+    positive, unlabelled: how many texts have each feature.
+    """
+    share = (positive + unlabelled + 0.5) / (n[0] + n[1] + 1)
+    z = (positive / n[0] - unlabelled / n[1]) / np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]))
+    z[positive < 2] = 0
     best = np.argsort(-z, kind="stable")[:most]
-    return np.sort(best[z[best] >= 4.5]).astype(np.int32)
+    return np.sort(best[z[best] >= 4.5])
 
 
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, space: int = SPACE, epochs: int = 40, batch: int = 256, rate: float = 0.03, decay: float = 1e-4, seed: int = 7) -> np.ndarray:
@@ -139,16 +140,26 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     marked = labels.filter("toxic is not null").select("doc_id").distinct()
     other = bounded(texts.join(marked, "doc_id", "left_anti"), unlabelled, 2).withColumn("positive", F.lit(False))
     rows = with_features(confirmed.select("positive", "text").unionAll(other.select("positive", "text"))).toArrow()
-    sides = {True: [], False: []}
-    for p, f in zip(rows["positive"].to_pylist(), rows["features"], strict=True):
-        sides[p].append(f.values.to_numpy())
-    if not sides[True] or not sides[False]:
+    counts, n = {True: np.zeros(SPACE, np.int64), False: np.zeros(SPACE, np.int64)}, {True: 0, False: 0}
+    parts = rows.to_batches(max_chunksize=128)
+    for part in parts:  # a part at a time, so that the driver holds the sample once
+        for p, f in zip(part["positive"].to_pylist(), part["features"], strict=True):
+            counts[p][f.values.to_numpy()] += 1
+            n[p] += 1
+    if not n[True] or not n[False]:
         w = np.zeros(SPACE + 1, np.float32)
         w[-1] = np.log(0.5 * prior / (1 - 0.5 * prior))
         return w
     keep = np.zeros(SPACE, bool)
-    keep[telling(sides[True], sides[False])] = True
-    return fit_nnpu(*([x[keep[x]] for x in sides[side]] for side in (True, False)), prior)
+    keep[telling(counts[True], counts[False], (n[True], n[False]))] = True
+    sides: dict[bool, list[np.ndarray]] = {True: [], False: []}
+    for part in parts:
+        for p, f in zip(part["positive"].to_pylist(), part["features"], strict=True):
+            x = f.values.to_numpy()
+            sides[p].append(x[keep[x]])
+    del rows, parts, part, f, x
+    pa.default_memory_pool().release_unused()
+    return fit_nnpu(sides[True], sides[False], prior)
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -165,7 +176,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             values = [float(sigmoid(np.float64(w[features_of(t, known)].sum(dtype=np.float64) + w[-1]))) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, f"{schema}, {name} double")
+    return arrow_map(docs, run, f"{schema}, {name} double")
 
 
 def pu_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
