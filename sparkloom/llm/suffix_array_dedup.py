@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import CHUNK, Ranges, anchor_table, collapse, contexts, flagged_spans, live, merged, mix, powers, runs
-from .common import row_key, stored, table
+from .common import arrow_map, row_key, stored, table
 
 WINDOW = 200
 GRAM = 32
@@ -45,30 +45,53 @@ def words_at(text: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def sort_directly(words: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
-    """places ordered by their suffixes' first `depth` bytes; ties keep the order of their places."""
+class Prefixes:
+    """Lengths of common prefixes of places of a text, `depth` at most, by hashes of ranges and halving."""
+
+    def __init__(self, text: np.ndarray, depth: int):
+        padded = np.concatenate([text, np.zeros(depth + 1, np.uint8)])
+        power, self.inverse = powers(len(padded) + 1)
+        self.sums = np.zeros(len(padded) + 1, np.uint64)
+        np.cumsum(byte_symbols()(padded) * power[: len(padded)], out=self.sums[1:])
+        self.depth = depth
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        low, high = np.zeros(len(a), np.int64), np.full(len(a), self.depth)
+        sums, scale_a, scale_b, base_a, base_b = self.sums, self.inverse[a], self.inverse[b], self.sums[a], self.sums[b]
+        for _ in range(int(self.depth).bit_length()):
+            mid = (low + high + 1) >> 1
+            same = (sums[a + mid] - base_a) * scale_a == (sums[b + mid] - base_b) * scale_b
+            low, high = np.where(same, mid, low), np.where(same, high, np.maximum(mid - 1, low))
+        return low
+
+
+def sort_directly(words: np.ndarray, prefixes: Prefixes, places: np.ndarray, depth: int) -> np.ndarray:
+    """places ordered by their suffixes' first `depth` bytes.
+
+    Tied places are ordered by the word behind what their whole group has in common, so equal stretches cost no rounds.
+    """
     order = places[np.argsort(words[places], kind="stable")]
     value = words[order]
-    same = value[1:] == value[:-1]
-    for k in range(8, depth, 8):
-        tied = np.r_[same, False] | np.r_[False, same]
-        if not tied.any():
-            break
-        at = np.flatnonzero(tied)
-        group = np.cumsum(np.r_[True, ~same])[at]
-        value = words[order[at] + k]
+    same = np.r_[value[1:] == value[:-1], False]  # tied with the next one
+    while same.any():
+        at = np.flatnonzero(same | np.r_[False, same[:-1]])
+        head = np.flatnonzero(np.r_[True, ~same[at[1:] - 1]])
+        size = np.diff(np.r_[head, len(at)])
+        place = order[at]
+        shared = np.minimum.reduceat(prefixes.common(place, np.repeat(place[head], size)), head)
+        group = np.repeat(np.arange(len(head)), size)
+        going = np.repeat(shared < depth, size)
+        same[at] = False  # settled, unless the next word ties again
+        at, place, group = at[going], place[going], group[going]
+        value = words[place + shared[group]]
         by = np.lexsort((value, group))
-        order[at] = order[at][by]
-        group, value = group[by], value[by]
-        still = np.zeros(len(order) - 1, bool)
-        inside = (at[1:] == at[:-1] + 1) & (group[1:] == group[:-1]) & (value[1:] == value[:-1])
-        still[at[:-1]] = inside
-        same = same & still
+        order[at], value, group = place[by], value[by], group[by]
+        same[at[:-1]] = (group[1:] == group[:-1]) & (value[1:] == value[:-1])
     return order
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """The suffix array of text to a depth of `depth` bytes, by two-stage sorting.
+def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The order of the suffixes of text (of the wanted ones and those that induce them) to `depth` bytes, two-stage.
 
     A suffix is small if it precedes its successor. Small suffixes are sorted directly and close their byte's bucket;
     a scan over the buckets in order puts each other suffix, when its successor is met, at its bucket's front.
@@ -80,29 +103,33 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     rising = np.r_[text[1:] > text[:-1], False]  # the last suffix is followed by the empty one, which is smaller
     following = np.flatnonzero(differ)
     small = rising[following[np.searchsorted(following, np.arange(n))]]
-    count = np.bincount(text, minlength=256)
+    kept = np.ones(n, bool) if wanted is None else wanted.copy()
+    while True:  # a large suffix needs its successor
+        more = np.flatnonzero(kept[:-1] & ~small[:-1] & ~kept[1:]) + 1
+        if not len(more):
+            break
+        kept[more] = True
+    count = np.bincount(text[kept], minlength=256)
     end = np.cumsum(count)
     front = end - count
-    out = np.full(n, -1, np.int64)
-    direct = sort_directly(words_at(text, depth), np.flatnonzero(small), depth)
+    out = np.full(int(end[-1]), -1, np.int64)
+    direct = sort_directly(words_at(text, depth), Prefixes(text, depth + 8), np.flatnonzero(small & kept), depth)
     owned = np.bincount(text[direct], minlength=256)
     begin = np.r_[0, np.cumsum(owned)]
     for c in range(256):
         out[end[c] - owned[c] : end[c]] = direct[begin[c] : begin[c + 1]]
 
     def induce(met):
-        """Puts the large predecessors of met at their buckets' fronts; gives those of the bucket at hand."""
+        """Puts the large predecessors of met at their buckets' fronts."""
         before = met[met > 0] - 1
-        before = before[~small[before]]
+        before = before[kept[before] & ~small[before]]
         first = text[before]
         by = np.argsort(first, kind="stable")
         before, first = before[by], first[by]
         had = np.bincount(first, minlength=256)
         start = np.r_[0, np.cumsum(had)]
-        place = front[first] + np.arange(len(first)) - start[first]
-        out[place] = before
+        out[front[first] + np.arange(len(first)) - start[first]] = before
         front[:] += had
-        return place
 
     induce(np.array([n]))  # the empty suffix comes first
     for c in np.flatnonzero(count):
@@ -116,41 +143,26 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """Length of the common prefix of each suffix with the one before it, `depth` at most; separators end it."""
-    words = words_at(text, depth)
-    padded = np.concatenate([text, np.full(depth + 16, SEPARATOR, np.uint8)])
-    stops = np.flatnonzero(padded == SEPARATOR)
+    stops = np.r_[np.flatnonzero(text == SEPARATOR), len(text)]
     room = stops[np.searchsorted(stops, order)] - order
     room = np.minimum(np.minimum(room, np.r_[0, room[:-1]]), depth)
     out = np.zeros(len(order), np.int64)
     going = np.flatnonzero(room > 0)
-    for k in range(0, depth, 8):
-        if not len(going):
-            break
-        x = words[order[going] + k] ^ words[order[going - 1] + k]
-        equal = x == 0
-        out[going[equal]] = k + 8
-        odd = going[~equal]
-        bytes_equal = np.zeros(len(odd), np.int64)
-        left = x[~equal]
-        for b in range(1, 8):
-            bytes_equal += (left >> np.uint64(64 - 8 * b)) == 0
-        out[odd] = k + bytes_equal
-        going = going[equal]
+    out[going] = Prefixes(text, depth).common(order[going], order[going - 1])
     return np.minimum(out, room)
 
 
 def repeated_windows(bodies: list[bytes], window: int) -> list[np.ndarray]:
     """For each body, which of its windows start anywhere else in the bodies, itself included."""
     text = np.frombuffer(b"\xff".join(bodies) + b"\xff", np.uint8)
-    order = suffix_array(text, window)
+    sizes = np.array([len(b) + 1 for b in bodies])
+    begins = np.cumsum(sizes) - sizes
+    wanted = np.arange(len(text)) - np.repeat(begins, sizes) < np.repeat(np.maximum(sizes - window, 0), sizes)
+    order = suffix_array(text, window, wanted)
     hit = common_prefixes(text, order, window) >= window
     twice = np.zeros(len(text), bool)
     twice[order[hit | np.r_[hit[1:], False]]] = True
-    out, at = [], 0
-    for b in bodies:
-        out.append(twice[at : at + max(0, len(b) - window + 1)])
-        at += len(b) + 1
-    return out
+    return [twice[a : a + max(0, n - window)] for a, n in zip(begins, sizes, strict=True)]
 
 
 def keep_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -183,7 +195,7 @@ def search_keys(reps: DataFrame, window: int) -> DataFrame:
         if rows:
             yield flush()
 
-    return reps.repartition("key").sortWithinPartitions("key").select("key", "ctx", "n", "body").mapInArrow(run, "key long, ctx long, a long, b long")
+    return arrow_map(reps.repartition("key").sortWithinPartitions("key").select("key", "ctx", "n", "body"), run, "key long, ctx long, a long, b long")
 
 
 def count_windows(reps: DataFrame, window: int, symbols_of) -> DataFrame:
@@ -198,7 +210,7 @@ def count_windows(reps: DataFrame, window: int, symbols_of) -> DataFrame:
                 h = [Ranges(s, power).of(start, start + window).view(np.int64) for s in (symbols, mix(symbols ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(start), v, np.int64)) for v in (key, ctx, n, dmin)), pa.array(start), *map(pa.array, h)], ["key", "ctx", "n", "dmin", "at", "h1", "h2"])
 
-    return reps.select("key", "ctx", "n", "dmin", "body").mapInArrow(run, "key long, ctx long, n long, dmin long, at long, h1 long, h2 long")
+    return arrow_map(reps.select("key", "ctx", "n", "dmin", "body"), run, "key long, ctx long, n long, dmin long, at long, h1 long, h2 long")
 
 
 def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
@@ -244,7 +256,7 @@ def suffix_array_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
                     ["doc_id", "n_bytes", "spans", "kept"],
                 )
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<a:long,b:long>>, kept binary")
+    return arrow_map(joined, run, "doc_id long, n_bytes long, spans array<struct<a:long,b:long>>, kept binary")
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
