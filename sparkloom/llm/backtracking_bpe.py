@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import arrow_map, kept_in_worker, table
 
 #: Entries that a task keeps of words and of pairs before it starts anew.
 CACHED = 400_000
@@ -34,16 +34,22 @@ def byte_letters() -> list[str]:
     return [chr(b if b in shown else next(free)) for b in range(256)]
 
 
+def vocabulary_file(path: str | None) -> dict:
+    """The vocabulary as the tokenizers library stores it; None: the public one of words with ends."""
+    import public_tokenizers
+
+    with open(path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return json.load(f)
+
+
 class BacktrackingBPE:
     """The tokenizer of a vocabulary file of words with ends (lower case, white space dropped)."""
 
     def __init__(self, path: str | None = None):
         import ahocorasick
-        import public_tokenizers
         import regex
 
-        with open(path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
-            file = json.load(f)
+        file = vocabulary_file(path)
         self.special = {x["content"]: x["id"] for x in file["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.words = regex.compile(PATTERN)
@@ -68,10 +74,6 @@ class BacktrackingBPE:
         self.halves: dict[str, tuple[str, str]] = {}
         self.prefixes: dict[str, int] = {}
         self.known: dict[str, list[int]] = {}
-        names = {i: t for t, i in [*vocab.items(), *self.special.items()]}
-        texts = [names.get(i, "").encode() for i in range(max(names) + 1)]
-        self.offsets = np.r_[0, np.cumsum([len(t) + 1 for t in texts])]
-        self.blob = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain merging of a few symbols by rank: what compatibility means."""
@@ -201,6 +203,17 @@ class BacktrackingBPE:
                 out += ids
         return out
 
+
+class OffsetTable:
+    """All tokens of a vocabulary file, each followed by a space, in one string, and where each begins."""
+
+    def __init__(self, path: str | None = None):
+        file = vocabulary_file(path)
+        names = {i: t for t, i in file["model"]["vocab"].items()} | {x["id"]: x["content"] for x in file["added_tokens"]}
+        texts = [names.get(i, "").encode() for i in range(max(names) + 1)]
+        self.offsets = np.r_[0, np.cumsum([len(t) + 1 for t in texts])]
+        self.blob = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The tokens of ids, joined by one space, gathered from the offset table."""
         if not len(ids):
@@ -219,7 +232,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
 
     def run(batches):
-        bpe = BacktrackingBPE(path)
+        bpe = kept_in_worker(f"bpe {path}", lambda: BacktrackingBPE(path))
         for batch in batches:
             doc, text = batch.column("doc_id"), batch.column("text")
             begin, values, held = 0, [], 0
@@ -238,21 +251,21 @@ def bpe_encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             if values:
                 yield flush(batch.num_rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """encoded(doc_id, ids) with decoded: the tokens joined by one space, special ones too; null ids decode to ''."""
 
     def run(batches):
-        bpe = BacktrackingBPE(path)
+        tokens = kept_in_worker(f"tokens {path}", lambda: OffsetTable(path))
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
-                texts = [bpe.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid and len(x.values) else b"" for x in part.column("ids")]
+                texts = [tokens.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid and len(x.values) else b"" for x in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return arrow_map(encoded.select("doc_id", "ids"), run, "doc_id long, ids array<int>, decoded string")
 
 
 def op3_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
