@@ -5,9 +5,10 @@ wildcard. Within a leaf, a later token stays if it stands at its place in enough
 wildcard, so variable fields generalise whether they hold digits or not. What results is the line's template. Templates
 with mostly fixed tokens that recur in enough different texts are boilerplate, and their lines are dropped.
 
-Texts are counted once however many documents hold them, and a document most of whose tokens stand in recurring lines
-is a copy as a whole: it stays as it is, for the near-duplicate step to judge. Otherwise a large group of copies would
-make all its lines recurring and lose them everywhere.
+Texts are counted once however many documents hold them. op2 leaves a document alone if most of its tokens stand in
+recurring lines. The pipeline's stage removes recurring lines in every document, but each template's lines stay in one
+text, so a large group of near copies doesn't lose its lines everywhere; lines of one or two tokens are judged there
+too, on their exact tokens.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from .common import row_key, stored, table
 DEPTH = 4
 #: Different texts in which a leaf, a token at its place and a template must stand.
 MIN_TEXTS = 10
-#: Lines with fewer tokens always stay.
+#: Lines with fewer tokens always stay in op2; the pipeline's stage judges them on their exact tokens.
 MIN_TOKENS = 3
 #: Share of a template's tokens that must be fixed.
 MIN_FIXED = 0.6
-#: A document with a larger share of its tokens in recurring lines stays as it is.
+#: In op2 a document with a larger share of its tokens in recurring lines stays as it is.
 MAX_SHARE = 0.5
 #: Rows up to which the list of live leaves is broadcast; beyond, it is joined by shuffle.
 BROADCAST_LEAVES = 100_000
@@ -42,23 +43,27 @@ def masked(token: Column) -> Column:
 
 
 def leaf_of(tokens: Column) -> Column:
-    """Token count and leading tokens."""
-    return F.concat_ws(" ", F.size(tokens).cast("string"), F.transform(F.slice(tokens, 1, DEPTH), masked))
+    """Token count and leading tokens; short lines' tokens as they are."""
+    leading = F.transform(F.slice(tokens, 1, DEPTH), lambda x: F.when(F.size(tokens) < MIN_TOKENS, x).otherwise(masked(x)))
+    return F.concat_ws(" ", F.size(tokens).cast("string"), leading)
 
 
-def lines_of(docs: DataFrame, *keep: str) -> DataFrame:
-    """keep, at (line number), tokens of the lines that can be templates."""
+def lines_of(docs: DataFrame, *keep: str, least: int = MIN_TOKENS) -> DataFrame:
+    """keep, at (line number), tokens of the lines that can be templates: those of `least` tokens or more."""
     lines = docs.select(*keep, F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return lines.select(*keep, "at", tokens_of(F.col("line")).alias("tokens")).filter(F.size("tokens") >= MIN_TOKENS)
+    return lines.select(*keep, "at", tokens_of(F.col("line")).alias("tokens")).filter(F.size("tokens") >= least)
 
 
-def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """rid, at, template, size (tokens) of the lines of docs(rid, text) whose template recurs in enough texts."""
+def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, least: int = MIN_TOKENS) -> DataFrame:
+    """rid, at, template, size (tokens), spare of the lines of docs(rid, text) whose template recurs in enough texts.
+
+    spare: whether the line is in another text than the one, by the smallest hash, that keeps its template's lines.
+    """
     source = docs.select("rid", F.xxhash64("text").alias("body"), "text")
-    leaves = lines_of(source, "body").select("body", F.xxhash64(leaf_of(F.col("tokens"))).alias("leaf"))
+    leaves = lines_of(source, "body", least=least).select("body", F.xxhash64(leaf_of(F.col("tokens"))).alias("leaf"))
     live = stored(leaves.distinct().groupBy("leaf").count().filter(F.col("count") >= min_texts).select("leaf"))
     few = live.count() <= BROADCAST_LEAVES
-    lines = lines_of(source, "rid", "body").withColumn("leaf", F.xxhash64(leaf_of(F.col("tokens"))))
+    lines = lines_of(source, "rid", "body", least=least).withColumn("leaf", F.xxhash64(leaf_of(F.col("tokens"))))
     lines = stored(lines.join(F.broadcast(live) if few else live, "leaf"))
     places = lines.select("leaf", "body", F.posexplode("tokens").alias("place", "token")).filter(F.col("place") >= DEPTH)
     fixed = places.select("leaf", "place", "body", masked(F.col("token")).alias("token")).filter(F.col("token") != WILDCARD).distinct()
@@ -67,12 +72,12 @@ def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     fixed = fixed.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("place", "tokens"))).alias("fixed"))
     known = lines.join(fixed, "leaf", "left")
     stays = lambda x, i: F.coalesce(F.array_contains(F.try_element_at("fixed", i), x), F.lit(False))
-    template = F.transform("tokens", lambda x, i: F.when(i < DEPTH, masked(x)).when(stays(x, i), x).otherwise(F.lit(WILDCARD)))
+    template = F.transform("tokens", lambda x, i: F.when(F.size("tokens") < MIN_TOKENS, x).when(i < DEPTH, masked(x)).when(stays(x, i), x).otherwise(F.lit(WILDCARD)))
     shaped = known.select("rid", "body", "at", F.size("tokens").alias("size"), template.alias("shape"))
-    steady = shaped.filter(F.size(F.filter("shape", lambda x: x != WILDCARD)) >= MIN_FIXED * F.col("size"))
+    steady = shaped.filter((F.col("size") < MIN_TOKENS) | (F.size(F.filter("shape", lambda x: x != WILDCARD)) >= MIN_FIXED * F.col("size")))
     steady = stored(steady.select("rid", "body", "at", "size", F.array_join("shape", " ").alias("template")))
-    often = steady.select("body", "template").distinct().groupBy("template").count().filter(F.col("count") >= min_texts).select("template")
-    return steady.join(often, "template").select("rid", "at", "template", "size")
+    often = steady.select("body", "template").distinct().groupBy("template").agg(F.count("*").alias("texts"), F.min("body").alias("keeper")).filter(F.col("texts") >= min_texts)
+    return steady.join(often.select("template", "keeper"), "template").select("rid", "at", "template", "size", (F.col("body") != F.col("keeper")).alias("spare"))
 
 
 def template_dedup(docs: DataFrame, min_texts: int = MIN_TEXTS, max_share: float = MAX_SHARE) -> DataFrame:
@@ -104,12 +109,18 @@ def op2_template_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the same documents without their recurring lines."""
+    """Pipeline stage: the same documents without their recurring lines, but one text keeps those of each template.
+
+    Every document is treated so, whatever share of it recurs; a text that only repeats others' lines becomes empty.
+    Lines of one or two tokens recur by their exact tokens; lines without tokens stay.
+    """
     keyed = docs.withColumn("__rid", row_key())
-    out = template_dedup(docs).filter("n_removed > 0").select(F.col("rid").alias("__rid"), F.col("kept").alias("__kept")).dropDuplicates(["__rid"])
-    done = keyed.join(out, "__rid", "left").withColumn("text", F.coalesce("__kept", "text"))
+    found = recurring_lines(keyed.select(F.col("__rid").alias("rid"), "text"), least=1).filter("spare")
+    found = found.groupBy(F.col("rid").alias("__rid")).agg(F.collect_set("at").alias("__lines"))
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__lines", i)), "\n")
+    done = keyed.join(found, "__rid", "left").withColumn("text", F.when(F.col("__lines").isNull(), F.col("text")).otherwise(left))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("__kept").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        done = done.withColumn("n_chars", F.when(F.col("__lines").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)
 
 

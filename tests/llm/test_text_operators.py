@@ -183,3 +183,12 @@ def test_line_dedup_leaves_copies_alone(spark):
     df = spark.createDataFrame([(i, text) for i in range(30)], "doc_id long, text string")
     assert {r.n_removed for r in template_dedup.template_dedup(df).collect()} == {0}
     assert template_dedup.line_stage(spark, df.limit(0), "").count() == 0
+
+
+def test_line_stage_removes_frames_that_outweigh_the_text(spark):
+    frame = "home news sport weather and more about us\nall rights reserved by the owners of this page today\nRead more"
+    rows = [(i, f"{frame}\nown words {chr(97 + i)}") for i in range(15)] + [(50, None), (51, ""), (52, "a\n\nb")]
+    out = {r.doc_id: r for r in template_dedup.line_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert sum(out[i].text == f"own words {chr(97 + i)}" for i in range(15)) == 14
+    assert sum(out[i].text == rows[i][1] for i in range(15)) == 1  # one text keeps the frame
+    assert out[50].text is None and out[51].text == "" and out[52].text == "a\n\nb"
