@@ -263,16 +263,8 @@ def cross_links(groups: DataFrame, classes: DataFrame, docs: DataFrame, shingle:
     return stored(compared(likely.join(sets.select("cls", F.col("full").alias("sketch")), "cls"), threshold, links=True))
 
 
-def bottom_k_dedup(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGLE, k: int = K) -> DataFrame:
-    """One row per row of docs(doc_id, text): rid, doc_id, n_shingles, component_id, kept.
-
-    Texts are lower-cased in A-Z and cut into words at space and \\x09-\\x0D. Rows whose sets of `shingle`-word
-    shingles have a Jaccard similarity of `threshold` or more are linked; component_id is the smallest doc_id reachable.
-    Fewer words than `shingle` count as one shingle; null, empty and blank texts have none and link with nothing, so
-    they are their own component. Rows with equal sets always link, repeated rows too. A row with a null doc_id links
-    like any other but never names a component while another can; where all ids are null, component_id is null and
-    the rows are kept. kept: doc_id equals component_id. Other columns of docs are ignored.
-    """
+def grouped(docs: DataFrame, threshold: float, shingle: int = SHINGLE, k: int = K) -> DataFrame:
+    """rid, doc_id, n, component (null for texts without words), component_id of every row of docs(doc_id, text)."""
     rows = docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("rid", row_key())
     full = stored(hashed_sets(rows, shingle, k))
     classes = stored(full.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(F.struct("rid", "n", "sketch")).alias("one")).select("cls", "least", "one.*"))
@@ -290,8 +282,22 @@ def bottom_k_dedup(docs: DataFrame, threshold: float = 0.8, shingle: int = SHING
     groups = components(groups.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionAll(more))
     named = classes.select("cls", "least").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = named.join(least, "component").select("cls", "component_id")
+    found = named.join(least, "component").select("cls", "component", "component_id")
     out = sketched.select("rid", "doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(found, "cls", "left")
+    return out.select("rid", "doc_id", "n", "component", "component_id")
+
+
+def bottom_k_dedup(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGLE, k: int = K) -> DataFrame:
+    """One row per row of docs(doc_id, text): rid, doc_id, n_shingles, component_id, kept.
+
+    Texts are lower-cased in A-Z and cut into words at space and \\x09-\\x0D. Rows whose sets of `shingle`-word
+    shingles have a Jaccard similarity of `threshold` or more are linked; component_id is the smallest doc_id reachable.
+    Fewer words than `shingle` count as one shingle; null, empty and blank texts have none and link with nothing, so
+    they are their own component. Rows with equal sets always link, repeated rows too. A row with a null doc_id links
+    like any other but never names a component while another can; where all ids are null, component_id is null and
+    the rows are kept. kept: doc_id equals component_id. Other columns of docs are ignored.
+    """
+    out = grouped(docs, threshold, shingle, k)
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
@@ -302,10 +308,18 @@ def op10_bottom_k_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays, the one with the smallest id; of repeated rows, one stays."""
-    keyed = docs.withColumn("__rid", row_key())
-    gone = bottom_k_dedup(docs).filter("not kept").select(F.col("rid").alias("__rid")).distinct()
-    return keyed.join(gone, "__rid", "left_anti").select(*docs.columns)
+    """Pipeline stage: one row of each group stays, one with the smallest id; rows without words all stay.
+
+    Of rows equal in id and text one stays; where all ids of a group are null, one of its rows stays too.
+    """
+    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__rid", row_key("__id"))
+    worded = stored(grouped(docs, 0.8).filter("n > 0").groupBy(F.col("rid").alias("__rid")).agg(F.min("doc_id").alias("doc_id"), F.min("component").alias("component"), F.count("*").alias("copies")))
+    first = worded.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__rid"))["__rid"].alias("first"))
+    gone = worded.join(first, "component").select("__rid", (F.col("__rid") != F.col("first")).alias("gone"), "copies")
+    gone = stored(gone.filter("gone or copies > 1"))
+    once = keyed.join(gone, "__rid", "left_anti")
+    again = keyed.join(gone.filter("not gone"), "__rid", "left_semi").dropDuplicates(["__rid"])
+    return once.unionAll(again).select(*docs.columns)
 
 
 def brute_force(rows: list[tuple[int, str | None]], threshold: float, shingle: int = SHINGLE) -> dict[int, tuple[int, int, bool]]:

@@ -91,3 +91,16 @@ def test_substring_stage_keeps_columns_and_clean_rows(spark):
     assert got[1].text == long + " tail" and got[2].text == "head" and got[3].text == "clean   text" and got[4].text is None
     assert got[2].n_chars == 4 and got[3].n_chars == 5
     assert automaton.substring_stage(spark, df.limit(0), "").count() == 0
+
+
+def test_near_stage_on_repeated_rows_shared_and_null_ids(spark):
+    rows = [(1, "a b c d e f g")] * 3 + [(2, "h i j k l m n"), (2, "H i j k l m n")] + [(None, "o p q r s t"), (None, "O p q r s t"), (None, "o p q r s t")]
+    rows += [(7, "u v w x y z"), (None, "u v w x y z")] + [(8, " "), (8, " "), (None, None), (None, "")]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id int, text string, source string")
+    out = near.near_duplicate_stage(spark, df, "")
+    assert out.schema == df.schema
+    got = [(r.doc_id, (r.text or "").lower()) for r in out.collect()]
+    words = sorted((str(d), t) for d, t in got if t.strip())
+    assert words == [("1", "a b c d e f g"), ("2", "h i j k l m n"), ("7", "u v w x y z"), ("None", "o p q r s t")]
+    assert len(got) == 8  # rows without words all stay
+    assert near.near_duplicate_stage(spark, df.limit(0), "").count() == 0
