@@ -11,7 +11,9 @@ partner, not pairs. Every link is verified by the exact Jaccard similarity of th
 
 Misses: a pair at the threshold 0.85 shares about 77 of 126 runs, 13 of them kept; that none is kept has a probability
 of about (5/6)^77 or 1e-6 (1e-5 at 0.8), and the estimate rejects such a pair with less, at five standard deviations.
-All runs of sets with up to SMALL shingles are kept, and their similarity is exact from the start, so those are not missed.
+All runs of sets with up to SMALL shingles are kept, and their similarity is exact from the start. Sets so small that
+one value between them may leave no three in a row (4 and 5 shingles at 0.8) also key lists by runs of two. So pairs of
+sets with up to SMALL shingles are not missed at thresholds over 2/3.
 """
 
 from __future__ import annotations
@@ -89,22 +91,38 @@ def hashed_sets(docs: DataFrame, shingle: int, k: int | None) -> DataFrame:
     return arrow_map(docs.select("rid", "doc_id", "text"), run, SKETCH_SCHEMA)
 
 
-def inverted(classes: DataFrame) -> DataFrame:
+def ratio(threshold: float) -> tuple[int, int]:
+    """The threshold as a fraction of whole numbers, so that it is compared exactly."""
+    f = Fraction(str(threshold))
+    return f.numerator, f.denominator
+
+
+def shortest(threshold: float) -> int:
+    """Shingles up to which similar sets may share values and yet no run of three in a row, or 0.
+
+    With d values in one set only and i in both, d + 1 stretches share the i; none holds three if i <= 2 * (d + 1), and
+    i >= d * t / (1 - t). So d <= 2 * (1 - t) / (3 * t - 2), and no set is larger than i + d. Two in a row always remain.
+    """
+    num, den = ratio(threshold)
+    if 3 * num <= 2 * den:
+        return SMALL
+    d = 2 * (den - num) // (3 * num - 2 * den)
+    return min(SMALL, 3 * d + 2) if d else 0
+
+
+def inverted(classes: DataFrame, threshold: float) -> DataFrame:
     """key, cls, n of the runs of retained values that key a list.
 
     Small sets keep all their runs, larger ones those whose hash is divisible by 3 or by 6: nested choices, so that
-    sets of different sizes meet in the runs that the larger one keeps.
+    sets of different sizes meet in the runs that the larger one keeps. The shortest sets add their runs of two.
     """
-    run = F.transform(F.sequence(F.lit(0), F.size("sketch") - RUN), lambda i: F.xxhash64(*[F.col("sketch")[i + j] for j in range(RUN)]))
+    runs = lambda r: F.transform(F.sequence(F.lit(0), F.size("sketch") - r), lambda i: F.xxhash64(*[F.col("sketch")[i + j] for j in range(r)]))
+    few = shortest(threshold)
     part = F.when(F.col("n") <= SMALL, 1).when(F.col("n") <= MIDDLE, 3).otherwise(6)
-    kept = F.filter(run, lambda x: F.pmod(x, part) == 0)
-    return classes.filter(F.size("sketch") >= RUN).select(F.explode(kept).alias("key"), "cls", "n")
-
-
-def ratio(threshold: float) -> tuple[int, int]:
-    """The threshold as a fraction of whole numbers, so that it is compared exactly."""
-    f = Fraction(str(threshold))
-    return f.numerator, f.denominator
+    kept = F.filter(runs(RUN), lambda x: F.pmod(x, part) == 0)
+    if few:
+        kept = F.when(F.col("n") > few, kept).when(F.size("sketch") >= RUN, F.concat(kept, runs(RUN - 1))).otherwise(runs(RUN - 1))
+    return classes.filter(F.size("sketch") >= (RUN - 1 if few else RUN)).select(F.explode(kept).alias("key"), "cls", "n")
 
 
 def full_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
@@ -270,7 +288,7 @@ def grouped(docs: DataFrame, threshold: float, shingle: int = SHINGLE, k: int =
     classes = stored(full.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min(F.struct("rid", "n", "sketch")).alias("one")).select("cls", "least", "one.*"))
     sketched = stored(full.drop("sketch"))
     discard(full)
-    lists = inverted(classes)
+    lists = inverted(classes, threshold)
     hubs = lists.groupBy("key").agg(F.min("cls").alias("a"), F.count("*").alias("c")).filter("c > 1").select("key", "a")
     shared = stored(lists.join(hubs, "key").select("a", "cls", "n").distinct())
     near = shared.filter("a <> cls").select("a", F.col("cls").alias("b"))

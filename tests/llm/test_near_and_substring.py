@@ -104,3 +104,15 @@ def test_near_stage_on_repeated_rows_shared_and_null_ids(spark):
     assert words == [("1", "a b c d e f g"), ("2", "h i j k l m n"), ("7", "u v w x y z"), ("None", "o p q r s t")]
     assert len(got) == 8  # rows without words all stay
     assert near.near_duplicate_stage(spark, df.limit(0), "").count() == 0
+
+
+def test_small_sets_are_not_missed(spark):
+    rng = random.Random(8)
+    rows = []
+    for n in range(5, 14):
+        for i in range(12):
+            words = [f"x{rng.randrange(10**6)}" for _ in range(n)]
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words, "end"]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near.bottom_k_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 0.8).collect()}
+    assert got == near.brute_force(rows, 0.8)
+    assert near.shortest(0.8) == 5 and near.shortest(0.85) == 0
