@@ -42,3 +42,16 @@ def test_pipeline(spark):
     kept = {r.doc_id for r in out.select("doc_id").distinct().collect()}
     assert 0.5 * docs.count() < len(kept) < docs.count()
     assert out.groupBy("sequence_id").agg({"length": "sum"}).filter("`sum(length)` > 2048").count() == 0
+
+
+def test_recall_in_few_dimensions():
+    rng = np.random.default_rng(7)
+    for dim in (8, 16, 24, 31):
+        x, z = caps.unit(rng.standard_normal((400, dim))), rng.standard_normal((400, dim))
+        z = caps.unit(z - (z * x).sum(axis=1, keepdims=True) * x)
+        y = 0.951 * x + np.sqrt(1 - 0.951**2) * z
+        shared = np.zeros(len(x), int)
+        for k in range(caps.CODES):
+            code = caps.ProductCode(dim, seed=caps.SEED + k)
+            shared += [len(np.intersect1d(a, b)) for a, b in zip(code.decode(x, caps.HEIGHT), code.decode(y, caps.HEIGHT), strict=True)]
+        assert (shared > 0).all() and 25 <= shared.mean() <= 60
