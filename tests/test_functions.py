@@ -173,3 +173,12 @@ def test_audit_helpers(spark):
     tree = spark.createDataFrame([(0, 0, 1, 0.6, True), (0, 0, 2, 0.4, True), (1, 1, 3, 0.3, True), (1, 1, 4, 0.7, False), (2, 1, 5, 1.0, True)], "state long, depth int, child long, p double, supported boolean")
     out = audits.path_success(tree, 2).first()
     assert math.isclose(out.supported, 0.58) and out.greedy == 0.0
+
+
+def test_text_features_of_long_texts_and_null_lengths(spark, tmp_path):
+    from sparkloom.plans import texts
+
+    rows = [(1, "Some words! " * 100 + "http://x.y", 1210), (2, "Two Words", None), (3, "short", 5)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.slug, r.tokens, r.has_url) for r in texts.all_text_features(spark, str(tmp_path)).collect()}
+    assert got == {1: ("some_words_" * 100 + "http_x_y", 201, True), 2: ("two_words", 2, False), 3: ("short", 1, False)}
