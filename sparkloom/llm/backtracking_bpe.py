@@ -23,7 +23,13 @@ from .common import arrow_map, kept_in_worker, table
 CACHED = 400_000
 #: Unicode's White_Space, which the tokenizer drops.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^" + SPACE + "\\p{L}\\p{N}]+"
+# The letters and digits that Unicode 16, which the tokenizer goes by, has beyond Unicode 15.1.
+LETTERS_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+DIGITS_16 = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
 SUFFIX = "</w>"
 
 
@@ -34,6 +40,20 @@ def byte_letters() -> list[str]:
     return [chr(b if b in shown else next(free)) for b in range(256)]
 
 
+def members(kind: str, more: tuple[tuple[int, int], ...]) -> np.ndarray:
+    """For each character whether its category begins with kind or it is in more."""
+    inside = np.fromiter((unicodedata.category(chr(c))[0] == kind for c in range(0x110000)), bool, 0x110000)
+    for first, last in more:
+        inside[first : last + 1] = True
+    return inside
+
+
+def ranges_of(inside: np.ndarray) -> str:
+    """The same as the ranges of a regular expression's class."""
+    edges = np.flatnonzero(np.diff(np.r_[False, inside, False].astype(np.int8)))
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2).tolist())
+
+
 def vocabulary_file(path: str | None) -> dict:
     """The vocabulary as the tokenizers library stores it; None: the public one of words with ends."""
     import public_tokenizers
@@ -48,11 +68,24 @@ class BacktrackingBPE:
     def __init__(self, path: str | None = None):
         import ahocorasick
         import regex
+        from tokenizers import normalizers
 
         file = vocabulary_file(path)
         self.special = {x["content"]: x["id"] for x in file["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.words = regex.compile(PATTERN)
+        #: Beyond the Latin letters, composing, lower-casing and letters follow Unicode versions of their own. The second
+        #: pattern always holds; the first is the fast one for texts of characters that both take for the same.
+        self.beyond_latin = regex.compile("[\u0300-\U0010ffff]")
+        classes, every = (members("L", LETTERS_16), members("N", DIGITS_16)), "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+        differ = np.zeros(0x110000, bool)
+        for name, inside in zip("LN", classes, strict=True):
+            held = np.zeros(0x110000, bool)
+            held[[ord(c) for c in regex.findall(f"\\p{{{name}}}", every)]] = True
+            differ |= held ^ inside
+        pattern = "'s|'t|'re|'ve|'m|'ll|'d|[{0}]+|[{1}]|[^" + SPACE + "{0}{1}]+"
+        self.words, self.words_always = (regex.compile(pattern.format(*c)) for c in (("\\p{L}", "\\p{N}"), map(ranges_of, classes)))
+        self.disputed = regex.compile(f"[{ranges_of(differ)}]") if differ.any() else None
+        self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
         vocab, merges = file["model"]["vocab"], file["model"]["merges"]
@@ -193,8 +226,14 @@ class BacktrackingBPE:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for word in self.words.findall(part):
+            words = self.words
+            if self.beyond_latin.search(part):
+                part = self.normalizer.normalize_str(part)
+                if self.disputed and self.disputed.search(part):
+                    words = self.words_always
+            else:
+                part = part.lower()
+            for word in words.findall(part):
                 ids = self.known.get(word)
                 if ids is None:
                     if len(self.known) >= CACHED:

@@ -6,14 +6,17 @@ import sys
 import tempfile
 import types
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows in a batch that goes to a Python worker.
-BATCH_ROWS = 1000
+#: Rows and bytes in a batch that goes to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, "16m"
+#: Hot keys that a join may send to every task, at most.
+HOT_KEYS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,34 +24,74 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where the session names none (tests)."""
+    """The cluster's shared checkpoint folder. A temporary one stands in only in local runs that name none (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings (with _ for .) that hold inside the with statement only."""
+    before = {k: spark.conf.get(k, None) for k in (name.replace("_", ".") for name in values)}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name.replace("_", "."), value)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: cuts lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written as Parquet to the shared folder and read back: cuts lineage and survives lost executors.
 
+    The shuffle files of the job go when the table is complete, not whenever the driver collects its garbage.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    with settings(spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true"):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files behind a table from stored() that nothing will read again."""
-    jvm = df.sparkSession._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration() if hasattr(df.sparkSession, "_jsc") else df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files behind tables from stored() that nothing will read again."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
-    """df.mapInArrow with batches small enough that a few long texts, or many, don't fill a worker's memory."""
+    """df.mapInArrow with batches small enough that a few long texts, or many, don't fill a worker's memory.
+
+    Batches are cut when the plan runs, which may be after this function, so the two session settings stay.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(function, schema)
 
 
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, rows: int, spread, how: str = "inner", parts: int = 64) -> DataFrame:
+    """left joined with right, which has each key once and in `weight` how many of left's `rows` rows hold it.
+
+    Keys that hold over one in HOT_KEYS of left's rows are hot; there are fewer than HOT_KEYS of them, so their list can
+    go to every task. Their rows in left are dealt over `parts` places by the column `spread`, and their row in right is
+    repeated for each. The weight column is dropped.
+    """
+    limit = max(1000, rows // HOT_KEYS)
+    hot = F.broadcast(right.filter(F.col(weight) > limit).select(*keys, F.lit(True).alias("__hot")))
+    dealt = left.join(hot, keys, "left").withColumn("__part", F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(parts))).otherwise(0).cast("int")).drop("__hot")
+    copied = right.withColumn("__part", F.explode(F.when(F.col(weight) > limit, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))).drop(weight)
+    return dealt.join(copied, [*keys, "__part"], how).drop("__part")
+
+
 def kept_in_worker(name: str, make):
     """What make() gives, made once in a Python worker and kept there from task to task."""
     holder = sys.modules.setdefault("sparkloom_kept_in_worker", types.ModuleType("sparkloom_kept_in_worker"))
@@ -73,7 +116,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds over the edge table; each round's edges are written to the shared
     folder. Isolated nodes are not listed. No edge, component or node list comes to the driver: only a count and a
-    checksum per round. Empty input gives an empty table; repeated edges, loops and null ends do no harm.
+    checksum per round. Empty input gives an empty table; repeated edges, loops and null ends do no harm. Raises an error
+    if `rounds` rounds don't settle the components; the logarithm of the longest path is the usual number.
     """
     def both(e):
         return e.select("src", "dst").unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -98,4 +142,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
     return e.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionAll(e.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
