@@ -1,8 +1,9 @@
 """MPEG audio columns: a frame parser, and a lossless store of payloads in silent frames.
 
-The parser resynchronises on frame headers (versions 1, 2 and 2.5, layers I to III), skips ID3 tags and junk, reads the
-table of a variable-bitrate header, verifies frame checksums, and keeps the exact duration as samples over rate and the
-byte offset of every frame. The store writes a payload as layer III frames whose side information declares no coded
+The parser resynchronises on frame headers (versions 1, 2 and 2.5, layers I to III), reads ID3 tags (texts of versions
+2.3 and 2.4), skips junk, reads the table of a variable-bitrate header (Xing, Info or VBRI), verifies the checksums of
+layers I and III (what layer II's covers depends on its bit allocation; such frames don't count as checked), and keeps the
+exact duration as samples over rate and the byte offset of every frame. The store writes a payload as layer III frames whose side information declares no coded
 audio, so that each is silence to a player and its main data is free for the payload, whose unit is the byte.
 """
 
@@ -50,7 +51,10 @@ def crc16(data: bytes) -> int:
 
 @lru_cache(4096)
 def header(word: int):
-    """(size, samples, rate, layer, protected, side information's size, kind) of a header word; None if it isn't one."""
+    """(size, samples, rate, layer, protected, bytes its checksum covers, kind) of a header word; None if it isn't one.
+
+    Behind the header, a checksum covers layer III's side information and layer I's bit allocation.
+    """
     version, layer, kbit, rate = word >> 19 & 3, 4 - (word >> 17 & 3), word >> 12 & 15, word >> 10 & 3
     if word >> 21 != 0x7FF or version == 1 or layer == 4 or kbit in (0, 15) or rate == 3 or word & 3 == 2:
         return None
@@ -58,7 +62,8 @@ def header(word: int):
     bits = BITRATES[first, layer][kbit] * 1000
     samples = SAMPLES[first, layer]
     size = (12 * bits // hertz + padding) * 4 if layer == 1 else samples // 8 * bits // hertz + padding
-    side = ((17 if mono else 32) if first else (9 if mono else 17)) if layer == 3 else 0
+    bound = ((word >> 4 & 3) + 1) * 4 if word >> 6 & 3 == 1 else 32  # joint stereo shares the bands from here on
+    side = ((17 if mono else 32) if first else (9 if mono else 17)) if layer == 3 else (16 if mono else (bound + 32) // 2) if layer == 1 else 0
     return size, samples, hertz, layer, not word >> 16 & 1, side, (version, layer, hertz)
 
 
@@ -71,11 +76,11 @@ def id3_size(data: bytes, at: int) -> int:
 
 
 def id3_texts(tag: bytes) -> dict[str, str]:
-    """The text frames of an ID3v2.4 tag, user-defined ones by their description; what doesn't parse is left out."""
+    """The text frames of an ID3v2.3 or v2.4 tag, user-defined ones by their description; what doesn't parse is left out."""
     out, at = {}, 10
-    while at + 10 <= len(tag) and tag[at] and tag[3] == 4:
+    while at + 10 <= len(tag) and tag[at] and tag[3] in (3, 4):
         a, b, c, d = tag[at + 4 : at + 8]
-        size = a << 21 | b << 14 | c << 7 | d
+        size = a << 21 | b << 14 | c << 7 | d if tag[3] == 4 else int.from_bytes(tag[at + 4 : at + 8], "big")
         name, body = tag[at : at + 4].decode("latin-1"), tag[at + 10 : at + 10 + size]
         if name[0] == "T" and body[:1] in (b"\x00", b"\x03"):
             text = body[1:].decode("utf-8" if body[0] == 3 else "latin-1", "replace").rstrip("\0")
@@ -94,9 +99,9 @@ def parse(data: bytes) -> dict:
     """
     out = {"texts": {}, "frames": [], "sizes": [], "samples": 0, "rate": 0, "checked": 0, "broken": 0, "junk": 0, "table": None, "agrees": None}
     at, end, kind, audio, synced = 0, len(data), None, 0, False
-    if end >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-    while at < end:
+    # A tag at the end counts where a frame, a tag or junk ends, not inside a frame.
+    last = end - 128 if end >= 128 and data[end - 128 : end - 125] == b"TAG" else end
+    while at < end and at != last:
         size = id3_size(data, at)
         if size:
             out["texts"].update(id3_texts(data[at : at + size]))
@@ -107,18 +112,20 @@ def parse(data: bytes) -> dict:
             after = at + found[0]
             ahead = header(int.from_bytes(data[after : after + 4], "big")) if after + 4 <= end else None
             # A header counts right behind a frame, or if another frame, a tag or the end follows where it says.
-            if synced or after == end or ahead and ahead[6] == found[6] or data[after : after + 3] == b"ID3":
+            if synced or after in (end, last) or ahead and ahead[6] == found[6] or data[after : after + 3] == b"ID3":
                 size, samples, rate, layer, protected, side, kind = found
                 tag = at + HEADER + 2 * protected + side
-                name = data[tag : tag + 4]
-                if not out["frames"] and out["table"] is None and name in (b"Xing", b"Info"):
-                    out["table"] = vbr_table(data[tag:after])
+                table = None
+                if layer == 3 and not out["frames"] and out["table"] is None:
+                    table = vbr_table(data[tag:after]) or vbri_table(data[at + 36 : after])
+                if table:
+                    out["table"] = table
                     audio = at
                 else:
-                    if protected:
+                    if protected and layer != 2:
                         out["checked"] += 1
                         guarded = data[at + 2 : at + 4] + data[at + 6 : at + 6 + side]
-                        out["broken"] += layer == 3 and crc16(guarded) != int.from_bytes(data[at + 4 : at + 6], "big")
+                        out["broken"] += crc16(guarded) != int.from_bytes(data[at + 4 : at + 6], "big")
                     out["frames"].append(at)
                     out["sizes"].append(size)
                     out["samples"] += samples
@@ -127,6 +134,7 @@ def parse(data: bytes) -> dict:
                 continue
         step = data.find(b"\xff", at + 1, end)
         step = end if step < 0 else step
+        step = last if at < last < step else step
         tag = data.find(b"ID3", at + 1, step)
         step = step if tag < 0 else tag
         out["junk"] += step - at
@@ -140,7 +148,7 @@ def parse(data: bytes) -> dict:
 
 def vbr_table(tag: bytes) -> dict | None:
     """frames, bytes and the 100 seek bytes of a Xing or Info header, as far as they are there."""
-    if len(tag) < 8:
+    if len(tag) < 8 or tag[:4] not in (b"Xing", b"Info"):
         return None
     flags, at, out = int.from_bytes(tag[4:8], "big"), 8, {"frames": None, "bytes": None, "seek": None}
     for bit, name in ((1, "frames"), (2, "bytes")):
@@ -152,6 +160,14 @@ def vbr_table(tag: bytes) -> dict | None:
     return out
 
 
+def vbri_table(tag: bytes) -> dict | None:
+    """The same of a VBRI header, which stands 32 bytes behind a frame's header; its seek entries as they are."""
+    if len(tag) < 26 or tag[:4] != b"VBRI":
+        return None
+    size, frames, entries, _, width = struct.unpack(">IIHHH", tag[10:24])
+    return {"frames": frames, "bytes": size, "seek": tag[26 : 26 + entries * width]}
+
+
 def synchsafe(n: int) -> bytes:
     return bytes((n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127))
 
