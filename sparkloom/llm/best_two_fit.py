@@ -21,8 +21,10 @@ from .common import arrow_map, row_key, stored, table
 CAPACITY = 2048
 #: The id after every document.
 END = 0
-#: Parts of the pieces of one length that are ranked on their own.
-BUCKETS = 512
+#: Pieces, about, that are ranked together: those of one length are dealt over as many buckets as that takes.
+RANKED = 50_000
+#: Runs of white space from this length on are cut out of a text before its words are matched.
+LONG_SPACE = 1000
 PIECES = "rid binary, doc_id long, piece int, start long, length long, ids_crc32 long"
 SPECIAL = "<|endoftext|>"
 SPECIAL_ID = 50256
@@ -31,9 +33,12 @@ SPECIAL_ID = 50256
 def byte_bpe(path: str | None = None):
     """An encoder from text to an array of ids. path: the vocabulary as base64 tokens and ranks; None: the public one.
 
-    The special token in a text is one id, as in the tokenizers library.
+    The special token in a text is one id, as in the tokenizers library. In a run of white space all but the last character
+    are one word, all at the end of a text or before the special token; matching very long ones step by step would run
+    out of stack, so they are cut out here and encoded as the words that they are.
     """
     import base64
+    import re
 
     import public_tokenizers
     import tiktoken
@@ -41,7 +46,20 @@ def byte_bpe(path: str | None = None):
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     own = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
-    return lambda text: own.encode_to_numpy(text, allowed_special="all")
+    word = tiktoken.Encoding("byte_bpe_word", pat_str="[\\s\\S]+", mergeable_ranks=ranks, special_tokens={})
+    space = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+    long_space = re.compile(f"[{space}]{{{LONG_SPACE},}}")
+
+    def encode(text):
+        out, at = [], 0
+        for run in long_space.finditer(text):
+            stop = run.end() if run.end() == len(text) or text.startswith(SPECIAL, run.end()) else run.end() - 1
+            out += [own.encode_to_numpy(text[at : run.start()], allowed_special="all"), word.encode_to_numpy(text[run.start() : stop])]
+            at = stop
+        rest = own.encode_to_numpy(text[at:], allowed_special="all")
+        return np.concatenate([*out, rest]) if out else rest
+
+    return encode
 
 
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -175,12 +193,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     """One row per piece of docs(doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     A document is its byte-level BPE ids and the id 0; only those longer than `capacity` are cut, and only their first
-    piece may be shorter. Null texts count as empty: one token. Every row is packed, repeated ones and those with a
-    null doc_id as well; an empty table gives no rows. The driver sees the count of each length and nothing else. Other
+    piece may be shorter. Null texts count as empty: one token. Every row is packed, repeated ones, those with a null
+    doc_id and very long runs of white space as well; an empty table gives no rows. The driver sees the count of each length and nothing else. Other
     columns of docs are ignored.
     """
     rows = docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("rid", row_key())
-    pieces = stored(tokenised(rows, capacity, vocabulary, with_ids).withColumn("bucket", F.pmod(F.xxhash64("rid", "piece"), F.lit(BUCKETS)).cast("int")))
+    pieces = stored(tokenised(rows, capacity, vocabulary, with_ids))
+    buckets = max(1, pieces.count() // RANKED)
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("rid", "piece"), F.lit(buckets)).cast("int"))
     counts = stored(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")))
     where = places(best_two_fit({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity))
     before = counts.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
