@@ -25,6 +25,8 @@ POSITIVES = 2000
 UNLABELLED = 6000
 #: Features that get a weight.
 TELLING = 4096
+#: The prior's factor in the risk: a little more than one trades few false positives for fewer misses.
+CAUTION = 1.15
 #: Score from which a text counts as toxic.
 THRESHOLD = 0.3
 #: Different words a task remembers the features of.
@@ -38,10 +40,14 @@ class WordFeatures(dict):
     def __missing__(self, word):
         if len(self) >= CACHED_WORDS:
             self.clear()
-        names = {"=" + word, "^" + word[:4], "^" + word[:5], *(word[i : i + 4] for i in range(len(word) - 3))}
-        self[word] = value = np.array([zlib.crc32(n.encode()) % SPACE for n in names], np.int32)
+        self[word] = value = np.array(self.of(word), np.int32)
         return value
 
+    @staticmethod
+    def of(word):
+        names = {"=" + word, "^" + word[:4], "^" + word[:5], *(word[i : i + 4] for i in range(len(word) - 3))}
+        return [zlib.crc32(n.encode()) % SPACE for n in names]
+
 
 def features_of(text: str | None, known: WordFeatures) -> np.ndarray:
     """The sorted distinct features of a text; none for null or without words."""
@@ -69,10 +75,14 @@ def with_features(docs: DataFrame) -> DataFrame:
 
 
 def bounded(rows: DataFrame, bound: int, seed: int) -> DataFrame:
-    """About `bound` rows, chosen by the hash of their id; all where there are no more."""
+    """The `bound` rows of rows(doc_id, ...) whose ids have the smallest hashes; all where there are no more.
+
+    Few more than that are sorted: those whose hash is below what gives bound rows and a fifth on average.
+    """
     n = rows.count()
-    part = max(1, min(1_000_000, round(1_000_000 * bound / n))) if n else 1_000_000
-    return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < part).limit(bound + bound // 4)
+    part = max(1, min(1_000_000, round(1_200_000 * bound / n) + 1)) if n else 1_000_000
+    few = rows.withColumn("__hash", F.xxhash64("doc_id", F.lit(seed))).filter(F.pmod("__hash", F.lit(1_000_000)) < part)
+    return few.orderBy("__hash", *rows.columns).limit(bound).drop("__hash")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -91,55 +101,60 @@ def telling(positive: np.ndarray, unlabelled: np.ndarray, n: tuple[int, int], mo
     return np.sort(best[z[best] >= 4.5])
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, space: int = SPACE, epochs: int = 40, batch: int = 256, rate: float = 0.03, decay: float = 1e-4, seed: int = 7) -> np.ndarray:
+def margins(rows: list[np.ndarray], w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The margin of each row of features, and for each feature its row and itself."""
+    at = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    flat = np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int64)
+    return np.bincount(at, w[flat], len(rows)) + w[-1], at, flat
+
+
+def risk(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, w: np.ndarray) -> tuple[float, float]:
+    """The two parts of the risk with sigmoid loss: prior * E_P[loss(+)], and E_U[loss(-)] - prior * E_P[loss(-)]."""
+    sp, su = sigmoid(margins(positive, w)[0]), sigmoid(margins(unlabelled, w)[0])
+    return prior * (1 - sp).mean(), su.mean() - prior * sp.mean()
+
+
+def step_direction(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, w: np.ndarray) -> np.ndarray:
+    """The gradient of the whole risk, or that of the second part's negative where the second part is negative."""
+    (gp, ap, fp), (gu, au, fu) = margins(positive, w), margins(unlabelled, w)
+    sp, su = sigmoid(gp), sigmoid(gu)
+    slope_p, slope_u = prior * sp * (1 - sp) / len(gp), su * (1 - su) / len(gu)
+    # first part: -slope_p; second part: slope_u and -slope_p
+    dp, du = (-2 * slope_p, slope_u) if su.mean() - prior * sp.mean() >= 0 else (slope_p, -slope_u)
+    grad = np.bincount(np.concatenate([fp, fu]), np.concatenate([dp[ap], du[au]]), len(w))
+    grad[-1] += dp.sum() + du.sum()
+    return grad
+
+
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, space: int = SPACE, epochs: int = 200, batch: int = 256, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> np.ndarray:
     """Weights of the features and, last, the bias, by Adam on the non-negative PU risk with sigmoid loss."""
     rng = np.random.default_rng(seed)
     w, m, v = np.zeros(space + 1), np.zeros(space + 1), np.zeros(space + 1)
     w[-1] = np.log(prior / (1 - prior))
-    step, rounds = 0, max(1500, epochs * max(1, len(unlabelled) // (3 * batch)))
-    sizes = [np.array([len(x) for x in rows]) for rows in (positive, unlabelled)]
-
-    def margin(rows, size):
-        at = np.repeat(np.arange(len(rows)), size)
-        flat = np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int64)
-        return np.bincount(at, w[flat], len(rows)) + w[-1], at, flat
-
-    for _ in range(rounds):
+    for step in range(1, 1 + max(1500, epochs * max(1, len(unlabelled) // (3 * batch)))):
         pick = rng.integers(0, len(positive), batch), rng.integers(0, len(unlabelled), 3 * batch)
-        (gp, ap, fp), (gu, au, fu) = (margin([rows[i] for i in k], size[k]) for rows, k, size in ((positive, pick[0], sizes[0]), (unlabelled, pick[1], sizes[1])))
-        sp, su = sigmoid(gp), sigmoid(gu)
-        negative = su.mean() - prior * sp.mean()
-        own = rest_p = -prior * sp * (1 - sp) / len(gp)
-        rest_u = su * (1 - su) / len(gu)
-        if negative >= 0:
-            dp, du = own + rest_p, rest_u
-        else:
-            dp, du = -rest_p, -rest_u
-        grad = np.bincount(np.concatenate([fp, fu]), np.concatenate([dp[ap], du[au]]), space + 1)
-        grad[-1] += dp.sum() + du.sum()
-        step += 1
+        grad = step_direction(*([rows[i] for i in k] for rows, k in zip((positive, unlabelled), pick, strict=True)), prior, w)
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
-        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8) 
+        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w[:-1] *= 1 - decay
-    return w.astype(np.float32)
+    return w
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> np.ndarray:
-    """Weights from docs(doc_id, text) and labels(doc_id, toxic); held-out rows are not read.
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> dict[int, float]:
+    """The weights of the telling features, and of -1 the bias, from docs(doc_id, text) and labels(doc_id, toxic).
 
-    At most about `positives` confirmed and `unlabelled` other texts come to the driver, as hashed features. The class
-    prior is the share of toxic rows among the labels learnt from. Without any positive or unlabelled text every score
-    is 0.5 times that prior.
+    Held-out rows are not read. At most `positives` confirmed texts and `unlabelled` texts of all kinds, labelled or not,
+    come to the driver, as hashed features. The class prior is the share of toxic rows among the labels learnt from, times CAUTION.
+    Without any positive or any text every score is 0.5 times that prior.
     """
     known = labels.filter("toxic is not null").filter(~held_out()).select("doc_id", "toxic")
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
-    prior = min(0.9, max(0.005, toxic / n)) if n else 0.05
-    texts = docs.select("doc_id", "text").filter(~held_out())
-    confirmed = bounded(known.filter("toxic = 1").select("doc_id").distinct(), positives, 1).join(texts, "doc_id").withColumn("positive", F.lit(True))
-    marked = labels.filter("toxic is not null").select("doc_id").distinct()
-    other = bounded(texts.join(marked, "doc_id", "left_anti"), unlabelled, 2).withColumn("positive", F.lit(False))
-    rows = with_features(confirmed.select("positive", "text").unionAll(other.select("positive", "text"))).toArrow()
+    prior = min(0.9, max(0.005, CAUTION * toxic / n)) if n else 0.05
+    texts = docs.select("doc_id", "text").filter(~F.coalesce(held_out(), F.lit(False)))
+    confirmed = bounded(texts.join(bounded(known.filter("toxic = 1").select("doc_id").distinct(), positives, 1), "doc_id"), positives, 1)
+    rows = confirmed.withColumn("positive", F.lit(True)).unionAll(bounded(texts, unlabelled, 2).withColumn("positive", F.lit(False)))
+    rows = with_features(rows.select("positive", "text")).toArrow()
     counts, n = {True: np.zeros(SPACE, np.int64), False: np.zeros(SPACE, np.int64)}, {True: 0, False: 0}
     parts = rows.to_batches(max_chunksize=128)
     for part in parts:  # a part at a time, so that the driver holds the sample once
@@ -147,33 +162,50 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
             counts[p][f.values.to_numpy()] += 1
             n[p] += 1
     if not n[True] or not n[False]:
-        w = np.zeros(SPACE + 1, np.float32)
-        w[-1] = np.log(0.5 * prior / (1 - 0.5 * prior))
-        return w
-    keep = np.zeros(SPACE, bool)
-    keep[telling(counts[True], counts[False], (n[True], n[False]))] = True
+        return {-1: float(np.log(0.5 * prior / (1 - 0.5 * prior)))}
+    keep = telling(counts[True], counts[False], (n[True], n[False]))
+    place = np.full(SPACE, -1, np.int32)
+    place[keep] = np.arange(len(keep))
     sides: dict[bool, list[np.ndarray]] = {True: [], False: []}
     for part in parts:
         for p, f in zip(part["positive"].to_pylist(), part["features"], strict=True):
-            x = f.values.to_numpy()
-            sides[p].append(x[keep[x]])
+            x = place[f.values.to_numpy()]
+            sides[p].append(x[x >= 0])
     del rows, parts, part, f, x
     pa.default_memory_pool().release_unused()
-    return fit_nnpu(sides[True], sides[False], prior)
+    w = fit_nnpu(sides[True], sides[False], prior, len(keep)).tolist()
+    return {**dict(zip(keep.tolist(), w, strict=False)), -1: w[-1]}
+
+
+class TellingFeatures(dict):
+    """The features of words that have a weight; most words have none."""
+
+    def __init__(self, weights: dict[int, float]):
+        super().__init__()
+        self.weights, self.features = weights, WordFeatures()
+
+    def __missing__(self, word):
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        self[word] = value = frozenset(x for x in self.features.of(word) if x in self.weights)
+        return value
+
+    def score(self, text: str | None) -> float:
+        held = frozenset().union(*map(self.__getitem__, {*WORD.findall((text or "").lower())}))
+        return float(sigmoid(np.float64(sum(self.weights[x] for x in sorted(held)) + self.weights[-1])))
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+def score(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
     """docs with score (0 to 1, higher: likelier toxic): computed from the text column alone, whatever the others."""
     name = "score"
     if name in docs.columns:
         docs = docs.drop(name)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
-        known, w = WordFeatures(), sent.value
+        known = TellingFeatures(weights)
         for batch in batches:
-            values = [float(sigmoid(np.float64(w[features_of(t, known)].sum(dtype=np.float64) + w[-1]))) for t in batch.column("text").to_pylist()]
+            values = [known.score(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, name])
 
     return arrow_map(docs, run, f"{schema}, {name} double")
@@ -184,7 +216,8 @@ def pu_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
 
     Labels are learnt only from rows that are not held out (crc32 of the id as text, modulo 4, is 2). A score depends on
     the text alone: null, empty and wordless texts get the bias's score, repeated rows equal ones, ids and other
-    columns play no part. A null doc_id isn't held out. Empty labels or documents give constant scores or no rows.
+    columns play no part. A null doc_id isn't held out. Labels without a toxic row or text give constant scores, no
+    documents no rows; whether all or few documents have labels makes no difference to the unlabelled sample.
     """
     weights = train(docs, labels, positives, unlabelled)
     out = score(docs.select("doc_id", "text"), weights)
@@ -199,4 +232,6 @@ def op8_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose score reaches the threshold go; the others stay as they are."""
     weights = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs.withColumn("__score", F.lit(0)).drop("__score"), weights).filter(F.col("score") < THRESHOLD).select(*docs.columns)
+    out = score(docs.withColumn("__kept", F.col("score")) if "score" in docs.columns else docs, weights)
+    kept = out.filter(F.col("score") < THRESHOLD)
+    return (kept.drop("score").withColumnRenamed("__kept", "score") if "score" in docs.columns else kept).select(*docs.columns)
