@@ -1,11 +1,15 @@
-"""Content-chosen anchors: the shared first half of both substring dedups.
+"""Content-chosen anchors: what both substring dedups share around their suffix arrays and automata.
 
 Every window of `window` consecutive symbols (bytes or words) has one anchor: the leftmost place in it where the hash
 of a `gram`-symbol gram is smallest. The choice depends on the window's content alone, so two equal windows have the
 same anchor gram at the same offset, and a repeated window can only be found among the occurrences of one anchor key.
 The windows of a text that share an anchor are consecutive; they and the symbols they cover are the anchor's context.
-Occurrences with equal (key, context) are collapsed by counting before anything larger than 60 bytes is shuffled, and
-only keys with two or more different contexts (contested keys) go on to a suffix array or suffix automaton.
+
+Occurrences with equal (key, 128-bit hash of the context) form a class. A class is represented by its first occurrence
+and, if it has others, its last one; whether a window of them starts elsewhere is for the suffix array or automaton of
+the key to say, which gets their whole contents, so nothing is removed on equal hashes alone. Keys with more classes
+than one task should hold are cut into single windows, which are grouped by their 128-bit hashes; the first and the last
+window of a group go to a suffix array or automaton in the same way.
 """
 
 from __future__ import annotations
@@ -15,11 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, discard, stored
+from .common import arrow_map, discard, salted_join, stored
 
-ANCHOR_SCHEMA = "rid binary, doc long, key long, ctx long, lo long, hi long"
-#: Symbols handled at once: bounds the memory of a task whatever the length of a text.
+#: row1, row2: a row's id and a hash of its text. span: the context's first window and how many follow it.
+ANCHOR_SCHEMA = "row1 long, row2 long, key long, ctx1 long, ctx2 long, span long"
+CLASS = ["key", "ctx1", "ctx2"]
+#: Bits of a span for the number of following windows.
+BITS = 16
+#: Bytes of a text whose symbols are held at once.
 CHUNK = 1 << 20
+SECOND = np.uint64(0xA5A5A5A5A5A5A5A5)
 _ODD = 0x9E3779B97F4A7C15
 _ODD_INVERSE = pow(_ODD, -1, 1 << 64)
 
@@ -70,9 +79,9 @@ def leftmost_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors_of(symbols: np.ndarray, window: int, gram: int, power) -> tuple[np.ndarray, ...]:
-    """(key, ctx, lo, hi) of every anchor of one chunk: windows lo..hi choose it. Empty for under `window` symbols."""
+    """(key, ctx1, ctx2, lo, hi) of every anchor of one chunk: windows lo..hi choose it. Empty for under `window` symbols."""
     if len(symbols) < window:
-        return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 2
+        return (np.empty(0, np.uint64),) * 3 + (np.empty(0, np.int64),) * 2
     ranges = Ranges(symbols, power)
     start = np.arange(len(symbols) - gram + 1)
     grams = ranges.of(start, start + gram)
@@ -80,42 +89,49 @@ def anchors_of(symbols: np.ndarray, window: int, gram: int, power) -> tuple[np.n
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     last = np.r_[first[1:], len(at)] - 1
     where = at[first]
-    ctx = mix(ranges.of(first, last + window) ^ mix(((where - first) * 65537 + (last - first)).astype(np.uint64)))
-    return grams[where], ctx, first, last
+    shape = mix(((where - first) * 65537 + (last - first)).astype(np.uint64))
+    ctx = [mix(r.of(first, last + window) ^ shape) for r in (ranges, Ranges(mix(symbols ^ SECOND), power))]
+    return grams[where], *ctx, first, last
 
 
 def anchor_table(docs: DataFrame, window: int, gram: int, symbols_of) -> DataFrame:
-    """ANCHOR_SCHEMA rows of docs(rid, doc, text). symbols_of(): makes a function from bytes to an array of hashes."""
+    """ANCHOR_SCHEMA rows of docs(row1, row2, text).
+
+    symbols_of(): makes a function from a text's bytes to the hashes of its symbols, an array for each CHUNK of bytes.
+    """
 
     def run(batches):
-        to_symbols, power = symbols_of(), powers(CHUNK + window)
+        to_symbols, power = symbols_of(), powers(CHUNK + 2 * window)
         for batch in batches:
-            rid, doc, text = (batch.column(k) for k in ("rid", "doc", "text"))
+            row1, row2, text = (batch.column(k) for k in ("row1", "row2", "text"))
             rows, parts, size = [], [], 0
 
             def flush():
-                counts = [len(p[0]) for p in parts]
-                index = pa.array(np.repeat(np.asarray(rows, np.int64), counts))
-                cols = [np.concatenate([p[i] for p in parts]) for i in range(4)]
-                return pa.RecordBatch.from_arrays([rid.take(index), doc.take(index), *(pa.array(c.astype(np.int64) if c.dtype != np.uint64 else c.view(np.int64)) for c in cols)], ["rid", "doc", "key", "ctx", "lo", "hi"])
+                index = pa.array(np.repeat(np.asarray(rows, np.int64), [len(p[0]) for p in parts]))
+                key, ctx1, ctx2, lo, hi = (np.concatenate([p[i] for p in parts]).view(np.int64) for i in range(5))
+                return pa.RecordBatch.from_arrays([row1.take(index), row2.take(index), *map(pa.array, (key, ctx1, ctx2, lo << BITS | hi - lo))], ["row1", "row2", "key", "ctx1", "ctx2", "span"])
 
             for i in range(batch.num_rows):
                 if not text[i].is_valid:
                     continue
-                symbols = to_symbols(text[i].as_buffer())
-                for begin in range(0, max(1, len(symbols) - window + 1), CHUNK):
-                    key, ctx, lo, hi = anchors_of(symbols[begin : begin + CHUNK + window - 1], window, gram, power)
-                    if len(key):
+                begin, held = 0, np.empty(0, np.uint64)
+                for symbols in to_symbols(text[i].as_buffer()):
+                    held = np.concatenate([held, symbols])
+                    found = anchors_of(held, window, gram, power)
+                    if len(found[0]):
                         rows.append(i)
-                        parts.append((key, ctx, lo + begin, hi + begin))
-                        size += len(key)
+                        parts.append((*found[:3], found[3] + begin, found[4] + begin))
+                        size += len(found[0])
+                    rest = min(len(held), window - 1)  # what windows over the end of the chunk need
+                    begin += len(held) - rest
+                    held = held[len(held) - rest :]
                 if size > 200_000:
                     yield flush()
                     rows, parts, size = [], [], 0
             if parts:
                 yield flush()
 
-    return arrow_map(docs.select("rid", "doc", "text"), run, ANCHOR_SCHEMA)
+    return arrow_map(docs.select("row1", "row2", "text"), run, ANCHOR_SCHEMA)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -136,72 +152,130 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-def live(anchors: DataFrame) -> DataFrame:
-    """The stored anchors whose key occurs more than once, with contested: whether their contexts differ."""
-    keys = anchors.groupBy("key").agg(F.count("*").alias("total"), (F.min("ctx") != F.max("ctx")).alias("contested")).filter("total > 1").select("key", "contested")
-    kept = stored(anchors.join(keys, "key"))
-    discard(anchors)
-    return kept
+def live(anchors: DataFrame) -> tuple[DataFrame, int]:
+    """The anchors whose key occurs more than once, stored, and how many there are."""
+    anchors = stored(anchors)
+    keys = stored(anchors.groupBy("key").agg(F.count("*").alias("total")).filter("total > 1"))
+    kept = stored(salted_join(anchors, keys, ["key"], "total", anchors.count(), F.struct("row1", "span")))
+    discard(anchors, keys)
+    return kept, kept.count()
 
 
-def collapse(anchors: DataFrame, limit: int) -> DataFrame:
-    """One row per (key, ctx) of live anchors: key, ctx, n (occurrences), dmin (smallest doc), rid, lo, hi of an
-    occurrence in that doc, contested, and hot: the key has over `limit` different contexts."""
-    groups = anchors.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc", "rid", "lo", "hi")).alias("first"), F.first("contested").alias("contested"))
-    groups = stored(groups.select("key", "ctx", "n", F.col("first.doc").alias("dmin"), "first.rid", "first.lo", "first.hi", "contested"))
-    hot = groups.filter("contested").groupBy("key").agg(F.count("*").alias("n_ctx")).filter(F.col("n_ctx") > limit).select("key", F.lit(True).alias("hot"))
-    return groups.join(hot, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+def classes_of(anchors: DataFrame, limit: int) -> DataFrame:
+    """One row per class of live anchors, stored: CLASS, n (occurrences), first and last (row1, row2, span), hot.
+
+    hot: the key has over `limit` classes.
+    """
+    where = F.struct("row1", "row2", "span")
+    groups = stored(anchors.groupBy(*CLASS).agg(F.count("*").alias("n"), F.min(where).alias("first"), F.max(where).alias("last")))
+    hot = groups.groupBy("key").agg(F.count("*").alias("n_ctx")).filter(F.col("n_ctx") > limit).select("key", F.lit(True).alias("hot"))
+    return groups.join(stored(hot), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
 
 
-def contexts(reps: DataFrame, docs: DataFrame, window: int, cut) -> DataFrame:
-    """One row per contested context with its content: key, ctx, n, dmin, size (windows), body.
+def bodies_of(groups: DataFrame, docs: DataFrame, window: int, cut, in_order: bool) -> DataFrame:
+    """The contents of what represents the classes, stored: CLASS, part (0: the first, 1: the last), row1, hot, body.
 
-    reps: key, ctx, n, dmin, rid, lo, hi. cut(): makes a function from a text's bytes to a function from (start, stop)
-    in symbols to the bytes of that range.
+    cut(): makes a function from a text's bytes to a function from (start, stop) in symbols to the bytes of that range.
+    in_order: the last occurrence counts only if its row1 is larger than the first one's.
     """
-    wanted = reps.groupBy("rid").agg(F.collect_list(F.struct("key", "ctx", "n", "dmin", "lo", "hi")).alias("items"))
-    joined = wanted.join(docs.select("rid", "text"), "rid").select("text", "items")
+    first, last = (F.struct(F.lit(k).alias("part"), f"{name}.row1", f"{name}.row2", f"{name}.span") for k, name in enumerate(("first", "last")))
+    two = F.col("last.row1") > F.col("first.row1") if in_order else F.col("n") > 1
+    places = groups.select(*CLASS, "hot", F.explode(F.when(two, F.array(first, last)).otherwise(F.array(first))).alias("x")).select(*CLASS, "hot", "x.*")
+    wanted = places.groupBy("row1", "row2").agg(F.collect_list(F.struct(*CLASS, "part", "hot", "span")).alias("items"))
+    joined = docs.select("row1", "row2", "text").join(wanted, ["row1", "row2"])
+    names = [*CLASS, "part", "row1", "hot", "body"]
+    kinds = [*[pa.int64()] * 3, pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
 
     def run(batches):
-        make = cut()
+        make, done = cut(), None
         for batch in batches:
-            text, items = batch.column("text"), batch.column("items")
-            out = {k: [] for k in ("key", "ctx", "n", "dmin", "size", "body")}
-            size = 0
+            row1, row2, text, items = (batch.column(k) for k in ("row1", "row2", "text", "items"))
+            out, size = [], 0
             for i in range(batch.num_rows):
-                part = make(text[i].as_buffer().to_pybytes())
+                row = row1[i].as_py(), row2[i].as_py()
+                if row == done:  # rows equal in id and text
+                    continue
+                done, of = row, make(text[i].as_buffer())
                 for x in items[i].as_py():
-                    for k in ("key", "ctx", "n", "dmin"):
-                        out[k].append(x[k])
-                    out["size"].append(x["hi"] - x["lo"] + 1)
-                    out["body"].append(part(x["lo"], x["hi"] + window))
-                    size += len(out["body"][-1])
+                    lo = x["span"] >> BITS
+                    out.append((*(x[k] for k in CLASS), x["part"], row[0], x["hot"], of(lo, lo + (x["span"] & (1 << BITS) - 1) + window)))
+                    size += len(out[-1][-1])
                 if size > 8_000_000:
-                    yield to_batch(out)
-                    out, size = {k: [] for k in out}, 0
-            if out["key"]:
-                yield to_batch(out)
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
+
+    return stored(arrow_map(joined, run, "key long, ctx1 long, ctx2 long, part int, row1 long, hot boolean, body binary"))
+
+
+def single_windows(bodies: DataFrame, window: int, symbols_of) -> DataFrame:
+    """The windows of hot keys' bodies, stored: CLASS, part, row1, at (from the context's first), h1, h2 (128 hash bits)."""
+
+    def run(batches):
+        to_symbols = symbols_of()
+        for batch in batches:
+            for i, body in enumerate(batch.column("body")):
+                symbols = np.concatenate([np.empty(0, np.uint64), *to_symbols(body.as_buffer())])
+                start = np.arange(max(0, len(symbols) - window + 1))
+                power = powers(len(symbols) + 1)
+                h = [Ranges(s, power).of(start, start + window).view(np.int64) for s in (symbols, mix(symbols ^ SECOND))]
+                own = pa.array(np.full(len(start), i))
+                names = [*CLASS, "part", "row1"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(own) for k in names), pa.array(start), *map(pa.array, h)], [*names, "at", "h1", "h2"])
 
-    def to_batch(out):
-        kinds = {"body": pa.binary()}
-        return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], list(out))
+    return stored(arrow_map(bodies.filter("hot").select(*CLASS, "part", "row1", "body"), run, "key long, ctx1 long, ctx2 long, part int, row1 long, at long, h1 long, h2 long"))
 
-    return arrow_map(joined, run, "key long, ctx long, n long, dmin long, size long, body binary")
 
+def found_in_hot_keys(bodies: DataFrame, window: int, symbols_of, cut, search) -> DataFrame:
+    """CLASS, part, a, b (equal): the windows of hot keys that also start elsewhere.
 
-def flagged_spans(anchors: DataFrame, whole: DataFrame, found: DataFrame, window: int) -> DataFrame:
-    """(rid, spans) of all removed symbols: array of structs a, b (half-open), not yet merged.
+    Windows are grouped by their hashes; the first and the last of each group are searched as if the group were a key.
+    """
+    one = ["h1", "h2"]
+    if bodies.filter("hot").isEmpty():
+        return bodies.filter("hot").select(*CLASS, "part", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    windows = single_windows(bodies, window, symbols_of)
+    where = F.struct("row1", *CLASS, "part", "at")
+    groups = stored(windows.groupBy(*one).agg(F.count("*").alias("n"), F.min(where).alias("first"), F.max(where).alias("last")).filter("n > 1"))
+    ends = groups.select(*one, F.explode(F.array(F.struct(F.lit(0).alias("end"), "first.*"), F.struct(F.lit(1).alias("end"), "last.*"))).alias("x")).select(*one, "x.*")
+    joined = ends.join(bodies.filter("hot").select(*CLASS, "part", "body"), [*CLASS, "part"]).select(*one, "end", "row1", "at", "body")
+    names = ["key", "ctx1", "ctx2", "part", "row1", "body"]
 
-    whole: key, ctx, keep_doc: all windows of these contexts are removed, but for those in doc keep_doc (null: none).
-    found: key, ctx, a, b: the windows a..b of these contexts, from the context's first, are removed everywhere that
-    whole doesn't say so already.
+    def run(batches):
+        make = cut()
+        for batch in batches:
+            bodies = [make(b.as_buffer())(a, a + window) for a, b in zip(batch.column("at").to_pylist(), batch.column("body"), strict=True)]
+            h1, h2 = batch.column("h1"), batch.column("h2")
+            yield pa.RecordBatch.from_arrays([h1, h1, h2, batch.column("end"), batch.column("row1"), pa.array(bodies, pa.binary())], names)
+
+    cuts = stored(arrow_map(joined, run, "key long, ctx1 long, ctx2 long, part int, row1 long, body binary"))
+    known = stored(search(cuts, window).groupBy(F.col("ctx1").alias("h1"), F.col("ctx2").alias("h2")).agg(F.max((F.col("part") == 0).cast("int")).alias("firsts"), F.max((F.col("part") == 1).cast("int")).alias("lasts")))
+    known = stored(known.join(groups.select(*one, "n", F.col("first.row1").alias("least")), one))
+    hits = salted_join(windows, known, one, "n", windows.count(), F.struct(*CLASS, "part", "at"))
+    hits = hits.filter(F.when(F.col("row1") == F.col("least"), F.col("firsts")).otherwise(F.col("lasts")) == 1)
+    out = stored(hits.select(*CLASS, "part", F.col("at").alias("a"), F.col("at").alias("b")))
+    discard(windows, groups, cuts, known)
+    return out
+
+
+def removed_spans(docs: DataFrame, window: int, gram: int, limit: int, symbols_of, cut, search, in_order: bool) -> DataFrame:
+    """(row1, row2, spans) of the symbols to remove, stored: array of structs a, b (half-open), not yet merged.
+
+    docs(row1, row2, text). search(bodies, window) gives CLASS, part, a, b: the runs a..b of windows of a body, from its
+    first, that start in another body of its key (in_order: in one of a smaller row1).
     """
-    marks = whole.withColumn("ranges", F.lit(None).cast("array<struct<a:long,b:long>>")).unionByName(
-        found.groupBy("key", "ctx").agg(F.collect_list(F.struct("a", "b")).alias("ranges")).withColumn("keep_doc", F.lit(None).cast("long")).withColumn("ranged", F.lit(True)), allowMissingColumns=True
-    )
-    marks = marks.groupBy("key", "ctx").agg(F.max(F.when(F.col("ranged").isNull(), F.struct(F.col("keep_doc").alias("keep_doc")))).alias("whole"), F.max("ranges").alias("ranges"))
-    hit = anchors.join(marks, ["key", "ctx"])
-    is_whole = F.col("whole").isNotNull() & ~F.col("doc").eqNullSafe(F.col("whole.keep_doc"))
-    spans = F.when(is_whole, F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("hi") - F.col("lo")).alias("b")))).otherwise(F.col("ranges"))
-    rows = hit.select("rid", "lo", F.explode(spans).alias("s"))
-    return rows.groupBy("rid").agg(F.collect_list(F.struct((F.col("lo") + F.col("s.a")).alias("a"), (F.col("lo") + F.col("s.b") + window).alias("b"))).alias("spans"))
+    anchors, n = live(anchor_table(docs, window, gram, symbols_of))
+    groups = classes_of(anchors, limit)
+    bodies = bodies_of(groups, docs, window, cut, in_order)
+    found = stored(search(bodies.filter("not hot"), window).unionByName(found_in_hot_keys(bodies, window, symbols_of, cut, search)))
+    discard(bodies)
+    lists = [F.collect_list(F.when(F.col("part") == k, F.struct("a", "b"))).alias(name) for k, name in enumerate(("of_first", "of_rest"))]
+    marks = stored(found.groupBy(*CLASS).agg(*lists).join(groups.select(*CLASS, "n", F.col("first.row1").alias("least")), CLASS))
+    hit = salted_join(anchors, marks, CLASS, "n", n, F.struct("row1", "row2", "span"))
+    ranges = F.when(F.col("row1") == F.col("least"), F.col("of_first")).otherwise(F.col("of_rest")) if in_order else F.col("of_first")
+    lo = F.shiftright("span", BITS)
+    rows = hit.select("row1", "row2", lo.alias("lo"), F.explode(ranges).alias("s"))
+    out = stored(rows.groupBy("row1", "row2").agg(F.collect_list(F.struct((F.col("lo") + F.col("s.a")).alias("a"), (F.col("lo") + F.col("s.b") + window).alias("b"))).alias("spans")))
+    discard(anchors, found, marks)
+    return out

@@ -77,7 +77,8 @@ def hashed_sets(docs: DataFrame, shingle: int, k: int | None) -> DataFrame:
 
             held = 0
             for i in range(batch.num_rows):
-                full = np.sort(shingle_hashes(to_symbols(text_bytes(text, i).lower()), shingle, power).view(np.int64))
+                symbols = np.concatenate([np.empty(0, np.uint64), *to_symbols(text_bytes(text, i).lower())])
+                full = np.sort(shingle_hashes(symbols, shingle, power).view(np.int64))
                 sizes.append(len(full))
                 classes.append(hashlib.blake2b(full.tobytes(), digest_size=16).digest())
                 values.append(full if k is None else full[:k])

@@ -1,10 +1,9 @@
 """Suffix-array dedup: removes every byte inside a long byte string that starts anywhere else, too.
 
-Contexts of contested anchors (see anchors.py) go to partitions by anchor key; each task joins whole keys to a text of
-a few MB and builds its suffix array by two-stage sorting: only suffixes smaller than their successors are sorted
-directly, by 8-byte words to the depth the threshold needs; the rest are induced by one scan over the byte buckets.
-Adjacent common prefixes then tell which windows start twice. Keys with more contexts than one task should hold are
-resolved by exact counts of the hashes of their single windows instead, so no task holds an unbounded group.
+Contexts of anchors that occur more than once (see anchors.py) go to partitions by anchor key; each task joins whole keys
+to a text of a few MB and builds its suffix array by two-stage sorting: only suffixes smaller than their successors are
+sorted directly, by 8-byte words to the depth the threshold needs; the rest are induced by one scan over the byte
+buckets. Adjacent common prefixes, found by comparing bytes, then tell which windows start twice.
 """
 
 from __future__ import annotations
@@ -16,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import CHUNK, Ranges, anchor_table, collapse, contexts, flagged_spans, live, merged, mix, powers, runs
-from .common import arrow_map, row_key, stored, table
+from .anchors import CHUNK, CLASS, merged, mix, removed_spans, runs
+from .common import arrow_map, table
 
 WINDOW = 200
 GRAM = 32
-#: Contexts of one key that one task takes; keys with more are counted window by window.
+#: Classes of one key that one array takes; keys with more are cut into single windows.
 HOT_CONTEXTS = 4000
 #: Bytes of contexts in one suffix array, if the keys allow.
 ARRAY_BYTES = 2_000_000
@@ -30,14 +29,29 @@ SEPARATOR = 255
 
 
 def byte_symbols():
-    """A function from UTF-8 bytes to their 64-bit hashes."""
+    """A function from UTF-8 bytes to arrays of their 64-bit hashes, one for each CHUNK bytes."""
     lookup = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return lambda data: lookup[np.frombuffer(data, np.uint8)] if len(data) else np.empty(0, np.uint64)
+
+    def to_symbols(data):
+        codes = np.frombuffer(data, np.uint8) if len(data) else np.empty(0, np.uint8)
+        return (lookup[codes[i : i + CHUNK]] for i in range(0, len(codes), CHUNK))
+
+    return to_symbols
+
+
+def byte_cut():
+    """A function from bytes to a function from (start, stop) to these bytes."""
+
+    def of(data):
+        view = memoryview(data)
+        return lambda a, b: bytes(view[a:b])
+
+    return of
 
 
 def words_at(text: np.ndarray, depth: int) -> np.ndarray:
     """For each place the 8 bytes from there as one big-endian number; zeros stand after the text."""
-    padded = np.concatenate([text, np.zeros(depth + 16, np.uint8)])
+    padded = np.concatenate([text, np.zeros(2 * depth + 32, np.uint8)])
     n = len(padded) - 7
     out = np.zeros(n, np.uint64)
     for k in range(8):
@@ -46,23 +60,35 @@ def words_at(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class Prefixes:
-    """Lengths of common prefixes of places of a text, `depth` at most, by hashes of ranges and halving."""
+    """Lengths of common prefixes of places of a text, `depth` at most, by comparing 8 bytes at a time."""
 
-    def __init__(self, text: np.ndarray, depth: int):
-        padded = np.concatenate([text, np.zeros(depth + 1, np.uint8)])
-        power, self.inverse = powers(len(padded) + 1)
-        self.sums = np.zeros(len(padded) + 1, np.uint64)
-        np.cumsum(byte_symbols()(padded) * power[: len(padded)], out=self.sums[1:])
-        self.depth = depth
+    def __init__(self, words: np.ndarray, depth: int):
+        """words: of words_at()."""
+        self.words, self.depth = words, depth
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), self.depth)
-        sums, scale_a, scale_b, base_a, base_b = self.sums, self.inverse[a], self.inverse[b], self.sums[a], self.sums[b]
-        for _ in range(int(self.depth).bit_length()):
-            mid = (low + high + 1) >> 1
-            same = (sums[a + mid] - base_a) * scale_a == (sums[b + mid] - base_b) * scale_b
-            low, high = np.where(same, mid, low), np.where(same, high, np.maximum(mid - 1, low))
-        return low
+        out = np.full(len(a), self.depth, np.int64)
+        at = np.arange(len(a))
+        for k in range(0, self.depth, 8):
+            x = self.words[a + k] ^ self.words[b + k]
+            ends = np.flatnonzero(x)
+            if len(ends):
+                # The first byte that differs is the highest one that isn't zero.
+                out[at[ends]] = np.minimum(k + leading_zero_bytes(x[ends]), self.depth)
+                going = x == 0
+                at, a, b = at[going], a[going], b[going]
+            if not len(at):
+                break
+        return out
+
+
+def leading_zero_bytes(x: np.ndarray) -> np.ndarray:
+    n = np.full(len(x), 7)
+    for size in (4, 2, 1):
+        high = x >> np.uint64(8 * size) > 0
+        n -= size * high
+        x = np.where(high, x >> np.uint64(8 * size), x)
+    return n
 
 
 def sort_directly(words: np.ndarray, prefixes: Prefixes, places: np.ndarray, depth: int) -> np.ndarray:
@@ -90,7 +116,7 @@ def sort_directly(words: np.ndarray, prefixes: Prefixes, places: np.ndarray, dep
     return order
 
 
-def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None, words: np.ndarray | None = None) -> np.ndarray:
     """The order of the suffixes of text (of the wanted ones and those that induce them) to `depth` bytes, two-stage.
 
     A suffix is small if it precedes its successor. Small suffixes are sorted directly and close their byte's bucket;
@@ -113,7 +139,8 @@ def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None)
     end = np.cumsum(count)
     front = end - count
     out = np.full(int(end[-1]), -1, np.int64)
-    direct = sort_directly(words_at(text, depth), Prefixes(text, depth + 8), np.flatnonzero(small & kept), depth)
+    words = words_at(text, depth) if words is None else words
+    direct = sort_directly(words, Prefixes(words, depth + 8), np.flatnonzero(small & kept), depth)
     owned = np.bincount(text[direct], minlength=256)
     begin = np.r_[0, np.cumsum(owned)]
     for c in range(256):
@@ -141,14 +168,14 @@ def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None)
     return out
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int, words: np.ndarray) -> np.ndarray:
     """Length of the common prefix of each suffix with the one before it, `depth` at most; separators end it."""
     stops = np.r_[np.flatnonzero(text == SEPARATOR), len(text)]
     room = stops[np.searchsorted(stops, order)] - order
     room = np.minimum(np.minimum(room, np.r_[0, room[:-1]]), depth)
     out = np.zeros(len(order), np.int64)
     going = np.flatnonzero(room > 0)
-    out[going] = Prefixes(text, depth).common(order[going], order[going - 1])
+    out[going] = Prefixes(words, depth).common(order[going], order[going - 1])
     return np.minimum(out, room)
 
 
@@ -158,8 +185,9 @@ def repeated_windows(bodies: list[bytes], window: int) -> list[np.ndarray]:
     sizes = np.array([len(b) + 1 for b in bodies])
     begins = np.cumsum(sizes) - sizes
     wanted = np.arange(len(text)) - np.repeat(begins, sizes) < np.repeat(np.maximum(sizes - window, 0), sizes)
-    order = suffix_array(text, window, wanted)
-    hit = common_prefixes(text, order, window) >= window
+    words = words_at(text, window)
+    order = suffix_array(text, window, wanted, words)
+    hit = common_prefixes(text, order, window, words) >= window
     twice = np.zeros(len(text), bool)
     twice[order[hit | np.r_[hit[1:], False]]] = True
     return [twice[a : a + max(0, n - window)] for a, n in zip(begins, sizes, strict=True)]
@@ -173,59 +201,43 @@ def keep_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def search_keys(reps: DataFrame, window: int) -> DataFrame:
-    """key, ctx, a, b: the runs of windows of single contexts that also start in another context of their key."""
+def search_keys(bodies: DataFrame, window: int) -> DataFrame:
+    """CLASS, part, a, b: the runs of windows of bodies that also start elsewhere in their keys' bodies."""
+    names = [*CLASS, "part"]
 
     def run(batches):
         rows, size, last = [], 0, None
 
         def flush():
-            found = repeated_windows([r[3] for r in rows], window)
-            out = [(r[0], r[1], a, b) for r, flags in zip(rows, found, strict=True) if r[2] == 1 for a, b in zip(*runs(flags), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([int(r[i]) for r in out], pa.int64()) for i in range(4)], ["key", "ctx", "a", "b"])
+            found = repeated_windows([r[4] for r in rows], window)
+            out = [(*r[:4], int(a), int(b)) for r, flags in zip(rows, found, strict=True) for a, b in zip(*runs(flags), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int32() if i == 3 else pa.int64()) for i in range(6)], [*names, "a", "b"])
 
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in ("key", "ctx", "n", "body")), strict=True):
+            for row in zip(*(batch.column(k).to_pylist() for k in (*names, "body")), strict=True):
                 if size > ARRAY_BYTES and row[0] != last:
                     yield flush()
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[3])
+                size += len(row[4])
                 last = row[0]
         if rows:
             yield flush()
 
-    return arrow_map(reps.repartition("key").sortWithinPartitions("key").select("key", "ctx", "n", "body"), run, "key long, ctx long, a long, b long")
+    return arrow_map(bodies.repartition("key").sortWithinPartitions("key").select(*names, "body"), run, "key long, ctx1 long, ctx2 long, part int, a long, b long")
 
 
-def count_windows(reps: DataFrame, window: int, symbols_of) -> DataFrame:
-    """The exact way for hot keys: one row per window (key, ctx, n, dmin, at, h1, h2), 128 hash bits."""
+def row_ids(docs: DataFrame) -> DataFrame:
+    """docs with row1 (the id, 0 where it is null) and row2 (a hash of the text and of whether there is an id).
 
-    def run(batches):
-        to_symbols, power = symbols_of(), powers(CHUNK + window)
-        for batch in batches:
-            for key, ctx, n, dmin, body in zip(*(batch.column(k).to_pylist() for k in ("key", "ctx", "n", "dmin", "body")), strict=True):
-                symbols = to_symbols(body)
-                start = np.arange(max(0, len(symbols) - window + 1))
-                h = [Ranges(s, power).of(start, start + window).view(np.int64) for s in (symbols, mix(symbols ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(start), v, np.int64)) for v in (key, ctx, n, dmin)), pa.array(start), *map(pa.array, h)], ["key", "ctx", "n", "dmin", "at", "h1", "h2"])
-
-    return arrow_map(reps.select("key", "ctx", "n", "dmin", "body"), run, "key long, ctx long, n long, dmin long, at long, h1 long, h2 long")
+    Rows equal in id and text share both, and so do their results.
+    """
+    return docs.withColumn("row1", F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))).withColumn("row2", F.xxhash64("text", F.col("doc_id").isNull()))
 
 
 def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
-    """(rid, spans) for docs(rid, text): the byte spans to remove, half-open, not yet merged; only rows with any."""
-    source = docs.withColumn("doc", F.lit(0).cast("long"))
-    anchors = live(stored(anchor_table(source, window, gram, byte_symbols)))
-    groups = collapse(anchors, hot_contexts)
-    whole = groups.filter("n > 1").select("key", "ctx", F.lit(-1).cast("long").alias("keep_doc"))
-    cut = lambda: lambda data: lambda a, b: data[a:b]
-    bodies = stored(contexts(groups.filter("contested and not hot"), docs, window, cut))
-    found = search_keys(bodies, window)
-    windows = count_windows(contexts(groups.filter("contested and hot"), docs, window, cut), window, byte_symbols)
-    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("c")).filter("c > 1")
-    hot = windows.filter("n = 1").join(twice, ["h1", "h2"]).select("key", "ctx", F.col("at").alias("a"), F.col("at").alias("b"))
-    return flagged_spans(anchors, whole, found.unionByName(hot), window)
+    """(row1, row2, spans) for docs(row1, row2, text): the byte spans to remove, half-open, not yet merged."""
+    return removed_spans(docs, window, gram, hot_contexts, byte_symbols, byte_cut, search_keys, in_order=False)
 
 
 def suffix_array_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
@@ -234,11 +246,12 @@ def suffix_array_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
     Every byte covered by a `window`-byte string that also starts anywhere else, in the same text too, is removed;
     strings are judged on the input. Null texts count as empty, and texts under `window` bytes lose nothing. Repeated
     rows are repeats of each other, so both lose all they can; null ids do not matter. Cuts may fall inside a character:
-    kept is binary. Other columns of docs are ignored.
+    kept is binary. Other columns of docs are ignored. Strings are compared byte by byte, but members of a class of three
+    or more contexts count as equal by 128-bit hashes, and rows that share an id by 64-bit hashes of their texts.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", row_key())
+    rows = row_ids(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     spans = duplicate_spans(rows, window, gram, hot_contexts)
-    joined = rows.join(spans, "rid", "left").select("doc_id", "text", "spans")
+    joined = rows.join(spans, ["row1", "row2"], "left").select("doc_id", "text", "spans")
 
     def run(batches):
         for batch in batches:

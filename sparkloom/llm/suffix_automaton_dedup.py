@@ -1,8 +1,8 @@
 """Substring dedup by suffix automata of reference shards.
 
 A window of 50 words goes if its words also start in a document with a smaller id. A shard's reference passages are
-the contexts of contested anchors (see anchors.py), and documents are streamed through the shard's suffix automaton in
-the order of their ids: matching statistics give, at every word, the longest match with any earlier document, and
+the contexts of an anchor key (see anchors.py), and passages are streamed through the shard's suffix automaton in the
+order of their documents' ids: matching statistics give, at every word, the longest match with any earlier document, and
 maximal spans of matches over the threshold are removed; then the passage joins the automaton. A plain broadcast of
 the automata would grow with the corpus and meet every document with every shard, so passages are routed to shards by
 their anchor key instead: equal windows share it, so each passage meets all the references it can match and no others.
@@ -11,6 +11,7 @@ their anchor key instead: equal windows share it, so each passage meets all the
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -18,16 +19,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import anchor_table, collapse, contexts, flagged_spans, live, merged
-from .common import arrow_map, row_key, stored, table
-from .suffix_array_dedup import count_windows
+from .anchors import CHUNK, CLASS, merged, removed_spans
+from .common import arrow_map, row_key, table
+from .suffix_array_dedup import row_ids
 
 WINDOW = 50
 GRAM = 8
-#: Contexts of one key that one automaton takes; keys with more are counted window by window.
+#: Classes of one key that one automaton takes; keys with more are cut into single windows.
 HOT_CONTEXTS = 400
 #: Different words a task remembers the hashes of.
 CACHED_WORDS = 200_000
+_SPACE = re.compile(rb"[\t-\r ]")
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[*range(9, 14), 32]] = True
 
 
 class WordHashes(dict):
@@ -41,19 +45,36 @@ class WordHashes(dict):
 
 
 def word_symbols():
-    """A function from UTF-8 bytes to the hashes of their words (runs of other than white space in ASCII)."""
+    """A function from UTF-8 bytes to arrays of the hashes of their words (runs of other than white space in ASCII).
+
+    One array stands for the words of about CHUNK bytes, so that the words of a long text are not held at once.
+    """
     known = WordHashes()
 
     def to_symbols(data):
-        words = bytes(data).split()
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        at = 0
+        while at < len(data):
+            stop = at + CHUNK
+            if stop < len(data):
+                space = _SPACE.search(data, stop)
+                stop = space.start() if space else len(data)
+            words = bytes(data[at:stop]).split()
+            yield np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            at = stop
 
     return to_symbols
 
 
-def hashed_symbols():
-    """The same for words that are hashed already: 8 bytes each."""
-    return lambda data: np.frombuffer(data, np.uint64)
+def word_cut():
+    """A function from UTF-8 bytes to a function from (start, stop) in words to the bytes from the first to the last."""
+
+    def of(data):
+        space = _IS_SPACE[np.frombuffer(data, np.uint8)] if len(data) else np.empty(0, bool)
+        edges = np.flatnonzero(np.diff(np.r_[True, space, True]))
+        view = memoryview(data)
+        return lambda a, b: bytes(view[edges[2 * a] : edges[2 * b - 1]])
+
+    return of
 
 
 class SuffixAutomaton:
@@ -113,24 +134,25 @@ class SuffixAutomaton:
 
 
 def search_shards(bodies: DataFrame, window: int) -> DataFrame:
-    """key, ctx, a, b: runs of windows, in a context's first document, that start in a smaller document's context."""
+    """CLASS, part, a, b: runs of windows of bodies that start in a body of their key from a smaller document."""
+    names = [*CLASS, "part"]
 
     def key_runs(rows):
         rows.sort()
-        auto, waiting, doc = SuffixAutomaton(), [], None
-        for dmin, ctx, body in rows:
-            if dmin != doc:
+        auto, waiting, doc, number = SuffixAutomaton(), [], None, {}
+        for row1, name, body in rows:
+            if row1 != doc:
                 for p in waiting:
                     auto.add(p)
-                waiting, doc = [], dmin
-            words = np.frombuffer(body, np.int64).tolist()
+                waiting, doc = [], row1
+            words = [number.setdefault(w, len(number)) for w in body.split()]
             if len(auto.next) > 1:
                 start = None
                 for end, size in enumerate([*auto.matches(words), 0]):
                     if size >= window and start is None:
                         start = end - window + 1
                     elif size < window and start is not None:
-                        yield ctx, start, end - window
+                        yield (*name, start, end - window)
                         start = None
             waiting.append(words)
 
@@ -138,44 +160,27 @@ def search_shards(bodies: DataFrame, window: int) -> DataFrame:
         rows, last, out = [], None, []
 
         def batch_of():
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], ["key", "ctx", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int32() if i == 3 else pa.int64()) for i in range(6)], [*names, "a", "b"])
 
         for batch in batches:
-            for key, ctx, dmin, body in zip(*(batch.column(k).to_pylist() for k in ("key", "ctx", "dmin", "body")), strict=True):
-                if key != last:
-                    out += [(last, *x) for x in key_runs(rows)]
-                    rows, last = [], key
+            for *name, row1, body in zip(*(batch.column(k).to_pylist() for k in (*names, "row1", "body")), strict=True):
+                if name[0] != last:
+                    out += key_runs(rows)
+                    rows, last = [], name[0]
                     if len(out) > 50_000:
                         yield batch_of()
                         out.clear()
-                rows.append((dmin, ctx, body))
-        out += [(last, *x) for x in key_runs(rows)]
+                rows.append((row1, tuple(name), body))
+        out += key_runs(rows)
         if out:
             yield batch_of()
 
-    return arrow_map(bodies.repartition("key").sortWithinPartitions("key").select("key", "ctx", "dmin", "body"), run, "key long, ctx long, a long, b long")
+    return arrow_map(bodies.repartition("key").sortWithinPartitions("key").select(*names, "row1", "body"), run, "key long, ctx1 long, ctx2 long, part int, a long, b long")
 
 
 def earlier_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
-    """(rid, spans) for docs(rid, doc, text): word spans to remove, half-open, not yet merged; only rows with any."""
-    anchors = live(stored(anchor_table(docs, window, gram, word_symbols)))
-    groups = collapse(anchors, hot_contexts)
-    whole = groups.filter("n > 1").select("key", "ctx", F.col("dmin").alias("keep_doc"))
-
-    def cut():
-        to_symbols = word_symbols()
-
-        def of(data):
-            symbols = to_symbols(data)
-            return lambda a, b: symbols[a:b].tobytes()
-
-        return of
-
-    found = search_shards(stored(contexts(groups.filter("contested and not hot"), docs, window, cut)), window)
-    windows = count_windows(contexts(groups.filter("contested and hot"), docs, window, cut), window, hashed_symbols)
-    least = windows.groupBy("h1", "h2").agg(F.min("dmin").alias("least"))
-    hot = windows.join(least, ["h1", "h2"]).filter("least < dmin").select("key", "ctx", F.col("at").alias("a"), F.col("at").alias("b"))
-    return flagged_spans(anchors, whole, found.unionByName(hot), window)
+    """(row1, row2, spans) for docs(row1, row2, text): word spans to remove, half-open, not yet merged; row1 is the order."""
+    return removed_spans(docs, window, gram, hot_contexts, word_symbols, word_cut, search_shards, in_order=True)
 
 
 def keep_words(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
@@ -192,11 +197,13 @@ def suffix_automaton_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GR
     Words are runs of characters other than space and \\x09-\\x0D. Each word covered by a window of `window` words
     that also starts in a row with a smaller doc_id is removed; windows are judged on the input. kept has the other
     words joined by one space. Rows with a null doc_id, null text or under `window` words lose nothing, and rows that
-    share a doc_id do not remove from each other. Other columns of docs are ignored.
+    share a doc_id do not remove from each other. Other columns of docs are ignored. Windows are compared word by word,
+    but members of a class of three or more contexts count as equal by 128-bit hashes, and rows that share an id by
+    64-bit hashes of their texts.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", row_key())
-    spans = earlier_spans(rows.filter("doc_id is not null").withColumn("doc", F.col("doc_id").cast("long")), window, gram, hot_contexts)
-    joined = rows.join(spans, "rid", "left").select("rid", "doc_id", "text", "spans")
+    rows = row_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    spans = earlier_spans(rows.filter("doc_id is not null"), window, gram, hot_contexts)
+    joined = rows.join(spans, ["row1", "row2"], "left").select(row_key().alias("rid"), "doc_id", "text", "spans")
 
     def run(batches):
         for batch in batches:
@@ -227,7 +234,7 @@ def op7_suffix_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the same documents with the words that remain; texts that lose nothing stay as they are."""
-    keyed = docs.withColumn("__rid", row_key())
+    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__rid", row_key("__id"))
     out = suffix_automaton_dedup(docs).filter("n_removed > 0").select(F.col("rid").alias("__rid"), F.col("kept").alias("__kept")).dropDuplicates(["__rid"])
     text = F.when(F.col("__kept").isNotNull(), F.col("__kept")).otherwise(F.col("text"))
     done = keyed.join(out, "__rid", "left").withColumn("text", text)

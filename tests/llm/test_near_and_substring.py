@@ -64,6 +64,75 @@ def test_suffix_array(spark, hot):
     assert got == suffix.brute_force(rows)
 
 
+def nothing(bodies, window):
+    """A search that finds nothing."""
+    from pyspark.sql import functions as F
+
+    return bodies.limit(0).select("key", "ctx1", "ctx2", "part", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+
+
+@pytest.mark.parametrize("hot", [400, 2])
+def test_what_is_removed_was_found_by_the_array_or_automaton(spark, monkeypatch, hot):
+    df = spark.createDataFrame(corpus(4, groups=1, copies=10), "doc_id long, text string")
+    monkeypatch.setattr(suffix, "search_keys", nothing)
+    monkeypatch.setattr(automaton, "search_shards", nothing)
+    assert {len(r.spans) for r in suffix.suffix_array_dedup(df, hot_contexts=hot).collect()} == {0}
+    assert {r.n_removed for r in automaton.suffix_automaton_dedup(df, hot_contexts=hot).collect()} == {0}
+
+
+@pytest.mark.parametrize("hot", [4000, 2])
+def test_equal_hashes_of_different_contexts(spark, hot):
+    """Two contexts with one hash, each class's first and last: compared by their contents, so nothing is removed."""
+    from sparkloom.llm import anchors
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(230)) for _ in range(2)]
+    rows = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "row1 long, row2 long, text string")
+    span = 0 << anchors.BITS | 30
+    groups = rows.groupBy().agg(F.min("row1")).select(*(F.lit(7).cast("long").alias(c) for c in anchors.CLASS), F.lit(2).cast("long").alias("n"), *(F.struct(F.lit(i).cast("long").alias("row1"), F.lit(0).cast("long").alias("row2"), F.lit(span).cast("long").alias("span")).alias(name) for i, name in enumerate(("first", "last"))), F.lit(hot == 2).alias("hot"))
+    bodies = anchors.bodies_of(groups, rows, 200, suffix.byte_cut, False)
+    assert bodies.count() == 2
+    assert suffix.search_keys(bodies.filter("not hot"), 200).count() == 0
+    assert anchors.found_in_hot_keys(bodies, 200, suffix.byte_symbols, suffix.byte_cut, suffix.search_keys).count() == 0
+
+
+def test_common_prefixes_compare_bytes():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    text = rng.integers(0, 2, 500).astype(np.uint8)
+    a, b = rng.integers(0, 480, 3000), rng.integers(0, 480, 3000)
+    found = suffix.Prefixes(suffix.words_at(text, 40), 40).common(a, b)
+    padded = np.r_[text, np.zeros(100, np.uint8)]
+    want = [next((k for k in range(40) if padded[x + k] != padded[y + k]), 40) for x, y in zip(a, b, strict=True)]
+    assert found.tolist() == want
+
+
+def test_texts_longer_than_a_chunk(spark, monkeypatch):
+    import numpy as np
+
+    from sparkloom.llm import anchors
+
+    monkeypatch.setattr(suffix, "CHUNK", 700)
+    monkeypatch.setattr(automaton, "CHUNK", 300)
+    data = " ".join(f"w{i % 977}" for i in range(900)).encode()
+    for make, window in ((suffix.byte_symbols, 200), (automaton.word_symbols, 50)):
+        pieces = list(make()(data))
+        assert len(pieces) > 5
+        whole = np.concatenate(pieces)
+        assert len(whole) == (len(data) if window == 200 else 900)
+        want = {tuple(map(int, (k, w))) for k, _, _, lo, hi in zip(*anchors.anchors_of(whole, window, 8, anchors.powers(len(whole) + 1)), strict=True) for w in range(lo, hi + 1)}
+        got, begin, held = set(), 0, np.empty(0, np.uint64)
+        for symbols in pieces:
+            held = np.concatenate([held, symbols])
+            for k, _, _, lo, hi in zip(*anchors.anchors_of(held, window, 8, anchors.powers(len(held) + 1)), strict=True):
+                got |= {(int(k), begin + w) for w in range(int(lo), int(hi) + 1)}
+            rest = min(len(held), window - 1)
+            begin, held = begin + len(held) - rest, held[len(held) - rest :]
+        assert got == want
+
+
 def test_two_stage_suffix_sorting():
     import numpy as np
 
