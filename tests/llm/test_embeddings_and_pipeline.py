@@ -44,14 +44,31 @@ def test_pipeline(spark):
     assert out.groupBy("sequence_id").agg({"length": "sum"}).filter("`sum(length)` > 2048").count() == 0
 
 
-def test_recall_in_few_dimensions():
+def test_recall_by_dimension_and_number():
     rng = np.random.default_rng(7)
-    for dim in (8, 16, 24, 31):
-        x, z = caps.unit(rng.standard_normal((400, dim))), rng.standard_normal((400, dim))
+    for dim, n in ((8, 1000), (16, 1000), (24, 50_000), (31, 1000), (64, 1000), (64, 50_000), (64, 2_000_000), (300, 1000)):
+        x, z = caps.unit(rng.standard_normal((300, dim))), rng.standard_normal((300, dim))
         z = caps.unit(z - (z * x).sum(axis=1, keepdims=True) * x)
         y = 0.951 * x + np.sqrt(1 - 0.951**2) * z
         shared = np.zeros(len(x), int)
         for k in range(caps.CODES):
-            code = caps.ProductCode(dim, seed=caps.SEED + k)
-            shared += [len(np.intersect1d(a, b)) for a, b in zip(code.decode(x, caps.HEIGHT), code.decode(y, caps.HEIGHT), strict=True)]
-        assert (shared > 0).all() and 25 <= shared.mean() <= 60
+            code = caps.ProductCode(dim, n, caps.SEED + k)
+            shared += [len(np.intersect1d(a, b)) for a, b in zip(code.decode(x), code.decode(y), strict=True)]
+        assert (shared == 0).mean() <= 0.01 and 20 <= shared.mean() <= 160, (dim, n, shared.min(), shared.mean())
+
+
+def test_list_decoding_finds_every_direction():
+    rng = np.random.default_rng(11)
+    code = caps.ProductCode(6, 100)
+    x = caps.unit(rng.standard_normal((40, 6)))
+    grid = [np.concatenate([a, b]) for a in code.codes[0] for b in code.codes[1]]
+    products = x @ code.turn @ np.array(grid).T
+    assert [f.tolist() for f in code.decode(x)] == [np.flatnonzero(row >= code.cap - 1e-12).tolist() for row in products]
+
+
+def test_dimensions_that_agree_modulo_a_power_of_two(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(dim).tolist()) for i, dim in enumerate([40] * 6 + [4136] * 6)]
+    rows += [(100 + i, (np.array(v) * 2).tolist()) for i, v in rows]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in caps.cap_filter_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == caps.brute_force(rows)
