@@ -9,6 +9,7 @@ and ranks come from counts of (length, bucket) and row numbers within them, so n
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -21,8 +22,6 @@ from .common import arrow_map, row_key, stored, table
 CAPACITY = 2048
 #: The id after every document.
 END = 0
-#: Pieces, about, that are ranked together: those of one length are dealt over as many buckets as that takes.
-RANKED = 50_000
 #: Runs of white space from this length on are cut out of a text before its words are matched.
 LONG_SPACE = 1000
 PIECES = "rid binary, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -199,7 +198,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     """
     rows = docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("rid", row_key())
     pieces = stored(tokenised(rows, capacity, vocabulary, with_ids))
-    buckets = max(1, pieces.count() // RANKED)
+    # As many buckets as pieces in each, about: then neither ranking within buckets nor adding up their sizes is long.
+    buckets = max(1, math.isqrt(pieces.count()))
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("rid", "piece"), F.lit(buckets)).cast("int"))
     counts = stored(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")))
     where = places(best_two_fit({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity))
