@@ -29,3 +29,33 @@ def hash_choice(options: list[str], *parts: Column) -> Column:
     """One of the options, the same for equal parts, evenly spread."""
     at = (hash_unit(*parts) * len(options)).cast("int")
     return F.element_at(F.array(*map(F.lit, options)), at + 1)
+
+
+def hash_unit_64(*parts: Column) -> Column:
+    """A number in [0, 1) from the first 16 hex digits: 64 bits, rounded to a double."""
+    return F.conv(hash_id(*parts, digits=16), 16, 10).cast("decimal(20,0)").cast("double") / float(1 << 64)
+
+
+def hash_int63(*parts: Column) -> Column:
+    """A whole number from 0 to 2^63 - 1 from the last 63 of the first 64 bits."""
+    return F.conv(hash_id(*parts, digits=16), 16, -10).cast("long").bitwiseAND(F.lit((1 << 63) - 1))
+
+
+def canonical_json(values: dict[str, Column]) -> Column:
+    """A flat JSON object with sorted keys and blanks behind commas and colons; numbers and booleans as they are, null as null."""
+    def shown(c: Column) -> Column:
+        quoted = F.to_json(F.array(c))  # escapes as JSON does
+        return F.substr(quoted, F.lit(2), F.length(quoted) - 2)
+
+    cells = [F.concat(F.lit(f'"{name}": '), F.when(values[name].isNull(), F.lit("null")).otherwise(shown(values[name]))) for name in sorted(values)]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *cells), F.lit("}"))
+
+
+def json_hash(values: dict[str, Column], digits: int = 24) -> Column:
+    """The first hex digits of the SHA-256 of canonical_json()."""
+    return F.substring(F.sha2(canonical_json(values), 256), 1, digits)
+
+
+def progress_key(name: Column, settings: dict[str, Column]) -> Column:
+    """A run's name and 12 digits that change with any of its settings."""
+    return F.concat_ws("_", name, json_hash(settings, 12))

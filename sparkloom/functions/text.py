@@ -29,24 +29,46 @@ def visible(c: Column) -> Column:
     return F.when(opened & ~closed, F.lit(None)).otherwise(rest)
 
 
-def last_box(c: Column) -> Column:
-    """What the last \\boxed{...} with balanced braces holds, or null; braces are counted in a fold over characters."""
-    begins = F.filter(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.substr(c, i, F.lit(7)) == "\\boxed{")
+def closed_at(rest: Column) -> Column:
+    """The text up to the brace that closes an open one, or null; a fold over the stretches between braces."""
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("seen"), F.lit(-1).alias("stop"))
 
-    def content(at: Column) -> Column:
-        rest = F.substr(c, at + 7, F.length(c))
-        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("stop"))
+    def step(s, part):
+        depth = s["depth"] + F.when(part.startswith("{"), 1).when(part.startswith("}"), -1).otherwise(0)
+        stop = F.when((s["stop"] < 0) & (depth == 0), s["seen"]).otherwise(s["stop"])
+        return F.struct(depth.alias("depth"), (s["seen"] + F.length(part)).alias("seen"), stop.alias("stop"))
 
-        def step(s, ch):
-            depth = s["depth"] + F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)
-            stop = F.when((s["stop"] == 0) & (depth == 0), s["seen"] + 1).otherwise(s["stop"])
-            return F.struct(F.when(s["stop"] > 0, s["depth"]).otherwise(depth).alias("depth"), (s["seen"] + 1).alias("seen"), stop.alias("stop"))
+    stop = F.aggregate(F.split(rest, "(?=[{}])"), start, step)["stop"]
+    return F.when(stop >= 0, F.substr(rest, F.lit(1), stop))
 
-        end = F.aggregate(F.split(rest, ""), start, step)["stop"]
-        return F.when(end > 0, F.substr(rest, F.lit(1), end - 1))
 
-    found = F.filter(F.transform(begins, content), lambda x: x.isNotNull())
-    return F.when(c.contains("\\boxed{"), F.try_element_at(found, F.lit(-1)))
+def last_box(c: Column) -> Column:
+    """What the last \\boxed{...} with balanced braces holds, or null; boxes are tried from the last one outwards."""
+    mark = "\\boxed{"
+    parts = F.split(c, "\\\\boxed\\{")
+    before = F.sequence(F.greatest(F.size(parts) - 2, F.lit(1)), F.lit(1), F.lit(-1))
+    others = F.filter(F.transform(before, lambda i: closed_at(F.array_join(F.slice(parts, i + 1, F.size(parts)), mark))), lambda x: x.isNotNull())
+    earlier = F.when(F.size(parts) > 2, F.try_element_at(others, F.lit(1)))
+    return F.when(c.contains(mark), F.coalesce(closed_at(F.element_at(parts, -1)), earlier))
+
+
+def boxes(c: Column) -> Column:
+    """struct(values, malformed): what each balanced \\boxed{...} holds, in order, and whether a box isn't closed."""
+    mark = "\\boxed{"
+    parts = F.split(c, "\\\\boxed\\{")
+    found = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: closed_at(F.array_join(F.slice(parts, i + 1, F.size(parts)), mark)))).otherwise(F.array().cast("array<string>"))
+    return F.when(c.isNotNull(), F.struct(F.filter(found, lambda x: x.isNotNull()).alias("values"), F.exists(found, lambda x: x.isNull()).alias("malformed")))
+
+
+def tag_scan(c: Column, names: list[str]) -> Column:
+    """struct(count, balanced): complete elements of the tags in a flat text, and whether every tag that opens closes before another opens."""
+    tags = F.regexp_extract_all(c, F.lit(f"<(/?(?:{'|'.join(names)}))>"), F.lit(1))
+    pairs = F.aggregate(tags, F.struct(F.lit("").alias("open"), F.lit(0).alias("n"), F.lit(True).alias("ok")), lambda s, t: F.struct(
+        F.when(s["open"] == "", F.when(t.startswith("/"), F.lit("")).otherwise(t)).otherwise(F.lit("")).alias("open"),
+        (s["n"] + ((s["open"] != "") & (t == F.concat(F.lit("/"), s["open"]))).cast("int")).alias("n"),
+        (s["ok"] & F.when(s["open"] == "", ~t.startswith("/")).otherwise(t == F.concat(F.lit("/"), s["open"]))).alias("ok"),
+    ))
+    return F.struct(pairs["n"].alias("count"), (pairs["ok"] & (pairs["open"] == "")).alias("balanced"))
 
 
 def answer_tag(c: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -178,3 +180,44 @@ def row_mean(*columns: str, partial: bool = False) -> Column:
         return sum((F.col(c) for c in columns[1:]), F.col(columns[0])) / len(columns)
     have = F.filter(F.array(*(F.col(c).cast("double") for c in columns)), lambda x: x.isNotNull())
     return F.try_divide(F.aggregate(have, F.lit(0.0), lambda a, x: a + x), F.size(have))
+
+
+def axis_counts(rows: DataFrame, axes: Sequence[str]) -> DataFrame:
+    """How many rows each combination of factors has."""
+    return rows.groupBy(*axes).agg(F.count("*").alias("n"))
+
+
+def seeds_per_cell(rows: DataFrame, cell: Sequence[str], seed: str) -> DataFrame:
+    """(seeds, cells): how many cells have each number of different seeds."""
+    per = rows.groupBy(*cell).agg(F.count_distinct(seed).alias("seeds"))
+    return per.groupBy("seeds").agg(F.count("*").alias("cells"))
+
+
+def distinct_phrases(rows: DataFrame, keys: Sequence[str], phrases: Column) -> DataFrame:
+    """keys, phrases: how many different texts stand in nested lists of texts."""
+    return rows.select(*keys, F.explode(F.flatten(phrases)).alias("_phrase")).groupBy(*keys).agg(F.count_distinct("_phrase").alias("phrases"))
+
+
+def least_squares(rows: DataFrame, keys: Sequence[str], features: Sequence[str], target: str) -> DataFrame:
+    """keys, coefficients (of 1 and the features), rss, n: an ordinary fit per group, by pseudo-inverse where it is singular.
+
+    Rows meet in sums of products only, combined before the shuffle; the small system of a group is solved in its one row.
+    """
+    whole = rows.dropna(subset=[*features, target])
+    terms = [F.lit(1.0), *(F.col(f).cast("double") for f in features)]
+    y = F.col(target).cast("double")
+    k = len(terms)
+    products = F.array(*(F.sum(a * b) for a in terms for b in terms))
+    sums = whole.groupBy(*keys).agg(products.alias("xx"), F.array(*(F.sum(a * y) for a in terms)).alias("xy"), F.sum(y * y).alias("yy"), F.count("*").alias("n"))
+
+    @F.pandas_udf("coefficients array<double>, rss double")
+    def solve(xx: pd.Series, xy: pd.Series, yy: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b, c in zip(xx, xy, yy, strict=True):
+            a = np.array(a).reshape(k, k)
+            scale = np.sqrt(np.maximum(np.diag(a), 1e-300))
+            w = np.linalg.pinv(a / np.outer(scale, scale), hermitian=True) @ (np.array(b) / scale) / scale
+            out.append((w.tolist(), max(0.0, c - 2 * w @ np.array(b) + w @ a @ w)))
+        return pd.DataFrame(out, columns=["coefficients", "rss"])
+
+    return sums.withColumn("fit", solve("xx", "xy", "yy")).select(*keys, "fit.coefficients", "fit.rss", "n")

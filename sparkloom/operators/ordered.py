@@ -108,9 +108,16 @@ def upper_envelope(rows: DataFrame, keys: Sequence[str], order: Sequence[str], v
 
 
 def pareto(rows: DataFrame, keys: Sequence[str], gain: str, loss: str, slack: float = 1e-12) -> DataFrame:
-    """Rows that no row with at least their gain undercuts in loss."""
-    least = F.min(loss).over(before(window(keys, F.col(gain).desc(), F.col(loss))))
-    return rows.withColumn("_least", least).filter(F.col("_least").isNull() | (F.col(loss) < F.col("_least") - slack)).drop("_least")
+    """Rows that no row kept before them, by falling gain and rising loss, undercuts in loss less a slack.
+
+    What is kept has a lower loss than all before it; only such rows, which are few, are looked at one after the other.
+    """
+    order = F.col(gain).desc(), F.col(loss)
+    lower = rows.withColumn("_least", F.min(loss).over(before(window(keys, *order)))).filter(F.col("_least").isNull() | (F.col(loss) < F.col("_least"))).drop("_least")
+    losses = F.collect_list(F.col(loss).cast("double")).over(window(keys, *order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    kept = F.aggregate("_losses", F.lit(float("inf")), lambda last, x: F.when(x < last - slack, x).otherwise(last))
+    before_it = F.aggregate(F.slice("_losses", 1, F.size("_losses") - 1), F.lit(float("inf")), lambda last, x: F.when(x < last - slack, x).otherwise(last))
+    return lower.withColumn("_losses", losses).filter(kept < before_it).drop("_losses")
 
 
 def drawdown(rows: DataFrame, keys: Sequence[str], step: str, value: str) -> DataFrame:
@@ -148,3 +155,10 @@ def matched_flag(rows: DataFrame, keys: Sequence[str], flag: Column) -> DataFram
 def median_baseline(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """rows with the median of their group as baseline: an aggregate and a join, so no group needs sorting in one task."""
     return rows.join(rows.groupBy(*keys).agg(F.median(value).alias("baseline")), list(keys))
+
+
+def placed_null_last(rows: DataFrame, keys: Sequence[str], value: str, *ties: str) -> DataFrame:
+    """rows with `place`, from 1 within keys, by value with nulls and NaN last."""
+    from sparkloom.functions.numbers import null_last
+
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(null_last(F.col(value)), *ties)))

@@ -48,6 +48,10 @@ def condition(rows: DataFrame, text: str) -> Column:
             number = float(value)
         except ValueError:
             return F.lit(False)
+        if number != number:
+            return F.lit(False)  # NaN compares with nothing
+        if not isinstance(kind, T.IntegralType | T.DecimalType):
+            left = F.nanvl(left.cast("double"), F.lit(None).cast("double"))
         found = getattr(left, COMPARE[op])(int(number) if number.is_integer() and isinstance(kind, T.IntegralType) else number)
     else:
         shown = stringified(rows, name)
@@ -113,6 +117,50 @@ def rejections(rows: DataFrame, rules: Sequence[tuple[str, Column]]) -> DataFram
     return rows.select(first_reason(rules).alias("reason")).filter("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
+#: Policies on numbers in a text: the condition that they put on it.
+NUMBER_POLICIES = {"any": "", "required": "[0-9]", "decimal": "[0-9]\\.[0-9]"}
+
+
+def number_policy(c: Column, policy: str, most_digits: int | None = None) -> Column:
+    """Whether a text keeps to a policy of NUMBER_POLICIES or to `none`, and has no run of more than `most_digits` digits."""
+    ok = ~c.rlike("[0-9]") if policy == "none" else c.rlike(NUMBER_POLICIES[policy])
+    return ok if most_digits is None else ok & ~c.rlike(f"[0-9]{{{most_digits + 1},}}")
+
+
+def content_rules(question: Column, answer: Column, longest: int = 4000) -> list[tuple[str, Column]]:
+    """Rules for first_reason(): both texts are there, short enough, and whole in their code fences and characters."""
+    both = F.concat_ws("\n", question, answer)
+    return [
+        ("missing_question", F.trim(question) != ""),
+        ("missing_answer", F.trim(answer) != ""),
+        ("too_long", F.length(both) <= longest),
+        ("broken_text", ~both.contains("\ufffd")),
+        ("open_fence", F.regexp_count(both, F.lit("```")) % 2 == 0),
+    ]
+
+
+def grid_members(rows: DataFrame, axes: dict[str, Sequence], required: Sequence[str] = ()) -> DataFrame:
+    """Rows whose every axis has one of the grid's values, and whose required columns aren't null."""
+    for name, values in axes.items():
+        rows = rows.filter(F.col(name).isin(*values))
+    for name in required:
+        rows = rows.filter(F.col(name).isNotNull())
+    return rows
+
+
+def audit_keeps(status: Column, consistent: Column, recommendation: Column) -> Column:
+    """Whether an audit ended well, found the label consistent and recommends to keep the row; never null."""
+    return F.coalesce((F.lower(status) == "ok") & consistent & (F.lower(recommendation) == "keep"), F.lit(False))
+
+
+def renamed(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """rows with columns renamed; where the new name is there already, its values win and the old ones fill nulls."""
+    for old, new in names.items():
+        if old in rows.columns:
+            rows = rows.withColumn(new, F.coalesce(new, old)).drop(old) if new in rows.columns else rows.withColumnRenamed(old, new)
+    return rows
+
+
 def alias_conflicts(rows: DataFrame, aliases: dict[str, str]) -> DataFrame:
     """(alias, n) of the rows whose alias differs from its column, nulls compared as values."""
     parts = F.array(*(F.when(~F.col(a).eqNullSafe(F.col(c)), F.lit(a)) for a, c in aliases.items()))

@@ -148,6 +148,152 @@ def flat_json(rows: DataFrame, keys: Sequence[str], text: str, depth: int = 4) -
     return out
 
 
+def external_features(registered: Column, summary: Column, final: Column, delta: Column, summary_delta: Column, prior: Column) -> Column:
+    """struct(baseline, final, delta, average) of an external evaluation, each from the first source that gives it.
+
+    The baseline is the registered one, else the summary's; the final value is measured, else baseline plus delta; the
+    delta is measured, else the summary's, else final less baseline; the average falls back to the prior one.
+    """
+    base = F.coalesce(registered, summary)
+    change = F.coalesce(delta, summary_delta)
+    last = F.coalesce(final, base + change)
+    return F.struct(base.alias("baseline"), last.alias("final"), F.coalesce(change, last - base).alias("delta"), F.coalesce((last + base) / 2, prior).alias("average"))
+
+
+def length_summary(lengths: Column, main: str) -> Column:
+    """struct(main, mean, median) of a map of lengths by field: the main field's, and over all fields that have one."""
+    known = F.array_sort(F.filter(F.map_values(lengths), lambda x: x.isNotNull()))
+    n = F.size(known)
+    at = lambda i: F.try_element_at(known, i.cast("int"))
+    mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), n)
+    return F.struct(F.try_element_at(lengths, F.lit(main)).alias("main"), mean.alias("mean"), F.when(n > 0, (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2).alias("median"))
+
+
+def primary_files(files: DataFrame, keys: Sequence[str], path: str, marker: str = "original") -> DataFrame:
+    """One file a key: one without the marker in its name if there is one, the first by name among equals."""
+    return ordered.keep_first(files, keys, F.col(path).contains(marker), path)
+
+
+def datasets_in_order(phases: DataFrame, found: DataFrame, run: str, order: str, dataset: str) -> DataFrame:
+    """run, dataset, place: the datasets of the phases in their order, then those only found, by name; each once."""
+    listed = phases.select(run, dataset, F.col(order).cast("long").alias("_at")).unionByName(found.select(run, dataset, F.lit(None).cast("long").alias("_at")))
+    once = listed.groupBy(run, dataset).agg(F.min("_at").alias("_at"))
+    return once.withColumn("place", F.row_number().over(Window.partitionBy(run).orderBy(F.col("_at").asc_nulls_last(), dataset))).drop("_at")
+
+
+def checkpoint_series(rows: DataFrame, keys: Sequence[str], points: str) -> DataFrame:
+    """keys, place, step, value of an array of struct(step, value): by step, those without one last, as they stood."""
+    long = rows.select(*keys, F.posexplode(points).alias("_at", "x")).select(*keys, "_at", "x.step", "x.value")
+    return long.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("step").asc_nulls_last(), "_at"))).drop("_at")
+
+
+def tensor_rows(rows: DataFrame, keys: Sequence[str], tensor: str) -> DataFrame:
+    """keys, seed, step, value of a nested array with a series for each seed."""
+    seeds = rows.select(*keys, F.posexplode(tensor).alias("seed", "_series"))
+    return seeds.select(*keys, "seed", F.posexplode("_series").alias("step", "value"))
+
+
+def noise_type(level: Column, seeded: Column) -> Column:
+    """none, fixed or fresh: whether there is noise, and whether it is drawn once or for each step."""
+    return F.when(F.coalesce(level, F.lit(0.0)) <= 0, "none").otherwise(F.when(seeded, "fixed").otherwise("fresh"))
+
+
+def unique_experiments(rows: DataFrame, name: str, ignored: Sequence[str]) -> DataFrame:
+    """One row for each different set of settings, the first by name; name and the ignored columns aren't settings."""
+    settings = [c for c in rows.columns if c not in (name, *ignored)]
+    cells = F.struct(name, *(c for c in rows.columns if c not in settings and c != name))
+    return rows.groupBy(*settings).agg(F.min(cells).alias("_first")).select(*settings, "_first.*").select(*rows.columns)
+
+
+def phase_places(phases: DataFrame, needs: DataFrame, run: str, phase: str, needed: str, rank: str) -> DataFrame:
+    """run, phase, place: phases after those that they need, by rank and name among those that could come next.
+
+    phases(run, phase, rank), needs(run, phase, needed). What a circle holds up follows at the end in the same order.
+    A run has a handful of phases; whole runs are dealt over the cluster.
+    """
+    import pandas as pd
+
+    listed = needs.groupBy(run, phase).agg(F.collect_set(needed).alias("_needs"))
+    joined = phases.join(listed, [run, phase], "left").select(run, phase, rank, F.coalesce("_needs", F.array().cast("array<string>")).alias("_needs"))
+
+    def place(rows: pd.DataFrame) -> pd.DataFrame:
+        open_, out = {p: (r, p, set(n)) for p, r, n in zip(rows[phase], rows[rank], rows["_needs"], strict=True)}, []
+        while open_:
+            free = [x for x in open_.values() if not x[2] & (open_.keys() - {x[1]})] or list(open_.values())
+            out.append(min(free, key=lambda x: x[:2])[1])
+            del open_[out[-1]]
+        return pd.DataFrame({run: rows[run].iloc[0], phase: out, "place": range(len(out))})
+
+    kinds = {f.name: f.dataType.simpleString() for f in phases.schema.fields}
+    return joined.groupBy(run).applyInPandas(place, f"`{run}` {kinds[run]}, `{phase}` {kinds[phase]}, place int")
+
+
+def phase_order(forced: Column, configured: Column, commands: Column, suffix: Column, explicit: Column, existing: Column, default: Sequence[str]) -> Column:
+    """struct(order, source): the first order of phases that isn't empty, in this rank of sources, and where it is from."""
+    sources = {"forced": forced, "config": configured, "commands": commands, "suffix": suffix, "explicit": explicit, "existing": existing}
+    out = F.struct(F.array(*map(F.lit, default)).alias("order"), F.lit("default").alias("source"))
+    for name, order in reversed(sources.items()):
+        out = F.when(F.size(order) > 0, F.struct(order.alias("order"), F.lit(name).alias("source"))).otherwise(out)
+    return out
+
+
+def suffix_phases(name: Column, known: Mapping[str, Sequence[str]]) -> Column:
+    """The phases that a run's name tells by its longest known ending; an empty list if it tells none."""
+    out = F.array().cast("array<string>")
+    for end in sorted(known, key=len):
+        out = F.when(name.endswith(end), F.array(*map(F.lit, known[end]))).otherwise(out)
+    return out
+
+
+def sampled_occupancy(tree: DataFrame, depth: int, walks: int, seed: str) -> DataFrame:
+    """(state, depth, share) of `walks` walks down a prefix tree(state, depth, child, p) from state 0.
+
+    A walk's step is chosen by the hash of seed, walk and depth, so that the same walks come out on any layout.
+    """
+    from sparkloom.functions.hashing import hash_unit
+
+    w = Window.partitionBy("state", "depth").orderBy("child")
+    edges = tree.withColumn("_to", F.sum("p").over(w)).withColumn("_last", F.lead("child").over(w).isNull()).withColumn("_from", F.col("_to") - F.col("p"))
+    at = tree.sparkSession.range(walks).select(F.col("id").alias("walk"), F.lit(0).cast("long").alias("state"))
+    out = None
+    for d in range(depth + 1):
+        level = at.groupBy("state").agg((F.count("*") / walks).alias("share")).select("state", F.lit(d).alias("depth"), "share")
+        out = level if out is None else out.unionByName(level)
+        if d < depth:
+            unit = at.withColumn("_u", hash_unit(F.lit(seed), F.col("walk"), F.lit(d)))
+            step = unit.join(edges.filter(F.col("depth") == d).drop("depth"), "state")
+            at = step.filter((F.col("_u") >= F.col("_from")) & ((F.col("_u") < F.col("_to")) | F.col("_last"))).select("walk", F.col("child").alias("state"))
+    return out
+
+
+def free_paths(ids: DataFrame, ident: str, steps: int, seed: str, retries: int = 100) -> DataFrame:
+    """ident, attempt, path: walks of unit steps that never meet themselves, the first of up to `retries` draws.
+
+    Directions come from hashes of seed, id, attempt and step. An id all of whose draws meet themselves has no row.
+    Attempts are drawn ten at a time, and only for the ids that still need one.
+    """
+    from sparkloom.functions.hashing import hash_unit
+
+    def draw(of: DataFrame, first: int, last: int) -> DataFrame:
+        tries = of.select(ident, F.explode(F.sequence(F.lit(first), F.lit(last))).alias("attempt"))
+        turn = F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda k: F.floor(hash_unit(F.lit(seed), F.col(ident), F.col("attempt"), k) * 4).cast("int"))
+        along = lambda k: F.transform("turn", lambda d: F.when(d == k, 1).when(d == k + 2, -1).otherwise(0))
+        x, y = along(0), along(1)
+        start = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))
+        path = F.aggregate(F.arrays_zip(F.col("dx"), F.col("dy")), start, lambda p, d: F.concat(p, F.array(F.struct((F.element_at(p, -1)["x"] + d["dx"]).alias("x"), (F.element_at(p, -1)["y"] + d["dy"]).alias("y")))))
+        walks = tries.withColumn("turn", turn).withColumns({"dx": x, "dy": y}).select(ident, "attempt", path.alias("path"))
+        free = walks.filter(F.size(F.array_distinct("path")) == steps + 1)
+        return free.groupBy(ident).agg(F.min(F.struct("attempt", "path")).alias("_x")).select(ident, "_x.*")
+
+    found = draw(ids, 0, min(9, retries - 1))
+    for first in range(10, retries, 10):
+        rest = ids.join(found, ident, "left_anti")
+        if rest.isEmpty():
+            break
+        found = found.unionByName(draw(rest, first, min(first + 9, retries - 1)))
+    return found
+
+
 def folded_edges(edges: Column) -> Column:
     """struct(x, y, ok): the end of a chain of edges (parent, child, dx, dy, distance); ok while each begins where the last ended."""
     start = F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("at"))

@@ -10,18 +10,9 @@ from sparkloom.operators import context, scoring
 from .registry import query, table
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS slug, CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS INTEGER) AS tokens, regexp_matches(text, '(?i)https?://') AS has_url FROM documents WHERE n_chars < 400")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS slug, CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS INTEGER) AS tokens, regexp_matches(text, '(?i)https?://') AS has_url FROM documents")
 def text_features(spark, folder):
-    """The short documents that its SQL asks for; all_text_features has every document."""
-    return features(table(spark, folder, "documents").filter("n_chars < 400"))
-
-
-@query()
-def all_text_features(spark, folder):
-    return features(table(spark, folder, "documents"))
-
-
-def features(rows):
+    rows = table(spark, folder, "documents")
     return rows.select("doc_id", text.slug(F.col("text")).alias("slug"), text.count_tokens(F.col("text")).alias("tokens"), (F.size(text.flags(F.col("text"), {"url": "(?i)https?://"})) > 0).alias("has_url"))
 
 

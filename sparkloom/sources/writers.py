@@ -25,9 +25,12 @@ def save_splits(splits: Mapping[str, DataFrame], root: str, overwrite: bool = Fa
             rows.write.parquet(f"{work}/{name}")
         for name in splits:
             target = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-            if name in taken:
-                files.delete(target, True)
-            files.rename(jvm.org.apache.hadoop.fs.Path(f"{work}/{name}"), target)
+            if name in taken:  # the old split stays beside the new ones until all have their names
+                files.rename(target, jvm.org.apache.hadoop.fs.Path(f"{root}/.old-{name}-{work[-32:]}"))
+            if not files.rename(jvm.org.apache.hadoop.fs.Path(f"{work}/{name}"), target):
+                raise OSError(f"{target} wasn't written")
+        for name in taken:
+            files.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/.old-{name}-{work[-32:]}"), True)
     finally:
         files.delete(jvm.org.apache.hadoop.fs.Path(work), True)
 
@@ -52,9 +55,13 @@ def write_unified(tables: Mapping[str, DataFrame], path: str) -> None:
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """old and new with one row a key: the last one, new rows after old ones; order is the column _order where it is given."""
+    """old and new with one row a key: the last one, new rows after old ones; order is the column _order where it is given.
+
+    Rows of one side and key that nothing orders are told apart by their values, so the result doesn't depend on the layout.
+    """
     both = old.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)), allowMissingColumns=True)
-    order = [F.col("_side").desc(), *([F.col("_order").desc()] if "_order" in both.columns else [])]
+    values = F.to_json(F.struct(*sorted(c for c in both.columns if c not in ("_side", "_order"))))
+    order = [F.col("_side").desc(), *([F.col("_order").desc()] if "_order" in both.columns else []), values.desc()]
     return both.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rank = 1").drop("_rank", "_side")
 
 
@@ -67,3 +74,17 @@ def append_history(spark: SparkSession, rows: list[Mapping[str, str]], path: str
 def export_matches(rows: DataFrame, path: str) -> None:
     """Matches with their _index as JSON lines."""
     rows.select("_index", *(c for c in rows.columns if c != "_index")).write.json(path)
+
+
+def merge_complete(spark: SparkSession, manifest: DataFrame, parts: DataFrame, shard: str, path: str, keys: Sequence[str]) -> None:
+    """Upserts parts into the table under path, once every shard of the manifest is among them; else a ValueError.
+
+    Merging the same parts again changes nothing. The new table is written beside the old one before it takes its place.
+    """
+    missing = manifest.select(shard).distinct().join(parts.select(shard).distinct(), shard, "left_anti")
+    few = [r[0] for r in missing.orderBy(shard).limit(5).collect()]
+    if few:
+        raise ValueError(f"shards are missing, such as {few}")
+    old = f"{path}/merged"
+    merged = upserted(spark.read.parquet(old), parts, keys) if exists(spark, old) else upserted(parts.limit(0), parts, keys)
+    save_splits({"merged": merged}, path, overwrite=True)

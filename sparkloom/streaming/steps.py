@@ -39,14 +39,16 @@ def distinct_steps(events: DataFrame, time: str, keys: Sequence[str], late: str
 
 
 def upsert_into(stream: DataFrame, path: str, keys: Sequence[str], checkpoint: str) -> StreamingQuery:
-    """Keeps the last row of each key under path: every batch writes a new version beside the old one, then points at it."""
+    """Keeps the last row of each key under path: every batch writes a new version beside the latest one before it.
+
+    Within a batch the column _order decides where it is given; a batch that runs again writes its version anew.
+    """
     from sparkloom.sources.readers import exists
     from sparkloom.sources.writers import upserted
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = f"{path}/v{number - 1}"
-        rows = batch.dropDuplicates(list(keys))
-        (upserted(spark.read.parquet(old), rows, keys) if number and exists(spark, old) else rows).write.mode("overwrite").parquet(f"{path}/v{number}")
+        old = next((f"{path}/v{n}" for n in range(number - 1, -1, -1) if exists(spark, f"{path}/v{n}")), None)
+        (upserted(spark.read.parquet(old) if old else batch.limit(0), batch, keys)).write.mode("overwrite").parquet(f"{path}/v{number}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
