@@ -24,6 +24,8 @@ from .common import arrow_map, discard, salted_join, stored
 #: row1, row2: a row's id and a hash of its text. span: the context's first window and how many follow it.
 ANCHOR_SCHEMA = "row1 long, row2 long, key long, ctx1 long, ctx2 long, span long"
 CLASS = ["key", "ctx1", "ctx2"]
+#: Windows of a hot key's context that stand or fall together at first.
+BLOCK = 6
 #: Bits of a span for the number of following windows.
 BITS = 16
 #: Bytes of a text whose symbols are held at once.
@@ -209,25 +211,62 @@ def bodies_of(groups: DataFrame, docs: DataFrame, window: int, cut, in_order: bo
     return stored(arrow_map(joined, run, "key long, ctx1 long, ctx2 long, part int, row1 long, hot boolean, body binary"))
 
 
-def single_windows(bodies: DataFrame, window: int, symbols_of) -> DataFrame:
-    """The windows of hot keys' bodies, stored: CLASS, part, row1, at (from the context's first), h1, h2 (128 hash bits)."""
+def anchor_place(symbols: np.ndarray, window: int, gram: int, power) -> int:
+    """Where the anchor of a context stands, which all its windows share."""
+    start = np.arange(window - gram + 1)
+    return int(leftmost_minimum(Ranges(symbols[:window], power).of(start, start + gram), len(start))[0])
 
-    def run(batches):
+
+def hot_windows(bodies: DataFrame, window: int, gram: int, symbols_of) -> DataFrame:
+    """The windows of hot keys' bodies that may start elsewhere: CLASS, part, row1, at (from the context's first), h1, h2.
+
+    Equal windows have their anchor at the same offset, so the windows of a body whose offsets fall into one block of BLOCK
+    have a core in common that a window equal to one of them has, too: blocks whose core stands in no other body go first,
+    by their 128-bit hashes, and only the rest are cut into windows, with 128-bit hashes of their own.
+    """
+    keys, one = [*CLASS, "part"], ["h1", "h2"]
+    hot = bodies.filter("hot").select(*keys, "row1", "body")
+
+    def hashed(symbols, power, start, stop, salt):
+        return [mix(Ranges(s, power).of(start, stop) ^ salt).view(np.int64) for s in (symbols, mix(symbols ^ SECOND))]
+
+    def blocks(batches):
         to_symbols = symbols_of()
         for batch in batches:
+            rows, parts = [], []
             for i, body in enumerate(batch.column("body")):
                 symbols = np.concatenate([np.empty(0, np.uint64), *to_symbols(body.as_buffer())])
-                start = np.arange(max(0, len(symbols) - window + 1))
-                power = powers(len(symbols) + 1)
-                h = [Ranges(s, power).of(start, start + window).view(np.int64) for s in (symbols, mix(symbols ^ SECOND))]
+                power, at = powers(len(symbols) + 1), anchor_place(symbols, window, gram, powers(window + 1))
+                block = np.unique((at - np.arange(len(symbols) - window + 1)) // BLOCK)
+                begin = at - block * BLOCK
+                rows.append(np.full(len(block), i))
+                parts.append([block, *hashed(symbols, power, begin, begin - BLOCK + 1 + window, mix(block.astype(np.uint64)))])
+            if rows:
+                own = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(own) for k in keys), *(pa.array(np.concatenate(x)) for x in zip(*parts, strict=True))], [*keys, "block", *one])
+
+    cores = stored(arrow_map(hot, blocks, "key long, ctx1 long, ctx2 long, part int, block long, h1 long, h2 long"))
+    shared = stored(cores.groupBy(*one).agg(F.count("*").alias("n")).filter("n > 1"))
+    live = salted_join(cores, shared, one, "n", cores.count(), F.struct(*keys)).groupBy(*keys).agg(F.collect_list("block").alias("blocks"))
+
+    def windows(batches):
+        to_symbols = symbols_of()
+        for batch in batches:
+            for i, body in enumerate(batch.column("body")):
+                symbols = np.concatenate([np.empty(0, np.uint64), *to_symbols(body.as_buffer())])
+                power, at = powers(len(symbols) + 1), anchor_place(symbols, window, gram, powers(window + 1))
+                start = np.arange(len(symbols) - window + 1)
+                start = start[np.isin((at - start) // BLOCK, batch.column("blocks")[i].values.to_numpy())]
                 own = pa.array(np.full(len(start), i))
-                names = [*CLASS, "part", "row1"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(own) for k in names), pa.array(start), *map(pa.array, h)], [*names, "at", "h1", "h2"])
+                names = [*keys, "row1"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(own) for k in names), pa.array(start), *map(pa.array, hashed(symbols, power, start, start + window, np.uint64(0)))], [*names, "at", *one])
 
-    return stored(arrow_map(bodies.filter("hot").select(*CLASS, "part", "row1", "body"), run, "key long, ctx1 long, ctx2 long, part int, row1 long, at long, h1 long, h2 long"))
+    out = stored(arrow_map(hot.join(live, keys), windows, "key long, ctx1 long, ctx2 long, part int, row1 long, at long, h1 long, h2 long"))
+    discard(cores, shared)
+    return out
 
 
-def found_in_hot_keys(bodies: DataFrame, window: int, symbols_of, cut, search) -> DataFrame:
+def found_in_hot_keys(bodies: DataFrame, window: int, gram: int, symbols_of, cut, search) -> DataFrame:
     """CLASS, part, a, b (equal): the windows of hot keys that also start elsewhere.
 
     Windows are grouped by their hashes; the first and the last of each group are searched as if the group were a key.
@@ -235,7 +274,7 @@ def found_in_hot_keys(bodies: DataFrame, window: int, symbols_of, cut, search) -
     one = ["h1", "h2"]
     if bodies.filter("hot").isEmpty():
         return bodies.filter("hot").select(*CLASS, "part", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
-    windows = single_windows(bodies, window, symbols_of)
+    windows = hot_windows(bodies, window, gram, symbols_of)
     where = F.struct("row1", *CLASS, "part", "at")
     groups = stored(windows.groupBy(*one).agg(F.count("*").alias("n"), F.min(where).alias("first"), F.max(where).alias("last")).filter("n > 1"))
     ends = groups.select(*one, F.explode(F.array(F.struct(F.lit(0).alias("end"), "first.*"), F.struct(F.lit(1).alias("end"), "last.*"))).alias("x")).select(*one, "x.*")
@@ -268,7 +307,7 @@ def removed_spans(docs: DataFrame, window: int, gram: int, limit: int, symbols_o
     anchors, n = live(anchor_table(docs, window, gram, symbols_of))
     groups = classes_of(anchors, limit)
     bodies = bodies_of(groups, docs, window, cut, in_order)
-    found = stored(search(bodies.filter("not hot"), window).unionByName(found_in_hot_keys(bodies, window, symbols_of, cut, search)))
+    found = stored(search(bodies.filter("not hot"), window).unionByName(found_in_hot_keys(bodies, window, gram, symbols_of, cut, search)))
     discard(bodies)
     lists = [F.collect_list(F.when(F.col("part") == k, F.struct("a", "b"))).alias(name) for k, name in enumerate(("of_first", "of_rest"))]
     marks = stored(found.groupBy(*CLASS).agg(*lists).join(groups.select(*CLASS, "n", F.col("first.row1").alias("least")), CLASS))

@@ -94,7 +94,7 @@ def test_equal_hashes_of_different_contexts(spark, hot):
     bodies = anchors.bodies_of(groups, rows, 200, suffix.byte_cut, False)
     assert bodies.count() == 2
     assert suffix.search_keys(bodies.filter("not hot"), 200).count() == 0
-    assert anchors.found_in_hot_keys(bodies, 200, suffix.byte_symbols, suffix.byte_cut, suffix.search_keys).count() == 0
+    assert anchors.found_in_hot_keys(bodies, 200, suffix.GRAM, suffix.byte_symbols, suffix.byte_cut, suffix.search_keys).count() == 0
 
 
 def test_common_prefixes_compare_bytes():
