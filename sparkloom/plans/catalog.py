@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checks, datasets, grids, measures, runs, series, texts, vectors
+from . import checks, datasets, grids, measures, puzzles, runs, series, texts, vectors
 from .registry import QUERIES, SQL, Query
 
-MODULES = (checks, datasets, grids, measures, runs, series, texts, vectors)
+MODULES = (checks, datasets, grids, measures, puzzles, runs, series, texts, vectors)
 
 
 def queries() -> dict[str, Query]:
