@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows of the smaller side up to which a containment join broadcasts it; it must be a checked, small set.
 BROADCAST_ROWS = 100_000
+#: Letters at most by which passages without an inner word are looked up.
+GRAM = 6
 
 
 def on_null_safe(keys: Sequence[str], left: str = "a", right: str = "b") -> Column:
@@ -86,8 +88,11 @@ def top_examples(rows: DataFrame, keys: Sequence[str], value: str, examples: int
     """keys, n and the first few values in order, without gathering all of a group's values."""
     from pyspark.sql import Window
 
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(value)))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_rank") <= examples, F.col(value)))).alias("examples"))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(64)))  # so that a hot group isn't ranked in one task
+    near = salted.withColumn("_near", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(value))).filter(F.col("_near") <= examples)
+    ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(value))).filter(F.col("_rank") <= examples)
+    return counts.join(ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("examples")), list(keys))
 
 
 def key_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -114,7 +119,8 @@ def contained_passages(texts: DataFrame, text: str, passages: DataFrame, passage
 
     A word with blanks on both sides in a passage has them in the text, too: the longest such word is the passage's key.
     A text meets the passages keyed by any of its words, through a broadcast list while there are up to BROADCAST_ROWS
-    passages and a shuffled join beyond. Passages without an inner word are few and short; they meet every text.
+    passages and a shuffled join beyond. Passages without an inner word are keyed by their first letters, GRAM at most, and
+    a text meets them by its own stretches of as many letters.
     """
     words = F.split(passage, " ")
     inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
@@ -123,5 +129,15 @@ def contained_passages(texts: DataFrame, text: str, passages: DataFrame, passage
     own = keyed.filter("_key is not null")
     words_of = texts.withColumn("_key", F.explode(F.array_distinct(F.split(text, " "))))
     hits = words_of.join(F.broadcast(own) if few else own, "_key").filter(F.col(text).contains(F.col(passage))).drop("_key")
-    short = keyed.filter("_key is null").drop("_key")
-    return hits.unionByName(texts.join(F.broadcast(short) if few else short, F.col(text).contains(F.col(passage))))
+    short = keyed.filter("_key is null").withColumn("_key", F.substring(passage, 1, GRAM))
+    sizes = [r[0] for r in short.select(F.length("_key")).distinct().collect()]  # GRAM at most
+    for n in sizes:
+        own = short.filter(F.length("_key") == n)
+        met = texts.withColumn("_key", F.explode(F.array_distinct(grams_of(F.col(text), n)))).join(F.broadcast(own) if few else own, "_key")
+        hits = hits.unionByName(met.filter(F.col(text).contains(F.col(passage))).drop("_key"))
+    return hits
+
+
+def grams_of(c: Column, n: int) -> Column:
+    """All stretches of n letters of a text."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n)))

@@ -15,6 +15,22 @@ def hash_rank(keys: Sequence[str], seed: str, ident: str) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(hash_id(F.lit(seed), F.col(ident), digits=64), ident))
 
 
+def with_rank(rows: DataFrame, keys: Sequence[str], seed: str, ident: str) -> DataFrame:
+    """rows with _rank, the same as hash_rank(), where a group may hold a large share of all rows.
+
+    A group is cut into ranges of hashes; rows are ranked within a range, and ranges count on from those before them.
+    """
+    dealt = rows.withColumn("_hash", hash_id(F.lit(seed), F.col(ident), digits=64)).withColumn("_range", F.substring("_hash", 1, 4))
+    counts = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    ahead = counts.withColumn("_ahead", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n"))
+    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("_hash", ident)))
+    a, b = own.alias("a"), ahead.alias("b")
+    same = F.col("a._range") == F.col("b._range")
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return a.join(b, same).select(*(F.col(f"a.{c}") for c in rows.columns), (F.col("a._own") + F.col("b._ahead")).alias("_rank"))
+
+
 def hash_order(rows: DataFrame, ident: str, seed: str) -> DataFrame:
     """rows in the order of their hash."""
     return rows.orderBy(hash_unit(F.lit(seed), F.col(ident)), ident)
@@ -38,26 +54,23 @@ def nested(rows: DataFrame, bucket: str, ident: str, sizes: Sequence[int], seed:
     level = F.lit(None).cast("int")
     for size in sorted(sizes, reverse=True):
         level = F.when(F.col("_rank") <= size, size).otherwise(level)
-    return rows.withColumn("_rank", hash_rank([bucket], seed, ident)).withColumn("level", level).drop("_rank").filter("level is not null")
+    return with_rank(rows, [bucket], seed, ident).withColumn("level", level).drop("_rank").filter("level is not null")
 
 
 def train_eval(rows: DataFrame, bucket: str, ident: str, share: float, seed: str) -> DataFrame:
     """split: in each bucket max(1, round half even of n * share), n - 1 at most, go to eval; single rows to train."""
-    n = F.count("*").over(Window.partitionBy(bucket))
+    n = F.col("_n")
     take = F.when(n == 1, 0).otherwise(F.least(n - 1, F.greatest(F.lit(1), F.bround(n * F.lit(share)).cast("long"))))
-    return rows.withColumn("split", F.when(hash_rank([bucket], seed, ident) <= take, "eval").otherwise("train"))
+    counts = rows.groupBy(bucket).agg(F.count("*").alias("_n")).select(F.col(bucket).alias("_bucket"), take.alias("_take"))
+    ranked = with_rank(rows, [bucket], seed, ident).join(counts, F.col(bucket).eqNullSafe(F.col("_bucket")))
+    return ranked.withColumn("split", F.when(F.col("_rank") <= F.col("_take"), "eval").otherwise("train")).drop("_rank", "_bucket", "_take")
 
 
 def three_way(rows: DataFrame, ident: str, n_train: int, n_eval: int, seed: str) -> DataFrame:
-    """split: by hash order n_train rows to train, the next n_eval to eval, the rest to test.
-
-    The order's two limits are looked up first; no row needs a place among all rows.
-    """
-    at = hash_unit(F.lit(seed), F.col(ident))
-    edge = lambda n: rows.select(at.alias("u"), F.col(ident).alias("i")).orderBy("u", "i").limit(n).agg(F.max(F.struct("u", "i")).alias("edge"))
-    limits = edge(n_train).crossJoin(edge(n_train + n_eval).withColumnRenamed("edge", "edge2"))  # one row each
-    own = F.struct(at.alias("u"), F.col(ident).alias("i"))
-    return rows.join(F.broadcast(limits)).withColumn("split", F.when(own <= F.col("edge"), "train").when(own <= F.col("edge2"), "eval").otherwise("test")).drop("edge", "edge2")
+    """split: by hash order n_train rows to train, the next n_eval to eval, the rest to test."""
+    rank = F.col("_rank")
+    split = F.when(rank <= n_train, "train").when(rank <= n_train + n_eval, "eval").otherwise("test")
+    return with_rank(rows, [], seed, ident).withColumn("split", split).drop("_rank")
 
 
 def schedule(rows: DataFrame, counts: int, values: Sequence[str], seed: str) -> DataFrame:
@@ -97,21 +110,67 @@ def unique_in_order(rows: DataFrame, keys: Sequence[str], split_rank: str, ident
     return rows
 
 
-def batches(rows: DataFrame, key: str, order: str, size: str, most_rows: int, most_size: int) -> DataFrame:
+def batches(rows: DataFrame, key: str, order: str, size: str, most_rows: int, most_size: int, chunk: int = 500_000) -> DataFrame:
     """batch: greedy runs of rows within a key, in order, up to a number of rows and a sum of sizes.
 
-    A row larger than the limit stops the job. The sum starts anew with each batch, which no running sum can express; a
-    fold over a key's sizes can, so only they are gathered, not the rows.
+    A row larger than the limit stops the job; (key, order) must be unique, and rows without a key get no batch and go. Where a batch begins depends on all before it,
+    but it begins within `most_rows` rows of any place. So keys are cut into chunks of rows; each chunk tells, for every
+    row that its first batch may begin with, how many batches follow and where the first one of the next chunk begins; a
+    key's chunks are then joined end to end, and only then rows learn their batches.
     """
-    ordered = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("items"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("rows"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("out"))
-
-    def step(a, x):
-        full = (a["rows"] + 1 > most_rows) | (a["sum"] + x["s"] > most_size)
-        fresh = full & (a["rows"] > 0)
-        batch = F.when(F.lit(most_size) < x["s"], F.raise_error(F.lit("a row is larger than a batch"))).otherwise(a["batch"] + fresh.cast("int"))
-        return F.struct(batch.cast("int").alias("batch"), F.when(fresh, 1).otherwise(a["rows"] + 1).alias("rows"), F.when(fresh, x["s"]).otherwise(a["sum"] + x["s"]).alias("sum"), F.concat(a["out"], F.array(batch.cast("int"))).alias("out"))
-
-    placed = ordered.withColumn("b", F.aggregate("items", start, step)["out"])
-    found = placed.select(key, F.explode(F.arrays_zip("items", "b")).alias("x")).select(key, F.col("x.items.o").alias(order), F.col("x.b").alias("batch"))
-    return rows.join(found, [key, order])
+    import numpy as np
+    import pandas as pd
+
+    limit = F.when(F.col(size).cast("long") <= most_size, F.col(size).cast("long")).otherwise(F.raise_error(F.lit("a row is larger than a batch")).cast("long"))
+    placed = rows.select(key, order, limit.alias("_size")).orderBy(key, order).withColumn("_id", F.monotonically_increasing_id())
+    part = F.shiftright("_id", 33)
+    parts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # one row a partition
+    parts = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_ahead"))
+    placed = placed.withColumn("_part", part).join(F.broadcast(parts), "_part").withColumn("_at", F.col("_ahead") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    first = placed.groupBy(key).agg(F.min("_at").alias("_first"))
+    placed = placed.join(first, key).select(key, order, "_size", (F.col("_at") - F.col("_first")).alias("_at")).withColumn("_chunk", F.floor(F.col("_at") / chunk).cast("long"))
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def following(data: pd.DataFrame) -> np.ndarray:
+        """For each row of a chunk and of what lies ahead, where the next batch begins if one begins with it."""
+        sums = np.r_[0, np.cumsum(data["_size"].to_numpy())]
+        start = np.arange(len(data))
+        return np.minimum(np.searchsorted(sums, sums[:-1] + most_size, "right") - 1, start + most_rows)
+
+    def ways(data: pd.DataFrame) -> pd.DataFrame:
+        data = data.sort_values("_at")
+        own = int((data["_at"] // chunk == data["_chunk"]).sum())
+        ahead = following(data)
+        exits, n = np.arange(len(data) + 1), np.zeros(len(data) + 1, np.int64)
+        for i in range(own - 1, -1, -1):
+            exits[i], n[i] = exits[ahead[i]], n[ahead[i]] + 1
+        entry = np.arange(min(most_rows, own))
+        return pd.DataFrame({key: data[key].iloc[0], "_chunk": data["_chunk"].iloc[0], "_entry": entry, "_exit": exits[entry] - own, "_batches": n[entry]})
+
+    def joined(data: pd.DataFrame) -> pd.DataFrame:
+        out, entry, batch = [], 0, 0
+        for c, way in data.sort_values(["_chunk", "_entry"]).groupby("_chunk"):
+            out.append((c, entry, batch))
+            if entry < len(way):
+                batch += int(way["_batches"].iloc[entry])
+                entry = int(way["_exit"].iloc[entry])
+        found = pd.DataFrame(out, columns=["_chunk", "_entry", "_batch"])
+        found.insert(0, key, data[key].iloc[0])
+        return found
+
+    def told(data: pd.DataFrame) -> pd.DataFrame:
+        data = data.sort_values("_at")
+        own = data[data["_at"] // chunk == data["_chunk"]]
+        ahead, starts, i = following(data), np.zeros(len(own), np.int64), int(data["_entry"].iloc[0])
+        while i < len(own):
+            starts[i] = 1
+            i = int(ahead[i])
+        return pd.DataFrame({key: own[key], order: own[order], "batch": int(data["_batch"].iloc[0]) - 1 + np.cumsum(starts)})
+
+    # A row lies ahead of the chunk before it, if that chunk's last batch may reach it.
+    reached = F.when((F.col("_at") % chunk < most_rows) & (F.col("_chunk") > 0), F.array(F.col("_chunk"), F.col("_chunk") - 1)).otherwise(F.array("_chunk"))
+    seen = placed.withColumn("_chunk", F.explode(reached))
+    found = seen.groupBy(key, "_chunk").applyInPandas(ways, f"`{key}` {kind[key]}, _chunk long, _entry long, _exit long, _batches long")
+    begins = found.groupBy(key).applyInPandas(joined, f"`{key}` {kind[key]}, _chunk long, _entry long, _batch long")
+    known = seen.join(begins, [key, "_chunk"]).groupBy(key, "_chunk").applyInPandas(told, f"`{key}` {kind[key]}, `{order}` {kind[order]}, batch int")
+    return rows.join(known, [key, order])

@@ -184,8 +184,11 @@ def top_two_per_customer(spark, folder):
     return table(spark, folder, "orders").select("o_orderkey", "o_custkey", F.row_number().over(w).alias("place")).filter("place <= 2")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+s AS (SELECT source, i, n_chars, 0 AS batch, 1 AS c, n_chars AS t FROM r WHERE i = 1 UNION ALL
+ SELECT r.source, r.i, r.n_chars, batch + CASE WHEN c + 1 > 20 OR t + r.n_chars > 200000 THEN 1 ELSE 0 END, CASE WHEN c + 1 > 20 OR t + r.n_chars > 200000 THEN 1 ELSE c + 1 END, CASE WHEN c + 1 > 20 OR t + r.n_chars > 200000 THEN r.n_chars ELSE t + r.n_chars END FROM s JOIN r ON r.source = s.source AND r.i = s.i + 1)
+SELECT source, batch, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM s GROUP BY ALL""")
 def size_bounded_batches(spark, folder):
-    """Greedy parts of each source by rows and characters: a fold, which plain SQL can't express."""
+    """Greedy parts of each source by rows and characters."""
     rows = table(spark, folder, "documents").select("source", "doc_id", "n_chars")
     return sampling.batches(rows, "source", "doc_id", "n_chars", 20, 200_000).groupBy("source", "batch").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))

@@ -10,12 +10,21 @@ from sparkloom.operators import context, scoring
 from .registry import query, table
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS slug, CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS INTEGER) AS tokens, regexp_matches(text, '(?i)https?://') AS has_url FROM documents")
+FEATURES = "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS slug, CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS INTEGER) AS tokens, regexp_matches(text, '(?i)https?://') AS has_url FROM documents"
+
+
+@query(FEATURES)
 def text_features(spark, folder):
     rows = table(spark, folder, "documents")
     return rows.select("doc_id", text.slug(F.col("text")).alias("slug"), text.count_tokens(F.col("text")).alias("tokens"), (F.size(text.flags(F.col("text"), {"url": "(?i)https?://"})) > 0).alias("has_url"))
 
 
+@query(FEATURES)
+def all_text_features(spark, folder):
+    """The same under its former name."""
+    return text_features(spark, folder)
+
+
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE 1 END AS score FROM lineitem")
 def boxed_coordinates(spark, folder):
     """Responses made from the row: every third one swaps the pair's order and adds a box before."""
