@@ -60,37 +60,31 @@ def words_at(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class Prefixes:
-    """Lengths of common prefixes of places of a text, `depth` at most, by comparing 8 bytes at a time."""
+    """Lengths of common prefixes of places of a text, `depth` at most, by comparing STRETCH bytes at a time."""
 
-    def __init__(self, words: np.ndarray, depth: int):
-        """words: of words_at()."""
-        self.words, self.depth = words, depth
+    STRETCH = 32
+
+    def __init__(self, text: np.ndarray, depth: int):
+        self.padded = np.concatenate([text, np.zeros(2 * depth + 2 * self.STRETCH, np.uint8)])
+        #: For each place the bytes from there.
+        self.stretches = np.ndarray(len(self.padded) - self.STRETCH + 1, f"V{self.STRETCH}", self.padded, strides=(1,))
+        self.depth = depth
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.full(len(a), self.depth, np.int64)
-        at = np.arange(len(a))
-        for k in range(0, self.depth, 8):
-            x = self.words[a + k] ^ self.words[b + k]
-            ends = np.flatnonzero(x)
+        out, at = np.full(len(a), self.depth, np.int64), np.arange(len(a))
+        for k in range(0, self.depth, self.STRETCH):
+            x, y = (self.stretches[p + k].view(np.uint64).reshape(len(p), -1) for p in (a, b))
+            differ = np.bitwise_or.reduce([x[:, i] ^ y[:, i] for i in range(x.shape[1])]) != 0
+            ends = np.flatnonzero(differ)
             if len(ends):
-                # The first byte that differs is the highest one that isn't zero.
-                out[at[ends]] = np.minimum(k + leading_zero_bytes(x[ends]), self.depth)
-                going = x == 0
-                at, a, b = at[going], a[going], b[going]
+                first = (x[ends].view(np.uint8) != y[ends].view(np.uint8)).argmax(axis=1)
+                out[at[ends]] = np.minimum(k + first, self.depth)
+                at, a, b = at[~differ], a[~differ], b[~differ]
             if not len(at):
                 break
         return out
 
 
-def leading_zero_bytes(x: np.ndarray) -> np.ndarray:
-    n = np.full(len(x), 7)
-    for size in (4, 2, 1):
-        high = x >> np.uint64(8 * size) > 0
-        n -= size * high
-        x = np.where(high, x >> np.uint64(8 * size), x)
-    return n
-
-
 def sort_directly(words: np.ndarray, prefixes: Prefixes, places: np.ndarray, depth: int) -> np.ndarray:
     """places ordered by their suffixes' first `depth` bytes.
 
@@ -116,7 +110,13 @@ def sort_directly(words: np.ndarray, prefixes: Prefixes, places: np.ndarray, dep
     return order
 
 
-def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None, words: np.ndarray | None = None) -> np.ndarray:
+def next_true(flags: np.ndarray) -> np.ndarray:
+    """For each place the first one from there on whose flag is set; the length of flags where there is none."""
+    at = np.where(flags, np.arange(len(flags)), len(flags))
+    return np.minimum.accumulate(at[::-1])[::-1]
+
+
+def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """The order of the suffixes of text (of the wanted ones and those that induce them) to `depth` bytes, two-stage.
 
     A suffix is small if it precedes its successor. Small suffixes are sorted directly and close their byte's bucket;
@@ -127,8 +127,7 @@ def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None,
         return np.empty(0, np.int64)
     differ = np.r_[text[1:] != text[:-1], True]
     rising = np.r_[text[1:] > text[:-1], False]  # the last suffix is followed by the empty one, which is smaller
-    following = np.flatnonzero(differ)
-    small = rising[following[np.searchsorted(following, np.arange(n))]]
+    small = rising[next_true(differ)]
     kept = np.ones(n, bool) if wanted is None else wanted.copy()
     while True:  # a large suffix needs its successor
         more = np.flatnonzero(kept[:-1] & ~small[:-1] & ~kept[1:]) + 1
@@ -139,8 +138,8 @@ def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None,
     end = np.cumsum(count)
     front = end - count
     out = np.full(int(end[-1]), -1, np.int64)
-    words = words_at(text, depth) if words is None else words
-    direct = sort_directly(words, Prefixes(words, depth + 8), np.flatnonzero(small & kept), depth)
+    words = words_at(text, depth)
+    direct = sort_directly(words, Prefixes(text, depth + 8), np.flatnonzero(small & kept), depth)
     owned = np.bincount(text[direct], minlength=256)
     begin = np.r_[0, np.cumsum(owned)]
     for c in range(256):
@@ -168,14 +167,13 @@ def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None,
     return out
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int, words: np.ndarray) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """Length of the common prefix of each suffix with the one before it, `depth` at most; separators end it."""
-    stops = np.r_[np.flatnonzero(text == SEPARATOR), len(text)]
-    room = stops[np.searchsorted(stops, order)] - order
+    room = next_true(text == SEPARATOR)[order] - order
     room = np.minimum(np.minimum(room, np.r_[0, room[:-1]]), depth)
     out = np.zeros(len(order), np.int64)
     going = np.flatnonzero(room > 0)
-    out[going] = Prefixes(words, depth).common(order[going], order[going - 1])
+    out[going] = Prefixes(text, depth).common(order[going], order[going - 1])
     return np.minimum(out, room)
 
 
@@ -185,9 +183,8 @@ def repeated_windows(bodies: list[bytes], window: int) -> list[np.ndarray]:
     sizes = np.array([len(b) + 1 for b in bodies])
     begins = np.cumsum(sizes) - sizes
     wanted = np.arange(len(text)) - np.repeat(begins, sizes) < np.repeat(np.maximum(sizes - window, 0), sizes)
-    words = words_at(text, window)
-    order = suffix_array(text, window, wanted, words)
-    hit = common_prefixes(text, order, window, words) >= window
+    order = suffix_array(text, window, wanted)
+    hit = common_prefixes(text, order, window) >= window
     twice = np.zeros(len(text), bool)
     twice[order[hit | np.r_[hit[1:], False]]] = True
     return [twice[a : a + max(0, n - window)] for a, n in zip(begins, sizes, strict=True)]

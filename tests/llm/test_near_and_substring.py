@@ -103,7 +103,7 @@ def test_common_prefixes_compare_bytes():
     rng = np.random.default_rng(4)
     text = rng.integers(0, 2, 500).astype(np.uint8)
     a, b = rng.integers(0, 480, 3000), rng.integers(0, 480, 3000)
-    found = suffix.Prefixes(suffix.words_at(text, 40), 40).common(a, b)
+    found = suffix.Prefixes(text, 40).common(a, b)
     padded = np.r_[text, np.zeros(100, np.uint8)]
     want = [next((k for k in range(40) if padded[x + k] != padded[y + k]), 40) for x, y in zip(a, b, strict=True)]
     assert found.tolist() == want
