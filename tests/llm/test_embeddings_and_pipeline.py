@@ -1,3 +1,6 @@
+import re
+from collections import defaultdict
+
 import numpy as np
 
 from sparkloom.llm import cap_filter_dedup as caps
@@ -31,17 +34,86 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
 
 
-def test_pipeline(spark):
+def recurring(texts: list[str], min_texts: int) -> dict[str, list[str]]:
+    """Text to its lines that stay, by the definition of the template tree in plain Python."""
+    import hashlib
+
+    from sparkloom.llm import template_dedup as tree
+
+    space = "[\\t-\\r ]+"
+    mask = lambda x: tree.WILDCARD if re.search("[0-9]", x) else x
+    lines, live, fixed, shapes, texts_of = {}, defaultdict(set), defaultdict(set), {}, defaultdict(set)
+    for t in set(texts):
+        lines[t] = [[x for x in re.split(space, line) if x] for line in t.split("\n")]
+        for x in filter(None, lines[t]):
+            live[leaf(x, tree, mask)].add(t)
+    for t, rows in lines.items():
+        for x in filter(None, rows):
+            if len(live[leaf(x, tree, mask)]) >= min_texts:
+                for place, token in enumerate(x):
+                    if place >= tree.DEPTH and mask(token) != tree.WILDCARD:
+                        fixed[leaf(x, tree, mask), place, token].add(t)
+    for t, rows in lines.items():
+        for i, x in enumerate(rows):
+            at = leaf(x, tree, mask)
+            if not x or len(live[at]) < min_texts:
+                continue
+            short = len(x) < tree.MIN_TOKENS
+            shape = [token if short else mask(token) if place < tree.DEPTH else token if len(fixed[at, place, token]) >= min_texts else tree.WILDCARD for place, token in enumerate(x)]
+            if short or sum(s != tree.WILDCARD for s in shape) >= tree.MIN_FIXED * len(x):
+                shapes[t, i] = f"{len(x)} {' '.join(shape)}"
+                texts_of[shapes[t, i]].add(t)
+    keeper = {s: min(ts, key=lambda t: hashlib.md5(t.encode()).digest()) for s, ts in texts_of.items() if len(ts) >= min_texts}
+    return {t: [line for i, line in enumerate(t.split("\n")) if keeper.get(shapes.get((t, i)), t) == t] for t in lines}
+
+
+def leaf(x, tree, mask):
+    return len(x), tuple(x[: tree.DEPTH] if len(x) < tree.MIN_TOKENS else map(mask, x[: tree.DEPTH]))
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    import hashlib
+
+    import public_tokenizers
     import pytest
+    from tokenizers import Tokenizer
+
+    from sparkloom.llm import bottom_k_dedup, pu_toxicity, suffix_automaton_dedup, template_dedup
+    from sparkloom.llm.common import stored
 
     pipeline = pytest.importorskip("corpus_pipeline")
-    assert [n for n, _ in pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "substring_dedup", "packing"]
-    folder = "/root/testdata/sf0.001"
-    out = pipeline.run(spark, folder)
+    assert [n for n, _ in pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "substring_dedup", "packing"] and pipeline.ORACLE_SQL is None
+    folder, stages = "/root/testdata/sf0.001", dict(pipeline.STAGES)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    kept = {r.doc_id for r in out.select("doc_id").distinct().collect()}
-    assert 0.5 * docs.count() < len(kept) < docs.count()
-    assert out.groupBy("sequence_id").agg({"length": "sum"}).filter("`sum(length)` > 2048").count() == 0
+    rows = lambda df: {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+
+    def after(name, before):
+        out = stored(stages[name](spark, before, folder))
+        assert out.columns == docs.columns
+        return out, rows(before), rows(out)
+
+    safe, was, now = after("toxicity", docs)
+    known = pu_toxicity.TellingFeatures(pu_toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet")))
+    assert now == {d: t for d, t in was.items() if known.score(t) < pu_toxicity.THRESHOLD} and len(now) > 150
+    lined, was, now = after("line_dedup", safe)
+    stays = recurring([t for t in was.values() if t is not None], template_dedup.MIN_TEXTS)
+    assert now == {d: t if t is None else "\n".join(stays[t]) for d, t in was.items()} and now != was
+    near, was, now = after("near_dedup", lined)
+    groups = bottom_k_dedup.brute_force(list(was.items()), 0.8)
+    assert now == {d: t for d, t in was.items() if groups[d][2] or not groups[d][0]} and len(now) < len(was)
+    cut, was, now = after("substring_dedup", near)
+    want = suffix_automaton_dedup.brute_force(list(was.items()))
+    assert {d: t for d, t in now.items() if not want[d][1]} == {d: t for d, t in was.items() if not want[d][1]}
+    assert all(hashlib.sha256(now[d].encode()).hexdigest() == digest for d, (_, removed, digest) in want.items() if removed) and len(now) == len(was)
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    sizes = {d: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for d, t in now.items()}
+    packed = stages["packing"](spark, cut, folder).collect()
+    assert {d: sum(r.length for r in packed if r.doc_id == d) for d in sizes} == sizes
+    used = defaultdict(list)
+    for r in packed:
+        used[r.sequence_id].append((r.offset, r.length))
+    assert all(o == sum(n for _, n in sorted(x)[:i]) for x in used.values() for i, (o, _) in enumerate(sorted(x))) and max(sum(n for _, n in x) for x in used.values()) <= 2048
+    assert len(used) <= -(-sum(sizes.values()) // 2048) + 1
 
 
 def test_recall_by_dimension_and_number():

@@ -306,3 +306,39 @@ def test_toxicity_ranks_where_every_document_is_labelled(spark):
     out = pu_toxicity.pu_toxicity(docs, labels).collect()
     assert len({r.score for r in out}) > 1
     assert all(r.predicted == (r.doc_id % 8 == 0) for r in out if r.held_out)
+
+
+def test_license_labels_and_score_equal_brute_force(spark):
+    """Every block of every template, by sets, without any filter."""
+    rng = random.Random(3)
+    notices = license_scan.NOTICES
+    words = sorted({w for t in notices.values() for w in t.split()})
+    rows = []
+    for i in range(120):
+        text = [rng.choice(["pad", "other", "word", *rng.sample(words, 3)]) for _ in range(rng.choice([0, 5, 60, 150]))]
+        if i % 2:
+            notice = rng.choice(list(notices.values())).split()
+            notice = [w if rng.random() > 0.25 * rng.random() else "gone" for w in notice]
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = notice
+        rows.append((i, " ".join(text)))
+    want = {}
+    for i, text in rows:
+        own = license_scan.words_of(text.encode())
+        labels, score = set(), 0.0
+        for label, notice in notices.items():
+            template = license_scan.words_of(notice.encode())
+            size = max(license_scan.BLOCK, 2 * len(template))
+            for start in range(0, max(1, len(own)), size // 2):
+                if start and start + size // 2 >= len(own):
+                    continue  # the block before it holds all of this one
+                held = len(set(own[start : start + size]) & set(template)) / len(set(template))
+                if held >= license_scan.CONTAINMENT - 1e-9:
+                    labels, score = labels | {label}, max(score, held)
+        for phrase, label in license_scan.PHRASES.items():
+            p = [w.encode() for w in phrase.split()]
+            if any(own[k : k + len(p)] == p for k in range(len(own))):
+                labels, score = labels | {label}, 1.0
+        want[i] = (",".join(sorted(labels)), round(score, 12))
+    out = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.labels, round(r.score, 12)) for r in out} == want and sum(bool(x) for x, _ in want.values()) > 30
