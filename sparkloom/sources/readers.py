@@ -57,9 +57,16 @@ def aliased(rows: DataFrame, aliases: Mapping[str, Sequence[str]]) -> DataFrame:
     return rows.select(*(first(names).alias(k) for k, names in aliases.items()))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, text): the lines of text files, numbered from 0; long files are read in parts, and no row holds a file."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("text"))
+    number = F.row_number().over(Window.partitionBy("file").orderBy("_block", "_at")) - 1
+    return lines.select("file", number.alias("line"), "text")
+
+
 def question_pairs(spark: SparkSession, path: str) -> DataFrame:
     """(file, number, question, answer) of text files with a question and an answer on alternate lines."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
+    lines = numbered_lines(spark, path).select("file", F.col("line").alias("at"), F.col("text").alias("line"))
     pairs = lines.groupBy("file", F.floor(F.col("at") / 2).alias("number")).agg(
         F.max(F.when(F.col("at") % 2 == 0, F.trim("line"))).alias("question"), F.max(F.when(F.col("at") % 2 == 1, F.trim("line"))).alias("answer")
     )
@@ -117,7 +124,7 @@ def tolerant_config(spark: SparkSession, path: str) -> DataFrame:
 
 def experiments(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame:
     """Enabled rows of an experiments table with their place in the file as record."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("record", "line"))
+    rows = numbered_lines(spark, path).select("file", F.col("line").alias("record"), F.col("text").alias("line"))
     header = spark.read.option("header", True).csv(path).columns
     missing = [c for c in required if c not in header]
     if missing:
@@ -157,7 +164,7 @@ def log_steps(spark: SparkSession, path: str) -> DataFrame:
 
     metrics keeps finite numbers only. Lines keep the order of their file, whose number travels with them.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line", "text"))
+    lines = numbered_lines(spark, path)
     step, total = (F.regexp_extract("text", "(\\d+)/(\\d+)\\s*\\[", i) for i in (1, 2))
     seen = lines.select("file", "line", "text", F.when(step != "", step.cast("long")).alias("step"), F.when(total != "", total.cast("long")).alias("total"))
     so_far = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
