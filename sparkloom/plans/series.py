@@ -92,9 +92,12 @@ def linear_slopes(spark, folder):
     return aggregates.slope(table(spark, folder, "events"), ["event_type"], "user_id", "value")
 
 
-@query()
+@query("""WITH e AS (SELECT event_type, user_id, value, avg(user_id) OVER (PARTITION BY event_type) AS m FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL),
+s AS (SELECT event_type, count(DISTINCT user_id) AS n_x, max(m) AS m, count(*) AS n, sum((user_id - m) ** 2) AS s2, sum((user_id - m) ** 3) AS s3, sum((user_id - m) ** 4) AS s4, sum(value) AS t0, sum(value * (user_id - m)) AS t1, sum(value * (user_id - m) ** 2) AS t2 FROM e GROUP BY event_type),
+c AS (SELECT *, (s2 * (n * t2 - s2 * t0) - n * s3 * t1) / (s2 * (n * s4 - s2 * s2) - n * s3 * s3) AS c2 FROM s), b AS (SELECT *, (t1 - c2 * s3) / s2 AS b1, (t0 - c2 * s2) / n AS b0 FROM c)
+SELECT event_type, n_x, CASE WHEN n_x >= 3 THEN b0 - b1 * m + c2 * m * m END AS c0, CASE WHEN n_x >= 3 THEN b1 - 2 * c2 * m END AS c1, CASE WHEN n_x >= 3 THEN c2 END AS c2 FROM b""")
 def quadratic_fits(spark, folder):
-    """Least-squares parabolas by power sums; held against numpy in the tests."""
+    """Least-squares parabolas by power sums."""
     return aggregates.quadratic(table(spark, folder, "events"), ["event_type"], "user_id", "value")
 
 

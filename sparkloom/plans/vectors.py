@@ -51,7 +51,12 @@ def top_shares(spark, folder):
     return table(spark, folder, "embeddings").select("vec_id", v.top_share(v.softmax(F.col("embedding")), 0.1).alias("top_share"))
 
 
-@query()
+MIXED = "list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i] * (ln(p[i]) - ln((1 - {0}) * p[i] + {0} * q[i]))))"
+
+
+@query(LONG + f""", l AS (SELECT vec_id, list(p ORDER BY i) AS p, list(q ORDER BY i) AS q FROM b GROUP BY vec_id), t AS (SELECT *, 0.5 * {MIXED.format('1.0')} AS target FROM l),
+f AS (SELECT vec_id, list_reduce(list_prepend([0.0::DOUBLE, 1.0::DOUBLE], list_transform(range(20), lambda k: [0.0::DOUBLE, 0.0::DOUBLE])), lambda s, x: CASE WHEN {MIXED.format('((s[1] + s[2]) / 2)')} < target THEN [(s[1] + s[2]) / 2, s[2]] ELSE [s[1], (s[1] + s[2]) / 2] END) AS s FROM t)
+SELECT vec_id, (s[1] + s[2]) / 2 AS share FROM f""")
 def calibrated_mixtures(spark, folder):
     """The share of the teacher at which the divergence from the student reaches half its largest value, by halving."""
     rows = policies(spark, folder).withColumn("target", 0.5 * v.kl(F.col("p"), F.col("q")))
