@@ -295,11 +295,12 @@ def grouped(docs: DataFrame, threshold: float, shingle: int = SHINGLE, k: int =
     shared = stored(lists.join(hubs, "key").select("a", "cls", "n").distinct())
     near = shared.filter("a <> cls").select("a", F.col("cls").alias("b"))
     links = confirmed(near, classes, rows, shingle, threshold)
-    groups = stored(components(links.toDF("src", "dst")))
-    known = shared.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("a", "cls", "n", F.coalesce("component", "cls").alias("comp"))
+    near_groups = stored(components(links.toDF("src", "dst")))
+    known = shared.join(near_groups.withColumnRenamed("node", "cls"), "cls", "left").select("a", "cls", "n", F.coalesce("component", "cls").alias("comp"))
     apart = known.groupBy("a").agg((F.min("comp") != F.max("comp")).alias("apart"), F.count("*").alias("members")).filter("apart and members > 2").select("a")
     more = cross_links(stored(known.join(apart, "a").filter("a <> cls")), classes, rows, shingle, threshold)
-    groups = components(groups.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionAll(more))
+    groups = components(near_groups.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionAll(more))
+    discard(shared, links, near_groups, more)
     named = classes.select("cls", "least").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     found = named.join(least, "component").select("cls", "component", "component_id")
