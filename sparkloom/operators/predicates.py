@@ -15,12 +15,14 @@ OPS = ("eq", "neq", "contains", "not_contains", "regex", *COMPARE)
 
 
 def stringified(rows: DataFrame, name: str) -> Column:
-    """A column as search sees it: text as it is, other values as JSON."""
+    """A column as search sees it: text as it is, True and False, other values as JSON."""
     kind = rows.schema[name].dataType
     if isinstance(kind, T.StringType):
         return F.col(f"`{name}`")
     if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
         return F.to_json(f"`{name}`")
+    if isinstance(kind, T.BooleanType):
+        return F.initcap(F.col(f"`{name}`").cast("string"))
     return F.col(f"`{name}`").cast("string")
 
 

@@ -59,7 +59,7 @@ def degenerate(c: Column) -> Column:
 def signed(text: str) -> str:
     """Words for signs as signs."""
     for word, sign in SIGNS:
-        text = re.sub(rf"\b{word}\b", f" {sign} ".replace("\\", ""), text, flags=re.I)
+        text = re.sub(rf"\b{word}\b", f" {sign} ", text, flags=re.I)
     return text
 
 

@@ -49,8 +49,15 @@ def quota(rows: DataFrame, bucket: str, ident: str, total: int, buckets: int, se
     return ranked.filter(F.col("_rank") <= share + (F.col("_place") <= extra).cast("int")).select(*rows.columns)
 
 
-def nested(rows: DataFrame, bucket: str, ident: str, sizes: Sequence[int], seed: str) -> DataFrame:
-    """rows with `level`: the smallest of the sizes per bucket that holds the row, so smaller samples lie within larger ones."""
+def nested(rows: DataFrame, bucket: str, ident: str, sizes: Sequence[int], seed: str, strict: bool = False) -> DataFrame:
+    """rows with `level`: the smallest of the sizes per bucket that holds the row, so smaller samples lie within larger ones.
+
+    strict: a bucket with fewer rows than the largest size is an error; else it gives what it has.
+    """
+    if strict:
+        short = [r[0] for r in rows.groupBy(bucket).count().filter(F.col("count") < max(sizes)).orderBy(bucket).limit(5).collect()]
+        if short:
+            raise ValueError(f"too few rows in {short}")
     level = F.lit(None).cast("int")
     for size in sorted(sizes, reverse=True):
         level = F.when(F.col("_rank") <= size, size).otherwise(level)

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .readers import exists
 
@@ -71,9 +72,13 @@ def append_history(spark: SparkSession, rows: list[Mapping[str, str]], path: str
     spark.createDataFrame([tuple(r.get(c) for c in columns) for r in rows], schema).coalesce(1).write.mode("append").csv(path, header=True)
 
 
-def export_matches(rows: DataFrame, path: str) -> None:
-    """Matches with their _index as JSON lines."""
-    rows.select("_index", *(c for c in rows.columns if c != "_index")).write.json(path)
+def export_matches(rows: DataFrame, path: str, form: str = "json") -> None:
+    """Matches with their _index first, as JSON lines, Parquet, or CSV with a header and nested values as JSON."""
+    out = rows.select("_index", *(c for c in rows.columns if c != "_index"))
+    if form == "csv":
+        nested = [f.name for f in out.schema.fields if isinstance(f.dataType, T.ArrayType | T.StructType | T.MapType)]
+        out = out.withColumns({c: F.to_json(c) for c in nested})
+    out.write.format(form).options(**({"header": True} if form == "csv" else {})).save(path)
 
 
 def merge_complete(spark: SparkSession, manifest: DataFrame, parts: DataFrame, shard: str, path: str, keys: Sequence[str]) -> None:

@@ -133,3 +133,14 @@ def test_upserts_do_not_depend_on_the_layout(spark):
     rows = [(1, i % 7, i) for i in range(50)]
     got = {writers.upserted(spark.createDataFrame(r, "k int, a int, b int").limit(0), spark.createDataFrame(r, "k int, a int, b int"), ["k"]).first() for r in (rows, rows[::-1])}
     assert len(got) == 1
+
+
+def test_booleans_matches_and_short_buckets(spark, tmp_path):
+    rows = spark.createDataFrame([(1, True, ["a"], "x"), (2, False, [], "x"), (3, None, None, "y")], "_index long, ok boolean, tags array<string>, b string")
+    assert [predicates.where(rows, [c]).count() for c in ("ok:eq:True", "ok:eq:true", "ok:neq:True", "ok:contains:tru")] == [1, 0, 2, 1]
+    for form in ("json", "csv", "parquet"):
+        writers.export_matches(rows, f"{tmp_path}/{form}", form)
+        assert spark.read.format(form).option("header", True).load(f"{tmp_path}/{form}").count() == 3
+    with pytest.raises(ValueError, match="too few"):
+        sampling.nested(rows, "b", "_index", [1, 2], "s", strict=True)
+    assert sampling.nested(rows, "b", "_index", [1, 2], "s").count() == 3
