@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .license_scan import BLOCK, CONTAINMENT, NOTICES, PHRASES
 from .template_dedup import oracle as template_dedup
 
 WORDS = "list_filter(string_split_regex({}, '[\\x09-\\x0D ]+'), lambda x: x <> '')"
@@ -37,7 +38,42 @@ r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.a, r.c FROM r JOIN
 m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)"""
 
+SUFFIX_ARRAY = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, octet_length(h) - 199)) AS i FROM d WHERE octet_length(h) >= 200),
+w AS (SELECT doc_id, i, md5(array_slice(h, i + 1, i + 200)) AS k FROM p),
+r AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+g AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w JOIN r USING (k)),
+s AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM g),
+c AS (SELECT doc_id, island, min(i) AS a, max(i) + 200 AS b FROM s GROUP BY ALL),
+e AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS done FROM c),
+k AS (SELECT doc_id, string_agg(CASE WHEN a > done THEN hex(array_slice(h, done + 1, a)) ELSE '' END, '' ORDER BY a) AS head, max(b) AS stop, count(*) AS n, sum(b - a) AS gone FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(h) AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(head, '') || CASE WHEN octet_length(h) > coalesce(stop, 0) THEN hex(array_slice(h, coalesce(stop, 0) + 1, octet_length(h))) ELSE '' END)) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)"""
+
+
+def license_scan() -> str:
+    """Every place of every phrase, and every block of every notice, without filters."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    notices = ", ".join(f"('{label}', {quoted(sorted(set(text.split())))}, {max(BLOCK, 2 * len(text.split()))})" for label, text in NOTICES.items())
+    phrases = ", ".join(f"('{label}', {quoted(text.split())})" for text, label in PHRASES.items())
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER.replace('(text,', "(coalesce(text, ''),")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p(label, words) AS (VALUES {phrases}),
+n(label, words, size) AS (VALUES {notices}),
+places AS (SELECT doc_id, label, unnest(list_filter(range(1, len(w) - len(words) + 2), lambda i: w[i:i + len(words) - 1] = words)) AS i FROM d, p),
+blocks AS (SELECT doc_id, label, words, list_slice(w, s + 1, s + size) AS block FROM (SELECT doc_id, label, words, size, w, unnest(range(0, len(w), size // 2)) AS s FROM d, n)),
+met AS (SELECT doc_id, label, len(list_intersect(list_distinct(block), words)) AS held, len(words) AS n FROM blocks),
+found AS (SELECT doc_id, label, held / n AS share FROM met WHERE held >= greatest(1, ceil({CONTAINMENT} * n - 1e-9))),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
+every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM (SELECT doc_id, label, 1.0 AS share FROM places UNION ALL SELECT * FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id)"""
+
+
 ORACLES = {
+    "op1_license_scan": license_scan(),
+    "op5_suffix_array_dedup": SUFFIX_ARRAY,
     "op2_template_dedup": template_dedup(),
     "op7_suffix_automaton_dedup": SUFFIX_AUTOMATON,
     "op9_cap_filter_dedup": CAP_FILTERS,
