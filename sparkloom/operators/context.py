@@ -38,9 +38,10 @@ def _defaults() -> None:
     ask = "$question"
     example = "$question\n\nHere is an example of a correct {}:\n{}\n\nNow answer in your own words."
     guide = "$question\n\nUse this {} as guidance, without quoting it:\n{}"
-    static = {"dataset_default": ask, "no_context": ask, "static_reasoning": "$question\n\nReason step by step before you answer."}
-    for name, text in static.items():
-        register_strategy(name, [text])
+    register_strategy("dataset_default", [ask])
+    register_strategy("no_context", [ask])
+    reasons = ("Reason step by step before you answer.", "Think about what is asked, work it out in small steps, and answer last.", "Before you answer, write down each step and check it against the question.")
+    register_strategy("static_reasoning", [f"$question\n\n{r}" for r in reasons])
     for name, text in (
         ("gold_answer_as_example", example.format("answer", "$compact_answer")), ("gold_answer_as_example_v2", "Example answer: $compact_answer\n\n$question"),
         ("gold_answer_as_guidance", guide.format("answer", "$compact_answer")),
@@ -54,13 +55,23 @@ def _defaults() -> None:
         register_strategy(name, [text], needs=["full_reference"])
     for name, text in (("gold_hint", "$question\n\nHint: $short_hint"), ("gold_hint_v2", "Hint: $short_hint\n\n$question"), ("gold_hint_v3", "$question\n\nA short hint may help: $short_hint")):
         register_strategy(name, [text], needs=["short_hint"])
-    rewrite = "Rewrite this response in other words:\n$full_reference"
-    for name in ("gold_response_rewrite_as_example", "gold_response_rewrite_as_example_v2", "gold_response_rewrite_as_example_v3"):
+    for name, rewrite in (
+        ("gold_response_rewrite_as_example", "Rewrite this response in other words:\n$full_reference"),
+        ("gold_response_rewrite_as_example_v2", "Question:\n$question\n\nRewrite this response to it in other words, step for step:\n$full_reference"),
+        ("gold_response_rewrite_as_example_v3", "Rewrite this response as its author would in a style like that of the attempt below, with the same answer.\n$full_reference\n\nAttempt:\n$student_response"),
+    ):
         register_strategy(name, [example.format("response", "$feedback_text")], [rewrite], ["feedback_text"])
-    for name in ("rationalization", "rationalization_v2"):
-        register_strategy(name, ["$question\n\nA rationale:\n$feedback_text"], ["Explain why the answer to this is $compact_answer:\n$question"], ["feedback_text"])
-    for name in ("tooluse_failure_mode", "self_feedback", "self_feedback_structured", "self_feedback_concrete"):
-        register_strategy(name, ["$question\n\nFeedback on an earlier attempt:\n$feedback_text"], ["Give feedback on this attempt:\n$student_response"], ["feedback_text"])
+    for name, ask_why in (
+        ("rationalization", "Explain why the answer to this is $compact_answer:\n$question"), ("rationalization_v2", "$question\n\nA correct response is:\n$full_reference\n\nExplain the reasoning that leads to it."),
+    ):
+        register_strategy(name, ["$question\n\nA rationale:\n$feedback_text"], [ask_why], ["feedback_text"])
+    for name, shown, ask_for in (
+        ("tooluse_failure_mode", ["$question\n\nWhat went wrong with the calls of an earlier attempt:\n$feedback_text"], ["Which calls or inputs of this attempt are wrong or missing?\n$student_response"]),
+        ("self_feedback", ["$question\n\nFeedback on an earlier attempt:\n$feedback_text", "Mind this feedback on an earlier attempt:\n$feedback_text\n\n$question"], ["Give feedback on this attempt:\n$student_response", "$question\n\nWhat is right and what is wrong in this attempt?\n$student_response"]),
+        ("self_feedback_structured", ["$question\n\nFeedback on an earlier attempt, by what was right, what was wrong, and what to do:\n$feedback_text"], ["List what is right, what is wrong, and what to do next time, for this attempt:\n$student_response"]),
+        ("self_feedback_concrete", ["$question\n\nThe first mistake of an earlier attempt:\n$feedback_text"], ["Quote the first wrong step of this attempt and say what it should be:\n$student_response"]),
+    ):
+        register_strategy(name, shown, ask_for, ["feedback_text"])
     register_strategy("sibling_response_as_example", [example.format("response", "$sibling_text")], needs=["sibling_text"])
     register_strategy("sdpo_sibling_feedback", [example.format("response", "$sibling_text") + "\n\nFeedback:\n$feedback_text"], needs=["sibling_text"])
 
@@ -84,11 +95,14 @@ def parse_choices(spec: str) -> list[tuple[str, str | None, str | None]]:
 
 
 def _variation(choice: str | None, n: int, unit: Column) -> Column:
+    """Variations count from 1; null where a strategy has none."""
     if choice == "*":
-        return (unit * n).cast("int")
-    k = int(choice or 0)
-    if not 0 <= k < max(n, 1):
-        raise ValueError(f"there is no variation {k}")
+        return (unit * n).cast("int") + 1 if n else F.lit(None).cast("int")
+    if not n and choice is None:
+        return F.lit(None).cast("int")
+    k = int(choice or 1)
+    if not 1 <= k <= n:
+        raise ValueError(f"there is no variation {k} of {n}")
     return F.lit(k)
 
 
@@ -105,7 +119,7 @@ def contextualised(rows: DataFrame, spec: str, ident: str, seed: int) -> DataFra
     for i, (name, k, m) in enumerate(choices):
         s, own = STRATEGIES[name], pick == i
         v, w = _variation(k, len(s.templates), unit("prompt")), _variation(m, len(s.stage1), unit("stage1"))
-        shown = F.coalesce(*(F.when(v == j, render(t, columns)) for j, t in enumerate(s.templates)))
+        shown = F.coalesce(*(F.when(v == j, render(t, columns)) for j, t in enumerate(s.templates, 1)))
         for need in s.needs:
             shown = F.when(F.coalesce(columns[need], F.lit("")) != "", shown)
         strategy, variation, first, text = F.when(own, F.lit(name)).otherwise(strategy), F.when(own, v).otherwise(variation), F.when(own, w).otherwise(first), F.when(own, shown).otherwise(text)

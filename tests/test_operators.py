@@ -144,3 +144,15 @@ def test_booleans_matches_and_short_buckets(spark, tmp_path):
     with pytest.raises(ValueError, match="too few"):
         sampling.nested(rows, "b", "_index", [1, 2], "s", strict=True)
     assert sampling.nested(rows, "b", "_index", [1, 2], "s").count() == 3
+
+
+def test_variations_count_from_one(spark):
+    from sparkloom.operators import context
+
+    rows = spark.createDataFrame([(i, f"q{i}") for i in range(60)], "i long, question string")
+    texts = [{r.teacher_text.split("\n\n")[1] for r in context.contextualised(rows, f"static_reasoning({k})", "i", 1).collect()} for k in ("1", "2", "3", "*")]
+    assert [len(t) for t in texts] == [1, 1, 1, 3] and texts[3] == texts[0] | texts[1] | texts[2]
+    assert {r.variation for r in context.contextualised(rows, "static_reasoning(*)", "i", 1).collect()} == {1, 2, 3}
+    for bad in ("static_reasoning(0)", "static_reasoning(4)", "no_context(1,1)"):
+        with pytest.raises(ValueError):
+            context.contextualised(rows, bad, "i", 1)
