@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .license_scan import BLOCK, CONTAINMENT, NOTICES, PHRASES
+from .quality_rules import oracle as quality_rules
 from .template_dedup import oracle as template_dedup
 
 WORDS = "list_filter(string_split_regex({}, '[\\x09-\\x0D ]+'), lambda x: x <> '')"
@@ -78,4 +79,5 @@ ORACLES = {
     "op7_suffix_automaton_dedup": SUFFIX_AUTOMATON,
     "op9_cap_filter_dedup": CAP_FILTERS,
     "op10_bottom_k_dedup": BOTTOM_K,
+    "op13_quality_rules": quality_rules(),
 }

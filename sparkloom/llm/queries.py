@@ -10,6 +10,7 @@ from .license_scan import op1_license_scan
 from .mpeg_audio import op4_mpeg_audio
 from .oracles import ORACLES
 from .pu_toxicity import op8_pu_toxicity
+from .quality_rules import op13_quality_rules
 from .suffix_array_dedup import op5_suffix_array_dedup
 from .suffix_automaton_dedup import op7_suffix_automaton_dedup
 from .template_dedup import op2_template_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_pu_toxicity": op8_pu_toxicity,
     "op9_cap_filter_dedup": op9_cap_filter_dedup,
     "op10_bottom_k_dedup": op10_bottom_k_dedup,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
