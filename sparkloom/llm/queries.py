@@ -6,6 +6,7 @@ from .backtracking_bpe import op3_backtracking_bpe
 from .best_two_fit import op6_best_two_fit
 from .bottom_k_dedup import op10_bottom_k_dedup
 from .cap_filter_dedup import op9_cap_filter_dedup
+from .lanczos_whitening import op11_lanczos_whitening
 from .license_scan import op1_license_scan
 from .mpeg_audio import op4_mpeg_audio
 from .oracles import ORACLES
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_pu_toxicity": op8_pu_toxicity,
     "op9_cap_filter_dedup": op9_cap_filter_dedup,
     "op10_bottom_k_dedup": op10_bottom_k_dedup,
+    "op11_lanczos_whitening": op11_lanczos_whitening,
     "op13_quality_rules": op13_quality_rules,
 }
 
