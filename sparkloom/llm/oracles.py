@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .license_scan import BLOCK, CONTAINMENT, NOTICES, PHRASES
+from .merkle_manifest import ORACLE as MERKLE_MANIFEST
 from .quality_rules import oracle as quality_rules
 from .template_dedup import oracle as template_dedup
 
@@ -79,5 +80,6 @@ ORACLES = {
     "op7_suffix_automaton_dedup": SUFFIX_AUTOMATON,
     "op9_cap_filter_dedup": CAP_FILTERS,
     "op10_bottom_k_dedup": BOTTOM_K,
+    "op12_merkle_manifest": MERKLE_MANIFEST,
     "op13_quality_rules": quality_rules(),
 }

@@ -8,6 +8,7 @@ from .bottom_k_dedup import op10_bottom_k_dedup
 from .cap_filter_dedup import op9_cap_filter_dedup
 from .lanczos_whitening import op11_lanczos_whitening
 from .license_scan import op1_license_scan
+from .merkle_manifest import op12_merkle_manifest
 from .mpeg_audio import op4_mpeg_audio
 from .oracles import ORACLES
 from .pu_toxicity import op8_pu_toxicity
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_cap_filter_dedup": op9_cap_filter_dedup,
     "op10_bottom_k_dedup": op10_bottom_k_dedup,
     "op11_lanczos_whitening": op11_lanczos_whitening,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_quality_rules": op13_quality_rules,
 }
 
