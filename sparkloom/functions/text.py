@@ -141,10 +141,41 @@ def tail_path(c: Column, parts: int = 2) -> Column:
     return F.array_join(F.slice(found, F.greatest(F.size(found) - parts + 1, F.lit(1)), parts), "/")
 
 
+#: A run of a shell word's characters: escaped, in double quotes, in single quotes, or plain.
+PIECE = r"""(?:\\[\s\S]|"(?:[^"\\]++|\\[\s\S])*+"|'[^']*+'|[^ \t\r\n"'\\]++)"""
+
+
+def shell_words(c: Column) -> Column:
+    """The words of a command as a POSIX shell splits it; where a quote or an escape isn't closed, its parts between blanks.
+
+    Line ends, escaped ones too, separate words. Quotes may stand within a word; in double quotes a backslash escapes only itself and the quote.
+    """
+    line = F.replace(F.replace(c, F.lit("\\\n"), F.lit(" ")), F.lit("\n"), F.lit(" "))
+    plain = lambda p: (
+        F.when(p.startswith('"'), F.regexp_replace(F.substr(p, F.lit(2), F.length(p) - 2), r'\\(["\\])', "$1"))
+        .when(p.startswith("'"), F.substr(p, F.lit(2), F.length(p) - 2)).when(p.startswith("\\"), F.substr(p, F.lit(2))).otherwise(p)
+    )
+    words = F.transform(F.regexp_extract_all(line, F.lit(f"{PIECE}++"), F.lit(0)), lambda w: F.array_join(F.transform(F.regexp_extract_all(w, F.lit(PIECE), F.lit(0)), plain), ""))
+    closed = line.rlike(f"^(?:{PIECE}|[ \t\r\n]++)*+$")
+    return F.when(closed, words).when(~closed, F.filter(F.split(line, "(?U)\\s+"), lambda x: x != ""))
+
+
 def option_value(c: Column, name: str) -> Column:
-    """The value of --name in a command, after a blank or =, quoted or not; the last one counts."""
-    found = F.regexp_extract_all(c, F.lit(f"--{name}(?:=|\\s+)(\"[^\"]*\"|'[^']*'|\\S+)"), F.lit(1))
-    return F.trim(F.try_element_at(found, F.lit(-1)), F.lit("\"'"))
+    """The value of --name in a command, the next word or what follows =; the first one counts."""
+    flag = f"--{name}"
+    # The words are bound once, so that they aren't split anew for each of them.
+    found = F.transform(F.array(shell_words(c)), lambda words: F.filter(F.transform(words, lambda w, i: F.when(w == flag, F.get(words, i + 1)).when(w.startswith(flag + "="), F.substr(w, F.lit(len(flag) + 2)))), lambda x: x.isNotNull()))
+    return F.get(F.get(found, F.lit(0)), F.lit(0))
+
+
+def plain_path(c: Column) -> Column:
+    """A path without empty, . and .. parts; .. at the top of an absolute path is dropped."""
+    absolute = c.startswith("/")
+    step = lambda done, p: (
+        F.when((p == "") | (p == "."), done).when((p == "..") & (F.size(done) > 0) & (F.element_at(done, -1) != ".."), F.slice(done, F.lit(1), F.size(done) - 1))
+        .when((p == "..") & absolute, done).otherwise(F.concat(done, F.array(p)))
+    )
+    return F.concat(F.when(absolute, F.lit("/")).otherwise(F.lit("")), F.array_join(F.aggregate(F.split(c, "/"), F.array().cast("array<string>"), step), "/"))
 
 
 def model_alias(c: Column, aliases: Mapping[str, str]) -> Column:

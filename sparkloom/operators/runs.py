@@ -7,7 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.numbers import finite, float_of_text
+from sparkloom.functions.text import option_value, plain_path
+
 from . import ordered
+from .places import written
 
 
 def resolved(sources: Sequence[Column]) -> Column:
@@ -136,15 +140,27 @@ def remapped(c: Column, prefixes: Sequence[tuple[str, str]]) -> Column:
     return F.coalesce(*(F.when(c.startswith(old), F.concat(F.lit(new), F.substr(c, F.lit(len(old) + 1), F.length(c)))) for old, new in prefixes), c)
 
 
-def flat_json(rows: DataFrame, keys: Sequence[str], text: str, depth: int = 4) -> DataFrame:
-    """(keys, path, value): the numeric leaves of JSON objects with dotted paths, `depth` levels deep."""
-    level = rows.select(*keys, F.lit("").alias("path"), F.try_parse_json(text).alias("v"))
-    out = None
-    for _ in range(depth):
-        level = level.filter("schema_of_variant(v) like 'OBJECT%'").select(*keys, "path", F.expr("v").alias("_v")).lateralJoin(level.sparkSession.tvf.variant_explode(F.col("_v").outer()))
-        level = level.select(*keys, F.concat(F.when(F.col("path") != "", F.concat("path", F.lit("."))).otherwise(F.lit("")), "key").alias("path"), F.col("value").alias("v"))
-        leaves = level.select(*keys, "path", F.expr("try_variant_get(v, '$', 'double')").alias("value")).filter("value is not null")
-        out = leaves if out is None else out.unionAll(leaves)
+def flat_json(rows: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """(keys, path, value): the numeric leaves of JSON objects, however deep, with dotted paths.
+
+    Numbers, and text that is one, count if they are finite; true and false, lists and what is in them don't. What is no object has
+    no rows. A round opens the objects of one level and writes their numbers and inner objects; rounds go on until no object is left.
+    """
+    level = rows.select(*keys, F.lit(None).cast("string").alias("path"), F.col(text).alias("_json"))
+    found = []
+    while not found or not level.isEmpty():
+        opened = level.withColumn("_v", F.try_parse_json("_json")).filter("try_variant_get(_v, '$', 'map<string,variant>') is not null").drop("_json")
+        each = opened.lateralJoin(opened.sparkSession.tvf.variant_explode(F.col("_v").outer()))
+        kind = F.schema_of_variant("value")
+        number = F.when(kind == "STRING", float_of_text(F.expr("try_variant_get(value, '$', 'string')"))).when(~kind.isin("BOOLEAN", "VOID"), finite(F.expr("try_variant_get(value, '$', 'double')")))
+        inner = F.when(kind.startswith("OBJECT"), F.to_json("value"))
+        each = each.select(*keys, F.concat_ws(".", "path", "key").alias("path"), inner.alias("_json"), number.alias("value"))
+        each = written(each.filter("_json is not null or value is not null"))
+        found.append(each.filter("value is not null").select(*keys, "path", "value"))
+        level = each.filter("_json is not null").drop("value")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionAll(more)
     return out
 
 
@@ -205,27 +221,60 @@ def unique_experiments(rows: DataFrame, name: str, ignored: Sequence[str]) -> Da
     return rows.groupBy(*settings).agg(F.min(cells).alias("_first")).select(*settings, "_first.*").select(*rows.columns)
 
 
-def phase_places(phases: DataFrame, needs: DataFrame, run: str, phase: str, needed: str, rank: str) -> DataFrame:
-    """run, phase, place: phases after those that they need, by rank and name among those that could come next.
+def phase_needs(phases: DataFrame, run: str, phase: str, rank: str, folder: str, command: str) -> DataFrame:
+    """(run, phase, needed) from the commands that trained the phases of a run.
 
-    phases(run, phase, rank), needs(run, phase, needed). What a circle holds up follows at the end in the same order.
-    A run has a handful of phases; whole runs are dealt over the cluster.
+    A phase needs the first other one, by rank and name, whose folder holds the model that its command names by --model_name,
+    or whose name stands in the model's path before a checkpoint. Phases whose command names no such model aren't listed.
     """
-    import pandas as pd
+    mine = phases.select(run, F.col(phase).alias("_phase"), option_value(F.col(command), "model_name").alias("_model")).filter("_model <> ''")
+    mine = mine.withColumn("_at", plain_path(F.col("_model")))
+    others = phases.select(run, F.col(phase).alias("needed"), F.col(rank).alias("_rank"), plain_path(F.col(folder)).alias("_folder"))
+    within = (F.col("_at") == F.col("_folder")) | F.col("_at").startswith(F.concat("_folder", F.lit("/"))) | F.contains("_model", F.concat(F.lit("/"), "needed", F.lit("/checkpoint-")))
+    found = mine.join(others, run).filter((F.col("_phase") != F.col("needed")) & within)
+    return found.groupBy(run, F.col("_phase").alias(phase)).agg(F.min_by("needed", F.struct("_rank", "needed")).alias("needed"))
 
-    listed = needs.groupBy(run, phase).agg(F.collect_set(needed).alias("_needs"))
-    joined = phases.join(listed, [run, phase], "left").select(run, phase, rank, F.coalesce("_needs", F.array().cast("array<string>")).alias("_needs"))
 
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        open_, out = {p: (r, p, set(n)) for p, r, n in zip(rows[phase], rows[rank], rows["_needs"], strict=True)}, []
-        while open_:
-            free = [x for x in open_.values() if not x[2] & (open_.keys() - {x[1]})] or list(open_.values())
-            out.append(min(free, key=lambda x: x[:2])[1])
-            del open_[out[-1]]
-        return pd.DataFrame({run: rows[run].iloc[0], phase: out, "place": range(len(out))})
+def phase_places(phases: DataFrame, needs: DataFrame, run: str, phase: str, needed: str, rank: str) -> DataFrame:
+    """run, phase, place: phases in the order of a queue, which each joins once all that it needs has left.
 
-    kinds = {f.name: f.dataType.simpleString() for f in phases.schema.fields}
-    return joined.groupBy(run).applyInPandas(place, f"`{run}` {kinds[run]}, `{phase}` {kinds[phase]}, place int")
+    phases(run, phase, rank), needs(run, phase, needed). Phases that need nothing stand in the queue by rank and name, then, behind
+    them, those that the first of them sets free, by rank and name, then those that the second does, and so on. Needs of phases that the run doesn't
+    have, and of itself, don't count. What a circle holds up follows at the end, by rank and name. All runs are placed
+    together, a level of phases in a round: behind every phase of a level stand those whose last need is in it.
+    """
+    own = written(phases.select(run, phase, rank).distinct())
+    known = needs.select(run, phase, F.col(needed).alias("_need")).filter(F.col(phase) != F.col("_need")).distinct()
+    known = written(known.join(own.select(run, F.col(phase).alias("_need")), [run, "_need"], "left_semi"))
+    by = Window.partitionBy(run).orderBy("_last", rank, phase)
+    placed, left = None, own.withColumn("_last", F.lit(-1).cast("long"))
+    free = left.join(known, [run, phase], "left_anti")
+    while True:
+        ahead = placed.groupBy(run).agg((F.max("place") + 1).alias("_ahead")) if placed is not None else own.select(run).distinct().withColumn("_ahead", F.lit(0).cast("long"))
+        level = free.withColumn("place", F.row_number().over(by).cast("long") - 1).join(ahead, run).withColumn("place", F.col("place") + F.col("_ahead")).select(run, phase, "place")
+        level = written(level)
+        if level.isEmpty():
+            break
+        placed = level if placed is None else written(placed.unionAll(level))
+        at = placed.select(run, F.col(phase).alias("_need"), F.col("place").alias("_place"))
+        met = known.join(at, [run, "_need"], "left").groupBy(run, phase).agg(F.max("_place").alias("_last"), F.count_if(F.col("_place").isNull()).alias("_open"))
+        free = own.join(met.filter("_open = 0").drop("_open"), [run, phase]).join(placed.select(run, phase), [run, phase], "left_anti")
+    if placed is None:
+        ahead, rest = own.select(run).distinct().withColumn("_ahead", F.lit(0).cast("long")), own
+    else:
+        ahead, rest = placed.groupBy(run).agg((F.max("place") + 1).alias("_ahead")), own.join(placed, [run, phase], "left_anti")
+    behind = Window.partitionBy(run).orderBy(rank, phase)
+    circles = rest.withColumn("place", F.row_number().over(behind) - 1).join(ahead, run, "left").select(run, phase, (F.col("place") + F.coalesce("_ahead", F.lit(0))).alias("place"))
+    out = circles if placed is None else placed.unionAll(circles)
+    return out.withColumn("place", F.col("place").cast("int"))
+
+
+def command_order(phases: DataFrame, run: str, phase: str, rank: str, folder: str, command: str) -> DataFrame:
+    """run, phases: the order of a run's phases that their commands tell; runs where no phase needs another have none."""
+    needs = written(phase_needs(phases, run, phase, rank, folder, command))
+    told = phases.join(needs.select(run).distinct(), run, "left_semi")
+    places = phase_places(told, needs, run, phase, "needed", rank)
+    return places.groupBy(run).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", phase))), lambda x: x[phase]).alias("phases"))
 
 
 def phase_order(forced: Column, configured: Column, commands: Column, suffix: Column, explicit: Column, existing: Column, default: Sequence[str]) -> Column:

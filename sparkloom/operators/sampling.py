@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.hashing import hash_id, hash_unit
 
+from .places import numbered, written
+
 
 def hash_rank(keys: Sequence[str], seed: str, ident: str) -> Column:
     """The place of a row within its group in the order of the hash of seed and id, from 1."""
@@ -117,67 +119,101 @@ def unique_in_order(rows: DataFrame, keys: Sequence[str], split_rank: str, ident
     return rows
 
 
-def batches(rows: DataFrame, key: str, order: str, size: str, most_rows: int, most_size: int, chunk: int = 500_000) -> DataFrame:
-    """batch: greedy runs of rows within a key, in order, up to a number of rows and a sum of sizes.
+def batches(rows: DataFrame, key: str, order: str, size: str, most_rows: int, most_size: int, block: int | None = None) -> DataFrame:
+    """rows with batch: greedy runs of rows within a key, in order, up to a number of rows and a sum of sizes.
 
-    A row larger than the limit stops the job; (key, order) must be unique, and rows without a key get no batch and go. Where a batch begins depends on all before it,
-    but it begins within `most_rows` rows of any place. So keys are cut into chunks of rows; each chunk tells, for every
-    row that its first batch may begin with, how many batches follow and where the first one of the next chunk begins; a
-    key's chunks are then joined end to end, and only then rows learn their batches.
+    A row larger than the limit, or without a size, stops the job; rows without a key are a key of their own; of rows that
+    tie in the order either may come first. Where a batch begins depends on all before it, but it begins within `most_rows`
+    rows of any place. So a key is cut into blocks of rows (`block`, most_rows at least). Each block tells, for every row
+    that its first batch may begin with, how many batches follow and where the first one of the next block begins. Two
+    neighbouring blocks are then joined to one, again and again, until a key is one, and on the way back every block
+    learns its first batch. No task holds more than a block, and the joined maps halve from round to round.
     """
+    block = max(most_rows, block or max(100_000, 8 * most_rows))
+    fits = F.when(F.col(size).cast("long") <= most_size, F.col(size).cast("long")).otherwise(F.raise_error(F.lit("a row is larger than a batch")).cast("long"))
+    # From here on a key is a text that is never null.
+    named = rows.withColumns({"_key": F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")), "_bytes": fits})
+    placed = written(numbered(named, ["_key"], [order], "_bytes").withColumn("_block", F.floor(F.col("_at") / block)))
+    # A block also sees the rows of the next one that its last batch may reach.
+    reached = F.when((F.col("_at") % block < most_rows) & (F.col("_block") > 0), F.array("_block", F.col("_block") - 1)).otherwise(F.array("_block"))
+    seen = placed.select("_key", "_at", "_before", "_bytes", F.explode(reached).alias("_block"))
+    ways = written(seen.groupBy("_key", "_block").applyInPandas(ways_through(block, most_rows, most_size), "_key string, _block long, _entry long, _exit long, _n long"))
+    rounds = [ways]
+    while not rounds[-1].filter("_block > 0").isEmpty():
+        rounds.append(written(pairs_of_blocks(rounds[-1])))
+    first = rounds.pop().filter("_entry = 0").select("_key", "_block", "_entry", F.lit(0).cast("long").alias("_batch"))
+    for halves in reversed(rounds):
+        first = written(halved(first, halves))
+    firsts = first.select("_key", "_block", "_entry", "_batch")
+    known = seen.join(firsts, ["_key", "_block"]).groupBy("_key", "_block").applyInPandas(batches_of_block(block, most_rows, most_size), "_key string, _at long, batch long")
+    return placed.join(known, ["_key", "_at"]).select(*rows.columns, "batch")
+
+
+def next_starts(before, sizes, most_rows: int, most_size: int):
+    """For each row, the place of the row that a batch beginning with it leaves to the next one."""
     import numpy as np
-    import pandas as pd
-
-    limit = F.when(F.col(size).cast("long") <= most_size, F.col(size).cast("long")).otherwise(F.raise_error(F.lit("a row is larger than a batch")).cast("long"))
-    placed = rows.select(key, order, limit.alias("_size")).orderBy(key, order).withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    parts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # one row a partition
-    parts = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_ahead"))
-    placed = placed.withColumn("_part", part).join(F.broadcast(parts), "_part").withColumn("_at", F.col("_ahead") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
-    first = placed.groupBy(key).agg(F.min("_at").alias("_first"))
-    placed = placed.join(first, key).select(key, order, "_size", (F.col("_at") - F.col("_first")).alias("_at")).withColumn("_chunk", F.floor(F.col("_at") / chunk).cast("long"))
-    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-
-    def following(data: pd.DataFrame) -> np.ndarray:
-        """For each row of a chunk and of what lies ahead, where the next batch begins if one begins with it."""
-        sums = np.r_[0, np.cumsum(data["_size"].to_numpy())]
-        start = np.arange(len(data))
-        return np.minimum(np.searchsorted(sums, sums[:-1] + most_size, "right") - 1, start + most_rows)
-
-    def ways(data: pd.DataFrame) -> pd.DataFrame:
+
+    ends = before + sizes
+    return np.minimum(np.searchsorted(ends, before + most_size, "right"), np.arange(len(before)) + most_rows)
+
+
+def ways_through(block: int, most_rows: int, most_size: int):
+    """Of a block: for each row its first batch may begin with, the batches that begin in it and where the next one begins in the following block."""
+
+    def run(data):
+        import numpy as np
+        import pandas as pd
+
         data = data.sort_values("_at")
-        own = int((data["_at"] // chunk == data["_chunk"]).sum())
-        ahead = following(data)
-        exits, n = np.arange(len(data) + 1), np.zeros(len(data) + 1, np.int64)
-        for i in range(own - 1, -1, -1):
-            exits[i], n[i] = exits[ahead[i]], n[ahead[i]] + 1
-        entry = np.arange(min(most_rows, own))
-        return pd.DataFrame({key: data[key].iloc[0], "_chunk": data["_chunk"].iloc[0], "_entry": entry, "_exit": exits[entry] - own, "_batches": n[entry]})
-
-    def joined(data: pd.DataFrame) -> pd.DataFrame:
-        out, entry, batch = [], 0, 0
-        for c, way in data.sort_values(["_chunk", "_entry"]).groupby("_chunk"):
-            out.append((c, entry, batch))
-            if entry < len(way):
-                batch += int(way["_batches"].iloc[entry])
-                entry = int(way["_exit"].iloc[entry])
-        found = pd.DataFrame(out, columns=["_chunk", "_entry", "_batch"])
-        found.insert(0, key, data[key].iloc[0])
-        return found
-
-    def told(data: pd.DataFrame) -> pd.DataFrame:
+        own = int((data["_at"] // block == data["_block"]).sum())
+        jump = np.r_[next_starts(data["_before"].to_numpy(), data["_bytes"].to_numpy(), most_rows, most_size), len(data)]
+        n = np.ones(len(jump), np.int64)
+        jump[own:], n[own:] = np.arange(own, len(jump)), 0
+        while (jump[:own] < own).any():  # twice as far each time
+            n, jump = n + n[jump], jump[jump]
+        entry = np.arange(min(most_rows, own + 1))
+        return pd.DataFrame({"_key": data["_key"].iloc[0], "_block": data["_block"].iloc[0], "_entry": entry, "_exit": jump[entry] - own, "_n": n[entry]})
+
+    return run
+
+
+def pairs_of_blocks(ways: DataFrame) -> DataFrame:
+    """The ways through each two neighbouring blocks; a last one without a neighbour stays as it is."""
+    a = ways.filter("_block % 2 = 0").alias("a")
+    b = ways.filter("_block % 2 = 1").alias("b")
+    both = a.join(b, (F.col("a._key") == F.col("b._key")) & (F.col("a._block") + 1 == F.col("b._block")) & (F.col("a._exit") == F.col("b._entry")), "left")
+    return both.select("a._key", F.expr("a._block div 2").alias("_block"), "a._entry", F.coalesce("b._exit", "a._exit").alias("_exit"), (F.col("a._n") + F.coalesce("b._n", F.lit(0))).alias("_n"))
+
+
+def halved(first: DataFrame, ways: DataFrame) -> DataFrame:
+    """From the first batch of each pair of blocks to that of each block, by the ways through the single blocks."""
+    left = first.select("_key", (F.col("_block") * 2).alias("_block"), "_entry", "_batch")
+    a, b = left.alias("a"), ways.alias("b")
+    through = a.join(b, ["_key", "_block", "_entry"]).select("_key", (F.col("_block") + 1).alias("_block"), F.col("_exit").alias("_entry"), (F.col("_batch") + F.col("_n")).alias("_batch"))
+    there = ways.filter("_block % 2 = 1 and _entry = 0").select("_key", "_block")
+    return left.unionAll(through.join(there, ["_key", "_block"], "left_semi"))
+
+
+def batches_of_block(block: int, most_rows: int, most_size: int):
+    """The batch of each row of a block whose first one, and its number, are known."""
+
+    def run(data):
+        import numpy as np
+        import pandas as pd
+
         data = data.sort_values("_at")
-        own = data[data["_at"] // chunk == data["_chunk"]]
-        ahead, starts, i = following(data), np.zeros(len(own), np.int64), int(data["_entry"].iloc[0])
-        while i < len(own):
+        own = int((data["_at"] // block == data["_block"]).sum())
+        ahead, starts, i = next_starts(data["_before"].to_numpy(), data["_bytes"].to_numpy(), most_rows, most_size), np.zeros(own, np.int64), int(data["_entry"].iloc[0])
+        while i < own:
             starts[i] = 1
             i = int(ahead[i])
-        return pd.DataFrame({key: own[key], order: own[order], "batch": int(data["_batch"].iloc[0]) - 1 + np.cumsum(starts)})
-
-    # A row lies ahead of the chunk before it, if that chunk's last batch may reach it.
-    reached = F.when((F.col("_at") % chunk < most_rows) & (F.col("_chunk") > 0), F.array(F.col("_chunk"), F.col("_chunk") - 1)).otherwise(F.array("_chunk"))
-    seen = placed.withColumn("_chunk", F.explode(reached))
-    found = seen.groupBy(key, "_chunk").applyInPandas(ways, f"`{key}` {kind[key]}, _chunk long, _entry long, _exit long, _batches long")
-    begins = found.groupBy(key).applyInPandas(joined, f"`{key}` {kind[key]}, _chunk long, _entry long, _batch long")
-    known = seen.join(begins, [key, "_chunk"]).groupBy(key, "_chunk").applyInPandas(told, f"`{key}` {kind[key]}, `{order}` {kind[order]}, batch int")
-    return rows.join(known, [key, order])
+        return pd.DataFrame({"_key": data["_key"].iloc[0], "_at": data["_at"].iloc[:own], "batch": int(data["_batch"].iloc[0]) - 1 + np.cumsum(starts)})
+
+    return run
+
+
+def batch_parts(batched: DataFrame, key: str, size: str, prefix: str) -> DataFrame:
+    """What is to be written for each batch: key, part, input_file, output_file, errors_file, request_count, size_bytes and the status `prepared`."""
+    name = lambda what: F.format_string(f"{prefix}_{what}_%03d.jsonl", F.col("batch"))
+    parts = batched.groupBy(key, "batch").agg(F.count("*").alias("request_count"), F.sum(F.col(size).cast("long")).alias("size_bytes"))
+    return parts.select(key, F.col("batch").alias("part"), name("input").alias("input_file"), name("output").alias("output_file"), name("errors").alias("errors_file"), "request_count", "size_bytes", F.lit("prepared").alias("status"))

@@ -196,15 +196,57 @@ def phase_order_sources(spark, folder):
     return names(spark, folder).select("p_partkey", order.alias("x")).select("p_partkey", "x.source", F.array_join("x.order", "-").alias("phases"))
 
 
-@query("""WITH RECURSIVE p AS (SELECT n_regionkey AS run, n_name AS phase, row_number() OVER (PARTITION BY n_regionkey ORDER BY length(n_name), n_name) AS i, length(n_name) AS rank FROM nation)
-SELECT run, phase, CAST(row_number() OVER (PARTITION BY run ORDER BY i DESC) - 1 AS INTEGER) AS place FROM p""")
-def phase_placements(spark, folder):
-    """Each phase needs the next one by rank, so the order is the reverse of the ranks."""
+#: Suppliers of a nation as the phases of a run: the i-th one was trained on the model of the i // 2-th, the first on none.
+#: Their commands name it in several ways.
+PHASES = """SELECT s_nationkey AS run, s_name AS phase, s_suppkey % 3 AS rank, '/runs/' || s_nationkey || '/' || replace(s_name, '#', '_') AS folder, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier"""
+#: In the order of a queue: by level, then by the places of all above.
+QUEUE = f"""WITH RECURSIVE p AS ({PHASES}),
+q AS (SELECT run, phase, i, 0 AS depth, [lpad(CAST(rank AS VARCHAR), 4, '0') || phase] AS path FROM p WHERE i = 1
+ UNION ALL SELECT p.run, p.phase, p.i, depth + 1, list_append(path, lpad(CAST(rank AS VARCHAR), 4, '0') || p.phase) FROM q JOIN p ON p.run = q.run AND p.i // 2 = q.i),
+o AS (SELECT run, phase, CAST(row_number() OVER (PARTITION BY run ORDER BY depth, path) - 1 AS INTEGER) AS place, count(*) OVER (PARTITION BY run) AS n FROM q)
+"""
+
+
+def phase_commands(spark, folder):
     from pyspark.sql import Window
 
-    phases = table(spark, folder, "nation").select(F.col("n_regionkey").alias("run"), F.col("n_name").alias("phase"), F.length("n_name").alias("rank"))
-    following = F.lead("phase").over(Window.partitionBy("run").orderBy("rank", "phase"))
-    return runs.phase_places(phases, phases.select("run", "phase", following.alias("needed")).dropna(), "run", "phase", "needed", "rank")
+    phases = table(spark, folder, "supplier").select(F.col("s_nationkey").alias("run"), F.col("s_name").alias("phase"), (F.col("s_suppkey") % 3).alias("rank"), F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("i"))
+    phases = phases.withColumn("folder", F.concat(F.lit("/runs/"), "run", F.lit("/"), F.replace("phase", F.lit("#"), F.lit("_"))))
+    a, b = phases.alias("a"), phases.alias("b")
+    phases = a.join(b, (F.col("a.run") == F.col("b.run")) & (F.expr("a.i div 2") == F.col("b.i")), "left").select("a.*", F.col("b.phase").alias("_needed"), F.col("b.folder").alias("_model"))
+    how = F.col("i") % 4
+    option = (
+        F.when(F.col("_model").isNull(), F.lit("--model_name=base/model"))
+        .when(how == 0, F.concat(F.lit("\\\n  --model_name '"), "_model", F.lit("/checkpoint-50'")))
+        .when(how == 1, F.concat(F.lit('--model_name="'), "_model", F.lit('/./logs/../checkpoint-7"')))
+        .when(how == 2, F.concat(F.lit("--model_name elsewhere/"), F.regexp_replace("_needed", "#", r"\\#"), F.lit("/checkpoint-9")))
+        .otherwise(F.concat(F.lit("--model_name "), "_model"))
+    )
+    return phases.select("run", "phase", "rank", "folder", "_needed", F.concat(F.lit("python train.py --note 'a \"b\"' --lr 1e-5 "), option, F.lit(" --model_name ignored --seed 3\n")).alias("command"))
+
+
+@query(QUEUE + "SELECT run, phase, place FROM o")
+def phase_placements(spark, folder):
+    phases = phase_commands(spark, folder)
+    return runs.phase_places(phases, phases.select("run", "phase", F.col("_needed").alias("needed")).dropna(), "run", "phase", "needed", "rank")
+
+
+@query(QUEUE + "SELECT run, string_agg(phase, '>' ORDER BY place) AS phases FROM o WHERE n > 1 GROUP BY run")
+def command_orders(spark, folder):
+    """The same order, read from the phases' commands."""
+    out = runs.command_order(phase_commands(spark, folder), "run", "phase", "rank", "folder", "command")
+    return out.select("run", F.array_join("phases", ">").alias("phases"))
+
+
+@query("""WITH RECURSIVE d AS (SELECT event_id, CAST('{"t": "' || event_type || '", "v": "' || CAST(user_id AS VARCHAR) || '", "on": true, "x": ' || repeat('{"n": ', CAST(event_id % 14 AS INTEGER)) || props || repeat('}', CAST(event_id % 14 AS INTEGER)) || '}' AS JSON) AS j FROM events),
+w AS (SELECT event_id, CAST(NULL AS VARCHAR) AS path, j FROM d
+ UNION ALL SELECT event_id, concat_ws('.', path, k), json_extract(j, '$."' || k || '"') FROM (SELECT event_id, path, j, unnest(json_keys(j)) AS k FROM w WHERE json_type(j) = 'OBJECT'))
+SELECT event_id, path, TRY_CAST(json_extract_string(j, '$') AS DOUBLE) AS value FROM w WHERE json_type(j) NOT IN ('OBJECT', 'ARRAY', 'BOOLEAN', 'NULL') AND TRY_CAST(json_extract_string(j, '$') AS DOUBLE) IS NOT NULL""")
+def nested_leaves(spark, folder):
+    """Numeric leaves up to 15 levels deep."""
+    deep = F.expr("int(event_id % 14)")
+    text = F.concat(F.lit('{"t": "'), "event_type", F.lit('", "v": "'), F.col("user_id").cast("string"), F.lit('", "on": true, "x": '), F.repeat(F.lit('{"n": '), deep), "props", F.repeat(F.lit("}"), deep), F.lit("}"))
+    return runs.flat_json(table(spark, folder, "events").select("event_id", text.alias("j")), ["event_id"], "j")
 
 
 def tree(spark, folder):

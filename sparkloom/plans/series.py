@@ -120,7 +120,7 @@ def per_run_rows(spark, folder):
 @query("SELECT event_id, k AS k FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events) WHERE k IS NOT NULL")
 def parsed_properties(spark, folder):
     """Numeric leaves of JSON text, through VARIANT."""
-    return runs.flat_json(table(spark, folder, "events"), ["event_id"], "props", depth=1).filter("path = 'k'").select("event_id", F.col("value").alias("k"))
+    return runs.flat_json(table(spark, folder, "events"), ["event_id"], "props").filter("path = 'k'").select("event_id", F.col("value").alias("k"))
 
 
 @query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(value) AS n, avg(value) AS mean FROM events GROUP BY ALL")
