@@ -47,6 +47,20 @@ def settings(spark: SparkSession, **values: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: Folders that stored() has written inside noting().
+NOTED: list[list[str]] = []
+
+
+@contextmanager
+def noting(paths: list[str]):
+    """Adds to `paths` the folder of each table that is stored inside the with statement."""
+    NOTED.append(paths)
+    try:
+        yield
+    finally:
+        NOTED.pop()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts lineage and survives lost executors.
 
@@ -54,6 +68,8 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    for paths in NOTED:
+        paths.append(path)
     with settings(spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true"):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -62,10 +78,15 @@ def stored(df: DataFrame) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes the files behind tables from stored() that nothing will read again."""
     for df in tables:
-        sc = df.sparkSession.sparkContext
-        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = sc._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+
+def delete(spark: SparkSession, folders) -> None:
+    """Deletes folders, if they are there, in whatever store they lie."""
+    sc = spark.sparkContext
+    for name in folders:
+        path = sc._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
