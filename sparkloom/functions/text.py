@@ -17,6 +17,11 @@ def collapse_space(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, "\\n{3,}", "\n\n"), F.lit(" \n\t"))
 
 
+def stripped(c: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def slug(c: Column) -> Column:
     """Lower case, other than letters and digits to one underscore, none at the ends."""
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), F.lit("_"))
@@ -29,35 +34,37 @@ def visible(c: Column) -> Column:
     return F.when(opened & ~closed, F.lit(None)).otherwise(rest)
 
 
-def closed_at(rest: Column) -> Column:
-    """The text up to the brace that closes an open one, or null; a fold over the stretches between braces."""
-    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("seen"), F.lit(-1).alias("stop"))
+@F.pandas_udf(T.StructType([T.StructField("values", T.ArrayType(T.StringType())), T.StructField("malformed", T.BooleanType())]))
+def boxes(texts: pd.Series) -> pd.DataFrame:
+    """struct(values, malformed): what each balanced \\boxed{...} holds, trimmed, in the order of their starts, and whether a box isn't closed.
+
+    Blanks may stand before the brace, and boxes within boxes. A stack pairs the braces in one pass over a text. Null gives null.
+    """
+    import re
 
-    def step(s, part):
-        depth = s["depth"] + F.when(part.startswith("{"), 1).when(part.startswith("}"), -1).otherwise(0)
-        stop = F.when((s["stop"] < 0) & (depth == 0), s["seen"]).otherwise(s["stop"])
-        return F.struct(depth.alias("depth"), (s["seen"] + F.length(part)).alias("seen"), stop.alias("stop"))
+    mark = re.compile(r"\\boxed\s*(\{)|[{}]")
 
-    stop = F.aggregate(F.split(rest, "(?=[{}])"), start, step)["stop"]
-    return F.when(stop >= 0, F.substr(rest, F.lit(1), stop))
+    def one(t):
+        if t is None:
+            return None, None
+        opened, found = [], []
+        for m in mark.finditer(t):
+            if m[0] == "}":
+                if opened and (k := opened.pop())[1] is not None:
+                    found[k[1]] = t[k[0] : m.start()].strip()
+            else:
+                opened.append((m.end(), len(found) if m[1] else None))
+                if m[1]:
+                    found.append(None)
+        values = [x for x in found if x is not None]
+        return values, len(values) < len(found)
+
+    return pd.DataFrame([one(t) for t in texts], columns=["values", "malformed"])
 
 
 def last_box(c: Column) -> Column:
-    """What the last \\boxed{...} with balanced braces holds, or null; boxes are tried from the last one outwards."""
-    mark = "\\boxed{"
-    parts = F.split(c, "\\\\boxed\\{")
-    before = F.sequence(F.greatest(F.size(parts) - 2, F.lit(1)), F.lit(1), F.lit(-1))
-    others = F.filter(F.transform(before, lambda i: closed_at(F.array_join(F.slice(parts, i + 1, F.size(parts)), mark))), lambda x: x.isNotNull())
-    earlier = F.when(F.size(parts) > 2, F.try_element_at(others, F.lit(1)))
-    return F.when(c.contains(mark), F.coalesce(closed_at(F.element_at(parts, -1)), earlier))
-
-
-def boxes(c: Column) -> Column:
-    """struct(values, malformed): what each balanced \\boxed{...} holds, in order, and whether a box isn't closed."""
-    mark = "\\boxed{"
-    parts = F.split(c, "\\\\boxed\\{")
-    found = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: closed_at(F.array_join(F.slice(parts, i + 1, F.size(parts)), mark)))).otherwise(F.array().cast("array<string>"))
-    return F.when(c.isNotNull(), F.struct(F.filter(found, lambda x: x.isNotNull()).alias("values"), F.exists(found, lambda x: x.isNull()).alias("malformed")))
+    """What the last \\boxed{...} with balanced braces holds, trimmed, or null."""
+    return F.try_element_at(boxes(c)["values"], F.lit(-1))
 
 
 def tag_scan(c: Column, names: list[str]) -> Column:

@@ -65,6 +65,21 @@ def routes(rows: DataFrame, route: str, names: Sequence[str], keys: Sequence[str
     return whole.select(*keys, F.explode(stacked).alias("x")).select(*keys, "x.*")
 
 
+def lever_comparison(chosen: DataFrame, frozen: DataFrame, keys: Sequence[str], direction: str, alpha: str, gain: str, forgetting: str) -> DataFrame:
+    """What two levers bring in turn, for the keys that all three have: from reverse and frozen to reverse at its chosen alpha, and on to forward at its own.
+
+    chosen(keys, direction, alpha, gain, forgetting): reverse and forward at the alphas chosen for each. frozen(keys, gain, forgetting): reverse at alpha 0.
+    """
+    r, f = (chosen.filter(F.col(direction) == name).select(*keys, *(F.col(c).alias(f"_{name}_{c}") for c in (alpha, gain, forgetting))) for name in ("reverse", "forward"))
+    z = frozen.select(*keys, *(F.col(c).alias(f"_frozen_{c}") for c in (gain, forgetting)))
+    less = lambda a, b, c: F.col(f"_{a}_{c}") - F.col(f"_{b}_{c}")
+    return r.join(f, list(keys)).join(z, list(keys)).select(
+        *keys, less("reverse", "frozen", gain).alias("acquisition_gain"), less("reverse", "frozen", forgetting).alias("forgetting_cost"),
+        less("forward", "reverse", gain).alias("forward_acquisition_gain"), less("forward", "reverse", forgetting).alias("forward_forgetting_cost"),
+        F.col(f"_reverse_{alpha}").alias("reverse_alpha"), F.col(f"_forward_{alpha}").alias("forward_alpha"),
+    )
+
+
 def prioritised_lookup(rows: DataFrame, sources: Sequence[tuple[DataFrame, str]], value: str) -> DataFrame:
     """rows with value from the first source that knows the row: (table, key column), keys that stand twice don't count."""
     out, found = rows, []

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.functions.hashing import hash_unit
+from sparkloom.functions.text import stripped
 
 COMPARE = {"gt": "__gt__", "gte": "__ge__", "lt": "__lt__", "lte": "__le__"}
 OPS = ("eq", "neq", "contains", "not_contains", "regex", *COMPARE)
@@ -129,15 +130,22 @@ def number_policy(c: Column, policy: str, most_digits: int | None = None) -> Col
     return ok if most_digits is None else ok & ~c.rlike(f"[0-9]{{{most_digits + 1},}}")
 
 
-def content_rules(question: Column, answer: Column, longest: int = 4000) -> list[tuple[str, Column]]:
-    """Rules for first_reason(): both texts are there, short enough, and whole in their code fences and characters."""
-    both = F.concat_ws("\n", question, answer)
+#: Fixed value: answers that are a whole or decimal number, or a fraction of such.
+NUMERIC_ANSWER = r"^\s*[-+]?((\d+(\.\d*)?|\.\d+)(/[+-]?\d+(\.\d*)?)?|\d+\s*/\s*[-+]?\d+)\s*\z"
+
+
+def numeric_answer(answer: Column) -> Column:
+    """Whether an answer is a simple number; commas and outer blanks don't count."""
+    return F.replace(stripped(answer), F.lit(",")).rlike("(?U)" + NUMERIC_ANSWER)
+
+
+def content_rules(question: Column, answer: Column) -> list[tuple[str, Column]]:
+    """Rules for first_reason(): both texts are there, the question has a digit, and the answer is a simple number."""
     return [
-        ("missing_question", F.trim(question) != ""),
-        ("missing_answer", F.trim(answer) != ""),
-        ("too_long", F.length(both) <= longest),
-        ("broken_text", ~both.contains("\ufffd")),
-        ("open_fence", F.regexp_count(both, F.lit("```")) % 2 == 0),
+        ("missing_question", stripped(question) != ""),
+        ("missing_answer", stripped(answer) != ""),
+        ("question_without_digit", question.rlike("(?U)\\d")),
+        ("answer_not_numeric", numeric_answer(answer)),
     ]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.numbers import finite, float_of_text
+from sparkloom.functions.numbers import variant_number
 from sparkloom.functions.text import option_value, plain_path
 
 from . import ordered
@@ -151,9 +151,8 @@ def flat_json(rows: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     while not found or not level.isEmpty():
         opened = level.withColumn("_v", F.try_parse_json("_json")).filter("try_variant_get(_v, '$', 'map<string,variant>') is not null").drop("_json")
         each = opened.lateralJoin(opened.sparkSession.tvf.variant_explode(F.col("_v").outer()))
-        kind = F.schema_of_variant("value")
-        number = F.when(kind == "STRING", float_of_text(F.expr("try_variant_get(value, '$', 'string')"))).when(~kind.isin("BOOLEAN", "VOID"), finite(F.expr("try_variant_get(value, '$', 'double')")))
-        inner = F.when(kind.startswith("OBJECT"), F.to_json("value"))
+        number = variant_number(F.col("value"))
+        inner = F.when(F.schema_of_variant("value").startswith("OBJECT"), F.to_json("value"))
         each = each.select(*keys, F.concat_ws(".", "path", "key").alias("path"), inner.alias("_json"), number.alias("value"))
         each = written(each.filter("_json is not null or value is not null"))
         found.append(each.filter("value is not null").select(*keys, "path", "value"))
@@ -164,25 +163,60 @@ def flat_json(rows: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     return out
 
 
-def external_features(registered: Column, summary: Column, final: Column, delta: Column, summary_delta: Column, prior: Column) -> Column:
-    """struct(baseline, final, delta, average) of an external evaluation, each from the first source that gives it.
+def percent_value(percent: Column, value: Column) -> Column:
+    """A result in percent: as it is recorded, else 100 times the raw value."""
+    return F.coalesce(percent, value * 100.0)
 
-    The baseline is the registered one, else the summary's; the final value is measured, else baseline plus delta; the
-    delta is measured, else the summary's, else final less baseline; the average falls back to the prior one.
+
+def task_features(registered: Column, baseline: Column, final: Column, delta: Column, stderr: Column, stderr_percent: Column) -> Column:
+    """struct(final, delta, stderr) of a task of an external evaluation, in percent but for the raw standard error.
+
+    The baseline is the registered one, else the summary's; the final value is measured, else baseline plus the summary's delta;
+    the delta is final less baseline, else the summary's; the standard error is the raw one, else a hundredth of the one in percent.
     """
-    base = F.coalesce(registered, summary)
-    change = F.coalesce(delta, summary_delta)
-    last = F.coalesce(final, base + change)
-    return F.struct(base.alias("baseline"), last.alias("final"), F.coalesce(change, last - base).alias("delta"), F.coalesce((last + base) / 2, prior).alias("average"))
+    base = F.coalesce(registered, baseline)
+    last = F.coalesce(final, base + delta)
+    return F.struct(last.alias("final"), F.coalesce(last - base, delta).alias("delta"), F.coalesce(stderr, stderr_percent / 100.0).alias("stderr"))
 
 
-def length_summary(lengths: Column, main: str) -> Column:
-    """struct(main, mean, median) of a map of lengths by field: the main field's, and over all fields that have one."""
-    known = F.array_sort(F.filter(F.map_values(lengths), lambda x: x.isNotNull()))
-    n = F.size(known)
-    at = lambda i: F.try_element_at(known, i.cast("int"))
-    mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), n)
-    return F.struct(F.try_element_at(lengths, F.lit(main)).alias("main"), mean.alias("mean"), F.when(n > 0, (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2).alias("median"))
+def external_features(tasks: DataFrame, average: DataFrame, run: str) -> DataFrame:
+    """(run, final, delta, components): what a run's external evaluation comes to over the tasks that its average is made of.
+
+    tasks(run, final, delta, registered): each of these tasks' features and registered baseline. average(run, registered, baseline,
+    final, delta): what was registered and summarised for the average itself; runs may lack it. The final value is the
+    summary's, else the tasks' mean; the baseline the registered one, else the summary's, else the mean of the tasks' registered ones; the
+    delta is final less baseline, else the summary's, else the mean of the tasks' deltas. components: tasks with a final value or a delta.
+    """
+    means = tasks.groupBy(run).agg(
+        F.avg("final").alias("_final"), F.avg("delta").alias("_delta"), F.avg("registered").alias("_registered"), F.count_if(F.col("final").isNotNull() | F.col("delta").isNotNull()).alias("components"),
+    )
+    both = means.join(average.select(run, "registered", "baseline", "final", "delta"), run, "full")
+    last, base = F.coalesce("final", "_final"), F.coalesce("registered", "baseline", "_registered")
+    return both.select(run, last.alias("final"), F.coalesce(last - base, F.col("delta"), F.col("_delta")).alias("delta"), F.coalesce("components", F.lit(0)).cast("long").alias("components"))
+
+
+def length_summary(summary: Column) -> Column:
+    """struct(main_mean, main_median, main_unit, char_mean, whitespace_mean, token_mean, responses) of a JSON summary of response lengths.
+
+    The main field is the one that the summary names for its main mean, else its length field; its median is read from
+    there. The number of responses is that with text, or of records where there is none. What isn't a number is null.
+    """
+    # Parsed once, however many fields are read.
+    return F.get(F.transform(F.array(F.try_parse_json(summary)), length_fields), F.lit(0))
+
+
+def length_fields(v: Column) -> Column:
+    """length_summary() of a VARIANT."""
+    at = lambda path: variant_number(F.try_variant_get(v, path, "variant"))
+    named = lambda path: F.nullif(F.try_variant_get(v, path, "string"), F.lit(""))
+    unit = F.coalesce(named("$.length_field_used_for_main_mean"), named("$.length_field"), F.lit(""))
+    fields = F.try_variant_get(v, "$", "map<string,variant>")
+    median = variant_number(F.try_variant_get(F.try_element_at(fields, unit), "$.median", "variant"))
+    responses = at("$.num_responses_with_text")
+    return F.when(v.isNotNull(), F.struct(
+        at("$.main_mean_length").alias("main_mean"), F.when(unit != "", median).alias("main_median"), unit.alias("main_unit"), at("$.char_length.mean").alias("char_mean"),
+        at("$.whitespace_token_length.mean").alias("whitespace_mean"), at("$.hf_token_length.mean").alias("token_mean"), F.coalesce(F.when(responses != 0, responses), at("$.num_records")).alias("responses"),
+    ))
 
 
 def primary_files(files: DataFrame, keys: Sequence[str], path: str, marker: str = "original") -> DataFrame:
@@ -209,9 +243,18 @@ def tensor_rows(rows: DataFrame, keys: Sequence[str], tensor: str) -> DataFrame:
     return seeds.select(*keys, "seed", F.posexplode("_series").alias("step", "value"))
 
 
-def noise_type(level: Column, seeded: Column) -> Column:
-    """none, fixed or fresh: whether there is noise, and whether it is drawn once or for each step."""
-    return F.when(F.coalesce(level, F.lit(0.0)) <= 0, "none").otherwise(F.when(seeded, "fixed").otherwise("fresh"))
+def noise_type(feature: Column, behavior: Column) -> Column:
+    """feature, behavior or zero: which of the two noises a run has, feature noise first."""
+    on = lambda c: (c > 0) & ~F.isnan(c)
+    return F.when(on(feature), "feature").when(on(behavior), "behavior").otherwise("zero")
+
+
+def noise_optima(rows: DataFrame, feature: str, behavior: str, keys: Sequence[str], alpha: str, gain: str) -> DataFrame:
+    """noise_type, noise_scale, keys, alpha, gain: for each kind and size of noise the alpha with the highest mean gain, the least one among equals."""
+    kind = noise_type(F.col(feature), F.col(behavior)).alias("noise_type")
+    cells = rows.groupBy(kind, F.greatest(feature, behavior).alias("noise_scale"), *keys, alpha).agg(F.avg(gain).alias(gain))
+    best = F.max_by(F.struct(alpha, gain), F.struct(gain, -F.col(alpha)))
+    return cells.groupBy("noise_type", "noise_scale", *keys).agg(best.alias("_best")).select("noise_type", "noise_scale", *keys, "_best.*")
 
 
 def unique_experiments(rows: DataFrame, name: str, ignored: Sequence[str]) -> DataFrame:

@@ -222,3 +222,14 @@ def prefix_methods(spark, folder):
 def pricing_summary(spark, folder):
     rows = table(spark, folder, "lineitem").filter(F.col("l_shipdate") <= F.lit("2000-09-02").cast("timestamp_ntz"))
     return rows.groupBy(F.col("l_returnflag").alias("role")).agg(F.sum("l_quantity").alias("sum_qty"), F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), F.avg("l_discount").alias("avg_disc"), F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT l_suppkey, l_linenumber, l_returnflag, avg(l_quantity) AS g, avg(l_extendedprice) AS f FROM lineitem GROUP BY ALL),
+p AS (SELECT l_suppkey, l_linenumber, max(g) FILTER (l_returnflag = 'R') AS rg, max(f) FILTER (l_returnflag = 'R') AS rf, max(g) FILTER (l_returnflag = 'A') AS fg, max(f) FILTER (l_returnflag = 'A') AS ff, max(g) FILTER (l_returnflag = 'N') AS zg, max(f) FILTER (l_returnflag = 'N') AS zf FROM c GROUP BY ALL)
+SELECT l_suppkey, l_linenumber, rg - zg AS acquisition_gain, rf - zf AS forgetting_cost, fg - rg AS forward_acquisition_gain, ff - rf AS forward_forgetting_cost, rg AS reverse_alpha, fg AS forward_alpha FROM p WHERE rg IS NOT NULL AND fg IS NOT NULL AND zg IS NOT NULL""")
+def lever_comparisons(spark, folder):
+    """Return flags as reverse, forward and frozen; cells that lack one of the three fall out."""
+    keys = ["l_suppkey", "l_linenumber"]
+    cells = table(spark, folder, "lineitem").groupBy(*keys, "l_returnflag").agg(F.avg("l_quantity").alias("gain"), F.avg("l_extendedprice").alias("forgetting")).withColumn("alpha", F.col("gain"))
+    chosen = cells.withColumn("direction", F.when(F.col("l_returnflag") == "R", "reverse").when(F.col("l_returnflag") == "A", "forward"))
+    return joins.lever_comparison(chosen, cells.filter("l_returnflag = 'N'"), keys, "direction", "alpha", "gain", "forgetting")

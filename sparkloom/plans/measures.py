@@ -70,13 +70,30 @@ def hash_numbers(spark, folder):
     return table(spark, folder, "customer").select("c_custkey", hashing.hash_choice(["a", "b", "c"], F.lit("pick"), F.col("c_custkey")).alias("pick"), hashing.hash_unit_64(*k).alias("unit"), hashing.hash_int63(*k).alias("whole"))
 
 
-JSON = "'{\"brand\": \"' || p_brand || '\", \"name\": \"a \\\"b\\\" ' || p_name || '\", \"none\": null, \"size\": ' || p_size || '}'"
+#: Records as Python's json writes them: with blanks and sorted keys, and compact and in ASCII.
+RECORD = """'{"brand": "' || p_brand || '", "m": {"price": ' || CAST(p_retailprice AS VARCHAR) || ', "é": true}, "name": "a \\"b\\"\\\\ ' || p_name || '", "none": null, "sizes": [' || p_size || ', null]}'"""
+KEY = """'{"model_identity":"\\u00e9' || p_brand || '","output_root":"/runs/' || p_partkey || '","run_name":"' || p_type || '"}'"""
 
 
-@query(f"SELECT p_partkey, {JSON} AS shown, substr(sha256({JSON}), 1, 24) AS digest, p_type || '_' || substr(sha256({JSON}), 1, 12) AS key FROM part")
+@query(f"SELECT p_partkey, {RECORD} AS shown, substr(sha256('v1' || chr(10) || {RECORD} || chr(10) || p_size), 1, 24) AS digest, p_type || '::' || substr(sha256({KEY}), 1, 12) AS key FROM part")
 def json_hashes(spark, folder):
-    values = {"size": F.col("p_size"), "name": F.concat(F.lit('a "b" '), "p_name"), "brand": F.col("p_brand"), "none": F.lit(None).cast("string")}
-    return table(spark, folder, "part").select("p_partkey", hashing.canonical_json(values).alias("shown"), hashing.json_hash(values).alias("digest"), hashing.progress_key(F.col("p_type"), values).alias("key"))
+    record = F.struct(
+        F.lit(None).cast("string").alias("none"), F.array(F.col("p_size"), F.lit(None)).alias("sizes"), F.concat(F.lit('a "b"\\ '), "p_name").alias("name"), F.col("p_brand").alias("brand"),
+        F.struct(F.lit(True).alias("é"), F.col("p_retailprice").cast("double").alias("price")).alias("m"),
+    )
+    digest = hashing.stable_hash([F.lit("v1")], {1: record, 2: F.col("p_size")})
+    key = hashing.progress_key(F.col("p_type"), F.concat(F.lit("é"), "p_brand"), F.concat(F.lit("/runs/./x/../"), F.col("p_partkey").cast("string")))
+    return table(spark, folder, "part").select("p_partkey", hashing.python_json(record, sort_keys=True).alias("shown"), digest.alias("digest"), key.alias("key"))
+
+
+@query("SELECT event_id, event_type AS kind, CAST(value AS DOUBLE) AS value, event_id * 1000003 AS big, CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END AS maybe, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def kept_structures(spark, folder):
+    """Records that go into a text column as JSON and come back with their structure."""
+    rows = table(spark, folder, "events").select("event_id", F.struct(F.col("event_type").alias("kind"), "value", F.array(F.col("event_id") * 1000003, F.when(F.col("event_id") % 3 != 0, F.col("user_id"))).alias("ids")).alias("x"), "props")
+    kind = rows.schema["x"].dataType
+    stored = rows.select("event_id", "props", hashing.python_json(F.col("x")).alias("text"))
+    back = stored.select("event_id", hashing.json_loaded_as(F.col("text"), kind.simpleString()).alias("x"), hashing.json_loaded(F.col("props")).alias("v"))
+    return back.select("event_id", "x.kind", "x.value", F.col("x.ids")[0].alias("big"), F.col("x.ids")[1].alias("maybe"), F.try_variant_get("v", "$.k", "long").alias("k"))
 
 
 @query("SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9))) AS digest FROM documents")
@@ -100,7 +117,7 @@ def parsed_values(spark, folder):
     shown = F.when(k == 0, F.col("o_orderpriority")).when(k == 1, "NaN").otherwise(F.concat("o_orderkey", F.lit(".5")))
     flag = F.when(k == 0, " YES ").when(k == 1, "off").when(k == 2, "0").otherwise("perhaps")
     value = F.col("o_orderkey") + F.when(F.col("o_orderkey") % 2 == 0, 0.0).otherwise(0.25)
-    return table(spark, folder, "orders").select("o_orderkey", numbers.parse_finite(shown).alias("number"), numbers.parse_bool(flag).alias("flag"), numbers.compact(value).alias("short"))
+    return table(spark, folder, "orders").select("o_orderkey", numbers.parse_finite(shown).alias("number"), numbers.parse_bool(flag).alias("flag"), numbers.compact(value, 6).alias("short"))
 
 
 @query(LONG + """, d AS (SELECT *, y - x * (sum(x * y) OVER w) / (sum(x * x) OVER w) AS r FROM b WINDOW w AS (PARTITION BY vec_id))
@@ -197,12 +214,13 @@ def balanced_pages(spark, folder):
     return rows.filter("x.balanced").select("page_id", F.col("x.count").alias("pairs"), n.alias("n"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || '|{' || p_size || '}' WHEN 1 THEN p_brand ELSE '' END AS held, p_partkey % 3 <> 0 AS malformed FROM part")
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || '|{' || p_size || '}' WHEN 1 THEN p_brand ELSE '' END AS held, CASE p_partkey % 3 WHEN 0 THEN '{' || p_size || '}' WHEN 1 THEN p_brand END AS last, p_partkey % 3 <> 0 AS malformed FROM part")
 def all_boxes(spark, folder):
+    """Boxes with blanks before and within the braces, boxes within others that aren't closed, and none that is."""
     k = F.col("p_partkey") % 3
-    shown = F.when(k == 0, F.concat(F.lit("\\boxed{"), "p_name", F.lit("} and \\boxed{{"), "p_size", F.lit("}}"))).when(k == 1, F.concat(F.lit("\\boxed{open \\boxed{"), "p_brand", F.lit("}"))).otherwise(F.lit("x \\boxed{{no}"))
-    rows = table(spark, folder, "part").withColumn("x", text.boxes(shown))
-    return rows.select("p_partkey", F.array_join("x.values", "|").alias("held"), F.col("x.malformed").alias("malformed"))
+    shown = F.when(k == 0, F.concat(F.lit("\\boxed \n{ "), "p_name", F.lit(" } and } \\boxed{{"), "p_size", F.lit("}}"))).when(k == 1, F.concat(F.lit("\\boxed{open \\boxed {"), "p_brand", F.lit("\t}"))).otherwise(F.lit("x \\boxed{{no}"))
+    rows = table(spark, folder, "part").select("p_partkey", text.boxes(shown).alias("x"), text.last_box(shown).alias("last"))
+    return rows.select("p_partkey", F.array_join("x.values", "|").alias("held"), "last", F.col("x.malformed").alias("malformed"))
 
 
 @query("SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0")
@@ -229,10 +247,19 @@ def number_policies(spark, folder):
     return table(spark, folder, "documents").select("doc_id", of("none"), of("required", 4), of("decimal"))
 
 
-@query("SELECT reason, count(*) AS n FROM (SELECT CASE WHEN NOT coalesce(trim(question) <> '', false) THEN 'missing_question' WHEN NOT coalesce(trim(text) <> '', false) THEN 'missing_answer' WHEN length(concat_ws(chr(10), question, text)) > 300 THEN 'too_long' END AS reason FROM (SELECT text, CASE WHEN turn > 0 THEN role END AS question FROM conversations)) WHERE reason IS NOT NULL GROUP BY reason")
+@query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN question IS NULL OR trim(question) = '' THEN 'missing_question' WHEN answer IS NULL OR trim(answer) = '' THEN 'missing_answer' WHEN NOT regexp_matches(question, '[0-9]') THEN 'question_without_digit'
+ WHEN NOT regexp_full_match(replace(trim(answer), ',', ''), '[-+]?(([0-9]+([.][0-9]*)?|[.][0-9]+)(/[+-]?[0-9]+([.][0-9]*)?)?|[0-9]+ */ *[-+]?[0-9]+)') THEN 'answer_not_numeric' END AS reason
+ FROM (SELECT CASE WHEN o_orderkey % 11 > 0 THEN o_orderpriority END AS question,
+  CASE o_orderkey % 7 WHEN 0 THEN ' ' WHEN 1 THEN '1,' || o_custkey WHEN 2 THEN o_custkey || ' / -' || o_orderkey WHEN 3 THEN o_custkey || '/' WHEN 4 THEN '+' || o_custkey || '.' WHEN 5 THEN '-.' || o_custkey || '/2.5' ELSE o_orderstatus END AS answer FROM orders))
+WHERE reason IS NOT NULL GROUP BY reason""")
 def content_rejections(spark, folder):
-    rows = table(spark, folder, "conversations").withColumn("question", F.when(F.col("turn") > 0, F.col("role")))
-    return predicates.rejections(rows, predicates.content_rules(F.col("question"), F.col("text"), 300))
+    k, of = F.col("o_orderkey"), lambda *parts: F.concat(*(F.lit(p) if p in ("1,", " / -", "/", "+", ".", "-.", "/2.5") else F.col(p).cast("string") for p in parts))
+    forms = [F.lit(" "), of("1,", "o_custkey"), of("o_custkey", " / -", "o_orderkey"), of("o_custkey", "/"), of("+", "o_custkey", "."), of("-.", "o_custkey", "/2.5")]
+    answer = F.col("o_orderstatus")
+    for i, form in enumerate(forms):
+        answer = F.when(k % 7 == i, form).otherwise(answer)
+    question = F.when(k % 11 > 0, F.col("o_orderpriority"))
+    return predicates.rejections(table(spark, folder, "orders"), predicates.content_rules(question, answer))
 
 
 @query("SELECT doc_id FROM documents WHERE n_chars > 1000")

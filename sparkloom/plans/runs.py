@@ -110,13 +110,41 @@ def flattened_tasks(spark, folder):
     return runs.flattened_results(rows, ["p_brand"], "p_type", "m", [("ECONOMY", "price"), ("STANDARD", "size"), ("none", "size")])
 
 
-@query(f"""SELECT l_orderkey, l_linenumber, coalesce(a, b) AS baseline, coalesce(f, coalesce(a, b) + d) AS final, coalesce(d, f - coalesce(a, b)) AS delta, coalesce((coalesce(f, coalesce(a, b) + d) + coalesce(a, b)) / 2, l_extendedprice) AS average, l_quantity - d AS rebuilt
-FROM (SELECT *, CASE WHEN l_quantity > 10 THEN l_quantity END AS f, CASE WHEN l_linenumber % 2 = 0 THEN coalesce(b, l_quantity / 4) END AS d FROM {RATES})""")
+#: Line items as the tasks of an order's evaluation: registered baselines, summaries with gaps, raw or percent results.
+TASKS = """(SELECT l_orderkey AS run, l_linenumber AS task, CASE WHEN l_linenumber % 2 = 0 THEN l_tax * 100 END AS registered, CASE WHEN l_suppkey % 3 > 0 THEN l_discount * 100 END AS baseline,
+  coalesce(CASE WHEN l_quantity > 30 THEN l_quantity END, CASE WHEN l_quantity < 10 THEN l_discount * 100.0 END) AS final, CASE WHEN l_suppkey % 4 > 0 THEN l_tax END AS delta, CASE WHEN l_quantity > 25 THEN l_tax END AS se, l_discount AS sp FROM lineitem) t"""
+FEATURES = f"""SELECT run, task, registered, f AS final, coalesce(f - base, delta) AS delta, coalesce(se, sp / 100.0) AS stderr FROM (SELECT *, coalesce(registered, baseline) AS base, coalesce(final, coalesce(registered, baseline) + delta) AS f FROM {TASKS})"""
+
+
+def evaluated_tasks(spark, folder):
+    when = lambda test, c: F.when(F.expr(test), F.expr(c))
+    registered, baseline, delta = when("l_linenumber % 2 = 0", "l_tax * 100"), when("l_suppkey % 3 > 0", "l_discount * 100"), when("l_suppkey % 4 > 0", "l_tax")
+    final = runs.percent_value(when("l_quantity > 30", "l_quantity"), when("l_quantity < 10", "l_discount"))
+    found = runs.task_features(registered, baseline, final, delta, when("l_quantity > 25", "l_tax"), F.col("l_discount"))
+    return table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("task"), registered.alias("registered"), found.alias("x")).select("run", "task", "registered", "x.*")
+
+
+@query(FEATURES)
+def task_feature_rows(spark, folder):
+    return evaluated_tasks(spark, folder)
+
+
+@query(f"""WITH f AS ({FEATURES}), m AS (SELECT run, avg(final) AS f, avg(delta) AS d, avg(registered) AS r, count(*) FILTER (final IS NOT NULL OR delta IS NOT NULL) AS n FROM f GROUP BY run),
+a AS (SELECT o_orderkey AS run, CASE WHEN o_orderkey % 5 = 0 THEN 40.0 END AS r, CASE WHEN o_orderkey % 3 = 0 THEN 30.0 END AS b, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS f, CASE WHEN o_orderkey % 7 = 0 THEN 1.5 END AS d FROM orders WHERE o_orderkey % 4 > 0)
+SELECT run, coalesce(a.f, m.f) AS final, coalesce(coalesce(a.f, m.f) - coalesce(a.r, a.b, m.r), a.d, m.d) AS delta, coalesce(n, 0) AS components FROM m FULL JOIN a USING (run)""")
 def external_feature_rows(spark, folder):
-    rows = rates(spark, folder).withColumn("f", F.when(F.col("l_quantity") > 10, F.col("l_quantity"))).withColumn("even", F.col("l_linenumber") % 2 == 0)
-    d1, d2 = F.when(F.col("even"), F.col("b")), F.when(F.col("even"), F.col("l_quantity") / 4)
-    found = runs.external_features(F.col("a"), F.col("b"), F.col("f"), d1, d2, F.col("l_extendedprice"))
-    return rows.select("l_orderkey", "l_linenumber", found.alias("x"), runs.rebuilt_baseline(F.col("l_quantity"), F.coalesce(d1, d2)).alias("rebuilt")).select("l_orderkey", "l_linenumber", "x.*", "rebuilt")
+    """What an order's evaluation comes to; every fourth order has no summary of the average."""
+    when = lambda test, c: F.when(F.expr(test), F.expr(c))
+    average = table(spark, folder, "orders").filter("o_orderkey % 4 > 0").select(
+        F.col("o_orderkey").alias("run"), when("o_orderkey % 5 = 0", "40.0D").alias("registered"), when("o_orderkey % 3 = 0", "30.0D").alias("baseline"),
+        when("o_orderkey % 2 = 0", "o_totalprice").alias("final"), when("o_orderkey % 7 = 0", "1.5D").alias("delta"),
+    )
+    return runs.external_features(evaluated_tasks(spark, folder), average, "run")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity - l_tax AS rebuilt FROM lineitem")
+def rebuilt_baselines(spark, folder):
+    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", runs.rebuilt_baseline(F.col("l_quantity"), F.col("l_tax")).alias("rebuilt"))
 
 
 @query("SELECT page_id, CASE WHEN starts_with(url, 'https://') THEN 's3/' || substr(url, 9) WHEN starts_with(url, 'http://') THEN 'plain/' || substr(url, 8) ELSE url END AS path FROM pages")
@@ -140,11 +168,19 @@ def response_lengths(spark, folder):
     return runs.length_stats(table(spark, folder, "conversations").withColumn("n", F.length("text")), "n", 300, F.col("text").like("%."))
 
 
-@query("SELECT user_id, max(v) FILTER (event_type = 'click') AS main, avg(v) AS mean, median(v) AS median FROM (SELECT user_id, event_type, avg(value) AS v FROM events GROUP BY ALL) GROUP BY user_id")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN o_totalprice END AS main_mean, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_custkey AS DOUBLE) WHEN 1 THEN CASE WHEN o_orderkey % 2 = 0 THEN 5.5 END END AS main_median,
+ CASE o_orderkey % 3 WHEN 0 THEN 'char_length' WHEN 1 THEN 'whitespace_token_length' ELSE '' END AS main_unit, o_totalprice AS char_mean, CASE WHEN o_orderkey % 2 = 0 THEN 2.5 END AS whitespace_mean, CAST(NULL AS DOUBLE) AS token_mean,
+ CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 5 ELSE o_custkey END * 1.0 AS responses FROM orders""")
 def length_summaries(spark, folder):
-    per = table(spark, folder, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("v"))
-    maps = per.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("m"))
-    return maps.select("user_id", runs.length_summary(F.col("m"), "click").alias("x")).select("user_id", "x.*")
+    """JSON summaries whose main field is named in one of two places or none, with fields that aren't there."""
+    k, s = F.col("o_orderkey"), lambda c: F.col(c).cast("string")
+    shown = F.concat(
+        F.lit('{"main_mean_length": '), F.when(k % 4 > 0, s("o_totalprice")).otherwise('""'), F.lit(', "char_length": {"mean": '), s("o_totalprice"), F.lit(', "median": "'), s("o_custkey"), F.lit('"}, '),
+        F.when(k % 2 == 0, F.lit('"whitespace_token_length": {"mean": 2.5, "median": 5.5}, ')).otherwise(F.lit('"whitespace_token_length": null, ')),
+        F.when(k % 3 == 0, F.lit('"length_field_used_for_main_mean": "char_length", "length_field": "x", ')).when(k % 3 == 1, F.lit('"length_field_used_for_main_mean": "", "length_field": "whitespace_token_length", ')).otherwise(F.lit("")),
+        F.lit('"num_responses_with_text": '), (k % 5).cast("string"), F.lit(', "num_records": '), s("o_custkey"), F.lit("}"),
+    )
+    return table(spark, folder, "orders").select("o_orderkey", runs.length_summary(shown).alias("x")).select("o_orderkey", "x.*")
 
 
 FILES = "(SELECT c_nationkey, c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN '_original' ELSE '' END || c_custkey AS path FROM customer)"
@@ -177,9 +213,16 @@ def tensor_series(spark, folder):
     return runs.tensor_rows(table(spark, folder, "part").withColumn("t", tensor), ["p_partkey"], "t")
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_tax <= 0 THEN 'none' WHEN l_linenumber % 2 = 0 THEN 'fixed' ELSE 'fresh' END AS noise FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_tax > 0.04 THEN 'feature' WHEN l_discount > 0.02 THEN 'behavior' ELSE 'zero' END AS noise FROM lineitem")
 def noise_types(spark, folder):
-    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", runs.noise_type(F.col("l_tax"), F.col("l_linenumber") % 2 == 0).alias("noise"))
+    noise = runs.noise_type(F.col("l_tax") - 0.04, F.col("l_discount") - 0.02)
+    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", noise.alias("noise"))
+
+
+@query("""WITH m AS (SELECT CASE WHEN l_tax > 0 THEN 'feature' WHEN l_discount > 0 THEN 'behavior' ELSE 'zero' END AS noise_type, greatest(l_tax, l_discount) AS noise_scale, l_returnflag, l_linenumber, avg(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL)
+SELECT noise_type, noise_scale, l_returnflag, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY noise_type, noise_scale, l_returnflag ORDER BY l_quantity DESC, l_linenumber) AS r FROM m) WHERE r = 1""")
+def noise_optima(spark, folder):
+    return runs.noise_optima(table(spark, folder, "lineitem"), "l_tax", "l_discount", ["l_returnflag"], "l_linenumber", "l_quantity")
 
 
 @query("SELECT p_brand, p_type, p_size, p_partkey, arg_min(p_name, p_partkey) AS p_name FROM (SELECT p_brand, p_type, p_size, min(p_partkey) OVER (PARTITION BY p_brand, p_type, p_size) AS m, p_partkey, p_name FROM part) WHERE p_partkey = m GROUP BY ALL")
@@ -318,7 +361,8 @@ def deltas_from_lowest(spark, folder):
     return table(spark, folder, "events").select("event_id", (F.col("value") - low).alias("delta"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size > 0 THEN least(greatest(p_partkey / p_size, 0.0), 1.0) END AS fraction, CASE WHEN p_size BETWEEN 1 AND 9 THEN p_size || 'e-5' ELSE NULL END AS rate FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size > 0 THEN least(greatest(p_partkey / p_size, 0.0), 1.0) END AS fraction, CASE WHEN p_size = 0 THEN '0e0' WHEN p_size % 10 = 0 THEN p_size // 10 || 'e-4' WHEN p_size < 10 THEN p_size || 'e-5' ELSE p_size // 10 || '.' || p_size % 10 || 'e-4' END AS rate, CASE WHEN p_size % 10 = 0 THEN CAST(p_size // 10 AS VARCHAR) ELSE p_size // 10 || '.' || p_size % 10 END AS number FROM part")
 def short_rates(spark, folder):
-    rate = F.when(F.col("p_size").between(1, 9), numbers.short_rate(F.col("p_size") / 100000.0))
-    return table(spark, folder, "part").select("p_partkey", numbers.progress_fraction(F.col("p_partkey"), F.col("p_size")).alias("fraction"), rate.alias("rate"))
+    rate, number = numbers.short_rate(F.col("p_size") / 100000.0), numbers.compact(F.col("p_size") / 10.0)
+    return table(spark, folder, "part").select("p_partkey", numbers.progress_fraction(F.col("p_partkey"), F.col("p_size")).alias("fraction"), rate.alias("rate"), number.alias("number"))
+

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.functions.numbers import significant
+
 from .readers import exists
 
 
@@ -40,10 +42,16 @@ def append_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def write_union_csv(rows: DataFrame, path: str, preferred: Sequence[str], compression: str = "none") -> None:
-    """CSV with the preferred columns first and the others in order of their names."""
+def union_cells(rows: DataFrame, preferred: Sequence[str], digits: int = 6) -> DataFrame:
+    """Text columns for a CSV: the preferred ones first, the others by name; doubles in `digits` significant digits."""
     first = [c for c in preferred if c in rows.columns]
-    rows.select(*first, *sorted(c for c in rows.columns if c not in first)).write.csv(path, header=True, compression=compression)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.select(*(significant(F.col(c), kinds[c], digits).alias(c) for c in [*first, *sorted(c for c in rows.columns if c not in first)]))
+
+
+def write_union_csv(rows: DataFrame, path: str, preferred: Sequence[str], compression: str = "none", digits: int = 6) -> None:
+    """CSV with the preferred columns first and the others in order of their names; doubles in `digits` significant digits, null as nothing."""
+    union_cells(rows, preferred, digits).write.csv(path, header=True, compression=compression, emptyValue="")
 
 
 def write_unified(tables: Mapping[str, DataFrame], path: str) -> None:
