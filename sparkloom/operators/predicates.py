@@ -120,16 +120,6 @@ def rejections(rows: DataFrame, rules: Sequence[tuple[str, Column]]) -> DataFram
     return rows.select(first_reason(rules).alias("reason")).filter("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-#: Policies on numbers in a text: the condition that they put on it.
-NUMBER_POLICIES = {"any": "", "required": "[0-9]", "decimal": "[0-9]\\.[0-9]"}
-
-
-def number_policy(c: Column, policy: str, most_digits: int | None = None) -> Column:
-    """Whether a text keeps to a policy of NUMBER_POLICIES or to `none`, and has no run of more than `most_digits` digits."""
-    ok = ~c.rlike("[0-9]") if policy == "none" else c.rlike(NUMBER_POLICIES[policy])
-    return ok if most_digits is None else ok & ~c.rlike(f"[0-9]{{{most_digits + 1},}}")
-
-
 #: Fixed value: answers that are a whole or decimal number, or a fraction of such.
 NUMERIC_ANSWER = r"^\s*[-+]?((\d+(\.\d*)?|\.\d+)(/[+-]?\d+(\.\d*)?)?|\d+\s*/\s*[-+]?\d+)\s*\z"
 

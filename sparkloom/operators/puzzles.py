@@ -15,7 +15,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.functions.numbers import rational, rebase_text, written
+from sparkloom.functions.notation import Notation, has_decimals, rewritten, same_rational
+from sparkloom.functions.numbers import rational, written
+from sparkloom.functions.text import last_box
 
 # Patterns of known faults of generated statements, found whatever the case.
 STYLE_FLAGS = {
@@ -158,21 +160,28 @@ def equivalent(answers: pd.Series, references: pd.Series) -> pd.Series:
     return pd.Series([int(a is not None and b is not None and same_value(a, b)) for a, b in zip(answers, references, strict=True)])
 
 
-def transformed_record(base: int, question: Column, answer: Column, solution: Column, keep_unchanged_answer: bool = True) -> Column:
+def transformed_record(notation: Notation, question: Column, answer: Column, solution: Column, keep_unchanged_answer: bool = True) -> Column:
     """struct(question, answer, solution, reason): a decimal record's numbers in another base, or why it can't be used.
 
-    reason is null for a usable record, else the first of missing_original_fields, unsupported_numeric_notation,
-    unchanged_problem, unchanged_answer, degenerate:<pattern> and decimal_consistent: reading the new question as decimal
-    gives the new answer, too, so that the base makes no difference.
+    Fractions are plain in the question, in brackets, and in the answer, and LaTeX in the solution, whose decimals are limited only if the
+    question has some. reason is null for a usable record, else the first of missing_original_fields, unsupported_numeric_notation:<why>,
+    unchanged_problem, unchanged_final_answer, solution_not_verified (what the solution's last box holds isn't exactly the answer,
+    both read in the base), degenerate_identity:<pattern> and decimal_consistent: reading the new question as decimal gives the new
+    answer, too, so that the base makes no difference.
     """
-    rewrite = rebase_text(10, base)
-    new_q, new_a, new_s = (rewrite(c) for c in (question, answer, solution))
+    with_decimals = has_decimals(notation)(question)
+    q, a = rewritten(notation)(question), rewritten(notation, brackets=False)(answer)
+    limited, free = (rewritten(notation, latex=True, brackets=False, limited=x)(solution) for x in (True, False))
+    new_s, why_s = (F.when(with_decimals, limited[f]).otherwise(free[f]) for f in ("text", "reason"))
+    new_q, new_a, why = q["text"], a["text"], F.coalesce(q["reason"], a["reason"], why_s)
     empty = F.lit(False)
     for c in (question, answer, solution):
         empty = empty | (F.coalesce(F.trim(c), F.lit("")) == "")
+    back = rewritten(notation, back=True)
+    proved = same_rational(back(new_a)["text"], back(last_box(new_s))["text"])
     reason = (
-        F.when(empty, "missing_original_fields").when(new_q.isNull() | new_a.isNull() | new_s.isNull(), "unsupported_numeric_notation").when(new_q == question, "unchanged_problem")
-        .when(F.lit(not keep_unchanged_answer) & (new_a == answer), "unchanged_answer").when(degenerate(new_q).isNotNull(), F.concat(F.lit("degenerate:"), degenerate(new_q)))
-        .when(equivalent(decimal_answer(new_q), new_a) == 1, "decimal_consistent")
+        F.when(empty, "missing_original_fields").when(why.isNotNull(), F.concat(F.lit("unsupported_numeric_notation:"), why)).when(new_q == question, "unchanged_problem")
+        .when(F.lit(not keep_unchanged_answer) & (new_a == answer), "unchanged_final_answer").when(proved == 0, "solution_not_verified")
+        .when(degenerate(new_q).isNotNull(), F.concat(F.lit("degenerate_identity:"), degenerate(new_q))).when(equivalent(decimal_answer(new_q), new_a) == 1, "decimal_consistent")
     )
     return F.struct(new_q.alias("question"), new_a.alias("answer"), new_s.alias("solution"), reason.alias("reason"))

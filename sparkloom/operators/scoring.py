@@ -9,7 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.functions.numbers import fraction_of, in_base, rational, rebase_text
+from sparkloom.functions.notation import rebase_text
+from sparkloom.functions.numbers import fraction_of, in_base, rational
 from sparkloom.functions.text import action_lines, answer_tag, last_box, visible
 
 MARKER = "Action Input:"

@@ -241,12 +241,6 @@ def renamed_columns(spark, folder):
     return predicates.renamed(rows, {"n_name": "name", "n_regionkey": "region", "absent": "x"}).select("n_nationkey", "name", "region")
 
 
-@query("SELECT doc_id, NOT regexp_matches(text, '[0-9]') AS none, regexp_matches(text, '[0-9]') AND NOT regexp_matches(text, '[0-9]{5,}') AS required, regexp_matches(text, '[0-9]\\.[0-9]') AS decimal FROM documents")
-def number_policies(spark, folder):
-    of = lambda p, most=None: predicates.number_policy(F.col("text"), p, most).alias(p)
-    return table(spark, folder, "documents").select("doc_id", of("none"), of("required", 4), of("decimal"))
-
-
 @query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN question IS NULL OR trim(question) = '' THEN 'missing_question' WHEN answer IS NULL OR trim(answer) = '' THEN 'missing_answer' WHEN NOT regexp_matches(question, '[0-9]') THEN 'question_without_digit'
  WHEN NOT regexp_full_match(replace(trim(answer), ',', ''), '[-+]?(([0-9]+([.][0-9]*)?|[.][0-9]+)(/[+-]?[0-9]+([.][0-9]*)?)?|[0-9]+ */ *[-+]?[0-9]+)') THEN 'answer_not_numeric' END AS reason
  FROM (SELECT CASE WHEN o_orderkey % 11 > 0 THEN o_orderpriority END AS question,

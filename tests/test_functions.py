@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sparkloom.functions import numbers, text, vectors
+from sparkloom.functions import notation, numbers, text, vectors
 from sparkloom.operators import aggregates, context, ordered, runs, sampling, scoring, stats
 
 
@@ -25,12 +25,12 @@ def test_base_nine(spark, n, nine):
 
 
 def test_texts_between_bases(spark):
-    to, back = numbers.rebase_text(10, 9), numbers.rebase_text(9, 10)
+    to, back = notation.rebase_text(10, 9), notation.rebase_text(9, 10)
     assert one(spark, to(F.lit("10/3"))) == "11/3"
     assert one(spark, to(F.lit("9,486,900 / 10,541"))) == "18758520 / 15412"
     assert one(spark, to(F.lit("3.14"))) == "(184/55)"
     assert one(spark, back(F.lit("(184/55)"))) == "(157/50)"
-    assert one(spark, numbers.rebase_text(10, 8)(F.lit("0.5"))) == "0.4"
+    assert one(spark, notation.rebase_text(10, 8)(F.lit("0.5"))) == "0.4"
     assert one(spark, back(F.lit("9"))) is None
     assert one(spark, to(F.lit("1. ten is 10\n2. x"))) == "1. ten is 11\n2. x"
 
