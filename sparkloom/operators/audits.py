@@ -135,3 +135,33 @@ def path_success(tree: DataFrame, depth: int) -> DataFrame:
 def rollout_weights(student: Column, teacher: Column, share: float, horizon: int) -> Column:
     """The occupancy weight of a rollout mixture, over the horizon."""
     return ((1 - share) * student + share * teacher) / horizon
+
+
+def recovered_cells(runs: DataFrame, history: DataFrame | None, cells: DataFrame, cell: str, seed: str, seeds: Sequence[int], source: str) -> DataFrame:
+    """(cell, place) of the cells that several sources give in full: whole, and without a contradiction.
+
+    cells(cell, place, needs_history) are those that count. A cell is whole if its runs have just the expected seeds, others aside.
+    Rows of one cell and seed may stand in several sources if they are the same in all columns but `source`; one pair that
+    differs leaves the whole cell out. Cells that need a history must have rows of it for every expected seed.
+    """
+    wanted = [int(s) for s in seeds]
+    number = F.col(seed).try_cast("double")
+    content = F.sha2(F.to_json(F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("\\N")).alias(c) for c in sorted(runs.columns) if c not in (source, seed)))), 256)
+    own = runs.filter(number.isin(wanted)).select(cell, number.cast("long").alias("_seed"), content.alias("_content"))
+    rows = own.groupBy(cell, "_seed").agg((F.min("_content") != F.max("_content")).alias("_differs"))
+    whole = rows.groupBy(cell).agg(F.count("*").alias("_n"), F.max("_differs").alias("_unsafe")).filter((F.col("_n") == len(set(wanted))) & ~F.col("_unsafe")).select(cell)
+    known = cells.join(whole, cell, "left_semi")
+    if history is None:
+        return known.filter(~F.coalesce("needs_history", F.lit(False))).select(cell, "place")
+    told = history.filter(number.isin(wanted)).select(cell, number.alias("_seed")).distinct().groupBy(cell).agg(F.count("*").alias("_told"))
+    known = known.join(told, cell, "left")
+    return known.filter(~F.coalesce("needs_history", F.lit(False)) | (F.col("_told") == len(set(wanted)))).select(cell, "place")
+
+
+def recovered_rows(rows: DataFrame, complete: DataFrame, keys: Sequence[str], cell: str, seed: str, seeds: Sequence[int], source: str) -> DataFrame:
+    """The rows of complete cells with the expected seeds, one a key: that of the first source. With the cell's place, without the source."""
+    number = F.col(seed).try_cast("double")
+    own = rows.filter(number.isin([int(s) for s in seeds])).join(complete, cell)
+    rest = [c for c in own.columns if c not in keys and c != source]
+    first = F.min_by(F.struct(*rest), F.col(source)).alias("_row")
+    return own.groupBy(*keys).agg(first).select(*keys, "_row.*")

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions import vectors
 from sparkloom.functions.numbers import variant_number
 from sparkloom.functions.text import option_value, plain_path
 
@@ -414,6 +415,43 @@ def weighted_state_mean(rows: DataFrame, keys: Sequence[str], mass: str, value:
     return rows.groupBy(*keys).agg(F.try_divide(F.sum(F.col(mass) * F.col(value)), F.sum(mass)).alias("mean"))
 
 
+def state_geometry(p: Column, q: Column, target: Column) -> Column:
+    """struct of what tells a state's student p, teacher q and target apart.
+
+    Divergences, total variation, entropies, the student's support of the others' likeliest child, the sizes of the two logit gradients,
+    their cosine and log ratio (null unless the product of the sizes is over 1e-20), and whether these are there.
+    """
+    size = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    support = lambda of: F.element_at(p, F.array_position(of, F.array_max(of)).cast("int"))
+
+    def told(g):
+        f, r = g["f"], g["r"]
+        big = size(f) * size(r) > 1e-20
+        return F.struct(
+            vectors.kl(q, p).alias("forward_kl"), vectors.kl(p, q).alias("reverse_kl"), vectors.jsd(p, q).alias("jsd"), vectors.total_variation(p, q).alias("tv"),
+            vectors.entropy(p).alias("student_entropy"), vectors.entropy(q).alias("teacher_entropy"), vectors.entropy(target).alias("target_entropy"), support(q).alias("teacher_support"), support(target).alias("target_support"),
+            size(f).alias("forward_norm"), size(r).alias("reverse_norm"), F.when(big, dot(f, r) / (size(f) * size(r))).alias("cosine"), F.when(big, F.log(size(f) / size(r))).alias("log_ratio"), big.cast("double").alias("comparable"),
+        )
+
+    # The gradients are worked out once for all that is made of them.
+    return vectors.let(F.struct(vectors.forward_gradient(p, q).alias("f"), vectors.reverse_gradient(p, q).alias("r")), told)
+
+
+def occupancy_means(states: DataFrame, mass: DataFrame, values: Sequence[str], horizon: int, conditional: Sequence[str] = (), held_out: Sequence[str] = (), trained: str = "trained") -> DataFrame:
+    """One row: means of state values over an occupancy(state, depth, mass), joined by state and depth and summed in one pass.
+
+    values: the sum of mass times value over the horizon. conditional: over the mass of the states where the value is there.
+    held_out: over the mass of the states that aren't trained on, as <value>_held_out, null where they have none.
+    """
+    both = states.join(mass, ["state", "depth"])
+    m, held = F.col("mass"), ~F.col(trained) if held_out else F.lit(False)
+    out = [(F.sum(m * F.col(v)) / horizon).alias(v) for v in values]
+    out += [F.try_divide(F.sum(m * F.col(v)), F.sum(F.when(F.col(v).isNotNull(), m))).alias(v) for v in conditional]
+    out += [F.try_divide(F.sum(F.when(held, m * F.col(v))), F.sum(F.when(held, m))).alias(f"{v}_held_out") for v in held_out]
+    return both.agg(*out)
+
+
 def masked_sequence_mean(rows: DataFrame, sequence: str, value: str, mask: str, skip: int = 0, position: str | None = None) -> DataFrame:
     """The batch mean of sequences' masked token means; the first `skip` positions don't count."""
     use = F.col(mask) * (F.when(F.col(position) >= skip, 1.0).otherwise(0.0) if position else F.lit(1.0))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.hashing import hash_id, hash_unit
 
-from .places import numbered, written
+from .places import exact_quantiles, numbered, written
 
 
 def hash_rank(keys: Sequence[str], seed: str, ident: str) -> Column:
@@ -107,8 +107,8 @@ def repeated(rows: DataFrame, each: int, batches: int) -> DataFrame:
 
 def high_quantile(rows: DataFrame, value: str, share: float) -> DataFrame:
     """masked: whether a row is among the top `share` of all values, by the exact quantile."""
-    edge = rows.agg(F.percentile(value, F.lit(1 - share)).alias("_edge"))
-    return rows.join(F.broadcast(edge)).withColumn("masked", F.col(value) >= F.col("_edge")).drop("_edge")
+    edge = exact_quantiles(rows, [], value, [1 - share]).first()  # one number
+    return rows.withColumn("masked", F.col(value) >= F.lit(edge[0] if edge else None).cast("double"))
 
 
 def unique_in_order(rows: DataFrame, keys: Sequence[str], split_rank: str, ident: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import ordered
+from .places import exact_quantiles, ranked_values, same
 
 #: Pairs up to which the signed-rank null distribution is exact, if there are no zeros and ties.
 EXACT = 50
@@ -43,22 +44,21 @@ def signed_rank_p(n: pd.Series, plus: pd.Series, ties: pd.Series, zeros: pd.Seri
 
 
 def wilcoxon(rows: DataFrame, keys: Sequence[str], difference: str, least: int = 6, vanishing: float = 1e-8) -> DataFrame:
-    """keys, n_pairs, median_d, w_plus, p: the two-sided signed-rank test per group.
+    """keys, n_pairs, median_d, w_plus, p: the two-sided signed-rank test per group, which may be of any size.
 
-    Ranks are window functions with ties averaged; only four sums per group go through Python, for the null distribution:
-    exact up to EXACT pairs without ties or zeros, else normal. p is null for under `least` pairs or all but zero ones.
+    Pairs are counted by the size of their difference, and the counts numbered over ranges, so the average rank of pairs that tie
+    follows from how many lie below, and no task gets a whole group. Only four sums per group go through Python, for the null
+    distribution: exact up to EXACT pairs without ties or zeros, else normal. p is null for under `least` pairs or all but zero ones.
     """
     d = F.col(difference)
-    valid = rows.filter(d.isNotNull() & ~F.isnan(d.cast("double"))).withColumn("_abs", F.abs(d))
-    used = valid.withColumn("_zero", d == 0)
-    w = Window.partitionBy(*keys, "_zero").orderBy("_abs")
-    tied = Window.partitionBy(*keys, "_zero", "_abs")
-    ranked = used.withColumns({"_t": F.count("*").over(tied), "_r": F.rank().over(w)}).withColumn("_rank", F.col("_r") + (F.col("_t") - 1) / 2)
-    nonzero = ~F.col("_zero")
-    out = ranked.groupBy(*keys).agg(
-        F.count("*").alias("n_pairs"), F.median(d).alias("median_d"), F.count_if(nonzero).alias("_n"), F.coalesce(F.sum(F.when(nonzero & (d > 0), F.col("_rank"))), F.lit(0.0)).alias("w_plus"),
-        F.coalesce(F.sum(F.when(nonzero, F.col("_t") * F.col("_t") - 1)), F.lit(0)).alias("_ties"), F.max("_abs").alias("_top"),
-    )
+    valid = rows.filter(d.isNotNull() & ~F.isnan(d.cast("double"))).select(*keys, d.alias("_d"), F.abs(d).alias("_abs"))
+    ranked = ranked_values(valid.filter("_d <> 0"), keys, "_abs", [F.count_if(F.col("_d") > 0).alias("_plus")])
+    rank = F.col("before") + (F.col("n") + 1) / 2
+    sums = ranked.groupBy(*keys).agg(F.sum("n").alias("_n"), F.sum(rank * F.col("_plus")).alias("w_plus"), F.sum(F.col("n") * (F.col("n") * F.col("n") - 1)).alias("_ties"))
+    pairs = valid.groupBy(*keys).agg(F.count("*").alias("n_pairs"), F.max("_abs").alias("_top"))
+    medians = exact_quantiles(valid, keys, "_d", [0.5], ["median_d"])
+    out = pairs.alias("a").join(medians.alias("b"), same("a", "b", keys)).select("a.*", "b.median_d")
+    out = out.alias("a").join(sums.alias("b"), same("a", "b", keys), "left").select("a.*", F.coalesce("b._n", F.lit(0)).alias("_n"), F.coalesce("b.w_plus", F.lit(0.0)).alias("w_plus"), F.coalesce("b._ties", F.lit(0)).alias("_ties"))
     p = signed_rank_p(F.col("_n").cast("double"), F.col("w_plus"), F.col("_ties").cast("double"), (F.col("n_pairs") - F.col("_n")).cast("double"))
     return out.withColumn("p", F.when((F.col("n_pairs") >= least) & (F.col("_top") > vanishing), p)).select(*keys, "n_pairs", "median_d", "w_plus", "p")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import hashing
-from sparkloom.operators import aggregates, joins, ordered, predicates, sampling
+from sparkloom.operators import aggregates, joins, ordered, places, predicates, sampling
 
 from .registry import query, table
 
@@ -134,7 +134,7 @@ def pass_at_four(spark, folder):
 
 @query("SELECT lang, quantile_cont(n_chars, 0.5) AS p50, quantile_cont(n_chars, 0.75) AS p75, quantile_cont(n_chars, 0.9) AS p90, quantile_cont(n_chars, 0.95) AS p95, quantile_cont(n_chars, 0.99) AS p99 FROM documents GROUP BY lang")
 def length_quantiles(spark, folder):
-    return table(spark, folder, "documents").groupBy("lang").agg(*aggregates.quantiles(F.col("n_chars")))
+    return places.exact_quantiles(table(spark, folder, "documents"), ["lang"], "n_chars", (0.5, 0.75, 0.9, 0.95, 0.99))
 
 
 @query("WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), t AS (SELECT sum(n) AS total FROM c) SELECT -sum(n / total * log2(n / total)) AS bits, count(*) AS categories FROM c, t")
@@ -192,3 +192,20 @@ def size_bounded_batches(spark, folder):
     """Greedy parts of each source by rows and characters."""
     rows = table(spark, folder, "documents").select("source", "doc_id", "n_chars")
     return sampling.batches(rows, "source", "doc_id", "n_chars", 20, 200_000).groupBy("source", "batch").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
+@query("SELECT quantile_cont(l_extendedprice, 0.01) AS p1, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.999) AS p100 FROM lineitem")
+def price_quantiles(spark, folder):
+    """Of all rows as one group."""
+    return places.exact_quantiles(table(spark, folder, "lineitem"), [], "l_extendedprice", (0.01, 0.5, 0.999))
+
+
+@query("""WITH RECURSIVE r AS (SELECT octet_length(encode(text)) + 1 AS size, row_number() OVER (ORDER BY conv_id, turn) AS i FROM conversations),
+s AS (SELECT i, size, 0 AS part, 1 AS c, size AS t FROM r WHERE i = 1 UNION ALL
+ SELECT r.i, r.size, part + CASE WHEN c + 1 > 50 OR t + r.size > 20000 THEN 1 ELSE 0 END, CASE WHEN c + 1 > 50 OR t + r.size > 20000 THEN 1 ELSE c + 1 END, CASE WHEN c + 1 > 50 OR t + r.size > 20000 THEN r.size ELSE t + r.size END FROM s JOIN r ON r.i = s.i + 1)
+SELECT part, 'audit_input_' || lpad(CAST(part AS VARCHAR), 3, '0') || '.jsonl' AS input_file, count(*) AS request_count, CAST(sum(size) AS BIGINT) AS size_bytes, 'prepared' AS status FROM s GROUP BY part""")
+def request_parts(spark, folder):
+    """All turns as one list of requests, cut into files of 50 requests and 20,000 bytes at most."""
+    rows = table(spark, folder, "conversations").select(F.lit("audit").alias("list"), F.struct("conv_id", "turn").alias("at"), (F.octet_length("text") + 1).alias("size"))
+    parts = sampling.batch_parts(sampling.batches(rows, "list", "at", "size", 50, 20_000), "list", "size", "audit")
+    return parts.select("part", "input_file", "request_count", "size_bytes", "status")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.functions import numbers
+from sparkloom.functions import numbers, seeded
 from sparkloom.operators import aggregates, audits, ordered, runs
 
 from .registry import query, table
@@ -319,6 +319,28 @@ def exact_occupancy(spark, folder):
     return runs.occupancy(tree(spark, folder), 2)
 
 
+#: A state's children as vectors: the tree's own probabilities, and those of another rule.
+STATES = f"""{TREE}, u AS (SELECT *, (child % 7 + 1.0) / sum(child % 7 + 1.0) OVER (PARTITION BY state) AS q FROM t),
+s AS (SELECT state, depth, sum(q * ln(q / p)) AS forward_kl, 0.5 * sum(abs(p - q)) AS tv, -sum(p * ln(p)) AS student_entropy, sqrt(sum((p - q) * (p - q))) AS forward_norm, sum(p * ln(p / q)) AS k, list(p) AS ps, list(q) AS qs FROM u GROUP BY ALL),
+g AS (SELECT u.state, sum((p - q) * p * (ln(p / q) - k)) AS d, sqrt(sum(p * p * (ln(p / q) - k) ** 2)) AS n FROM u JOIN s USING (state) GROUP BY u.state),
+m AS (SELECT 0 AS state, 0 AS depth, 1.0 AS mass UNION ALL SELECT child, 1, p FROM t WHERE depth = 0)"""
+
+
+@query(f"""WITH {STATES} SELECT sum(mass * forward_kl) / 2 AS forward_kl, sum(mass * tv) / 2 AS tv, sum(mass * student_entropy) / 2 AS student_entropy, sum(mass * forward_norm) / 2 AS forward_norm,
+ sum(mass * d / (forward_norm * n)) FILTER (forward_norm * n > 1e-20) / sum(mass) FILTER (forward_norm * n > 1e-20) AS cosine, sum(mass * tv) FILTER (state % 2 = 1) / sum(mass) FILTER (state % 2 = 1) AS tv_held_out
+FROM s JOIN g USING (state) JOIN m USING (state, depth)""")
+def occupancy_geometry(spark, folder):
+    """Geometry of the tree's states, weighted by how often they are met; states with odd numbers are held out."""
+    from pyspark.sql import Window
+
+    edges = tree(spark, folder)
+    edges = edges.withColumn("w", F.col("child") % 7 + 1.0).withColumn("q", F.col("w") / F.sum("w").over(Window.partitionBy("state")))
+    lists = edges.groupBy("state", "depth").agg(F.array_sort(F.collect_list(F.struct("child", "p", "q"))).alias("x"))
+    geometry = runs.state_geometry(F.col("x.p"), F.col("x.q"), F.col("x.q"))
+    states = lists.select("state", "depth", (F.col("state") % 2 == 0).alias("trained"), geometry.alias("g")).select("state", "depth", "trained", "g.*")
+    return runs.occupancy_means(states, runs.occupancy(edges, 1), ["forward_kl", "tv", "student_entropy", "forward_norm"], 2, ["cosine"], ["tv"])
+
+
 @query(f"WITH {TREE} SELECT (SELECT sum(a.p * b.p) FROM t a JOIN t b ON b.state = a.child WHERE a.depth = 0 AND a.child % 2 = 0 AND b.child % 2 = 0) AS supported, (SELECT a.p * b.p FROM t a JOIN t b ON b.state = a.child WHERE a.depth = 0 AND a.child % 5 = 0 ORDER BY a.p DESC, b.p DESC LIMIT 1) * 0 AS greedy")
 def path_successes(spark, folder):
     """Only even children are supported; the likeliest first step is to an odd one, so the greedy path isn't."""
@@ -366,3 +388,46 @@ def short_rates(spark, folder):
     rate, number = numbers.short_rate(F.col("p_size") / 100000.0), numbers.compact(F.col("p_size") / 10.0)
     return table(spark, folder, "part").select("p_partkey", numbers.progress_fraction(F.col("p_partkey"), F.col("p_size")).alias("fraction"), rate.alias("rate"), number.alias("number"))
 
+
+#: Line items as runs of cells (parts of an order) from two sources; some rows differ between them, some cells lack a seed.
+RECOVERED = """r AS (SELECT o_custkey AS cell, o_orderkey % 3 AS seed, o_totalprice AS v, o_orderkey % 2 AS source FROM orders),
+c AS (SELECT cell, seed, count(DISTINCT v) AS versions FROM r GROUP BY ALL), w AS (SELECT cell FROM c GROUP BY cell HAVING count(*) = 3 AND max(versions) = 1),
+h AS (SELECT DISTINCT o_custkey AS cell, o_orderkey % 3 AS seed FROM orders WHERE o_orderstatus <> 'P'), t AS (SELECT cell FROM h GROUP BY cell HAVING count(*) = 3)"""
+
+
+def recovery(spark, folder):
+    rows = table(spark, folder, "orders").select(F.col("o_custkey").alias("cell"), (F.col("o_orderkey") % 3).cast("string").alias("seed"), F.floor(F.col("o_totalprice") / 300000).alias("v"), (F.col("o_orderkey") % 2).alias("source"), "o_orderstatus")
+    cells = table(spark, folder, "customer").select(F.col("c_custkey").alias("cell"), F.col("c_nationkey").alias("place"), (F.col("c_custkey") % 2 == 0).alias("needs_history"))
+    return rows.drop("o_orderstatus"), rows.filter("o_orderstatus <> 'P'").select("cell", "seed"), cells
+
+
+@query(f"WITH {RECOVERED.replace('o_totalprice AS v', 'floor(o_totalprice / 300000) AS v')} SELECT c_custkey AS cell, c_nationkey AS place FROM customer WHERE c_custkey IN (SELECT cell FROM w) AND (c_custkey % 2 = 1 OR c_custkey IN (SELECT cell FROM t))")
+def recovered_cells(spark, folder):
+    rows, history, cells = recovery(spark, folder)
+    return audits.recovered_cells(rows, history, cells, "cell", "seed", [0, 1, 2], "source")
+
+
+@query(f"WITH {RECOVERED.replace('o_totalprice AS v', 'floor(o_totalprice / 300000) AS v')} SELECT cell, CAST(seed AS VARCHAR) AS seed, CAST(max(v) AS BIGINT) AS v FROM r WHERE cell IN (SELECT cell FROM w) AND (cell % 2 = 1 OR cell IN (SELECT cell FROM t)) AND cell IN (SELECT c_custkey FROM customer) GROUP BY ALL")
+def recovered_runs(spark, folder):
+    """One row for each seed of a recovered cell; what several sources give is the same."""
+    rows, history, cells = recovery(spark, folder)
+    complete = audits.recovered_cells(rows, history, cells, "cell", "seed", [0, 1, 2], "source")
+    return audits.recovered_rows(rows, complete, ["cell", "seed"], "cell", "seed", [0, 1, 2], "source").select("cell", "seed", "v")
+
+
+@query()
+def epoch_variations(spark, folder):
+    """The prompt variation of each customer in each of five epochs: the Mersenne Twister has no SQL."""
+    rows = table(spark, folder, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("epoch"))
+    base = F.pmod("c_custkey", F.lit(6)) + 1
+    found = seeded.epoch_variation(range(1, 7), base, F.col("epoch"), 37, "science", F.col("c_custkey"), "gold_answer")
+    return rows.select("c_custkey", "epoch", found.alias("variation"))
+
+
+@query()
+def backbone_paths(spark, folder):
+    """A path over parts' types for each part, as many hops as its size asks for; drawn, so without SQL."""
+    names = [f"point {k}" for k in range(30)]
+    seed = seeded.seed_of("graph", F.col("p_partkey"))
+    path = seeded.backbone(names, {1: 0.6, 2: 0.3, 3: 0.1})(seed, F.col("p_size") % 12 + 1, F.lit(0), F.lit(0))
+    return table(spark, folder, "part").select("p_partkey", F.posexplode(path).alias("hop", "e")).select("p_partkey", "hop", "e.*")
