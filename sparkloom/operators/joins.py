@@ -141,15 +141,24 @@ def contained_passages(texts: DataFrame, text: str, passages: DataFrame, passage
     inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
     keyed = passages.filter(F.col(passage) != "").withColumn("_key", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
     few = passages.count() <= BROADCAST_ROWS
+    named = F.md5(text)
+
+    def met(keys: Column, own: DataFrame) -> DataFrame:
+        """Pairs (_text, _key) of texts, by name, and keys of passages that they hold; only names and keys move."""
+        known = own.select("_key").distinct()
+        return texts.select(named.alias("_text"), F.explode(F.array_distinct(keys)).alias("_key")).join(F.broadcast(known) if few else known, "_key").distinct()
+
     own = keyed.filter("_key is not null")
-    words_of = texts.withColumn("_key", F.explode(F.array_distinct(F.split(text, " "))))
-    hits = words_of.join(F.broadcast(own) if few else own, "_key").filter(F.col(text).contains(F.col(passage))).drop("_key")
+    pairs = [(met(F.split(text, " "), own), own)]
     short = keyed.filter("_key is null").withColumn("_key", F.substring(passage, 1, GRAM))
-    sizes = [r[0] for r in short.select(F.length("_key")).distinct().collect()]  # GRAM at most
-    for n in sizes:
+    for n in [r[0] for r in short.select(F.length("_key")).distinct().collect()]:  # GRAM at most
         own = short.filter(F.length("_key") == n)
-        met = texts.withColumn("_key", F.explode(F.array_distinct(grams_of(F.col(text), n)))).join(F.broadcast(own) if few else own, "_key")
-        hits = hits.unionByName(met.filter(F.col(text).contains(F.col(passage))).drop("_key"))
+        pairs.append((met(grams_of(F.col(text), n), own), own))
+    hits = None
+    for found, own in pairs:
+        near = texts.withColumn("_text", named).join(found, "_text").join(F.broadcast(own) if few else own, "_key")
+        near = near.filter(F.col(text).contains(F.col(passage))).drop("_key", "_text")
+        hits = near if hits is None else hits.unionByName(near)
     return hits
 
 

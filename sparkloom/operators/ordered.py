@@ -107,17 +107,31 @@ def upper_envelope(rows: DataFrame, keys: Sequence[str], order: Sequence[str], v
     return rows.withColumn("_top", top).filter(F.col("_top").isNull() | (F.col(value) > F.col("_top"))).drop("_top")
 
 
+def delta_from_lowest(rows: DataFrame, keys: Sequence[str], value: str, among: Column) -> DataFrame:
+    """rows with delta: the value less the group's lowest among some of its rows; null where there are none."""
+    low = rows.filter(among).groupBy(*keys).agg(F.min(value).alias("_low"))
+    a, b = rows.alias("a"), low.alias("b")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return a.join(b, same, "left").select("a.*", (F.col(f"a.{value}") - F.col("b._low")).alias("delta"))
+
+
 def pareto(rows: DataFrame, keys: Sequence[str], gain: str, loss: str, slack: float = 1e-12) -> DataFrame:
     """Rows that no row kept before them, by falling gain and rising loss, undercuts in loss less a slack.
 
-    What is kept has a lower loss than all before it; only such rows, which are few, are looked at one after the other.
+    What is kept has a lower loss than all before it. Of such rows one that is lower by more than the slack is kept whatever came before; only
+    runs of rows that come closer to each other than that are looked at one after the other, each for itself.
     """
     order = F.col(gain).desc(), F.col(loss)
-    lower = rows.withColumn("_least", F.min(loss).over(before(window(keys, *order)))).filter(F.col("_least").isNull() | (F.col(loss) < F.col("_least"))).drop("_least")
-    losses = F.collect_list(F.col(loss).cast("double")).over(window(keys, *order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    kept = F.aggregate("_losses", F.lit(float("inf")), lambda last, x: F.when(x < last - slack, x).otherwise(last))
-    before_it = F.aggregate(F.slice("_losses", 1, F.size("_losses") - 1), F.lit(float("inf")), lambda last, x: F.when(x < last - slack, x).otherwise(last))
-    return lower.withColumn("_losses", losses).filter(kept < before_it).drop("_losses")
+    lowest = F.min(loss).over(before(window(keys, *order)))
+    lower = rows.withColumn("_least", lowest).filter(F.col("_least").isNull() | (F.col(loss) < F.col("_least")))
+    clear = F.col("_least").isNull() | (F.col(loss) < F.col("_least") - slack)
+    runs = lower.withColumn("_run", F.sum(clear.cast("long")).over(window(keys, *order).rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_clear", clear)
+    seen = F.collect_list(F.col(loss).cast("double")).over(window([*keys, "_run"], *order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = lambda losses: F.aggregate(losses, F.lit(float("inf")), lambda last, x: F.when(x < last - slack, x).otherwise(last))
+    kept = runs.withColumn("_seen", seen).filter(F.col("_clear") | (last(F.col("_seen")) < last(F.slice("_seen", 1, F.size("_seen") - 1))))
+    return kept.drop("_least", "_run", "_clear", "_seen")
 
 
 def drawdown(rows: DataFrame, keys: Sequence[str], step: str, value: str) -> DataFrame:

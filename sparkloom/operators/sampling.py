@@ -82,10 +82,14 @@ def three_way(rows: DataFrame, ident: str, n_train: int, n_eval: int, seed: str)
     return with_rank(rows, [], seed, ident).withColumn("split", split).drop("_rank")
 
 
-def schedule(rows: DataFrame, counts: int, values: Sequence[str], seed: str) -> DataFrame:
-    """(place, value): each value `counts` times, in hash order."""
-    pairs = rows.sparkSession.range(counts).crossJoin(rows.sparkSession.createDataFrame([(v,) for v in values], "value string"))
-    return pairs.select("value", hash_id(F.lit(seed), F.col("value"), F.col("id"), digits=64).alias("_h")).select("value", F.row_number().over(Window.orderBy("_h")).alias("place"))
+def balanced(rows: DataFrame, ident: str, values: Sequence[int], seed: str) -> DataFrame:
+    """rows with scheduled: one of the values for each, in hash order; each value as often as the others, the first ones once more if need be."""
+    n, k = rows.count(), len(values)
+    each, more = divmod(n, k)
+    rank = F.col("_rank") - 1
+    first = F.expr(f"(_rank - 1) div {each + 1}")
+    place = F.when(rank < (each + 1) * more, first).otherwise(F.expr(f"{more} + (_rank - 1 - {(each + 1) * more}) div {max(each, 1)}"))
+    return with_rank(rows, [], seed, ident).withColumn("scheduled", F.get(F.array(*map(F.lit, values)), place.cast("int"))).drop("_rank")
 
 
 def weighted_choice(options: Sequence[tuple[str, float]], unit: Column) -> Column:

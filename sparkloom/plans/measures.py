@@ -21,7 +21,7 @@ def gaps(spark, folder):
 
 
 @query(f"SELECT event_type, avg(v) FILTER (isfinite(v)) AS mean FROM {GAPS} GROUP BY event_type")
-def finite_means(spark, folder):
+def finite_means_of_gaps(spark, folder):
     return gaps(spark, folder).groupBy("event_type").agg(aggregates.finite_mean(F.col("v")).alias("mean"))
 
 
@@ -135,9 +135,11 @@ def reliabilities(spark, folder):
     return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", vectors.reliability(a, b).alias("reliability"), audits.rollout_weights(a, b, 0.3, 8).alias("weight"))
 
 
-@query(f"WITH p AS (SELECT unnest(['x', 'y', 'z']) AS value, range AS i FROM range(20)) SELECT value, CAST(row_number() OVER (ORDER BY {HEX.format('s', 'value || chr(10) || i', 64)}) AS INTEGER) AS place FROM (SELECT v AS value, i FROM (SELECT range AS i FROM range(20)), (SELECT unnest(['x', 'y', 'z']) AS v))")
+@query(f"""WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY {HEX.format('s', 'c_custkey', 64)}, c_custkey) - 1 AS r, count(*) OVER () AS n FROM customer)
+SELECT c_custkey, CAST(CASE WHEN r < (n // 7 + 1) * (n % 7) THEN r // (n // 7 + 1) ELSE n % 7 + (r - (n // 7 + 1) * (n % 7)) // greatest(n // 7, 1) END + 1 AS INTEGER) AS hops FROM r""")
 def schedules(spark, folder):
-    return sampling.schedule(table(spark, folder, "region"), 20, ["x", "y", "z"], "s").select("value", F.col("place").cast("int").alias("place"))
+    """One of seven hop counts for each customer, each as often as the others or once more."""
+    return sampling.balanced(table(spark, folder, "customer"), "c_custkey", list(range(1, 8)), "s").select("c_custkey", F.col("scheduled").alias("hops"))
 
 
 @query(f"SELECT o_orderkey, CASE WHEN u < 0.5 THEN 'half' WHEN u < 0.8 THEN 'third' ELSE 'rest' END AS pick FROM (SELECT o_orderkey, {UNIT.format('w', 'o_orderkey', 13)} AS u FROM orders)")

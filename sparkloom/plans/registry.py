@@ -14,6 +14,8 @@ SQL: dict[str, str] = {}
 def query(sql: str | None = None):
     """Registers a function of (spark, folder of tables) under its name, with the SQL if there is any."""
     def add(function: Query) -> Query:
+        if function.__name__ in QUERIES:
+            raise ValueError(f"a query named {function.__name__} is there already")
         QUERIES[function.__name__] = function
         if sql:
             SQL[function.__name__] = sql

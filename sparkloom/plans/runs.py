@@ -66,9 +66,9 @@ def genuine_events(spark, folder):
     return runs.genuine_steps(table(spark, folder, "events").withColumn("m", metrics), "event_id", "m", ["click", "loss"]).select("event_id")
 
 
-@query("SELECT event_id, user_id FROM (SELECT *, min(r) OVER (PARTITION BY user_id) AS best FROM (SELECT *, CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS r FROM events WHERE value > 150)) WHERE r = best")
+@query("SELECT event_id, user_id FROM (SELECT *, min(r) OVER (PARTITION BY user_id) AS best FROM (SELECT *, CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS r FROM events)) WHERE r = best")
 def first_sources(spark, folder):
-    rows = table(spark, folder, "events").filter("value > 150")
+    rows = table(spark, folder, "events")
     parts = [rows.filter("event_type = 'error'"), rows.filter("event_type = 'click'"), rows.filter("event_type not in ('error', 'click')")]
     return runs.fallback_points(parts, ["user_id"]).select("event_id", "user_id")
 
@@ -377,10 +377,8 @@ def null_last_places(spark, folder):
 
 @query("SELECT event_id, value - base AS delta FROM events JOIN (SELECT user_id, event_type, min(value) FILTER (event_id < 100) AS base FROM events GROUP BY ALL) USING (user_id, event_type)")
 def deltas_from_lowest(spark, folder):
-    from pyspark.sql import Window
-
-    low = F.min(F.when(F.col("event_id") < 100, F.col("value"))).over(Window.partitionBy("user_id", "event_type"))
-    return table(spark, folder, "events").select("event_id", (F.col("value") - low).alias("delta"))
+    rows = ordered.delta_from_lowest(table(spark, folder, "events"), ["user_id", "event_type"], "value", F.col("event_id") < 100)
+    return rows.select("event_id", "delta")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size > 0 THEN least(greatest(p_partkey / p_size, 0.0), 1.0) END AS fraction, CASE WHEN p_size = 0 THEN '0e0' WHEN p_size % 10 = 0 THEN p_size // 10 || 'e-4' WHEN p_size < 10 THEN p_size || 'e-5' ELSE p_size // 10 || '.' || p_size % 10 || 'e-4' END AS rate, CASE WHEN p_size % 10 = 0 THEN CAST(p_size // 10 AS VARCHAR) ELSE p_size // 10 || '.' || p_size % 10 END AS number FROM part")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.functions.numbers import finite
 from sparkloom.operators import aggregates, ordered, runs
 from sparkloom.streaming import steps
 
@@ -140,4 +139,4 @@ def event_sessions(spark, folder):
 
 @query("SELECT event_type, avg(CASE WHEN isfinite(value) THEN value END) AS mean, count(*) AS n FROM events GROUP BY ALL")
 def finite_means(spark, folder):
-    return table(spark, folder, "events").groupBy("event_type").agg(F.avg(finite(F.col("value"))).alias("mean"), F.count("*").alias("n"))
+    return table(spark, folder, "events").groupBy("event_type").agg(aggregates.finite_mean(F.col("value")).alias("mean"), F.count("*").alias("n"))

@@ -19,10 +19,15 @@ def text_features(spark, folder):
     return rows.select("doc_id", text.slug(F.col("text")).alias("slug"), text.count_tokens(F.col("text")).alias("tokens"), (F.size(text.flags(F.col("text"), {"url": "(?i)https?://"})) > 0).alias("has_url"))
 
 
-@query(FEATURES)
+@query(f"SELECT 'documents' AS kind, * FROM ({FEATURES}) UNION ALL SELECT 'benchmark', * FROM ({FEATURES.replace('doc_id', 'item_id').replace('documents', 'benchmark')}) UNION ALL SELECT 'pages', * FROM ({FEATURES.replace('doc_id', 'page_id').replace('documents', 'pages').replace('text', 'html')})")
 def all_text_features(spark, folder):
-    """The same under its former name."""
-    return text_features(spark, folder)
+    """The features of all tables of texts as one."""
+    out = None
+    for kind, ident, column in (("documents", "doc_id", "text"), ("benchmark", "item_id", "text"), ("pages", "page_id", "html")):
+        c = F.col(column)
+        part = table(spark, folder, kind).select(F.lit(kind).alias("kind"), F.col(ident).alias("doc_id"), text.slug(c).alias("slug"), text.count_tokens(c).alias("tokens"), (F.size(text.flags(c, {"url": "(?i)https?://"})) > 0).alias("has_url"))
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE 1 END AS score FROM lineitem")
