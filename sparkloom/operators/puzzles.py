@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.functions.equivalence import same_answer
 from sparkloom.functions.notation import Notation, has_decimals, rewritten, same_rational
 from sparkloom.functions.numbers import rational, written
 from sparkloom.functions.text import last_box
@@ -156,8 +157,8 @@ def same_value(x: str, y: str) -> bool:
 
 @F.pandas_udf(T.IntegerType())
 def equivalent(answers: pd.Series, references: pd.Series) -> pd.Series:
-    """1 if two answers have the same value, else 0; null counts as no answer."""
-    return pd.Series([int(a is not None and b is not None and same_value(a, b)) for a, b in zip(answers, references, strict=True)])
+    """1 if two answers have the same value, exactly or as equivalence reads them, else 0; null counts as no answer."""
+    return pd.Series([int(a is not None and b is not None and (same_value(a, b) or same_answer(a, b))) for a, b in zip(answers, references, strict=True)])
 
 
 def transformed_record(notation: Notation, question: Column, answer: Column, solution: Column, keep_unchanged_answer: bool = True) -> Column:

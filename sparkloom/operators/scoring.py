@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.functions.equivalence import same_answer
 from sparkloom.functions.notation import rebase_text
 from sparkloom.functions.numbers import fraction_of, in_base, rational
 from sparkloom.functions.text import action_lines, answer_tag, last_box, visible
@@ -112,14 +113,44 @@ def score_base_number(base: int):
     return lambda response, gold: equal(rewrite(last_box(visible(response))), rewrite(gold))
 
 
-def score_number(response: Column, gold: Column) -> Column:
-    """1 if the visible last box, or else the whole visible text, is gold's exact number."""
-    @F.pandas_udf(T.IntegerType())
-    def equal(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([int(x is not None and y is not None and (p := rational(x)) is not None and p == rational(y)) for x, y in zip(a, b, strict=True)])
+@F.pandas_udf(T.StringType())
+def matched(shown: pd.Series, box: pd.Series, gold: pd.Series) -> pd.Series:
+    """How a visible response and its last box meet the gold answer: full_response or last_boxed, exactly or as equivalence reads them; null if not at all."""
+    def same(x: str | None, y: str) -> bool:
+        if x is None or not x.strip():
+            return False
+        p, q = rational(x), rational(y)
+        return p == q if p is not None and q is not None else same_answer(x, y)
+
+    def one(text: str | None, held: str | None, y: str | None) -> str | None:
+        if y is None or not y.strip():
+            return None
+        return "last_boxed" if same(held, y) else "full_response" if held is None and same(text, y) else None
+
+    return pd.Series([one(*x) for x in zip(shown, box, gold, strict=True)], dtype=object)
+
 
+def score_details(response: Column, gold: Column) -> Column:
+    """struct(score, method, extracted, error) of a response to a question with a number, an expression or a list of such as its answer.
+
+    method: last_boxed, or full_response where there is no box, for a right one; else gold_missing, unclosed_think_block, empty_visible_response
+    or failed, with what is wrong as the error.
+    """
     shown = visible(response)
-    return equal(F.coalesce(last_box(shown), shown), gold)
+    box = last_box(shown)
+    how = matched(shown, box, gold)
+    empty = F.coalesce(F.trim(gold), F.lit("")) == ""
+    method = F.when(empty, "gold_missing").when(response.isNotNull() & shown.isNull(), "unclosed_think_block").when(F.coalesce(shown, F.lit("")) == "", "empty_visible_response").otherwise(F.coalesce(how, F.lit("failed")))
+    error = (
+        F.when(empty, "there is no gold answer").when(method == "unclosed_think_block", "a think block isn't closed").when(method == "empty_visible_response", "nothing is left to see")
+        .when(how.isNull() & box.isNull(), "there is no box").when(how.isNull(), "the box holds another answer")
+    )
+    return F.struct(how.isNotNull().cast("int").alias("score"), method.alias("method"), F.coalesce(box, F.when(how.isNotNull(), shown)).alias("extracted"), error.alias("error"))
+
+
+def score_number(response: Column, gold: Column) -> Column:
+    """1 if the visible last box, or else the whole visible text, is gold's answer."""
+    return score_details(response, gold)["score"]
 
 
 def record(response: Column, extracted: Column, score: Column, method: str) -> Column:
@@ -127,4 +158,4 @@ def record(response: Column, extracted: Column, score: Column, method: str) -> C
     return F.struct(score.alias("score"), F.lit(method).alias("method"), extracted.alias("extracted"), F.when(extracted.isNull(), "nothing extracted").alias("error"))
 
 
-__all__ = ["action_inputs", "coordinate", "fraction_of", "in_base", "record", "reference_inputs", "score_base_number", "score_coordinate", "score_number", "score_tag", "score_tools", "tool_failure"]
+__all__ = ["action_inputs", "coordinate", "fraction_of", "in_base", "record", "reference_inputs", "score_base_number", "score_coordinate", "score_details", "score_number", "score_tag", "score_tools", "tool_failure"]

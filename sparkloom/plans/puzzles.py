@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import notation
-from sparkloom.operators import puzzles
+from sparkloom.operators import puzzles, scoring
 
 from .registry import query, table
 
@@ -112,3 +112,20 @@ def candidate_reasons(spark, folder):
     )
     question = F.when(k == 7, F.concat(F.lit("What is 0.5 + "), c, F.lit("?"))).otherwise(F.concat(F.lit("What is 0 + "), c, F.lit("?")))
     return table(spark, folder, "orders").select("o_orderkey", notation.candidate_policy(notation.Notation(9))(question, c, response, k != 2, k == 1).alias("reason"))
+
+
+@query("""SELECT p_partkey, CASE WHEN k = 5 THEN 0 ELSE 1 END AS same, CASE WHEN p_partkey % 5 = 1 THEN 'unclosed_think_block' WHEN p_partkey % 5 = 2 THEN 'empty_visible_response' WHEN k = 5 THEN 'failed' WHEN p_partkey % 5 = 3 THEN 'full_response' ELSE 'last_boxed' END AS method
+FROM (SELECT p_partkey, p_partkey % 6 AS k FROM part)""")
+def answer_forms(spark, folder):
+    """Roots, intervals, sets, signs, trigonometry in two forms each; the last kind differs in a bracket."""
+    n, k = F.col("p_size") + 2, F.col("p_partkey") % 6
+    of = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    pairs = [
+        (of("\\sqrt{", n * n * 2, "}"), of(n, "\\sqrt{2}")), (of("(", n, ", \\infty)"), of("\\left(\\frac{", n * 2, "}{2}, \\infty\\right)")), (of("\\{", n, ", 1/2\\}"), of("0.5; ", n)), (of("\\pm ", n), of("-", n, ", ", n)),
+        (of(n, "(\\sin(x)*sin(x) + cos(x)*cos(x))"), n.cast("string")), (of("[", n, ", ", n + 1, ")"), of("[", n, ", ", n + 1, "]")),
+    ]
+    a, b = (F.array(*(p[i] for p in pairs)) for i in (0, 1))
+    rows = table(spark, folder, "part").select("p_partkey", F.get(a, k.cast("int")).alias("a"), F.get(b, k.cast("int")).alias("b"))
+    part = F.col("p_partkey") % 5
+    response = F.when(part == 1, F.concat(F.lit("<think>"), "a")).when(part == 2, "<think>x</think> ").when(part == 3, F.col("a")).otherwise(F.concat(F.lit("<think>\\boxed{0}</think>so \\boxed{"), "a", F.lit("}")))
+    return rows.select("p_partkey", puzzles.equivalent("a", "b").alias("same"), scoring.score_details(response, F.col("b"))["method"].alias("method"))
