@@ -135,10 +135,12 @@ def full_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, shingle: i
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """The (a, b) of pairs whose union sketch doesn't rule them out and whose full sets are similar enough."""
-    side = lambda name: classes.select(F.col("cls").alias(name), F.col("n").alias(f"n{name}"), F.col("sketch").alias(f"s{name}"))
+    size = lambda name: classes.select(F.col("cls").alias(name), F.col("n").alias(f"n{name}"))
+    sketch = lambda name: classes.select(F.col("cls").alias(name), F.col("sketch").alias(f"s{name}"))
     num, den = ratio(threshold)
-    sized = pairs.join(classes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(side("b"), "b")
-    both = sized.filter(den * F.least("na", "nb") >= num * F.greatest("na", "nb")).drop("na").join(side("a"), "a")
+    # Sizes alone rule most pairs out; only the others take sketches along.
+    sized = pairs.join(size("a"), "a").join(size("b"), "b").filter(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
+    both = sized.join(sketch("b"), "b").join(sketch("a"), "a")
     last = F.least(F.element_at("sa", -1), F.element_at("sb", -1))
     # Below the smaller of the last retained values both sketches are whole: a fair sample of the union.
     cut = F.when(F.col("na") > F.size("sa"), F.when(F.col("nb") > F.size("sb"), last).otherwise(F.element_at("sa", -1))).when(F.col("nb") > F.size("sb"), F.element_at("sb", -1))
