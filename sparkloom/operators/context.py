@@ -145,6 +145,19 @@ def merged_messages(base: Column, text: Column) -> Column:
     return F.when(base.isNull() | (F.size(base) == 0), F.array(user(text))).otherwise(shell)
 
 
+def strategy_text(messages: Column) -> Column:
+    """What a strategy's messages ask: the last user message's text, else all texts with blank lines between, trimmed."""
+    asked = F.filter(messages, lambda m: m["role"] == "user")
+    every = F.trim(F.array_join(F.transform(messages, lambda m: F.coalesce(m["content"], F.lit(""))), "\n\n"), F.lit(" \n\t\r"))
+    return F.when(F.size(asked) > 0, F.coalesce(F.element_at(asked, -1)["content"], F.lit(""))).otherwise(every)
+
+
+def contextualised(base: Column, messages: Column) -> Column:
+    """A strategy's messages in the shell of a dataset's: merged_messages() with their text; without a shell they stay as they are."""
+    plain = F.transform(messages, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    return F.when(base.isNull() | (F.size(base) == 0), plain).otherwise(merged_messages(base, strategy_text(messages)))
+
+
 def conversations_as_messages(rows: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     """(conv, messages) in the order of turns."""
     grouped = rows.groupBy(conv).agg(F.array_sort(F.collect_list(F.struct(turn, F.col(role).alias("role"), F.col(text).alias("content")))).alias("m"))

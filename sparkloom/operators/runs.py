@@ -84,6 +84,31 @@ def fallback_points(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFr
     return rows.withColumn("_best", F.min("_rank").over(Window.partitionBy(*keys))).filter("_rank = _best").drop("_rank", "_best")
 
 
+def accuracy_points(curve: DataFrame, combined: DataFrame, checkpoints: DataFrame, registry: DataFrame, run: str) -> DataFrame:
+    """run, step, accuracy, is_baseline, persisted: each run's accuracy by step, from the first source that has any.
+
+    curve, combined and checkpoints have (run, step, accuracy), registry (run, accuracy). The persisted curve counts, its step 0 being the baseline; a
+    run whose curve has no step beyond 0 takes the combined series as well, whose values win. Runs without either take what their
+    checkpoints' results say, and the registered accuracy as step 0 if they have none. Null accuracies and steps don't count.
+    """
+    known = lambda rows: rows.filter("step is not null and accuracy is not null").select(run, F.col("step").cast("long").alias("step"), "accuracy")
+    c, m, f = known(curve), known(combined), known(checkpoints)
+    beyond = c.filter("step > 0").select(run).distinct()
+    m = m.join(beyond, run, "left_anti")
+    kept = c.withColumn("_rank", F.lit(1)).unionAll(m.withColumn("_rank", F.lit(0)))
+    kept = kept.groupBy(run, "step").agg(F.min_by("accuracy", "_rank").alias("accuracy")).withColumn("persisted", F.lit(True))
+    whole = kept.select(run).distinct()
+    base = registry.filter("accuracy is not null").select(run, F.lit(0).cast("long").alias("step"), "accuracy")
+    other = f.withColumn("_rank", F.lit(0)).unionAll(base.withColumn("_rank", F.lit(1))).join(whole, run, "left_anti")
+    other = other.groupBy(run, "step").agg(F.min_by("accuracy", "_rank").alias("accuracy")).withColumn("persisted", F.lit(False))
+    return kept.unionAll(other).select(run, "step", "accuracy", (F.col("step") == 0).alias("is_baseline"), "persisted")
+
+
+def rebuilt_results(rows: DataFrame, final: str, delta: str, stderr: str) -> DataFrame:
+    """rows with baseline, the final value less the delta, and stderr_percent, 100 times the raw standard error."""
+    return rows.withColumns({"baseline": rebuilt_baseline(F.col(final), F.col(delta)), "stderr_percent": F.col(stderr) * 100})
+
+
 def merged_series(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All steps of both series; where both have a column, the right one's value wins unless it is null."""
     shared = [c for c in left.columns if c in right.columns and c not in keys]

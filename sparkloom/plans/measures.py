@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import hashing, numbers, text, vectors
-from sparkloom.operators import aggregates, audits, context, joins, ordered, predicates, sampling, scoring
+from sparkloom.operators import aggregates, audits, context, joins, judgments, ordered, predicates, sampling, scoring
 from sparkloom.streaming import steps
 
 from .registry import query, table
@@ -266,3 +266,27 @@ def not_a_number_conditions(spark, folder):
     return found.unionAll(predicates.where(rows, ["n_chars:lt:nan"]).select("doc_id"))
 
 
+@query("SELECT r_regionkey, batch, copy FROM region, (SELECT unnest(range(3)) AS batch), (SELECT unnest(range(2)) AS copy)")
+def repeated_rows(spark, folder):
+    return sampling.repeated(table(spark, folder, "region"), 2, 3).select("r_regionkey", "batch", "copy")
+
+
+@query("""WITH j AS (SELECT doc_id, doc_id % 8 AS k, n_chars FROM documents)
+SELECT doc_id, CASE k WHEN 0 THEN 'invalid_label' WHEN 1 THEN 'invalid_confidence' WHEN 2 THEN 'invalid_failure_modes' WHEN 3 THEN 'consistent_without_correct_answer' END AS reason,
+ CASE k WHEN 4 THEN 'consistent' WHEN 5 THEN 'suspect' WHEN 6 THEN 'inconsistent' WHEN 7 THEN 'suspect' END AS label, CASE k WHEN 4 THEN 'keep' WHEN 5 THEN 'review' WHEN 6 THEN 'drop' WHEN 7 THEN 'review' END AS recommendation,
+ CASE WHEN k IN (4, 5, 6) THEN 90 WHEN k = 7 THEN 60 END AS confidence, CASE k WHEN 4 THEN 0 WHEN 5 THEN 1 WHEN 6 THEN 1 WHEN 7 THEN 1 END AS modes, CASE k WHEN 4 THEN 0 WHEN 5 THEN 0 WHEN 6 THEN 1 WHEN 7 THEN 0 END AS evidence, CASE k WHEN 4 THEN 0 WHEN 5 THEN 0 WHEN 6 THEN 0 WHEN 7 THEN 1 END AS dropped FROM j""")
+def validated_judgments(spark, folder):
+    """Judgments on documents: four faults, and four that pass, one of them with a quote that isn't in the text."""
+    k = F.col("doc_id") % 8
+    label = F.when(k == 0, "good").when(k.isin(3, 4), "consistent").when(k == 5, "suspect").otherwise("inconsistent")
+    modes = F.when(k == 2, F.array(F.lit("typo"))).otherwise(F.array(F.lit("other"), F.lit("other")))
+    quote = F.when(k == 7, "\u0001 nowhere").otherwise(F.concat(F.lit("  "), F.substring_index("source_text", " ", 2)))
+    none = F.array().cast("array<struct<quote: string, explanation: string, severity: string>>")
+    evidence = F.when(k.isin(6, 7), F.array(F.struct(quote.alias("quote"), F.lit("why").alias("explanation"), F.lit("low").alias("severity")))).otherwise(none)
+    rows = table(spark, folder, "documents").withColumn("source_text", F.concat(F.lit("Question\n of "), "lang", F.lit(" and "), "text"))
+    judgment = F.struct(
+        label.alias("label"), F.when(k == 1, 101).otherwise(90).alias("confidence"), F.when(k == 3, "unclear").otherwise("correct").alias("final_answer_status"), F.lit("keep").alias("recommendation"), F.lit(" sum ").alias("summary"),
+        modes.alias("failure_modes"), evidence.alias("evidence"), F.create_map(*(F.lit(x) for a in judgments.ASPECTS for x in (a, "passed"))).alias("checked_aspects"),
+    )
+    out = judgments.validated(rows.withColumn("j", judgment), "j", F.col("source_text"))
+    return out.select("doc_id", "reason", "valid.label", "valid.recommendation", "valid.confidence", F.when(F.col("valid").isNotNull(), F.size("valid.failure_modes")).alias("modes"), F.when(F.col("valid").isNotNull(), F.size("valid.evidence")).alias("evidence"), "dropped")

@@ -142,9 +142,34 @@ def external_feature_rows(spark, folder):
     return runs.external_features(evaluated_tasks(spark, folder), average, "run")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity - l_tax AS rebuilt FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_quantity - l_tax AS baseline, l_discount * 100 AS stderr_percent FROM lineitem")
 def rebuilt_baselines(spark, folder):
-    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", runs.rebuilt_baseline(F.col("l_quantity"), F.col("l_tax")).alias("rebuilt"))
+    return runs.rebuilt_results(table(spark, folder, "lineitem"), "l_quantity", "l_tax", "l_discount").select("l_orderkey", "l_linenumber", "baseline", "stderr_percent")
+
+
+@query("""WITH e AS (SELECT user_id AS run, event_id % 9 AS step, event_type, max(value) AS a FROM events GROUP BY ALL),
+c AS (SELECT run, step, a FROM e WHERE event_type = 'error' AND (run % 3 > 0 OR step = 0)), m AS (SELECT run, step, a FROM e WHERE event_type = 'click' AND run % 2 = 0 AND run NOT IN (SELECT run FROM c WHERE step > 0)),
+k AS (SELECT coalesce(m.run, c.run) AS run, coalesce(m.step, c.step) AS step, coalesce(m.a, c.a) AS a FROM c FULL JOIN m ON m.run = c.run AND m.step = c.step),
+f AS (SELECT run, step, a FROM e WHERE event_type NOT IN ('error', 'click') AND step > run % 2 AND run NOT IN (SELECT run FROM k)), f1 AS (SELECT run, step, max(a) AS a FROM f GROUP BY ALL),
+g AS (SELECT DISTINCT run, 0 AS step, run / 7.0 AS a FROM e WHERE run NOT IN (SELECT run FROM k) AND run NOT IN (SELECT run FROM f1 WHERE step = 0))
+SELECT run, step, a AS accuracy, step = 0 AS is_baseline, true AS persisted FROM k UNION ALL SELECT run, step, a, step = 0, false FROM f1 UNION ALL SELECT run, step, a, true, false FROM g""")
+def accuracy_point_sources(spark, folder):
+    rows = table(spark, folder, "events").select(F.col("user_id").alias("run"), (F.col("event_id") % 9).alias("step"), "event_type", "value")
+    of = lambda test: rows.filter(test).groupBy("run", "step").agg(F.max("value").alias("accuracy"))
+    curve = of("event_type = 'error' and (run % 3 > 0 or step = 0)")
+    registry = rows.select("run").distinct().withColumn("accuracy", F.col("run") / 7.0)
+    return runs.accuracy_points(curve, of("event_type = 'click' and run % 2 = 0"), of("event_type not in ('error', 'click') and step > run % 2"), registry, "run")
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'houses' WHEN c_mktsegment IN ('AUTOMOBILE', 'MACHINERY') THEN c_mktsegment END AS name FROM customer")
+def canonical_names(spark, folder):
+    return table(spark, folder, "customer").select("c_custkey", runs.canonical(F.col("c_mktsegment"), {"BUILDING": "houses"}, ["AUTOMOBILE", "MACHINERY"]).alias("name"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_tax - l_discount > 0 AS forward_wins, l_tax - l_discount - 0.01 > 0 OR l_tax - l_discount + 0.01 < 0 AS certain FROM lineitem")
+def forward_wins(spark, folder):
+    d = F.col("l_tax") - F.col("l_discount")
+    return audits.wins(table(spark, folder, "lineitem").withColumns({"d": d, "low": d - 0.01, "high": d + 0.01}), "d", "low", "high").select("l_orderkey", "l_linenumber", "forward_wins", "certain")
 
 
 @query("SELECT page_id, CASE WHEN starts_with(url, 'https://') THEN 's3/' || substr(url, 9) WHEN starts_with(url, 'http://') THEN 'plain/' || substr(url, 8) ELSE url END AS path FROM pages")
