@@ -152,7 +152,7 @@ def strategy_text(messages: Column) -> Column:
     return F.when(F.size(asked) > 0, F.coalesce(F.element_at(asked, -1)["content"], F.lit(""))).otherwise(every)
 
 
-def contextualised(base: Column, messages: Column) -> Column:
+def in_shell(base: Column, messages: Column) -> Column:
     """A strategy's messages in the shell of a dataset's: merged_messages() with their text; without a shell they stay as they are."""
     plain = F.transform(messages, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
     return F.when(base.isNull() | (F.size(base) == 0), plain).otherwise(merged_messages(base, strategy_text(messages)))

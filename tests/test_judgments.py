@@ -67,7 +67,7 @@ def test_messages_in_a_shell(spark):
     kind = "k int, base array<struct<role: string, content: string>>, s array<struct<role: string, content: string>>"
     shell = [("system", "be brief"), ("user", "old"), ("assistant", "x")]
     rows = [(0, shell, [("user", "a"), ("user", "b")]), (1, shell, [("system", "p"), ("assistant", "q ")]), (2, None, [("user", "a")]), (3, [("system", "z")], [("user", "a")]), (4, [], [("system", "a")])]
-    got = {r["k"]: [tuple(m) for m in r["m"]] for r in spark.createDataFrame(rows, kind).select("k", context.contextualised(F.col("base"), F.col("s")).alias("m")).collect()}
+    got = {r["k"]: [tuple(m) for m in r["m"]] for r in spark.createDataFrame(rows, kind).select("k", context.in_shell(F.col("base"), F.col("s")).alias("m")).collect()}
     assert got == {0: [shell[0], ("user", "b"), shell[2]], 1: [shell[0], ("user", "p\n\nq"), shell[2]], 2: [("user", "a")], 3: [("system", "z"), ("user", "a")], 4: [("system", "a")]}
 
 
