@@ -137,6 +137,20 @@ def learning_curve(points: DataFrame, phases: DataFrame, run: str, phase: str, o
     return points.join(at, [run, phase]).withColumn("global_step", F.col("offset") + F.col(step))
 
 
+def combined_curve(checkpoints: DataFrame, phases: DataFrame, baselines: DataFrame, run: str, phase: str, order: str, dataset: str) -> DataFrame:
+    """run, dataset, global_step, phase, accuracy of a run's checkpoints over all its phases, with each dataset's baseline at 0.
+
+    checkpoints(run, phase, step, dataset, accuracy), phases(run, phase, order), baselines(run, dataset, accuracy). A phase begins where the
+    phases before it, of those with checkpoints, have their last step. A checkpoint without an accuracy stays, as null; a baseline
+    without one doesn't; runs without checkpoints have no curve. phase is null for a baseline.
+    """
+    last = checkpoints.groupBy(run, phase).agg(F.max("step").alias("_steps")).join(phases, [run, phase])
+    at = ordered.offsets(last, [run], [order], "_steps").select(run, phase, "offset")
+    points = checkpoints.join(at, [run, phase]).select(run, dataset, (F.col("offset") + F.col("step")).cast("long").alias("global_step"), phase, "accuracy")
+    start = baselines.filter("accuracy is not null").join(at.select(run).distinct(), run, "left_semi")
+    return points.unionByName(start.select(run, dataset, F.lit(0).cast("long").alias("global_step"), F.lit(None).cast(checkpoints.schema[phase].dataType).alias(phase), "accuracy"))
+
+
 def external_metric(metrics: Column, name: str) -> Column:
     """A metric by its exact name, then with ,none, then with ,create_test, then the first by prefix."""
     exact = [F.try_element_at(metrics, F.lit(n)) for n in (name, f"{name},none", f"{name},create_test")]

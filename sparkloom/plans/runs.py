@@ -454,3 +454,17 @@ def backbone_paths(spark, folder):
     seed = seeded.seed_of("graph", F.col("p_partkey"))
     path = seeded.backbone(names, {1: 0.6, 2: 0.3, 3: 0.1})(seed, F.col("p_size") % 12 + 1, F.lit(0), F.lit(0))
     return table(spark, folder, "part").select("p_partkey", F.posexplode(path).alias("hop", "e")).select("p_partkey", "hop", "e.*")
+
+
+@query("""WITH e AS (SELECT user_id AS run, event_type AS phase, event_id % 6 + 1 AS step, 'd' || event_id % 2 AS dataset, max(CASE WHEN event_id % 10 > 0 THEN value END) AS accuracy FROM events WHERE NOT (user_id % 4 = 0 AND event_type = 'click') GROUP BY ALL),
+l AS (SELECT run, phase, max(step) AS n FROM e GROUP BY ALL), o AS (SELECT run, phase, coalesce(sum(n) OVER (PARTITION BY run ORDER BY phase DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM l)
+SELECT run, dataset, CAST(o + step AS BIGINT) AS global_step, phase, accuracy FROM e JOIN o USING (run, phase) UNION ALL SELECT DISTINCT run, dataset, 0, NULL, run / 2.0 FROM e WHERE run % 3 > 0""")
+def combined_curves(spark, folder):
+    """Phases in falling order of their names; some runs lack one, every third has no baseline."""
+    from pyspark.sql import Window
+
+    rows = table(spark, folder, "events").filter("not (user_id % 4 = 0 and event_type = 'click')").select(F.col("user_id").alias("run"), F.col("event_type").alias("phase"), (F.col("event_id") % 6 + 1).alias("step"), F.concat(F.lit("d"), F.col("event_id") % 2).alias("dataset"), F.when(F.col("event_id") % 10 > 0, F.col("value")).alias("v"))
+    points = rows.groupBy("run", "phase", "step", "dataset").agg(F.max("v").alias("accuracy"))
+    phases = table(spark, folder, "events").select(F.col("user_id").alias("run"), F.col("event_type").alias("phase")).distinct().withColumn("place", F.row_number().over(Window.partitionBy("run").orderBy(F.col("phase").desc())))
+    baselines = rows.select("run", "dataset").distinct().withColumn("accuracy", F.when(F.col("run") % 3 > 0, F.col("run") / 2))
+    return runs.combined_curve(points, phases, baselines, "run", "phase", "place", "dataset")

@@ -63,6 +63,16 @@ def test_accuracy_by_source(spark):
     ]
 
 
+def test_combined_curve(spark):
+    points = [("r", "a", 5, "x", 0.1), ("r", "a", 10, "x", None), ("r", "c", 4, "x", 0.3), ("q", "b", 2, "x", 0.4)]
+    phases = [("r", "a", 1), ("r", "b", 2), ("r", "c", 3), ("q", "b", 1), ("z", "a", 1)]
+    base = [("r", "x", 0.05), ("q", "x", None), ("z", "x", 0.5), ("r", "y", 0.06)]
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind)
+    out = runs.combined_curve(frame(points, "run string, phase string, step int, dataset string, accuracy double"), frame(phases, "run string, phase string, place int"), frame(base, "run string, dataset string, accuracy double"), "run", "phase", "place", "dataset")
+    got = sorted((tuple(r) for r in out.collect()), key=str)
+    assert got == sorted([("r", "x", 5, "a", 0.1), ("r", "x", 10, "a", None), ("r", "x", 14, "c", 0.3), ("q", "x", 2, "b", 0.4), ("r", "x", 0, None, 0.05), ("r", "y", 0, None, 0.06)], key=str)
+
+
 def test_messages_in_a_shell(spark):
     kind = "k int, base array<struct<role: string, content: string>>, s array<struct<role: string, content: string>>"
     shell = [("system", "be brief"), ("user", "old"), ("assistant", "x")]
