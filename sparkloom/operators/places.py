@@ -28,6 +28,15 @@ def written(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables from written() that nothing will read again."""
+    for rows in tables:
+        sc = rows.sparkSession.sparkContext
+        for name in {f.rsplit("/", 1)[0] for f in rows.inputFiles()}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def same(a: str, b: str, keys: Sequence[str]) -> Column:
     """Equality of keys, null with null, between the aliases a and b."""
     out = F.lit(True)
@@ -50,6 +59,8 @@ def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
     fixed = rows.withColumn("_tie", F.lit(0)) if unique else written(rows.withColumn("_tie", F.monotonically_increasing_id()))
     placed = fixed.repartitionByRange(*by, "_tie").sortWithinPartitions(*by, "_tie").drop("_tie")
     placed = written(placed.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
+    if not unique:
+        discard(fixed)
     amount = F.col(total) if total else F.lit(0)
     spans = placed.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"), F.coalesce(F.sum(amount), F.lit(0)).alias("_sum"))
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # one row a partition and group

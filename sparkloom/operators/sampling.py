@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.hashing import hash_id, hash_unit
 
-from .places import exact_quantiles, numbered, written
+from .places import discard, exact_quantiles, numbered, written
 
 
 def hash_rank(keys: Sequence[str], seed: str, ident: str) -> Column:
@@ -148,6 +148,7 @@ def batches(rows: DataFrame, key: str, order: str, size: str, most_rows: int, mo
     first = rounds.pop().filter("_entry = 0").select("_key", "_block", "_entry", F.lit(0).cast("long").alias("_batch"))
     for halves in reversed(rounds):
         first = written(halved(first, halves))
+        discard(halves)
     firsts = first.select("_key", "_block", "_entry", "_batch")
     known = seen.join(firsts, ["_key", "_block"]).groupBy("_key", "_block").applyInPandas(batches_of_block(block, most_rows, most_size), "_key string, _at long, batch long")
     return placed.join(known, ["_key", "_at"]).select(*rows.columns, "batch")
