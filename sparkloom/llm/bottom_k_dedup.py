@@ -42,6 +42,8 @@ BLOCK, PART = 1024, 256
 SKETCH_SCHEMA = "rid binary, doc_id long, n long, cls binary, sketch array<long>"
 #: Symbols hashed at once.
 PIECE = 1 << 20
+#: Bits, as a power of two, of the filter that says whose texts are to be hashed again: 1 MB.
+MARK_BITS = 23
 
 
 def shingle_hashes(symbols: np.ndarray, shingle: int, power) -> np.ndarray:
@@ -59,12 +61,31 @@ def shingle_hashes(symbols: np.ndarray, shingle: int, power) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
 
 
-def hashed_sets(docs: DataFrame, shingle: int, k: int | None) -> DataFrame:
-    """SKETCH_SCHEMA rows of docs(rid, doc_id, text), with the k smallest hashes, or with all where k is None."""
+def marks_of(rids: DataFrame) -> np.ndarray:
+    """A filter of 2 ** MARK_BITS bits, whatever the number of rids: a bit is set for each, by its leading bits."""
+    at = F.shiftright(F.conv(F.hex(F.substring("rid", 1, 3)), 16, 10).cast("long"), 24 - MARK_BITS)
+    words = rids.select(F.shiftright(at, 6).cast("int").alias("word"), at.alias("at"))
+    words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    out = np.zeros(1 << (MARK_BITS - 6), np.int64)
+    found = words.toArrow()
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out
+
+
+def marked(rid: pa.Array, marks: np.ndarray) -> np.ndarray:
+    """Whether the bit of each rid is set."""
+    lead = np.array([int.from_bytes(x[:3], "big") for x in rid.to_pylist()], np.int64) >> (24 - MARK_BITS)
+    return (marks[lead >> 6] >> (lead & 63) & 1).astype(bool)
+
+
+def hashed_sets(docs: DataFrame, shingle: int, k: int | None, marks: np.ndarray | None = None) -> DataFrame:
+    """SKETCH_SCHEMA rows of docs(rid, doc_id, text), with the k smallest hashes, or with all where k is None; only of marked rids."""
 
     def run(batches):
         to_symbols, power = word_symbols(), powers(PIECE + shingle)
         for batch in batches:
+            if marks is not None:
+                batch = batch.filter(pa.array(marked(batch.column("rid"), marks), pa.bool_()))
             rid, doc, text = (batch.column(c) for c in ("rid", "doc_id", "text"))
             begin, sizes, classes, values = 0, [], [], []
 
@@ -128,9 +149,14 @@ def inverted(classes: DataFrame, threshold: float) -> DataFrame:
 
 
 def full_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """cls, n, full (all hashes) of the classes wanted, made anew from one of their texts."""
-    texts = docs.join(wanted.join(classes.select("cls", "rid"), "cls").select("rid").distinct(), "rid", "left_semi").dropDuplicates(["rid"])
-    return stored(hashed_sets(texts, shingle, None).select("cls", "n", F.col("sketch").alias("full")).dropDuplicates(["cls"]))
+    """cls, n, full (all hashes) of the classes wanted, made anew from one of their texts.
+
+    No text moves: the tasks that read the texts hash those whose rid is marked in a filter of a fixed size. What others the
+    filter lets through, few unless some millions are wanted, is left out by its class.
+    """
+    rids = wanted.join(classes.select("cls", "rid"), "cls").select("rid")
+    sets = hashed_sets(docs, shingle, None, marks_of(rids)).select("cls", "n", F.col("sketch").alias("full")).dropDuplicates(["cls"])
+    return stored(sets.join(wanted.select("cls").distinct(), "cls", "left_semi"))
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
