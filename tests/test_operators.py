@@ -4,11 +4,13 @@ import hashlib
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import hashing, numbers, text
 from sparkloom.operators import joins, ordered, predicates, puzzles, runs, sampling
+from sparkloom.plans import catalog
 from sparkloom.sources import writers
 
 
@@ -75,6 +77,18 @@ def test_style_flags_and_degenerate(spark):
     assert [d for _, d in got] == [None, "multiplication_by_one", "subtraction_of_zero", None, None]
 
 
+def test_style_flags_take_words_of_ascii(spark):
+    """As the query's SQL: letters beyond ASCII end words and fold to s and k, only a newline ends a line, a vertical tab is no blank."""
+    texts = ["öin in im", "in inß", "öin inch", "To tO", "1 \u017ftep\u017f", "one\x0bcells", "one\fcells", "For the a\r\u2028b relation, the displacement is", "For the a\nb relation, the displacement is", "you can loc\u0131ate", "move forward for 1\n from \u017f\u212as’s position", "\u017fto to", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: ",".join(r["f"]) for r in rows.select("doc_id", puzzles.style_flags(F.col("text")).alias("f")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    assert found == dict(con.execute(catalog.oracle_sql()["style_faults"]).fetchall())
+    assert [found[i] for i in (0, 1, 2, 7)] == ["duplicated_preposition", "duplicated_preposition", "", "legacy_relation_step"]
+
+
 def test_hashes_equal_hashlib(spark):
     rows = [(1, 'a "quoted" ü \\ name', 0.5, True), (2, None, -3.0, False)]
     df = spark.createDataFrame(rows, "i long, s string, x double, b boolean")
