@@ -37,6 +37,11 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(rows: DataFrame, each: int = 10_000) -> DataFrame:
+    """rows dealt to tasks of about `each`: for work that is slow by the row, as a small file is read by one task however many rows it holds."""
+    return rows.repartition(max(1, -(-rows.count() // each)))
+
+
 def same(a: str, b: str, keys: Sequence[str]) -> Column:
     """Equality of keys, null with null, between the aliases a and b."""
     out = F.lit(True)
