@@ -17,10 +17,11 @@ def folder(spark, tmp_path_factory):
     path, i = str(tmp_path_factory.mktemp("tables")), F.col("id")
     ids = spark.range(ROWS).coalesce(1)
     ids.select(i.alias("c_custkey"), (i % 25).cast("int").alias("c_nationkey")).write.parquet(f"{path}/customer.parquet")
+    ids.select(i.alias("p_partkey"), (i % 50 + 1).cast("int").alias("p_size"), (i / 100 + 1).alias("p_retailprice")).write.parquet(f"{path}/part.parquet")
     return path
 
 
-@pytest.mark.parametrize("name", ["equivalent_answers"])
+@pytest.mark.parametrize("name", ["equivalent_answers", "answer_forms"])
 def test_rows_are_dealt_to_tasks(spark, folder, name):
     assert catalog.queries()[name](spark, folder).rdd.getNumPartitions() == 3
 
