@@ -47,7 +47,7 @@ class Notation:
     def numbers(self, text: str) -> Iterator[re.Match]:
         for found in NUMBER.finditer(text):
             start, end = found.span()
-            if not (BEFORE_LABEL.search(text[max(0, start - REACH[0]) : start]) and AFTER_LABEL.match(text[end : end + REACH[1]])):
+            if not (AFTER_LABEL.match(text[end : end + REACH[1]]) and BEFORE_LABEL.search(text[max(0, start - REACH[0]) : start])):
                 yield found
 
     def decimals(self, text: str) -> list[str]:
