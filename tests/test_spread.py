@@ -21,7 +21,7 @@ def folder(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["equivalent_answers", "answer_forms", "linear_answers", "rewritten_prices"])
+@pytest.mark.parametrize("name", ["equivalent_answers", "answer_forms", "linear_answers", "rewritten_prices", "transformed_records"])
 def test_rows_are_dealt_to_tasks(spark, folder, name):
     assert catalog.queries()[name](spark, folder).rdd.getNumPartitions() == 3
 
