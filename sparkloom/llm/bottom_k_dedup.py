@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import Ranges, mix, powers
-from .common import arrow_map, components, discard, row_key, stored, table, text_bytes
+from .common import arrow_map, components, discard, row_key, stored, table, text_bytes, told_apart
 from .suffix_automaton_dedup import word_symbols
 
 SHINGLE = 5
@@ -359,16 +359,19 @@ def op10_bottom_k_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one row of each group stays, one with the smallest id; rows without words all stay.
 
-    Of rows equal in id and text one stays; where all ids of a group are null, one of its rows stays too.
+    Of rows equal in id and text one stays; where all ids of a group are null, one of its rows stays too. Of the texts only
+    those move that may go or be repeated.
     """
     keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__rid", row_key("__id"))
     worded = stored(grouped(docs, 0.8).filter("n > 0").groupBy(F.col("rid").alias("__rid")).agg(F.min("doc_id").alias("doc_id"), F.min("component").alias("component"), F.count("*").alias("copies")))
     first = worded.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__rid"))["__rid"].alias("first"))
     gone = worded.join(first, "component").select("__rid", (F.col("__rid") != F.col("first")).alias("gone"), "copies")
     gone = stored(gone.filter("gone or copies > 1"))
-    once = keyed.join(gone, "__rid", "left_anti")
-    again = keyed.join(gone.filter("not gone"), "__rid", "left_semi").dropDuplicates(["__rid"])
-    return once.unionAll(again).select(*docs.columns)
+    repeated = gone.filter("not gone")
+    clear, held = told_apart(keyed, ["__rid"], gone)
+    once = clear.select(*docs.columns).unionAll(held.join(gone, "__rid", "left_anti").select(*docs.columns))
+    again = told_apart(keyed, ["__rid"], repeated)[1].join(repeated, "__rid", "left_semi").dropDuplicates(["__rid"])
+    return once.unionAll(again.select(*docs.columns))
 
 
 def brute_force(rows: list[tuple[int, str | None]], threshold: float, shingle: int = SHINGLE) -> dict[int, tuple[int, int, bool]]:

@@ -224,12 +224,12 @@ def search_keys(bodies: DataFrame, window: int) -> DataFrame:
     return arrow_map(bodies.repartition("key").sortWithinPartitions("key").select(*names, "body"), run, "key long, ctx1 long, ctx2 long, part int, a long, b long")
 
 
-def row_ids(docs: DataFrame) -> DataFrame:
-    """docs with row1 (the id, 0 where it is null) and row2 (a hash of the text and of whether there is an id).
+def row_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", names: tuple[str, str] = ("row1", "row2")) -> DataFrame:
+    """docs with row1 (the id, 0 where it is null) and row2 (a hash of the text and of whether there is an id), or as names says.
 
     Rows equal in id and text share both, and so do their results.
     """
-    return docs.withColumn("row1", F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))).withColumn("row2", F.xxhash64("text", F.col("doc_id").isNull()))
+    return docs.withColumn(names[0], F.coalesce(F.col(doc_id).cast("long"), F.lit(0).cast("long"))).withColumn(names[1], F.xxhash64(text, F.col(doc_id).isNull()))
 
 
 def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:

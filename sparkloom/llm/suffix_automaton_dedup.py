@@ -18,9 +18,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .anchors import CHUNK, CLASS, merged, removed_spans
-from .common import arrow_map, row_key, table
+from .common import arrow_map, row_key, table, text_bytes, told_apart
 from .suffix_array_dedup import row_ids
 
 WINDOW = 50
@@ -233,14 +234,31 @@ def op7_suffix_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the same documents with the words that remain; texts that lose nothing stay as they are."""
-    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__rid", row_key("__id"))
-    out = suffix_automaton_dedup(docs).filter("n_removed > 0").select(F.col("rid").alias("__rid"), F.col("kept").alias("__kept")).dropDuplicates(["__rid"])
-    text = F.when(F.col("__kept").isNotNull(), F.col("__kept")).otherwise(F.col("text"))
-    done = keyed.join(out, "__rid", "left").withColumn("text", text)
+    """Pipeline stage: the same documents with the words that remain; texts that lose nothing stay as they are.
+
+    Of the texts only those move to their spans that may have some.
+    """
+    plain = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__text", F.coalesce("text", F.lit("")))
+    ids = ["__row1", "__row2"]
+    rows = row_ids(plain.select(F.col("__id").alias("doc_id"), F.col("__text").alias("text"))).filter("doc_id is not null")
+    spans = earlier_spans(rows).toDF(*ids, "__spans")
+    clear, held = told_apart(row_ids(plain, "__id", "__text", tuple(ids)).drop("__id", "__text"), ids, spans)
+
+    def run(batches):
+        for batch in batches:
+            text, spans = (batch.column(k) for k in ("text", "__spans"))
+            kept = []
+            for i in range(batch.num_rows):
+                cut = merged([(x["a"], x["b"]) for x in spans[i].as_py() or ()])
+                kept.append(b" ".join(keep_words(text_bytes(text, i).split(), cut)) if cut else text_bytes(text, i) if text[i].is_valid else None)
+            columns = {**dict(zip(batch.schema.names, batch.columns, strict=True)), "text": pa.array(kept, pa.binary()).view(pa.string()), "__spans": spans.is_valid()}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    names = [*docs.columns, "__spans"]
+    done = arrow_map(held.join(spans, ids, "left").select(*names), run, StructType([*docs.schema.fields, StructField("__spans", BooleanType())]))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("__kept").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+        done = done.withColumn("n_chars", F.when(F.col("__spans"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return clear.select(*docs.columns).unionAll(done.select(*docs.columns))
 
 
 def brute_force(rows: list[tuple[int, str | None]], window: int = WINDOW) -> dict[int, tuple[int, int, str]]:

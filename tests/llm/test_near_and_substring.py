@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import bottom_k_dedup as near
+from sparkloom.llm import common
 from sparkloom.llm import suffix_array_dedup as suffix
 from sparkloom.llm import suffix_automaton_dedup as automaton
 
@@ -185,3 +187,58 @@ def test_small_sets_are_not_missed(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near.bottom_k_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 0.8).collect()}
     assert got == near.brute_force(rows, 0.8)
     assert near.shortest(0.8) == 5 and near.shortest(0.85) == 0
+
+
+def hex_texts(n, words=150):
+    rng = random.Random(5)
+    return [" ".join(f"{rng.getrandbits(48):012x}" for _ in range(words)) for _ in range(n)]
+
+
+def shuffled_bytes(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = sc._jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("stage", [near.near_duplicate_stage, automaton.substring_stage])
+def test_stages_move_the_texts_that_may_change_only(spark, stage):
+    texts = hex_texts(400)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(texts[:8])]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+        moved = shuffled_bytes(spark)
+        got = {r.doc_id: r.text for r in out.collect()}
+        moved = shuffled_bytes(spark) - moved
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    left = {d: t for d, t in got.items() if t}
+    assert left == dict(enumerate(texts))
+    assert 0 < moved < 0.15 * sum(len(t) for _, t in rows)
+
+
+@pytest.mark.parametrize("bits", [6, 7])
+def test_a_full_filter_loses_and_changes_nothing(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    keys = spark.range(0, 3000, 3).select(F.col("id").alias("k"))
+    rows = spark.range(3000).select(F.col("id").alias("k"), F.lit("t").alias("text"))
+    clear, held = common.told_apart(rows, ["k"], keys)
+    assert clear.columns == held.columns == rows.columns
+    held, clear = {r.k for r in held.collect()}, {r.k for r in clear.collect()}
+    assert not held & clear and held | clear == set(range(3000)) and held >= set(range(0, 3000, 3))
+    texts = hex_texts(150, 90)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:5])] + [(400, None), (401, ""), (3, texts[3])], "doc_id long, text string")
+    kept = sorted((r.doc_id, r.text) for r in near.near_duplicate_stage(spark, df, "").collect() if r.text)
+    assert kept == sorted(enumerate(texts))
+    got = [(r.doc_id, r.text) for r in automaton.substring_stage(spark, df, "").collect()]
+    assert sorted((d, t) for d, t in got if t) == sorted([*enumerate(texts), (3, texts[3])])
+    assert sorted((d, t is None) for d, t in got if not t) == [(150, False), (151, False), (152, False), (153, False), (154, False), (400, True), (401, False)]
+
+
+def test_a_filter_without_keys_holds_nothing(spark):
+    rows = spark.range(50).select(F.col("id").alias("k"))
+    clear, held = common.told_apart(rows, ["k"], rows.limit(0))
+    assert clear.count() == 50 and held.count() == 0
