@@ -12,6 +12,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,11 +53,7 @@ def byte_cut():
 def words_at(text: np.ndarray, depth: int) -> np.ndarray:
     """For each place the 8 bytes from there as one big-endian number; zeros stand after the text."""
     padded = np.concatenate([text, np.zeros(2 * depth + 32, np.uint8)])
-    n = len(padded) - 7
-    out = np.zeros(n, np.uint64)
-    for k in range(8):
-        out = (out << np.uint64(8)) | padded[k : k + n].astype(np.uint64)
-    return out
+    return np.ndarray(len(padded) - 7, ">u8", padded, strides=(1,)).astype(np.uint64)
 
 
 class Prefixes:
@@ -73,6 +70,8 @@ class Prefixes:
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out, at = np.full(len(a), self.depth, np.int64), np.arange(len(a))
         for k in range(0, self.depth, self.STRETCH):
+            if not len(at):
+                break
             x, y = (self.stretches[p + k].view(np.uint64).reshape(len(p), -1) for p in (a, b))
             differ = np.bitwise_or.reduce([x[:, i] ^ y[:, i] for i in range(x.shape[1])]) != 0
             ends = np.flatnonzero(differ)
@@ -80,8 +79,21 @@ class Prefixes:
                 first = (x[ends].view(np.uint8) != y[ends].view(np.uint8)).argmax(axis=1)
                 out[at[ends]] = np.minimum(k + first, self.depth)
                 at, a, b = at[~differ], a[~differ], b[~differ]
-            if not len(at):
-                break
+        return out
+
+    def chained(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """As common, for different places a that share 8 bytes with b at least, as those of equal words do.
+
+        Pairs as far from each other as the next pair, and 8 bytes before it at most, go on where that one does, so that
+        only the last one of such a chain is compared.
+        """
+        by = np.argsort(a)
+        a, apart = a[by], (a - b)[by]
+        ends = np.r_[(np.diff(a) > 8) | (np.diff(apart) != 0), True] if len(a) else np.empty(0, bool)
+        last = a[ends]
+        reach = last + self.common(last, last - apart[ends])
+        out = np.empty(len(a), np.int64)
+        out[by] = np.minimum(reach[np.cumsum(ends) - ends] - a, self.depth)
         return out
 
 
@@ -98,7 +110,7 @@ def sort_directly(words: np.ndarray, prefixes: Prefixes, places: np.ndarray, dep
         head = np.flatnonzero(np.r_[True, ~same[at[1:] - 1]])
         size = np.diff(np.r_[head, len(at)])
         place = order[at]
-        shared = np.minimum.reduceat(prefixes.common(place, np.repeat(place[head], size)), head)
+        shared = np.minimum.reduceat(prefixes.chained(place, np.repeat(place[head], size)), head)
         group = np.repeat(np.arange(len(head)), size)
         going = np.repeat(shared < depth, size)
         same[at] = False  # settled, unless the next word ties again
@@ -168,26 +180,62 @@ def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None)
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Length of the common prefix of each suffix with the one before it, `depth` at most; separators end it."""
-    room = next_true(text == SEPARATOR)[order] - order
-    room = np.minimum(np.minimum(room, np.r_[0, room[:-1]]), depth)
+    """Length of the common prefix of each suffix in order with the one before it, `depth` at most; 0 for the first."""
+    a, b, words = order[1:], order[:-1], words_at(text, depth)
+    differ = words[a] ^ words[b]
     out = np.zeros(len(order), np.int64)
-    going = np.flatnonzero(room > 0)
-    out[going] = Prefixes(text, depth).common(order[going], order[going - 1])
-    return np.minimum(out, room)
+    for k in range(1, 8):
+        out[1:] += differ < np.uint64(1 << 8 * k)
+    equal = np.flatnonzero(differ == 0)
+    out[equal + 1] = Prefixes(text, depth).chained(a[equal], b[equal])
+    return np.minimum(out, depth)
 
 
-def repeated_windows(bodies: list[bytes], window: int) -> list[np.ndarray]:
-    """For each body, which of its windows start anywhere else in the bodies, itself included."""
+def joined_bodies(bodies: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The text of bodies with a separator after each, where each begins, whose each byte is, which bytes start windows."""
     text = np.frombuffer(b"\xff".join(bodies) + b"\xff", np.uint8)
     sizes = np.array([len(b) + 1 for b in bodies])
     begins = np.cumsum(sizes) - sizes
-    wanted = np.arange(len(text)) - np.repeat(begins, sizes) < np.repeat(np.maximum(sizes - window, 0), sizes)
-    order = suffix_array(text, window, wanted)
+    starts = np.arange(len(text)) - np.repeat(begins, sizes) < np.repeat(np.maximum(sizes - window, 0), sizes)
+    return text, begins, np.repeat(np.arange(len(bodies)), sizes), starts
+
+
+def windows_in_order(bodies: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The text of bodies and the places of all their windows in the order of its suffix array.
+
+    Equal bodies are sorted once: a copy's windows stand behind those of the body that they repeat.
+    """
+    number: dict[bytes, int] = {}
+    same = np.array([number.setdefault(b, len(number)) for b in bodies])
+    text, begins, owner, starts = joined_bodies(list(number), window)
+    order = suffix_array(text, window, starts)
+    order = order[starts[order]]  # without those that only induce
+    if len(number) == len(bodies):
+        return text, order
+    body = owner[order]
+    offset = order - begins[body]
+    text, begins, _, _ = joined_bodies(bodies, window)
+    copies = np.bincount(same)
+    begins = begins[np.argsort(same, kind="stable")]
+    count = copies[body]
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return text, begins[np.repeat((np.cumsum(copies) - copies)[body], count) + nth] + np.repeat(offset, count)
+
+
+def repeated_windows(bodies: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of windows that start anywhere else in the bodies: number of the body, first and last window.
+
+    No window holds a separator, so neither does what two of them have in common.
+    """
+    text, order = windows_in_order(bodies, window)
     hit = common_prefixes(text, order, window) >= window
     twice = np.zeros(len(text), bool)
     twice[order[hit | np.r_[hit[1:], False]]] = True
-    return [twice[a : a + max(0, n - window)] for a, n in zip(begins, sizes, strict=True)]
+    first, last = runs(twice)
+    sizes = np.array([len(b) + 1 for b in bodies])
+    begins = np.cumsum(sizes) - sizes
+    body = np.searchsorted(begins, first, "right") - 1
+    return body, first - begins[body], last - begins[body]
 
 
 def keep_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -202,24 +250,26 @@ def search_keys(bodies: DataFrame, window: int) -> DataFrame:
     """CLASS, part, a, b: the runs of windows of bodies that also start elsewhere in their keys' bodies."""
     names = [*CLASS, "part"]
 
-    def run(batches):
-        rows, size, last = [], 0, None
-
-        def flush():
-            found = repeated_windows([r[4] for r in rows], window)
-            out = [(*r[:4], int(a), int(b)) for r, flags in zip(rows, found, strict=True) for a, b in zip(*runs(flags), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int32() if i == 3 else pa.int64()) for i in range(6)], [*names, "a", "b"])
+    def search(held):
+        rows = pa.Table.from_batches(held).combine_chunks()
+        body, a, b = repeated_windows(rows.column("body").to_pylist(), window)
+        return pa.RecordBatch.from_arrays([*(rows.column(k).combine_chunks().take(pa.array(body)) for k in names), pa.array(a), pa.array(b)], [*names, "a", "b"])
 
+    def run(batches):
+        held, size, last = [], 0, None
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in (*names, "body")), strict=True):
-                if size > ARRAY_BYTES and row[0] != last:
-                    yield flush()
-                    rows, size = [], 0
-                rows.append(row)
-                size += len(row[4])
-                last = row[0]
-        if rows:
-            yield flush()
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy()
+            if size > ARRAY_BYTES and key[-1] != last:
+                cut = int(np.argmax(key != last))
+                yield search([*held, batch.slice(0, cut)])
+                held, size, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            size += pc.sum(pc.binary_length(batch.column("body"))).as_py()
+            last = key[-1]
+        if held:
+            yield search(held)
 
     return arrow_map(bodies.repartition("key").sortWithinPartitions("key").select(*names, "body"), run, "key long, ctx1 long, ctx2 long, part int, a long, b long")
 

@@ -145,6 +145,59 @@ def test_two_stage_suffix_sorting():
         assert order.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
 
 
+def windows_twice(bodies, window):
+    """(body, first, last) of the runs of windows that start twice, by counting all windows."""
+    from collections import Counter
+
+    count = Counter(b[i : i + window] for b in bodies for i in range(len(b) - window + 1))
+    out = []
+    for k, b in enumerate(bodies):
+        for i in range(len(b) - window + 1):
+            if count[b[i : i + window]] > 1:
+                if out and out[-1][0] == k and out[-1][2] == i - 1:
+                    out[-1] = (k, out[-1][1], i)
+                else:
+                    out.append((k, i, i))
+    return out
+
+
+def test_repeated_windows_equal_a_count_of_all_windows():
+    rng = random.Random(13)
+    for _ in range(300):
+        alphabet, window = rng.choice([b"a", b"ab", b"abcd", bytes(range(65, 91))]), rng.choice([1, 7, 8, 9, 40, 200])
+        base = [bytes(rng.choice(alphabet) for _ in range(rng.randrange(2 * window + 60))) for _ in range(rng.randrange(1, 4))]
+        bodies = []
+        for _ in range(rng.randrange(1, 8)):
+            b = bytearray(rng.choice(base))
+            for _ in range(rng.randrange(3)):
+                if b:
+                    b[rng.randrange(len(b))] = rng.choice(alphabet)
+            bodies += [bytes(b)] * rng.choice([1, 1, 2, 3])
+        rng.shuffle(bodies)
+        assert [tuple(map(int, x)) for x in zip(*suffix.repeated_windows(bodies, window), strict=True)] == windows_twice(bodies, window)
+
+
+@pytest.mark.parametrize("bodies", [[b"x" * 200], [b"x" * 199], [b""], [b"x" * 200, b"y" * 200]])
+def test_lone_windows_are_not_repeated(bodies):
+    assert [len(x) for x in suffix.repeated_windows(bodies, 200)] == [0, 0, 0]
+
+
+def test_few_places_are_compared_byte_by_byte(monkeypatch):
+    """Copies and near copies, as keys hold them: what neighbours have in common tells most of what places have."""
+    rng = random.Random(14)
+    bodies = []
+    for _ in range(60):
+        b = bytearray(rng.choice(b"abcdefgh ") for _ in range(284))
+        near = bytearray(b)
+        near[150] = 120
+        bodies += [bytes(b)] * 3 + [bytes(near)] * 2
+    compared, common = [], suffix.Prefixes.common
+    monkeypatch.setattr(suffix.Prefixes, "common", lambda self, a, b: compared.append(len(a)) or common(self, a, b))
+    found = suffix.repeated_windows(bodies, 200)
+    assert sum(b - a + 1 for a, b in zip(*found[1:], strict=True)) == 85 * len(bodies)
+    assert sum(compared) < 0.25 * 85 * len(bodies)
+
+
 @pytest.mark.parametrize("hot", [400, 2])
 def test_suffix_automaton(spark, hot):
     rows = corpus(3)
