@@ -144,3 +144,51 @@ def test_dimensions_that_agree_modulo_a_power_of_two(spark):
     rows += [(100 + i, (np.array(v) * 2).tolist()) for i, v in rows]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in caps.cap_filter_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == caps.brute_force(rows)
+
+
+def test_slices_of_directions_are_all_directions():
+    rng = np.random.default_rng(12)
+    for dim, n in ((2, 10), (6, 100), (24, 50_000)):
+        code, x = caps.ProductCode(dim, n), caps.unit(rng.standard_normal((30, dim)))
+        cuts = [0, 3, 3, code.words // 2 + 1, code.words]
+        slices = [code.decode(x, a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+        assert [np.concatenate(f).tolist() for f in zip(*slices, strict=True)] == [f.tolist() for f in code.decode(x)]
+
+
+def test_disk_of_links_stays_in_proportion(spark, monkeypatch, tmp_path):
+    import threading
+    from pathlib import Path
+
+    monkeypatch.setattr(caps, "LEAST", 100)
+    rng = np.random.default_rng(13)
+    base, group = rng.standard_normal((5000, 64)), rng.standard_normal(64)
+    rows = [*base, *(base[:2000] + 0.1 * rng.standard_normal((2000, 64))), *(group + 0.05 * rng.standard_normal((60, 64)))]
+    rows = [(i, v.astype(np.float32).astype(float).tolist()) for i, v in enumerate(rows)]
+    path = str(tmp_path / "vectors")
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(1).write.parquet(path)
+    folders = [Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")), Path(spark.conf.get("spark.local.dir"))]
+
+    def used():
+        total = 0
+        for p in (p for folder in folders for p in folder.rglob("*")):
+            try:
+                total += p.stat().st_size * p.is_file()
+            except OSError:
+                pass  # it went meanwhile
+        return total
+
+    floor, most, over = used(), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.02):
+            most[0] = max(most[0], used() - floor)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in caps.cap_filter_dedup(spark.read.parquet(path)).collect()}
+    finally:
+        over.set()
+        watcher.join()
+    assert got == caps.brute_force(rows)
+    assert 0 < most[0] <= 4 * sum(p.stat().st_size for p in Path(path).glob("*.parquet"))
